@@ -128,3 +128,28 @@ def rho_update_col(rho, r, eps_r, s, eps_s):
               .otherwise(rho))
     step2 = F.when(r < eps_r, step1 / 1.2).otherwise(step1)
     return F.when(s < eps_s, step2 * 1.2).otherwise(step2)
+
+
+def residuals(state: DataFrame, z: DataFrame, z_prev: DataFrame, rho: float) -> DataFrame:
+    """primal sqrt(sum_i ||x_i - z||^2), dual rho sqrt(N) ||z - z_prev|| (one row)."""
+    long = explode_state(state).join(F.broadcast(z), "j")
+    primal = long.agg(F.sqrt(F.sum((F.col("x") - F.col("z")) ** 2)).alias("resid_primal"),
+                      F.countDistinct("block_id").alias("n_blocks"))
+    dz = z.join(z_prev.withColumnRenamed("z", "z_prev"), "j").agg(
+        F.sqrt(F.sum((F.col("z") - F.col("z_prev")) ** 2)).alias("dz"))
+    return (primal.withColumn("k", F.lit(0)).join(F.broadcast(dz.withColumn("k", F.lit(0))), "k")
+                  .select("resid_primal", (F.lit(rho) * F.sqrt(F.col("n_blocks").cast("double")) * F.col("dz")).alias("resid_dual")))
+
+
+def tolerances(state: DataFrame, z: DataFrame) -> DataFrame:
+    """eps_primal = 1e-3 max(sqrt(sum ||x_i||^2), sqrt(N) ||z||) + 1e-3 sqrt(pN);
+    eps_dual = 1e-3 sqrt(sum ||y_i||^2) + 1e-3 sqrt(pN), with y after the dual update."""
+    long = explode_state(state)
+    s = long.agg(F.sum(F.col("x") ** 2).alias("xx"), F.sum(F.col("y") ** 2).alias("yy"),
+                 F.countDistinct("block_id").alias("n"), F.countDistinct("j").alias("p"))
+    zz = z.agg(F.sum(F.col("z") ** 2).alias("zz"))
+    both = s.withColumn("k", F.lit(0)).join(F.broadcast(zz.withColumn("k", F.lit(0))), "k")
+    base = F.lit(ABS_TOL) * F.sqrt((F.col("p") * F.col("n")).cast("double"))
+    return both.select(
+        (F.lit(REL_TOL) * F.greatest(F.sqrt("xx"), F.sqrt(F.col("n").cast("double")) * F.sqrt("zz")) + base).alias("eps_primal"),
+        (F.lit(REL_TOL) * F.sqrt("yy") + base).alias("eps_dual"))
