@@ -92,4 +92,7 @@ def place_blocks(spark: SparkSession, df: DataFrame, storage: StorageLevel = Sto
 def init_state(mapping: DataFrame, p: int, x0: list[float] | None = None) -> DataFrame:
     """Every block starts at x = w0 (zeros by default), y = 0."""
     x = F.array(*[F.lit(float(v)) for v in x0]) if x0 is not None else zeros(p)
-    return mapping.select("slot", "block_id", x.alias("x"), zeros(p).alias("y"))
+    # Fresh aliases: the state must not share attribute ids with the placed rows (both
+    # descend from ``mapping``), or the per-pass cogroup is an ambiguous self-join.
+    return mapping.select(F.col("slot").alias("slot"), F.col("block_id").alias("block_id"),
+                          x.alias("x"), zeros(p).alias("y"))

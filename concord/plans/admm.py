@@ -1,14 +1,16 @@
 """The ADMM loop as Spark jobs.
 
-Per pass (two Spark jobs):
+Per pass (one Spark job, or two when the model is wide):
 
 1. x-update: ``payload.groupBy(slot).cogroup(state.groupBy(slot)).applyInArrow``.
    The payload (the block's rows, or its cached Gram) is hash-partitioned on ``slot``
    and persisted, so only the N state rows are shuffled to it.  The function first
    applies the previous pass's dual update y_i += rho_prev (x_i - z), then solves the
    block subproblem warm-started at x_i.
-2. One aggregate over the new state, grouped by coordinate j, returns p rows:
-   sum(x + y/rho), sum(x), sum(x^2), sum((y + rho x)^2).  The driver turns these into
+2. The cross-block sums sum(x + y/rho), sum(x), sum(x^2), sum((y + rho x)^2): while
+   N x (2p + 2) is small they come back with the x-update tasks through an
+   accumulator; otherwise one aggregate over the new state, grouped by coordinate j,
+   returns them as p rows.  The driver turns these into
    z, both residuals and both tolerances (``consensus_from_sums``), applies the stop
    rule and the penalty update.  At most p values reach the driver per pass; rows
    and the N x p state never do.
@@ -28,6 +30,7 @@ from typing import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,22 @@ STATE_SCHEMA = "slot int, block_id int, x array<double>, y array<double>"
 
 LocalUpdate = Callable[[pa.Table, np.ndarray, np.ndarray, float], np.ndarray]
 
+# Up to this many values (N blocks x (2p + 2)) per pass, the cross-block sums ride back
+# with the x-update tasks (one job per pass, a p-sized reduction on the driver as in
+# MLlib's gradient aggregation); above it, a distributed groupBy over coordinates.
+DRIVER_SUM_LIMIT = 20_000_000
+
+
+class VectorSum(AccumulatorParam):
+    """Accumulator of float64 vectors (element-wise sum)."""
+
+    def zero(self, value):
+        return np.zeros_like(value)
+
+    def addInPlace(self, a, b):
+        a += b
+        return a
+
 
 @dataclass
 class ADMMConfig:
@@ -68,8 +87,11 @@ def _list_to_matrix(col: pa.ChunkedArray, p: int) -> np.ndarray:
 
 
 def make_pass_function(local_update: LocalUpdate, p: int, z: np.ndarray, rho: float,
-                       pending: tuple[np.ndarray, float] | None):
-    """The cogroup function of one pass: (payload rows, state row) -> new state row."""
+                       pending: tuple[np.ndarray, float] | None, sums=None):
+    """The cogroup function of one pass: (payload rows, state row) -> new state row.
+
+    With ``sums`` (an accumulator) each block also adds its share of
+    [x + y/rho, x, ||x||^2, ||y + rho x||^2]."""
 
     def run(payload: pa.Table, state: pa.Table) -> pa.Table:
         if state.num_rows == 0 or payload.num_rows == 0:
@@ -84,6 +106,9 @@ def make_pass_function(local_update: LocalUpdate, p: int, z: np.ndarray, rho: fl
             y = y + rho_prev * (x - z_new)
         v = z - y / rho
         x_new = np.asarray(local_update(payload, x, v, rho), dtype=np.float64)
+        if sums is not None:
+            w = y + rho * x_new
+            sums.add(np.concatenate([x_new + y / rho, x_new, [float(x_new @ x_new), float(w @ w)]]))
         return pa.table({
             "slot": pa.array([state.column("slot")[0].as_py()], pa.int32()),
             "block_id": pa.array([state.column("block_id")[0].as_py()], pa.int32()),
@@ -118,14 +143,21 @@ def run_admm(spark: SparkSession, payload: DataFrame, mapping: DataFrame, n_bloc
     pending: tuple[np.ndarray, float] | None = None
     rows = []
     grouped_payload = payload.groupBy("slot")
+    on_driver = n_blocks * (2 * p + 2) <= DRIVER_SUM_LIMIT
     for it in range(cfg.max_iter):
-        fn = make_pass_function(local_update, p, z, rho, pending)
-        # The reliable checkpoint runs the x-update once, writes the N new state rows
-        # to spark.checkpoint.dir and cuts the plan: pass k's plan never nests pass k-1's.
+        acc = spark.sparkContext.accumulator(np.zeros(2 * p + 2), VectorSum()) if on_driver else None
+        fn = make_pass_function(local_update, p, z, rho, pending, acc)
+        # The reliable checkpoint runs the x-update once (accumulator updates count once
+        # per block), writes the N new state rows to spark.checkpoint.dir and cuts the
+        # plan: pass k's plan never nests pass k-1's.
         state = (grouped_payload.cogroup(state.groupBy("slot"))
                  .applyInArrow(fn, STATE_SCHEMA)
                  .checkpoint(eager=True))
-        u_sum, x_sum, x_sq, w_sq = pass_sums(state, rho, p)
+        if on_driver:
+            tot = acc.value
+            u_sum, x_sum, x_sq, w_sq = tot[:p], tot[p:2 * p], float(tot[2 * p]), float(tot[2 * p + 1])
+        else:
+            u_sum, x_sum, x_sq, w_sq = pass_sums(state, rho, p)
         stats: PassStats = consensus_from_sums(u_sum, x_sum, x_sq, w_sq, z, n_blocks, p, cfg.lam, rho, cfg.l1)
         rows.append((it, stats.resid_primal, stats.eps_primal, stats.resid_dual, stats.eps_dual, rho))
         pending = (stats.z, rho)
