@@ -24,6 +24,7 @@ exponentially -- and a lost executor costs at most one pass.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -133,9 +134,28 @@ def pass_sums(state: DataFrame, rho: float, p: int):
     return (pdf["u"].to_numpy(), pdf["sx"].to_numpy(), float(pdf["xx"].sum()), float(pdf["ww"].sum()))
 
 
+@contextmanager
+def loop_conf(spark: SparkSession):
+    """Adaptive execution off for the pass jobs: their only shuffle moves the N state
+    rows onto an existing partitioning, so there is nothing to re-plan, and the
+    per-stage re-optimisation is pure latency when a pass repeats a hundred times."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_admm(spark: SparkSession, payload: DataFrame, mapping: DataFrame, n_blocks: int, p: int,
              local_update: LocalUpdate, cfg: ADMMConfig, x0: np.ndarray | None = None) -> ADMMResult:
     """Run ADMM over a placed payload (see ``operators.blocks.place_blocks``)."""
+    with loop_conf(spark):
+        return _run_admm(spark, payload, mapping, n_blocks, p, local_update, cfg, x0)
+
+
+def _run_admm(spark, payload, mapping, n_blocks, p, local_update, cfg, x0) -> ADMMResult:
     ensure_checkpoint_dir(spark)
     state = init_state(mapping, p, None if x0 is None else list(x0))
     z = np.zeros(p)

@@ -119,25 +119,54 @@ def _ls_update(p: int):
     return update
 
 
-def train_regression(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
-                     l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
-                     early_stop: bool = True) -> LinearModel:
-    """Ridge (L2, penalty lam ||w||^2) or lasso (L1, lam ||w||_1) on
-    sum_blocks 1/(2 n_i) ||X_i w - b_i||^2.  The rows are read once, to build each
-    block's Gram and X^T b; every pass after that solves p x p systems only."""
+@dataclass
+class GramBlocks:
+    """Per-block Gram and X^T b, placed one block per partition and cached."""
+
+    grams: DataFrame
+    mapping: DataFrame
+    n_blocks: int
+    p: int
+
+    def release(self) -> None:
+        self.grams.unpersist()
+        self.mapping.unpersist()
+
+
+def prepare_regression(df: DataFrame, p: int) -> GramBlocks:
+    """Read the rows once: place them, build each block's Gram and X^T b, cache those."""
     spark = df.sparkSession
     kind = _features_spec(df)
     placed, n, mapping = place_blocks(spark, df.select(*_payload_columns(kind)))
     grams = block_gram(placed, p, kind).repartition(n, "slot").sortWithinPartitions("slot").persist()
     grams.count()
     placed.unpersist()
+    return GramBlocks(grams, mapping, n, p)
+
+
+def fit_regression(prep: GramBlocks, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
+                   l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
+                   early_stop: bool = True) -> LinearModel:
     cfg = ADMMConfig(lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
                      primal_only_stop=primal_only_stop, early_stop=early_stop)
-    res = run_admm(spark, grams, mapping, n, p, _ls_update(p), cfg)
-    grams.unpersist()
+    res = run_admm(prep.grams.sparkSession, prep.grams, prep.mapping, prep.n_blocks, prep.p, _ls_update(prep.p), cfg)
     return _model(res, "regression")
 
 
+def train_regression(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
+                     l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
+                     early_stop: bool = True) -> LinearModel:
+    """Ridge (L2, penalty lam ||w||^2) or lasso (L1, lam ||w||_1) on
+    sum_blocks 1/(2 n_i) ||X_i w - b_i||^2.  The rows are read once, to build each
+    block's Gram and X^T b; every pass after that solves p x p systems only."""
+    prep = prepare_regression(df, p)
+    try:
+        return fit_regression(prep, lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
+                              primal_only_stop=primal_only_stop, early_stop=early_stop)
+    finally:
+        prep.release()
+
+
 # ------------------------------------------------------------------ classification
 
 
@@ -250,6 +279,10 @@ def single_lambda(n: int, i: int, minr: float = 0.001, maxr: float = 1.0) -> flo
 
 
 def regularization_path(df: DataFrame, p: int, lambdas: list[float], **kwargs) -> list[LinearModel]:
-    """Fit ridge/lasso for each lambda (largest first).  Each fit re-reads only the
-    cached Grams, never the rows."""
-    return [train_regression(df, p, lam=lam, **kwargs) for lam in lambdas]
+    """Fit ridge/lasso for each lambda (largest first).  The rows are read once; every
+    fit re-reads only the cached Grams."""
+    prep = prepare_regression(df, p)
+    try:
+        return [fit_regression(prep, lam=lam, **kwargs) for lam in lambdas]
+    finally:
+        prep.release()
