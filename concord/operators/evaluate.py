@@ -3,9 +3,9 @@ regression fit (MSE, R^2).
 
 All of it is DataFrame aggregation.  The PR curve needs running sums over scores in
 descending order; instead of one global window (which would put every distinct score
-in one task), distinct scores are range-partitioned, each range is summed, the few
-range totals are prefix-summed, and each range adds its offset: every task handles
-one range.
+in one task), distinct scores are cut into ranges by quantile bounds, each range is
+summed, the few range totals are prefix-summed, and each range adds its offset: every
+window task handles one range.
 """
 
 from __future__ import annotations
@@ -73,9 +73,27 @@ def confusion_by_score(pred: DataFrame, score: str = "score", label: str = "labe
     return pred.groupBy(F.col(score).alias("score")).agg(F.sum(pos).alias("tp"), F.sum(1 - pos).alias("fp"))
 
 
+def score_ranges(conf: DataFrame, n_ranges: int) -> Column:
+    """Range id of each score, highest scores in range 0.
+
+    The id is a fixed function of the score -- the number of range bounds above it --
+    with the R-1 bounds taken once from approximate quantiles of the distinct scores.
+    (A partition id after ``repartitionByRange`` is not: two evaluations of the same
+    plan may sample different bounds, and the totals and running sums below must
+    agree on every score's range.)"""
+    if n_ranges <= 1:
+        return F.lit(0)
+    probs = [k / n_ranges for k in range(1, n_ranges)]
+    bounds = conf.agg(F.percentile_approx("score", probs, 10_000).alias("b")).first()["b"] or []
+    lit_bounds = F.lit(sorted({float(b) for b in bounds})).cast("array<double>")
+    return F.size(F.filter(lit_bounds, lambda b: b > F.col("score").cast("double")))
+
+
 def cumulative_by_score(conf: DataFrame, n_ranges: int = 64) -> DataFrame:
-    """Running totals of tp/fp over scores in descending order, without a global window."""
-    ranged = conf.repartitionByRange(n_ranges, F.col("score").desc()).withColumn("rng", F.spark_partition_id())
+    """Running totals of tp/fp over scores in descending order, without a global window:
+    per-range totals (n_ranges rows) are prefix-summed, each range's rows add their
+    range's offset; the window work is split by range."""
+    ranged = conf.withColumn("rng", score_ranges(conf, n_ranges))
     totals = ranged.groupBy("rng").agg(F.sum("tp").alias("rtp"), F.sum("fp").alias("rfp"))
     w_tot = Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)  # over n_ranges rows
     offsets = totals.select("rng", F.coalesce(F.sum("rtp").over(w_tot), F.lit(0)).alias("otp"),
