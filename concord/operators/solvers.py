@@ -251,3 +251,64 @@ def least_squares_update(gram: np.ndarray, xty: np.ndarray, n: float, v: np.ndar
     H = gram / n
     H[np.diag_indices(p)] += rho
     return np.linalg.solve(H, xty / n + rho * v)
+
+
+# ---------------------------------------------------------------- packed blocks
+#
+# A placed block is stacked once into a few large chunks: labels, a dense row-major
+# matrix or CSR arrays, each as one binary value.  Every pass then ships a handful of
+# big buffers per block instead of one Arrow list entry per row, and numpy reads
+# them without copying.
+
+PACK_SCHEMA = ("slot int, block_id int, n int, label binary, x binary, "
+               "indptr binary, idx binary, val binary")
+CHUNK_BYTES = 64 << 20
+
+
+def pack_chunks(table: pa.Table, kind: str, p: int):
+    """Yield dicts (one per chunk) for the rows of ``table`` (one Arrow batch)."""
+    n = table.num_rows
+    y = labels_of(table)
+    if kind == "dense":
+        X = dense_block(table, "features", p)
+        step = max(1, min(n, CHUNK_BYTES // max(8 * p, 1)))
+        for s in range(0, n, step):
+            e = min(n, s + step)
+            yield {"n": e - s, "label": y[s:e].tobytes(), "x": np.ascontiguousarray(X[s:e]).tobytes(),
+                   "indptr": b"", "idx": b"", "val": b""}
+        return
+    offsets, cols = _list_parts(table.column("indices"))
+    _, vals = _list_parts(table.column("values"))
+    cols = np.asarray(cols, dtype=np.int32)
+    vals = np.asarray(vals, dtype=np.float64)
+    s = 0
+    while s < n:
+        e = s + 1
+        budget = CHUNK_BYTES // 12
+        while e < n and offsets[e + 1] - offsets[s] <= budget:
+            e += 1
+        lo, hi = offsets[s], offsets[e]
+        yield {"n": e - s, "label": y[s:e].tobytes(), "x": b"",
+               "indptr": (offsets[s:e + 1] - lo).astype(np.int64).tobytes(),
+               "idx": cols[lo:hi].tobytes(), "val": vals[lo:hi].tobytes()}
+        s = e
+
+
+def unpack_block(table: pa.Table, kind: str, p: int):
+    """(X, y) of one block from its packed chunks: dense ndarray or CSR."""
+    ns = table.column("n").to_pylist()
+    y = np.concatenate([np.frombuffer(b, dtype=np.float64) for b in table.column("label").to_pylist()]) \
+        if ns else np.zeros(0)
+    if kind == "dense":
+        parts = [np.frombuffer(b, dtype=np.float64).reshape(k, p) for b, k in zip(table.column("x").to_pylist(), ns)]
+        return (np.vstack(parts) if parts else np.zeros((0, p))), y
+    rows, cols, vals, base = [], [], [], 0
+    for k, ip, ix, vv in zip(ns, table.column("indptr").to_pylist(), table.column("idx").to_pylist(),
+                             table.column("val").to_pylist()):
+        indptr = np.frombuffer(ip, dtype=np.int64)
+        rows.append(base + np.repeat(np.arange(k), np.diff(indptr)))
+        cols.append(np.frombuffer(ix, dtype=np.int32).astype(np.int64))
+        vals.append(np.frombuffer(vv, dtype=np.float64))
+        base += k
+    cat = (lambda xs, dt: np.concatenate(xs) if xs else np.zeros(0, dt))
+    return CSR(base, p, cat(rows, np.int64), cat(cols, np.int64), cat(vals, np.float64)), y

@@ -64,6 +64,27 @@ def _block_matrix(table: pa.Table, kind: str, p: int):
     return S.sparse_block(table, p)
 
 
+def pack_blocks(placed: DataFrame, p: int, kind: str, n_blocks: int) -> DataFrame:
+    """Stack each placed block into a few binary chunks (see ``solvers.pack_chunks``),
+    keep them one block per partition, and cache them: the pass jobs' payload."""
+
+    def pack(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = key[0].as_py()
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([batch])
+            block_id = t.column("block_id")[0].as_py()
+            for chunk in S.pack_chunks(t, kind, p):
+                yield pa.RecordBatch.from_pydict({
+                    "slot": pa.array([slot], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
+                    "n": pa.array([chunk["n"]], pa.int32()),
+                    **{c: pa.array([chunk[c]], pa.binary()) for c in ("label", "x", "indptr", "idx", "val")}})
+
+    packed = placed.groupBy("slot").applyInArrow(pack, S.PACK_SCHEMA)
+    return packed.repartition(n_blocks, "slot").sortWithinPartitions("slot").persist()
+
+
 def _payload_columns(kind: str) -> list[str]:
     return ["block_id", "label", "features"] if kind == "dense" else ["block_id", "label", "indices", "values"]
 
@@ -172,8 +193,8 @@ def train_regression(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.
 
 def _lr_lbfgs_update(p: int, kind: str, max_iter: int, history: int, tol: float):
     def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
-        X = _block_matrix(payload, kind, p)
-        ypm = 2.0 * S.labels_of(payload) - 1.0
+        X, y01 = S.unpack_block(payload, kind, p)
+        ypm = 2.0 * y01 - 1.0
         fg = S.with_prox(S.logistic_sum(X, ypm), v, rho)
         return S.lbfgs(fg, x, max_iter=max_iter, history=history, tol=tol)
 
@@ -182,18 +203,18 @@ def _lr_lbfgs_update(p: int, kind: str, max_iter: int, history: int, tol: float)
 
 def _lr_newton_update(p: int, kind: str):
     def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
-        X = _block_matrix(payload, kind, p)
+        X, y01 = S.unpack_block(payload, kind, p)
         if not isinstance(X, np.ndarray):
             X = S.dense_of(X)
-        return S.newton_logistic_mean(X, S.labels_of(payload), v, rho, x)
+        return S.newton_logistic_mean(X, y01, v, rho, x)
 
     return update
 
 
 def _svm_update(p: int, kind: str, cee: float, max_iter: int, history: int, tol: float):
     def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
-        X = _block_matrix(payload, kind, p)
-        ypm = 2.0 * S.labels_of(payload) - 1.0
+        X, y01 = S.unpack_block(payload, kind, p)
+        ypm = 2.0 * y01 - 1.0
         fg = S.with_prox(S.squared_hinge_sum(X, ypm, cee), v, rho)
         return S.lbfgs(fg, x, max_iter=max_iter, history=history, tol=tol)
 
@@ -204,10 +225,14 @@ def _run_rows(df: DataFrame, p: int, update_factory, cfg: ADMMConfig) -> ADMMRes
     spark = df.sparkSession
     kind = _features_spec(df)
     placed, n, mapping = place_blocks(spark, df.select(*_payload_columns(kind)))
+    packed = pack_blocks(placed, p, kind, n)
+    packed.count()
+    placed.unpersist()
     try:
-        return run_admm(spark, placed, mapping, n, p, update_factory(kind), cfg)
+        return run_admm(spark, packed, mapping, n, p, update_factory(kind), cfg)
     finally:
-        placed.unpersist()
+        packed.unpersist()
+        mapping.unpersist()
 
 
 def train_logistic(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
