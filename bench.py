@@ -40,8 +40,12 @@ def main() -> None:
         times[name] = round(time.time() - t0, 3)
         return out
 
-    # warm-up: JVM, Python workers, package shipping
+    # warm-up: JVM, Python workers, package shipping (not timed)
+    import pyarrow as pa
+
     fx.table(spark, sf_dir, "region").count()
+    spark.range(64).groupBy((F.col("id") % 8).alias("k")).applyInArrow(
+        lambda t: pa.table({"n": pa.array([t.num_rows], pa.int64())}), "n long").collect()
 
     def ridge():
         m = train_regression(fx.reg_small(spark, sf_dir), 2, lam=1.0, rho=2.0, max_iter=20)

@@ -59,7 +59,7 @@ def _z_frame(spark: SparkSession, z: list[float], name: str = "z") -> DataFrame:
 def libsvm_text(spark: SparkSession, sf_dir: str, with_bad: bool = False) -> DataFrame:
     """LIBSVM lines made from lineitem: labels -1/+1, 1-based indices, blank and comment
     lines, ragged spacing, rows without features; optionally malformed rows."""
-    li = fx.table(spark, sf_dir, "lineitem")
+    li = fx.spread(fx.table(spark, sf_dir, "lineitem"))
     lab = F.when(fx.planted() > 0, F.lit("+1")).otherwise(F.lit("-1"))
     q = F.round(F.col("l_quantity")).cast("int").cast("string")
     d = F.round(F.col("l_discount") * 100).cast("int")
@@ -85,7 +85,7 @@ def libsvm_text(spark: SparkSession, sf_dir: str, with_bad: bool = False) -> Dat
 
 def dense_points_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled points: ``(label,[q,d,t])``; lines 6-7 in the legacy ``label,q d t`` form."""
-    li = fx.table(spark, sf_dir, "lineitem")
+    li = fx.spread(fx.table(spark, sf_dir, "lineitem"))
     lab = F.when(fx.planted() > 0, F.lit("1.0")).otherwise(F.lit("0.0"))
     q = F.round(F.col("l_quantity")).cast("int").cast("string")
     d = F.round(F.col("l_discount") * 100).cast("int").cast("string")

@@ -108,8 +108,9 @@ def load_libsvm(spark: SparkSession, paths: str | Sequence[str], num_features: i
                 min_partitions: int | None = None) -> tuple[DataFrame, int]:
     """Load LIBSVM files (``binary``: -1 -> 0)."""
     lines = read_lines(spark, paths)
-    if min_partitions and lines.rdd.getNumPartitions() < min_partitions:
-        lines = lines.repartition(min_partitions)
+    want = max(min_partitions or 0, spark.sparkContext.defaultParallelism)
+    if lines.rdd.getNumPartitions() < want:  # small inputs only; split inputs are left alone
+        lines = lines.repartition(want)
     return load_libsvm_lines(lines, num_features=num_features, binary=binary)
 
 
