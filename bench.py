@@ -46,6 +46,8 @@ def main() -> None:
     fx.table(spark, sf_dir, "region").count()
     spark.range(64).groupBy((F.col("id") % 8).alias("k")).applyInArrow(
         lambda t: pa.table({"n": pa.array([t.num_rows], pa.int64())}), "n long").collect()
+    train_regression(fx.reg_small(spark, sf_dir), 2, max_iter=1)  # JIT-compile the placement / pass paths
+    train_logistic(fx.cls_small(spark, sf_dir), 3, max_iter=1)
 
     def ridge():
         m = train_regression(fx.reg_small(spark, sf_dir), 2, lam=1.0, rho=2.0, max_iter=20)
