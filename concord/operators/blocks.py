@@ -57,10 +57,24 @@ def split_hot_blocks(df: DataFrame, max_rows: int) -> DataFrame:
               .drop("parts", "base"))
 
 
-def slot_map(spark: SparkSession, block_ids: DataFrame) -> DataFrame:
+def slot_map(spark: SparkSession, block_ids: DataFrame, check_binary: str | None = None):
     """(block_id, slot, part): ``slot`` is an int whose Spark hash partition, among N
-    partitions, is the block's dense index ``part``.  Built by a tiny Spark job."""
-    present = block_ids.select("block_id").distinct()
+    partitions, is the block's dense index ``part``.  Built by a tiny Spark job.
+
+    Finding the blocks present is one N-row aggregate over the input; with
+    ``check_binary`` (a label column) the same aggregate also counts labels other than
+    0/1, so validation costs no extra scan."""
+    if check_binary:
+        lab = F.col(check_binary)
+        stats = block_ids.groupBy("block_id").agg(
+            F.count_if(lab.isNull() | ~lab.isin(0.0, 1.0)).alias("bad")).persist()
+        bad = stats.agg(F.sum("bad").alias("bad")).first()["bad"] or 0
+        if bad:
+            stats.unpersist()
+            raise ValueError(f"{bad} rows have a label other than 0/1")
+        present = stats.select("block_id")
+    else:
+        present = block_ids.select("block_id").distinct()
     n = present.count()
     if n == 0:
         raise ValueError("no rows to train on")
@@ -74,14 +88,16 @@ def slot_map(spark: SparkSession, block_ids: DataFrame) -> DataFrame:
     return mapping, int(n)
 
 
-def place_blocks(spark: SparkSession, df: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+def place_blocks(spark: SparkSession, df: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+                 check_binary: str | None = None):
     """Hash-partition rows by ``slot`` (one block per partition), sort, persist.
 
     Returns (cached rows, N, mapping).  The rows are moved exactly once here.
     """
     ensure_importable(spark)
-    mapping, n = slot_map(spark, df)
+    mapping, n = slot_map(spark, df, check_binary)
     mapping = mapping.persist()
+    mapping.count()
     placed = (df.join(F.broadcast(mapping.select("block_id", "slot")), "block_id")
                 .repartition(n, "slot")
                 .sortWithinPartitions("slot")

@@ -90,7 +90,8 @@ def _payload_columns(kind: str) -> list[str]:
 
 
 def check_binary_labels(df: DataFrame, label: str = "label") -> None:
-    """Binary-label validation: fail unless every label is 0 or 1 (one aggregate)."""
+    """Binary-label validation: fail unless every label is 0 or 1 (one aggregate).
+    The trainers fold the same count into block discovery (``slot_map``)."""
     bad = df.agg(F.count_if(~F.col(label).isin(0.0, 1.0) | F.col(label).isNull()).alias("bad")).first()["bad"]
     if bad:
         raise ValueError(f"{bad} rows have a label other than 0/1")
@@ -221,10 +222,11 @@ def _svm_update(p: int, kind: str, cee: float, max_iter: int, history: int, tol:
     return update
 
 
-def _run_rows(df: DataFrame, p: int, update_factory, cfg: ADMMConfig) -> ADMMResult:
+def _run_rows(df: DataFrame, p: int, update_factory, cfg: ADMMConfig, validate: bool = True) -> ADMMResult:
     spark = df.sparkSession
     kind = _features_spec(df)
-    placed, n, mapping = place_blocks(spark, df.select(*_payload_columns(kind)))
+    placed, n, mapping = place_blocks(spark, df.select(*_payload_columns(kind)),
+                                      check_binary="label" if validate else None)
     packed = pack_blocks(placed, p, kind, n)
     packed.count()
     placed.unpersist()
@@ -245,8 +247,6 @@ def train_logistic(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0,
     ``solver="lbfgs"``: sum of log-losses per block (sparse or dense rows).
     ``solver="newton"``: mean log-loss per block, Newton steps on a dense block.
     """
-    if validate:
-        check_binary_labels(df)
     cfg = ADMMConfig(lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
                      primal_only_stop=primal_only_stop, early_stop=early_stop)
     if solver == "lbfgs":
@@ -255,7 +255,7 @@ def train_logistic(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0,
         factory = lambda kind: _lr_newton_update(p, kind)
     else:
         raise ValueError(f"unknown solver {solver!r}")
-    res = _run_rows(df, p, factory, cfg)
+    res = _run_rows(df, p, factory, cfg, validate=validate)
     model = _model(res, "logistic")
     model.threshold = 0.5
     return model
@@ -269,7 +269,6 @@ def train_svm(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, cee:
 
     Accepts 0/1 or -1/+1 labels (mapped once to 0/1; -1 -> 0)."""
     df = df.withColumn("label", label_01("label"))
-    check_binary_labels(df)
     cfg = ADMMConfig(lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
                      primal_only_stop=primal_only_stop, early_stop=early_stop)
     res = _run_rows(df, p, lambda kind: _svm_update(p, kind, cee, lbfgs_max_iter, lbfgs_history, lbfgs_tol), cfg)

@@ -102,3 +102,12 @@ def test_regularization_path_is_monotone(spark):
     models = regularization_path(fx.reg_small(spark, SF_SMALL), 2, [5.0, 0.5, 0.05], rho=0.5, max_iter=200)
     norms = [np.abs(m.weights).sum() for m in models]
     assert norms[0] < norms[1] < norms[2]
+
+
+def test_distributed_sums_path_gives_the_same_passes(spark, monkeypatch):
+    """Beyond the driver bound the consensus sums come from a groupBy over coordinates."""
+    import concord.plans.admm as admm
+
+    monkeypatch.setattr(admm, "DRIVER_SUM_LIMIT", 0)
+    m = train_regression(fx.reg_small(spark, SF_CHECK), 2, lam=1.0, rho=2.0, max_iter=5, early_stop=False)
+    np.testing.assert_allclose(m.weights, (0.30918535, -0.20755521), atol=1e-8)
