@@ -55,7 +55,7 @@ def z_update(state: DataFrame, lam: float, rho: float, l1: bool, n_blocks: int |
 def dual_update(state: DataFrame, z: DataFrame, rho: float) -> DataFrame:
     """y_i <- y_i + rho (x_i - z), in long form (block_id, j, y)."""
     long = explode_state(state)
-    return long.join(F.broadcast(z), "j").select(
+    return long.join(z, "j").select(
         "block_id", "j", (F.col("y") + F.lit(rho) * (F.col("x") - F.col("z"))).alias("y"))
 
 
@@ -132,7 +132,7 @@ def rho_update_col(rho, r, eps_r, s, eps_s):
 
 def residuals(state: DataFrame, z: DataFrame, z_prev: DataFrame, rho: float) -> DataFrame:
     """primal sqrt(sum_i ||x_i - z||^2), dual rho sqrt(N) ||z - z_prev|| (one row)."""
-    long = explode_state(state).join(F.broadcast(z), "j")
+    long = explode_state(state).join(z, "j")
     primal = long.agg(F.sqrt(F.sum((F.col("x") - F.col("z")) ** 2)).alias("resid_primal"),
                       F.countDistinct("block_id").alias("n_blocks"))
     dz = z.join(z_prev.withColumnRenamed("z", "z_prev"), "j").agg(

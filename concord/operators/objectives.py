@@ -5,9 +5,11 @@ Each evaluates, for every block i, the augmented subproblem at w = x_i:
     f_i(w) + rho/2 ||w - z + y_i/rho||^2
 
 from rows ``(block_id, label 0/1, features array<double>)`` and a state table
-``(block_id, x, y)``.  The state is N rows and is broadcast; per-row work is a
-built-in dot product and the per-coordinate sums are ``posexplode`` + ``groupBy``
-with map-side partial aggregation.  The trainers do the same arithmetic in numpy
+``(block_id, x, y)``.  The state (N rows of p-vectors) and z (p rows) are joined
+without a broadcast hint: adaptive execution broadcasts them only when their measured
+size is under ``spark.sql.autoBroadcastJoinThreshold`` and shuffle-joins otherwise.
+Per-row work is a built-in dot product and the per-coordinate sums are
+``posexplode`` + ``groupBy`` with map-side partial aggregation.  The trainers do the same arithmetic in numpy
 inside the block's grouped map; these are the relational definitions (and checks).
 """
 
@@ -23,12 +25,12 @@ from concord.operators.consensus import explode_state
 
 def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
     st = state.select("block_id", F.col("x").alias("w"))
-    return rows.join(F.broadcast(st), "block_id")
+    return rows.join(st, "block_id")
 
 
 def _prox_long(state: DataFrame, z: DataFrame, rho: float) -> DataFrame:
     """(block_id, j, d = w_j - z_j + y_j / rho)."""
-    return explode_state(state).join(F.broadcast(z), "j").select(
+    return explode_state(state).join(z, "j").select(
         "block_id", "j", (F.col("x") - F.col("z") + F.col("y") / F.lit(rho)).alias("d"))
 
 

@@ -265,7 +265,7 @@ def q_block_state_join(spark, sf_dir):
     """Rows joined to their block's state (broadcast, N rows): count and sum of x_i . row."""
     rows = fx.reg_small(spark, sf_dir)
     st = state2(spark, sf_dir).select("block_id", "x")
-    j = rows.join(F.broadcast(st), "block_id")
+    j = rows.join(st, "block_id")
     return j.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                      r3(F.sum(V.dense_dot("features", "x"))).alias("sum_margin"))
 
