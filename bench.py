@@ -91,7 +91,9 @@ def main() -> None:
     timed("admm_svm", svm)
     timed("libsvm_load", libsvm_load)
     timed("evaluate", evaluate)
-    timed("mllib_lr", lambda: baseline_logistic(fx.cls_small(spark, sf_dir), reg=1.0 / 600_000).collect())
+    n_rows = fx.table(spark, sf_dir, "lineitem").count()
+    # the twin of the L1 run: lam ||w||_1 on the summed loss is regParam = lam / n, elasticNet = 1
+    timed("mllib_lr", lambda: baseline_logistic(fx.cls_small(spark, sf_dir), reg=1.0 / n_rows, elastic_net=1.0).collect())
     timed("mllib_svm", lambda: baseline_svm(fx.cls_small(spark, sf_dir)).collect())
     timed("mllib_linreg", lambda: baseline_linear_regression(fx.reg_small(spark, sf_dir)).collect())
 
