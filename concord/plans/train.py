@@ -85,6 +85,59 @@ def pack_blocks(placed: DataFrame, p: int, kind: str, n_blocks: int) -> DataFram
     return packed.repartition(n_blocks, "slot").sortWithinPartitions("slot").persist()
 
 
+PACK_BUFFER_BYTES = 256 << 20
+
+
+def place_packed(spark: SparkSession, df: DataFrame, p: int, kind: str, check_binary: str | None = None):
+    """Place classifier rows packed: each input partition stacks its rows per slot into
+    binary chunks (buffering at most ~256 MB), and only those chunks are shuffled, one
+    block per partition, then cached.  Every row crosses the network once, inside a
+    large binary record.  Returns (packed, N, mapping)."""
+    from concord.operators.blocks import slot_map
+    from concord.session import ensure_importable
+
+    ensure_importable(spark)
+    mapping, n = slot_map(spark, df, check_binary)
+    mapping = mapping.persist()
+    mapping.count()
+    rows = df.join(F.broadcast(mapping.select("block_id", "slot")), "block_id")
+
+    def emit(slot: int, tables: list) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(tables)
+        block_id = t.column("block_id")[0].as_py()
+        for chunk in S.pack_chunks(t, kind, p):
+            yield pa.RecordBatch.from_pydict({
+                "slot": pa.array([slot], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
+                "n": pa.array([chunk["n"]], pa.int32()),
+                **{c: pa.array([chunk[c]], pa.binary()) for c in ("label", "x", "indptr", "idx", "val")}})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffered: dict[int, list] = {}
+        size = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([batch])
+            slots = t.column("slot").to_numpy()
+            order = np.argsort(slots, kind="stable")
+            t, slots = t.take(pa.array(order)), slots[order]
+            cuts = np.flatnonzero(np.diff(slots)) + 1
+            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
+                buffered.setdefault(int(slots[a]), []).append(t.slice(int(a), int(b - a)))
+            size += t.nbytes
+            if size > PACK_BUFFER_BYTES:
+                for slot, tables in buffered.items():
+                    yield from emit(slot, tables)
+                buffered, size = {}, 0
+        for slot, tables in buffered.items():
+            yield from emit(slot, tables)
+
+    packed = rows.mapInArrow(pack, S.PACK_SCHEMA)
+    packed = packed.repartition(n, "slot").sortWithinPartitions("slot").persist()
+    packed.count()
+    return packed, n, mapping
+
+
 def _payload_columns(kind: str) -> list[str]:
     return ["block_id", "label", "features"] if kind == "dense" else ["block_id", "label", "indices", "values"]
 
@@ -225,11 +278,8 @@ def _svm_update(p: int, kind: str, cee: float, max_iter: int, history: int, tol:
 def _run_rows(df: DataFrame, p: int, update_factory, cfg: ADMMConfig, validate: bool = True) -> ADMMResult:
     spark = df.sparkSession
     kind = _features_spec(df)
-    placed, n, mapping = place_blocks(spark, df.select(*_payload_columns(kind)),
+    packed, n, mapping = place_packed(spark, df.select(*_payload_columns(kind)), p, kind,
                                       check_binary="label" if validate else None)
-    packed = pack_blocks(placed, p, kind, n)
-    packed.count()
-    placed.unpersist()
     try:
         return run_admm(spark, packed, mapping, n, p, update_factory(kind), cfg)
     finally:
