@@ -6,7 +6,7 @@ ADMM traces are unrolled CTE chains (a fixed pass count, the 2 x 2 solve written
 
 from __future__ import annotations
 
-from concord.plans.queries import CEE, KAPPA, PASSES, RHO, W3, W_LR, Z2, Z2_PREV, Z3
+from concord.plans.queries import CEE, KAPPA, PASSES, PATH_LAMBDAS, RHO, W3, W_LR, Z2, Z2_PREV, Z3
 
 
 def rnd(expr: str, digits: int) -> str:
@@ -195,6 +195,17 @@ def _weights_sql(lam, l1) -> str:
             f"UNION ALL SELECT 1 AS j, {r6('z2')} AS weight FROM {last}")
 
 
+def _path_sql() -> str:
+    parts = []
+    for lam in PATH_LAMBDAS:
+        ctes, _ = _unrolled_ridge(lam, False, False)
+        last = f"z{PASSES}"
+        parts.append(f"""(WITH {ctes}
+SELECT {_d(lam)} AS lambda, 0 AS j, {r6('z1')} AS weight FROM {last}
+UNION ALL SELECT {_d(lam)} AS lambda, 1 AS j, {r6('z2')} AS weight FROM {last})""")
+    return "\nUNION ALL\n".join(f"SELECT * FROM {p}" for p in parts)
+
+
 def _rho_update_sql() -> str:
     ctes, traces = _unrolled_ridge(1.0, False, False)
     union = " UNION ALL ".join(f"SELECT iter, r, ep, s, ed, rho FROM {t}" for t in traces)
@@ -370,6 +381,8 @@ SELECT {r6(f'{_d(1e-3)} * greatest(sqrt(xx), sqrt(n::DOUBLE) * sqrt(zz)) + {_d(1
     sq["admm_lasso_trace"] = _trace_sql(0.1, True)
     sq["admm_lasso_weights"] = _weights_sql(0.1, True)
     sq["admm_ridge_adaptive_trace"] = _trace_sql(1.0, False, adaptive=True)
+    sq["admm_ridge_path"] = _path_sql()
+    sq["admm_ridge_sparse_weights"] = _weights_sql(1.0, False)
     sq["rho_update"] = _rho_update_sql()
     sq["lambda_grid"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM orders),
 p AS (SELECT ln({_d(1.0)} * n) AS lmax, ln({_d(0.001)} * n) AS lmin FROM n)

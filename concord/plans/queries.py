@@ -384,6 +384,30 @@ def q_admm_lasso_weights(spark, sf_dir):
     return _ridge(spark, sf_dir, True, 0.1).weights_frame(spark).select("j", r6("weight").alias("weight"))
 
 
+PATH_LAMBDAS = [10.0, 1.0, 0.1]
+
+
+def q_admm_ridge_path(spark, sf_dir):
+    """Regularisation path: PASSES passes per lambda, every fit on the same cached Grams."""
+    from concord.plans.train import regularization_path
+    models = regularization_path(fx.reg_small(spark, sf_dir), 2, PATH_LAMBDAS, rho=RHO, max_iter=PASSES,
+                                 early_stop=False)
+    rows = [(float(lam), j, float(w)) for lam, m in zip(PATH_LAMBDAS, models) for j, w in enumerate(m.weights)]
+    return spark.createDataFrame(rows, "lambda double, j int, weight double").select(
+        "lambda", "j", r6("weight").alias("weight"))
+
+
+def q_admm_ridge_sparse_weights(spark, sf_dir):
+    """Ridge from sparse rows (zeros not stored): the same answer as the dense rows."""
+    from concord.plans.train import train_regression
+    dense = fx.reg_small(spark, sf_dir)
+    pairs = F.filter(F.transform("features", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0.0)
+    sparse = dense.select("block_id", "label", F.transform(pairs, lambda e: e["i"]).alias("indices"),
+                          F.transform(pairs, lambda e: e["v"]).alias("values"))
+    m = train_regression(sparse, 2, lam=1.0, rho=RHO, max_iter=PASSES, early_stop=False)
+    return m.weights_frame(spark).select("j", r6("weight").alias("weight"))
+
+
 def q_admm_ridge_adaptive_trace(spark, sf_dir):
     return _trace_out(_ridge(spark, sf_dir, False, 1.0, adaptive=True).trace_frame(spark))
 
