@@ -17,7 +17,7 @@ from concord.functions import vectors as V
 from concord.operators import consensus as C
 from concord.operators import evaluate as E
 from concord.operators import objectives as O
-from concord.operators.blocks import block_sizes, init_state, place_blocks
+from concord.operators.blocks import block_sizes, place_blocks
 from concord.plans import fixtures as fx
 from concord.plans.admm import STATE_SCHEMA, make_pass_function
 from concord.sources import libsvm as io

@@ -64,27 +64,6 @@ def _block_matrix(table: pa.Table, kind: str, p: int):
     return S.sparse_block(table, p)
 
 
-def pack_blocks(placed: DataFrame, p: int, kind: str, n_blocks: int) -> DataFrame:
-    """Stack each placed block into a few binary chunks (see ``solvers.pack_chunks``),
-    keep them one block per partition, and cache them: the pass jobs' payload."""
-
-    def pack(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = key[0].as_py()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            t = pa.Table.from_batches([batch])
-            block_id = t.column("block_id")[0].as_py()
-            for chunk in S.pack_chunks(t, kind, p):
-                yield pa.RecordBatch.from_pydict({
-                    "slot": pa.array([slot], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
-                    "n": pa.array([chunk["n"]], pa.int32()),
-                    **{c: pa.array([chunk[c]], pa.binary()) for c in ("label", "x", "indptr", "idx", "val")}})
-
-    packed = placed.groupBy("slot").applyInArrow(pack, S.PACK_SCHEMA)
-    return packed.repartition(n_blocks, "slot").sortWithinPartitions("slot").persist()
-
-
 PACK_BUFFER_BYTES = 256 << 20
 
 

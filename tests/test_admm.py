@@ -43,7 +43,6 @@ def test_lasso_fixed_point_and_exact_zero(spark):
 
 def test_l2_dual_sum_invariant(spark):
     """After any L2 pass, sum_i y_i (after the dual update) = 2 lam z, for any rho."""
-    from pyspark.sql import functions as F
 
     lam, rho = 0.7, 1.3
     from concord.operators.blocks import place_blocks

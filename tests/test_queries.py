@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from conftest import ROOT, SF_CHECK, SF_SMALL
+from conftest import ROOT, SF_CHECK
 
 sys.path.insert(0, os.path.join(ROOT, "scripts"))
 
