@@ -46,7 +46,7 @@ LocalUpdate = Callable[[pa.Table, np.ndarray, np.ndarray, float], np.ndarray]
 # Up to this many values (N blocks x (2p + 2)) per pass, the cross-block sums ride back
 # with the x-update tasks (one job per pass, a p-sized reduction on the driver as in
 # MLlib's gradient aggregation); above it, a distributed groupBy over coordinates.
-DRIVER_SUM_LIMIT = 20_000_000
+DRIVER_SUM_LIMIT = 2_000_000
 
 
 class VectorSum(AccumulatorParam):
