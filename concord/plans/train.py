@@ -187,10 +187,20 @@ class GramBlocks:
         self.mapping.unpersist()
 
 
-def prepare_regression(df: DataFrame, p: int) -> GramBlocks:
+def _bounded_blocks(df: DataFrame, max_block_rows: int | None) -> DataFrame:
+    """Split any block above ``max_block_rows`` into hashed sub-blocks (no row dropped),
+    so a hot key cannot make one block -- one Python task -- hold a third of the data."""
+    if not max_block_rows:
+        return df
+    from concord.operators.blocks import split_hot_blocks
+    return split_hot_blocks(df, max_block_rows)
+
+
+def prepare_regression(df: DataFrame, p: int, max_block_rows: int | None = None) -> GramBlocks:
     """Read the rows once: place them, build each block's Gram and X^T b, cache those."""
     spark = df.sparkSession
     kind = _features_spec(df)
+    df = _bounded_blocks(df, max_block_rows)
     placed, n, mapping = place_blocks(spark, df.select(*_payload_columns(kind)))
     grams = block_gram(placed, p, kind).repartition(n, "slot").sortWithinPartitions("slot").persist()
     grams.count()
@@ -209,11 +219,11 @@ def fit_regression(prep: GramBlocks, *, lam: float = 1.0, rho: float = 2.0, max_
 
 def train_regression(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
                      l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
-                     early_stop: bool = True) -> LinearModel:
+                     early_stop: bool = True, max_block_rows: int | None = None) -> LinearModel:
     """Ridge (L2, penalty lam ||w||^2) or lasso (L1, lam ||w||_1) on
     sum_blocks 1/(2 n_i) ||X_i w - b_i||^2.  The rows are read once, to build each
     block's Gram and X^T b; every pass after that solves p x p systems only."""
-    prep = prepare_regression(df, p)
+    prep = prepare_regression(df, p, max_block_rows)
     try:
         return fit_regression(prep, lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
                               primal_only_stop=primal_only_stop, early_stop=early_stop)
@@ -254,9 +264,11 @@ def _svm_update(p: int, kind: str, cee: float, max_iter: int, history: int, tol:
     return update
 
 
-def _run_rows(df: DataFrame, p: int, update_factory, cfg: ADMMConfig, validate: bool = True) -> ADMMResult:
+def _run_rows(df: DataFrame, p: int, update_factory, cfg: ADMMConfig, validate: bool = True,
+              max_block_rows: int | None = None) -> ADMMResult:
     spark = df.sparkSession
     kind = _features_spec(df)
+    df = _bounded_blocks(df, max_block_rows)
     packed, n, mapping = place_packed(spark, df.select(*_payload_columns(kind)), p, kind,
                                       check_binary="label" if validate else None)
     try:
@@ -270,7 +282,7 @@ def train_logistic(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0,
                    l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
                    solver: str = "lbfgs", lbfgs_max_iter: int = 10, lbfgs_history: int = 5,
                    lbfgs_tol: float = 1e-4, early_stop: bool = True,
-                   validate: bool = True) -> LinearModel:
+                   validate: bool = True, max_block_rows: int | None = None) -> LinearModel:
     """Logistic regression, labels 0/1.
 
     ``solver="lbfgs"``: sum of log-losses per block (sparse or dense rows).
@@ -284,7 +296,7 @@ def train_logistic(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0,
         factory = lambda kind: _lr_newton_update(p, kind)
     else:
         raise ValueError(f"unknown solver {solver!r}")
-    res = _run_rows(df, p, factory, cfg, validate=validate)
+    res = _run_rows(df, p, factory, cfg, validate=validate, max_block_rows=max_block_rows)
     model = _model(res, "logistic")
     model.threshold = 0.5
     return model
@@ -293,14 +305,15 @@ def train_logistic(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0,
 def train_svm(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, cee: float = 1.0,
               max_iter: int = 100, l1: bool = False, adaptive_rho: bool = False,
               primal_only_stop: bool = False, lbfgs_max_iter: int = 5, lbfgs_history: int = 10,
-              lbfgs_tol: float = 1e-4, early_stop: bool = True) -> LinearModel:
+              lbfgs_tol: float = 1e-4, early_stop: bool = True, max_block_rows: int | None = None) -> LinearModel:
     """Linear SVM with the squared hinge, C * sum max(1 - y w.x, 0)^2 + lam R(w).
 
     Accepts 0/1 or -1/+1 labels (mapped once to 0/1; -1 -> 0)."""
     df = df.withColumn("label", label_01("label"))
     cfg = ADMMConfig(lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
                      primal_only_stop=primal_only_stop, early_stop=early_stop)
-    res = _run_rows(df, p, lambda kind: _svm_update(p, kind, cee, lbfgs_max_iter, lbfgs_history, lbfgs_tol), cfg)
+    res = _run_rows(df, p, lambda kind: _svm_update(p, kind, cee, lbfgs_max_iter, lbfgs_history, lbfgs_tol), cfg,
+                    max_block_rows=max_block_rows)
     model = _model(res, "svm")
     model.threshold = 0.0
     return model

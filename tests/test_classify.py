@@ -93,3 +93,16 @@ def test_packed_layout_does_not_change_the_answer(spark, data):
                        early_stop=False).weights
     np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
     np.testing.assert_allclose(a, c, rtol=1e-9, atol=1e-12)
+
+
+def test_hot_block_is_split_and_optimum_kept(spark, data):
+    """One block holding most rows is split before placement; the sum-loss optimum is unchanged."""
+    from pyspark.sql import functions as F
+
+    df, X, y, _ = data
+    hot = df.withColumn("block_id", F.when(F.col("l_linenumber") <= 4, F.lit(0))
+                        .otherwise(F.pmod("l_orderkey", F.lit(3)) + 1).cast("int"))
+    m = train_logistic(hot, 3, lam=1.0, rho=1.0, max_iter=300, lbfgs_max_iter=50, lbfgs_tol=1e-10,
+                       max_block_rows=1500)
+    assert m.n_blocks > 4
+    np.testing.assert_allclose(m.weights, logistic_sum_l2(X, y, 1.0), rtol=2e-3, atol=2e-3)
