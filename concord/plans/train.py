@@ -196,15 +196,100 @@ def _bounded_blocks(df: DataFrame, max_block_rows: int | None) -> DataFrame:
     return split_hot_blocks(df, max_block_rows)
 
 
+PARTIAL_SCHEMA = "slot int, block_id int, n long, gram binary, xty binary, x binary, label binary"
+
+
+def _dense_rows(t: pa.Table, kind: str, p: int) -> np.ndarray:
+    X = _block_matrix(t, kind, p)
+    return X if isinstance(X, np.ndarray) else S.dense_of(X)
+
+
+def partial_grams(rows: DataFrame, p: int, kind: str) -> DataFrame:
+    """Map side: per input partition and slot, X^T X and X^T b of the rows seen (when the
+    group has more than p rows), else the raw rows -- whichever is smaller.  Buffers at
+    most ~256 MB per task."""
+
+    def emit(slot: int, tables: list) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(tables)
+        X, b = _dense_rows(t, kind, p), S.labels_of(t)
+        block_id = t.column("block_id")[0].as_py()
+        if t.num_rows > p:
+            rec = {"gram": (X.T @ X).tobytes(), "xty": (X.T @ b).tobytes(), "x": b"", "label": b""}
+        else:
+            rec = {"gram": b"", "xty": b"", "x": np.ascontiguousarray(X).tobytes(), "label": b.tobytes()}
+        yield pa.RecordBatch.from_pydict({
+            "slot": pa.array([slot], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
+            "n": pa.array([t.num_rows], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in rec.items()}})
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffered: dict[int, list] = {}
+        size = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([batch])
+            slots = t.column("slot").to_numpy()
+            order = np.argsort(slots, kind="stable")
+            t, slots = t.take(pa.array(order)), slots[order]
+            cuts = np.flatnonzero(np.diff(slots)) + 1
+            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
+                buffered.setdefault(int(slots[a]), []).append(t.slice(int(a), int(b - a)))
+            size += t.nbytes
+            if size > PACK_BUFFER_BYTES:
+                for slot, tables in buffered.items():
+                    yield from emit(slot, tables)
+                buffered, size = {}, 0
+        for slot, tables in buffered.items():
+            yield from emit(slot, tables)
+
+    return rows.mapInArrow(part, PARTIAL_SCHEMA)
+
+
+def finish_grams(partials: DataFrame, p: int) -> DataFrame:
+    """Reduce side: one block's partial Grams summed, raw rows folded in."""
+
+    def finish(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        G, q, n, block_id = np.zeros((p, p)), np.zeros(p), 0, None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for k, g, xy, x, lab, bid in zip(t.column("n").to_pylist(), t.column("gram").to_pylist(),
+                                             t.column("xty").to_pylist(), t.column("x").to_pylist(),
+                                             t.column("label").to_pylist(), t.column("block_id").to_pylist()):
+                block_id = bid
+                n += k
+                if g:
+                    G += np.frombuffer(g, dtype=np.float64).reshape(p, p)
+                    q += np.frombuffer(xy, dtype=np.float64)
+                else:
+                    X = np.frombuffer(x, dtype=np.float64).reshape(k, p)
+                    b = np.frombuffer(lab, dtype=np.float64)
+                    G += X.T @ X
+                    q += X.T @ b
+        yield pa.RecordBatch.from_pydict({
+            "slot": pa.array([key[0].as_py()], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
+            "n": pa.array([n], pa.int64()), "gram": pa.array([G.ravel().tolist()], pa.list_(pa.float64())),
+            "xty": pa.array([q.tolist()], pa.list_(pa.float64()))})
+
+    return partials.groupBy("slot").applyInArrow(finish, GRAM_SCHEMA)
+
+
 def prepare_regression(df: DataFrame, p: int, max_block_rows: int | None = None) -> GramBlocks:
-    """Read the rows once: place them, build each block's Gram and X^T b, cache those."""
+    """Read the rows once: per-partition partial Grams are the only thing shuffled; each
+    block's X^T X and X^T b are summed and cached one block per partition."""
+    from concord.operators.blocks import slot_map
+    from concord.session import ensure_importable
+
     spark = df.sparkSession
+    ensure_importable(spark)
     kind = _features_spec(df)
-    df = _bounded_blocks(df, max_block_rows)
-    placed, n, mapping = place_blocks(spark, df.select(*_payload_columns(kind)))
-    grams = block_gram(placed, p, kind).repartition(n, "slot").sortWithinPartitions("slot").persist()
+    df = _bounded_blocks(df, max_block_rows).select(*_payload_columns(kind))
+    mapping, n = slot_map(spark, df)
+    mapping = mapping.persist()
+    mapping.count()
+    rows = df.join(F.broadcast(mapping.select("block_id", "slot")), "block_id")
+    grams = finish_grams(partial_grams(rows, p, kind), p)
+    grams = grams.repartition(n, "slot").sortWithinPartitions("slot").persist()
     grams.count()
-    placed.unpersist()
     return GramBlocks(grams, mapping, n, p)
 
 
