@@ -67,6 +67,30 @@ def _block_matrix(table: pa.Table, kind: str, p: int):
 PACK_BUFFER_BYTES = 256 << 20
 
 
+def per_slot(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
+    """Group one input partition's rows by ``slot`` and hand each group to ``emit``,
+    flushing whenever ~256 MB are buffered (memory stays bounded on skewed input)."""
+    buffered: dict[int, list] = {}
+    size = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        t = pa.Table.from_batches([batch])
+        slots = t.column("slot").to_numpy()
+        order = np.argsort(slots, kind="stable")
+        t, slots = t.take(pa.array(order)), slots[order]
+        cuts = np.flatnonzero(np.diff(slots)) + 1
+        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
+            buffered.setdefault(int(slots[a]), []).append(t.slice(int(a), int(b - a)))
+        size += t.nbytes
+        if size > PACK_BUFFER_BYTES:
+            for slot, tables in buffered.items():
+                yield from emit(slot, tables)
+            buffered, size = {}, 0
+    for slot, tables in buffered.items():
+        yield from emit(slot, tables)
+
+
 def place_packed(spark: SparkSession, df: DataFrame, p: int, kind: str, check_binary: str | None = None):
     """Place classifier rows packed: each input partition stacks its rows per slot into
     binary chunks (buffering at most ~256 MB), and only those chunks are shuffled, one
@@ -91,25 +115,7 @@ def place_packed(spark: SparkSession, df: DataFrame, p: int, kind: str, check_bi
                 **{c: pa.array([chunk[c]], pa.binary()) for c in ("label", "x", "indptr", "idx", "val")}})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffered: dict[int, list] = {}
-        size = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            t = pa.Table.from_batches([batch])
-            slots = t.column("slot").to_numpy()
-            order = np.argsort(slots, kind="stable")
-            t, slots = t.take(pa.array(order)), slots[order]
-            cuts = np.flatnonzero(np.diff(slots)) + 1
-            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
-                buffered.setdefault(int(slots[a]), []).append(t.slice(int(a), int(b - a)))
-            size += t.nbytes
-            if size > PACK_BUFFER_BYTES:
-                for slot, tables in buffered.items():
-                    yield from emit(slot, tables)
-                buffered, size = {}, 0
-        for slot, tables in buffered.items():
-            yield from emit(slot, tables)
+        yield from per_slot(batches, emit)
 
     packed = rows.mapInArrow(pack, S.PACK_SCHEMA)
     packed = packed.repartition(n, "slot").sortWithinPartitions("slot").persist()
@@ -222,25 +228,7 @@ def partial_grams(rows: DataFrame, p: int, kind: str) -> DataFrame:
             "n": pa.array([t.num_rows], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in rec.items()}})
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffered: dict[int, list] = {}
-        size = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            t = pa.Table.from_batches([batch])
-            slots = t.column("slot").to_numpy()
-            order = np.argsort(slots, kind="stable")
-            t, slots = t.take(pa.array(order)), slots[order]
-            cuts = np.flatnonzero(np.diff(slots)) + 1
-            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
-                buffered.setdefault(int(slots[a]), []).append(t.slice(int(a), int(b - a)))
-            size += t.nbytes
-            if size > PACK_BUFFER_BYTES:
-                for slot, tables in buffered.items():
-                    yield from emit(slot, tables)
-                buffered, size = {}, 0
-        for slot, tables in buffered.items():
-            yield from emit(slot, tables)
+        yield from per_slot(batches, emit)
 
     return rows.mapInArrow(part, PARTIAL_SCHEMA)
 
