@@ -1 +1,39 @@
-"""concord: consensus (ADMM) training of linear models on Spark DataFrames."""
+"""concord: consensus (ADMM) training of linear models on Spark DataFrames.
+
+    from concord import load_libsvm, train_logistic, predict, area_under_pr
+    rows, d = load_libsvm(spark, "hdfs:///data/train.libsvm")
+    model = train_logistic(assign_blocks(rows, 64), d, lam=1.0, rho=2.0, l1=True)
+    auc_pr = area_under_pr(predict(test, model.weights, "logistic", indices="indices", values="values"))
+"""
+
+from concord.operators.blocks import assign_blocks, block_sizes, split_hot_blocks
+from concord.operators.evaluate import accuracy, area_under_pr, pr_curve, predict, regression_metrics
+from concord.plans.train import (
+    LinearModel,
+    check_binary_labels,
+    fit_regression,
+    lambda_grid,
+    prepare_regression,
+    regularization_path,
+    single_lambda,
+    train_logistic,
+    train_regression,
+    train_svm,
+)
+from concord.sources.libsvm import (
+    hash_split,
+    load_data,
+    load_datasets,
+    load_dense_points,
+    load_libsvm,
+    load_libsvm_builtin,
+    load_libsvm_lines,
+)
+
+__all__ = [
+    "LinearModel", "accuracy", "area_under_pr", "assign_blocks", "block_sizes", "check_binary_labels",
+    "fit_regression", "hash_split", "lambda_grid", "load_data", "load_datasets", "load_dense_points",
+    "load_libsvm", "load_libsvm_builtin", "load_libsvm_lines", "pr_curve", "predict", "prepare_regression",
+    "regression_metrics", "regularization_path", "single_lambda", "split_hot_blocks", "train_logistic",
+    "train_regression", "train_svm",
+]
