@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import read_table
+from concord.llm.embedding_dedup import ORACLE as EMBEDDING_SQL
+from concord.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 
 #: rules of op4: verdict, host, path
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -23,6 +25,14 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the counts of its line chunks and the md5 of what is kept."""
+    from concord.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.withColumn("kept_md5", F.md5("text")).drop("text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learns from rows that are not held out."""
     from concord.llm.language_id import held_out, predict, train
@@ -40,6 +50,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    from concord.llm.edit_fingerprint import fingerprint_with_edits
+
+    return fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label."""
+    from concord.llm.embedding_dedup import link_vectors
+
+    return link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of ids and of the decoded text of every document."""
     from concord.llm.bpe import encode
@@ -61,10 +85,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents")).drop("row", "mask")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_url_filter, op7_bpe_round_trip, op8_best_fit_packing,
-                                   op9_secret_scan)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and near-duplicate component of every document."""
+    from concord.llm.ngram_join import jaccard_groups
+
+    return jaccard_groups(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_language_id, op4_url_filter, op5_edit_fingerprints, op6_embedding_dedup,
+                                   op7_bpe_round_trip, op8_best_fit_packing, op9_secret_scan, op10_ngram_jaccard)}
 
 ORACLE_SQL = {
+    "op1_line_dedup": LINE_DEDUP_SQL,
+    "op6_embedding_dedup": EMBEDDING_SQL,
     "op4_url_filter": r"""
 WITH parts AS (
   SELECT page_id,
