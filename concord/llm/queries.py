@@ -33,6 +33,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("kept_md5", F.md5("text")).drop("text")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier string of 100 bytes."""
+    from concord.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), emit="digest")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learns from rows that are not held out."""
     from concord.llm.language_id import held_out, predict, train
@@ -92,7 +99,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_language_id, op4_url_filter, op5_edit_fingerprints, op6_embedding_dedup,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_language_id, op4_url_filter, op5_edit_fingerprints, op6_embedding_dedup,
                                    op7_bpe_round_trip, op8_best_fit_packing, op9_secret_scan, op10_ngram_jaccard)}
 
 ORACLE_SQL = {
