@@ -193,35 +193,37 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_steps
     fill = [int(sum(lengths[b])) for b in rest]
     alive = set(range(len(rest)))
     size = lengths.tolist()
-    steps = 0
-    for a in range(len(rest)):
-        moved = True
-        while rest[a] and moved and steps < max_steps:
-            moved = False
-            steps += 1
-            others = sorted((b for b in alive if b != a and fill[b] < capacity and fill[b] >= fill[a]),
-                            key=lambda b: capacity - fill[b])
-            for b in others:
-                step = _step(rest[a], rest[b], size, fill[a], capacity - fill[b])
-                if step:
-                    out, back = step
-                    for i in out:
-                        rest[a].remove(i)
-                    for i in back:
-                        rest[b].remove(i)
-                    rest[a] += back
-                    rest[b] += out
-                    gain = sum(size[i] for i in out) - sum(size[i] for i in back)
-                    fill[a] -= gain
-                    fill[b] += gain
-                    moved = True
-                    break
-        if not rest[a]:
-            alive.discard(a)
+    steps, changed = 0, True
+    while changed and steps < max_steps:
+        changed = False
+        for a in sorted(alive, key=lambda b: fill[b]):
+            moved = True
+            while rest[a] and moved and steps < max_steps:
+                moved = False
+                steps += 1
+                others = sorted((b for b in alive if b != a and fill[b] < capacity and fill[b] >= fill[a]),
+                                key=lambda b: capacity - fill[b])
+                for b in others:
+                    step = _step(rest[a], rest[b], size, capacity - fill[b])
+                    if step:
+                        out, back = step
+                        for i in out:
+                            rest[a].remove(i)
+                        for i in back:
+                            rest[b].remove(i)
+                        rest[a] += back
+                        rest[b] += out
+                        gain = sum(size[i] for i in out) - sum(size[i] for i in back)
+                        fill[a] -= gain
+                        fill[b] += gain
+                        moved = changed = True
+                        break
+            if not rest[a]:
+                alive.discard(a)
     return full + [rest[b] for b in sorted(alive)]
 
 
-def _step(a: list[int], b: list[int], size: list[int], fill_a: int, room: int) -> tuple[list[int], list[int]] | None:
+def _step(a: list[int], b: list[int], size: list[int], room: int) -> tuple[list[int], list[int]] | None:
     """The exchange that fills most of ``room``: items out of a, items back from b."""
     best, found = 0, None
     for i in a:

@@ -24,24 +24,24 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents whose text fits a learned language; texts without letters, and texts far
     outside the calibrated cross-entropy of their best language, go.  The label of a
     document is not changed."""
-    return predict(docs, train(docs)).where("not rejected").select(docs.columns)
+    return predict(docs, train(docs)).where("not rejected").select(own_columns(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of several lines go from the texts, and documents of which nothing
     is left go."""
     out = dedup_lines(docs).where("n_removed_lines < n_lines or text <> ''")
-    return resized(out.select(docs.columns), docs)
+    return resized(out.select(own_columns(docs)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
-    return drop_near_duplicates(docs).select(docs.columns)
+    return drop_near_duplicates(docs).select(own_columns(docs))
 
 
 def mask_credentials(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    return resized(mask_secrets(docs).select(docs.columns), docs)
+    return resized(mask_secrets(docs).select(own_columns(docs)), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
+def own_columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def resized(df: DataFrame, like: DataFrame) -> DataFrame:
     """``n_chars`` set to the length of the text as it is now."""
     return df.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType)) if "n_chars" in like.columns else df
