@@ -89,46 +89,49 @@ def collection_order(data: np.ndarray, start: np.ndarray, length: np.ndarray, de
         front_sym = main_sym[front]
         keep = front_sym != 0
         front, front_sym, front_id = front[keep], front_sym[keep], main_id[front[keep]]
-        side_id = np.zeros(0, np.int32)
+        # side entries: main entries before each << 32 | id, and the symbol before each
+        side = np.zeros(0, np.int64)
         side_sym = np.zeros(0, np.uint8)
-        side_at = np.zeros(0, np.int32)  # main entries before each side entry
-        newest = np.zeros(0, bool)
+        newest = np.zeros(0, np.int64)  # places in the side file of the last round's suffixes
         for r in range(min(COLUMNS, rounds - done)):
-            # all suffixes whose extension belongs to the side file, in order
-            place = np.arange(len(side_at)) + np.searchsorted(front, side_at, side="left")
-            size = len(front) + len(side_at)
-            is_front = np.ones(size, bool)
-            is_front[place] = False
-            q_sym = _insert(front_sym, place, is_front, side_sym)
-            q_new = _insert(np.full(len(front), r == 0), place, is_front, newest)
-            live = np.flatnonzero(q_sym)
-            by_symbol = live[np.argsort(q_sym[live], kind="stable")]
-            fresh = q_new[by_symbol]
-            src = by_symbol[fresh]
-            # only suffixes of the last round get a new extension
-            q_at = _insert(front, place, is_front, side_at)[src]
-            q_id = _insert(front_id, place, is_front, side_id)[src]
-            c = q_sym[src]
+            # all suffixes whose extension belongs to the side file, in order; of these only
+            # the last round's get a new extension
+            if r == 0:
+                by_symbol = np.argsort(front_sym, kind="stable")
+                fresh = np.ones(len(front), bool)
+                q_at, q_id, c = front[by_symbol].astype(np.int64), front_id[by_symbol], front_sym[by_symbol]
+            else:
+                place = np.arange(len(side)) + np.searchsorted(front, side >> 32, side="left")
+                q_sym = np.empty(len(front) + len(side), np.uint8)
+                is_front = np.ones(len(q_sym), bool)
+                is_front[place] = False
+                q_sym[place] = side_sym
+                q_sym[is_front] = front_sym
+                own = np.full(len(q_sym), -1, np.int32)
+                own[place[newest]] = newest
+                by_symbol = np.argsort(q_sym, kind="stable")[len(q_sym) - np.count_nonzero(q_sym):]
+                own = own[by_symbol]
+                fresh = own >= 0
+                src = own[fresh]
+                q_at, q_id, c = side[src] >> 32, side[src] & 0xFFFFFFFF, side_sym[src]
             block = q_at >> BLOCK_BITS
             tail = q_at & ((1 << BLOCK_BITS) - 1)
             ahead = np.cumsum(tail)
             near = np.arange(int(ahead[-1]) if len(ahead) else 0) + np.repeat((block << BLOCK_BITS) - ahead + tail, tail)
-            hits = np.concatenate([[0], np.cumsum(rest[near] == np.repeat(c, tail))])
+            hits = np.concatenate([[0], np.cumsum(rest[near] == np.repeat(c, tail), dtype=np.int32)])
             rank = before[block, c] + hits[ahead] - hits[ahead - tail]
-            new_id = q_id + 1
+            new_id = q_id.astype(np.int64) + 1
             s, j = new_id >> ROOM_BITS, new_id & (ROOM - 1)
+            newest = np.flatnonzero(fresh)
             stay = ~fresh
-            at = np.flatnonzero(fresh)
-            side_at = _insert(side_at, at, stay, smaller[c] + rank)
-            side_sym = _insert(side_sym, at, stay, np.where(length[s] > j, sym[np.maximum(end[s] - j - 1, 0)], 0))
-            side_id = _insert(side_id, at, stay, new_id)
-            newest = fresh
+            side = _insert(side, newest, stay, ((smaller[c] + rank) << 32) | new_id)
+            side_sym = _insert(side_sym, newest, stay, np.where(length[s] > j, sym[np.maximum(end[s] - j - 1, 0)], 0))
         done += min(COLUMNS, rounds - done)
         # one sequential merge of the side file into the main file
-        at = side_at + np.arange(len(side_at))
+        at = (side >> 32) + np.arange(len(side))
         stay = np.ones(n + len(at), bool)
         stay[at] = False
-        main_id = _insert(main_id, at, stay, side_id)
+        main_id = _insert(main_id, at, stay, side & 0xFFFFFFFF)
         main_sym = _insert(main_sym, at, stay, side_sym)
         prefix = _insert(prefix, at, stay, 0)
         near_new = ~stay

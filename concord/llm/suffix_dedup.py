@@ -276,13 +276,13 @@ def _repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         raw = zstandard.ZstdDecompressor().decompress(body)
         length = strings[own] + WINDOW - 1
         at = np.cumsum(length) - length
-        for s, o, n, wanted, g in zip(own.tolist(), at.tolist(), length.tolist(), many[own].tolist(), group[own].tolist()):
-            if wanted:
-                text = raw[o:o + n]
-                k = content.setdefault((g, text), len(texts))
-                if k == len(texts):
-                    texts.append(text)
-                which[s] = k
+        pick = many[own]
+        for s, o, n, g in zip(own[pick].tolist(), at[pick].tolist(), length[pick].tolist(), group[own[pick]].tolist()):
+            text = raw[o:o + n]
+            k = content.setdefault((g, text), len(texts))
+            if k == len(texts):
+                texts.append(text)
+            which[s] = k
     seen = np.flatnonzero(which >= 0)
     seen = seen[np.lexsort((value[seen], which[seen]))]
     lead = np.concatenate([[True], which[seen][1:] != which[seen][:-1]]) if len(seen) else np.zeros(0, bool)
