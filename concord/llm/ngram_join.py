@@ -34,12 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.bpe import pack, unpack
 from concord.llm.common import connected_components, discard, materialise, prepare, shuffle_parts, text_slices
 
 SLICE_BYTES = 1 << 19
 HASH_BITS = 48
 BAND_RATIO = 1.5
 COMMON = 64
+KEY_BYTES = 6  # of a key are sent to its partition; equal ones by chance are found out on verification
 PIVOT_ROUNDS = 2
 SEED = 7_919
 
@@ -169,14 +171,14 @@ def sketch_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     return (value << _U(6)) | np.repeat(band, parts), np.repeat(owner, parts)
 
 
-FOUND = "doc_id long, n long, sid long, key long, size long, band int"
+FOUND = "doc_id long, text_hash long, n long, sid long, key long, size long, band int"
 
 
 def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
     """One table of two kinds of rows: (doc_id, n, sid) per document, and (key, sid, size,
     band) for every part value that two sets share at least."""
-    schema = pa.schema([("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
-                        ("sids", pa.binary()), ("keys", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())),
+                        ("sizes", pa.list_(pa.int64())), ("sids", pa.binary()), ("keys", pa.binary())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task send their keys once
@@ -186,23 +188,24 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
         def flush():
             keys = np.concatenate([k for k, _ in held])
             sids = np.concatenate([s for _, s in held])
-            to = (keys >> _U(6)) % _U(parts)
+            to = (keys >> _U(8 * KEY_BYTES)) % _U(parts)  # bits that are not sent
             order = np.argsort(to, kind="stable")
             keys, sids = keys[order], sids[order]
             ends = np.cumsum(np.bincount(to.astype(np.int64), minlength=parts))
             for p in range(parts):
                 lo = ends[p - 1] if p else 0
                 if ends[p] > lo:
-                    yield pa.RecordBatch.from_pylist([{"part": p, "sids": sids[lo:ends[p]].tobytes(),
-                                                       "keys": keys[lo:ends[p]].tobytes()}], schema=schema)
+                    by = np.argsort(sids[lo:ends[p]], kind="stable")  # equal sids together, for compression
+                    yield pa.RecordBatch.from_pylist([{"part": p, "sids": pack(sids[lo:ends[p]][by]),
+                                                       "keys": _cut_bytes(keys[lo:ends[p]][by], KEY_BYTES)}], schema=schema)
 
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(part.column("text").to_pylist(), n)
                 sids = [set_id(s) for s in sets]
                 ids = part.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_pylist([{"part": at % parts, "docs": ids, "sizes": [len(s) for s in sets],
-                                                   "sids": np.array(sids, np.int64).tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"part": at % parts, "docs": ids, "hashes": part.column("text_hash").to_pylist(), "sizes": [len(s) for s in sets],
+                                                   "sids": pack(np.array(sids, np.int64))}], schema=schema)
                 at += 1
                 fresh = []
                 for k, (doc, sid) in enumerate(zip(ids, sids)):
@@ -230,11 +233,11 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
 
         for batch in batches:
             for r in batch.to_pylist():
-                own = np.frombuffer(r["sids"], np.int64)
+                own = unpack(r["sids"], np.int64)
                 if r["keys"] is None:
-                    yield rows(len(own), doc_id=r["docs"], n=r["sizes"], sid=own)
+                    yield rows(len(own), doc_id=r["docs"], text_hash=r["hashes"], n=r["sizes"], sid=own)
                 else:
-                    keys.append(np.frombuffer(r["keys"], np.uint64))
+                    keys.append(_from_bytes(r["keys"], KEY_BYTES) | _U(r["part"] << 8 * KEY_BYTES))
                     sids.append(own)
         if not keys:
             return
@@ -252,64 +255,63 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
             yield rows(len(k), key=k.view(np.int64), sid=sid[lo:lo + 100_000], size=size[lo:lo + 100_000],
                        band=(k & _U(63)).astype(np.int32))
 
-    return (src.mapInArrow(sketch, "part int, docs array<long>, sizes array<long>, sids binary, keys binary")
+    return (src.mapInArrow(sketch, "part int, docs array<long>, hashes array<long>, sizes array<long>, sids binary, keys binary")
             .repartitionById(parts, F.col("part")).mapInArrow(share, FOUND))
 
 
-def _sets_of(src: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(sid, hashes) of the wanted sets; texts are moved compressed."""
+def _texts_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, body) of the wanted sets: one text of each, compressed (a third of its set)."""
 
     def squeeze(batches):
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())],
-                names=["doc_id", "body"])
+                [batch.column(0), batch.column(2),
+                 pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())],
+                names=["doc_id", "text_hash", "body"])
 
-    def cut(batches):
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part in text_slices(batch, "body", SLICE_BYTES // 2):
-                texts = [z.decompress(b).decode("utf-8", "surrogatepass") for b in part.column("body").to_pylist()]
-                sets = shingle_sets(texts, n)
-                rows = [(sid, _six_bytes(s)) for sid, s in zip(part.column("sid").to_pylist(), sets) if set_id(s) == sid]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                                  pa.array([r[1] for r in rows], pa.binary())], names=["sid", "hashes"])
+    moved = src.mapInArrow(squeeze, "doc_id long, text_hash long, body binary")
+    return moved.join(wanted, ["doc_id", "text_hash"]).select("sid", "body")
 
-    moved = src.mapInArrow(squeeze, "doc_id long, body binary")
-    return (moved.join(wanted, "doc_id").select("sid", "body").mapInArrow(cut, "sid long, hashes binary")
-            .dropDuplicates(["sid"]))
 
+def _verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b, common, either): sizes of intersection and union of every pair, from the
+    shingles of both texts."""
+    z = zstandard
 
-def _six_bytes(s: np.ndarray) -> bytes:
-    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    def run(batches):
+        open_ = z.ZstdDecompressor()
 
+        def shingles(bodies):
+            return shingle_sets([open_.decompress(b).decode("utf-8", "surrogatepass") for b in bodies], n)
 
-def _from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                common, either = [], []
+                for u, v in zip(shingles(part.column(2).to_pylist()), shingles(part.column(3).to_pylist())):
+                    merged = np.concatenate([u, v])
+                    merged.sort()
+                    same = int((merged[1:] == merged[:-1]).sum())
+                    common.append(same)
+                    either.append(len(merged) - same)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())],
+                                                 names=["a", "b", "common", "either"])
+
+    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+            .mapInArrow(run, "a long, b long, common long, either long"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, either): sizes of intersection and union of every pair."""
+def _cut_bytes(a: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of every value."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-    def run(batches):
-        for batch in batches:
-            common, either = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = _from_six(x), _from_six(y)
-                merged = np.concatenate([u, v])
-                merged.sort()
-                same = int((merged[1:] == merged[:-1]).sum())
-                common.append(same)
-                either.append(len(merged) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())],
-                                             names=["a", "b", "common", "either"])
-
-    left, right = sets.toDF("a", "ha"), sets.toDF("b", "hb")
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
-            .mapInArrow(run, "a long, b long, common long, either long"))
+
+def _from_bytes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _ordered(x: str, y: str) -> list:
@@ -324,10 +326,11 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("the threshold must lie in (0, 1]")
     spark = df.sparkSession
     prepare(spark)
-    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     found = materialise(_sketch(src, n, num, den, shuffle_parts(spark)))
-    docs = found.where("key is null").select("doc_id", "n", "sid")
-    classes = materialise(docs.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")))
+    docs = materialise(found.where("key is null").select("doc_id", "text_hash", "n", "sid"))
+    classes = materialise(docs.where("doc_id is not null and n > 0").groupBy("sid")
+                          .agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash")))
 
     shared = found.where("key is not null").select("key", "sid", "size", "band")
     need = F.lit(0)
@@ -340,13 +343,13 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                .unionByName(shared.where(F.col("size") > COMMON).join(heavy, ["sid", "band"], "left_semi")))
     central = members.groupBy("sid").agg(F.sum("size").alias("weight"))
     members = materialise(members.select("key", "sid").join(central, "sid"))
-    wanted = members.select("sid").distinct().join(classes, "sid").select(F.col("rep").alias("doc_id"), "sid")
-    sets = materialise(_sets_of(src, wanted, n))
+    discard(found)
+    wanted = members.select("sid").distinct().join(classes, "sid").select(F.col("rep").alias("doc_id"), "text_hash", "sid")
+    texts = materialise(_texts_of(src, wanted).dropDuplicates(["sid"]))
 
     linked = (F.col("common") * den >= F.col("either") * num)
-    verified = None
-    comp = None
-    first = None
+    verified = comp = first = None
+    spent: list[DataFrame] = []
     for step in range(PIVOT_ROUNDS + 1):
         state = members.select("key", "sid", "weight")
         if comp is not None:
@@ -354,6 +357,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      .select("key", "sid", "weight", F.coalesce("component", "sid").alias("comp")))
             open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
             state = materialise(state.join(open_keys, "key"))
+            spent.append(state)
         if step < PIVOT_ROUNDS:
             order = F.struct("weight", (-F.col("sid")).alias("tie"))
             if comp is None:
@@ -376,6 +380,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             dist = (state.join(first, "key").join(both, ["sid", "pivot"], "left")
                     .select("key", "sid", "comp", F.when(F.col("sid") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("j")).alias("j")))
             dist = materialise(dist)
+            spent.append(dist)
             other = dist.toDF("key", "sid2", "comp2", "j2")
             gap = F.coalesce(F.abs(F.col("j") - F.col("j2")) <= 1 - num / den + 1e-9, F.lit(True))
             pairs = (dist.join(other, "key").where((F.col("comp") < F.col("comp2")) & gap).select(*_ordered("sid", "sid2")).distinct()
@@ -385,10 +390,10 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if step:
                 continue
             break
-        got = materialise(_verify(pairs, sets))
+        got = materialise(_verify(pairs, texts, n))
         verified = got if verified is None else verified.unionByName(got)
         comp = materialise(connected_components(verified.where(linked)))
-    discard(sets)
+    discard(texts, members, first, *spent)  # everything that is left lazy reads docs, classes and comp
     if comp is None:
         comp = spark.createDataFrame([], "node long, component long")
     named = (classes.join(comp, F.col("sid") == F.col("node"), "left")
@@ -406,7 +411,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``df`` that stand for their group: the smallest id of each component
     (one row of that id).  Rows without an id or without words all stay."""
     groups = jaccard_groups(df, id_col, text_col, n, num, den)
-    gone = materialise(groups.where("component_id is not null and component_id <> " + f"`{id_col}`").select(id_col).distinct())
+    gone = materialise(groups.where(F.col("component_id").isNotNull() & (F.col("component_id") != F.col(id_col)))
+                       .select(id_col).distinct())
     return df.join(gone, id_col, "left_anti")
 
 
