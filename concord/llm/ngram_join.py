@@ -7,10 +7,10 @@ sketch of P > D parts then agrees in at least P - D whole parts (pigeonhole), an
 joined by value.  Candidates are verified on their sets, links are closed by connected
 components.
 
-A part value held by more than ``COMMON`` sets is common (an empty part, or a part filled
-by a passage of very many texts).  A pair whose agreeing parts are all common has at least
-P - D common parts on both sides, so common values are joined only among such sets; no
-link is lost.  In a bucket the most central set is compared with all others, so a group of
+A part is weak if it has hardly any shingle, or if more than ``COMMON`` sets hold its value
+(a part filled by a passage of very many texts); both follow from the value alone.  A pair
+whose agreeing parts are all weak has at least P - D weak parts that others share on both
+sides, so weak values are joined only among such sets; no link is lost.  In a bucket the most central set is compared with all others, so a group of
 near copies costs comparisons in proportion to its size; what that leaves open (different
 components, and not excluded by the triangle inequality of the Jaccard distance) is compared
 in full.
@@ -39,10 +39,12 @@ from concord.llm.common import connected_components, discard, materialise, prepa
 
 SLICE_BYTES = 1 << 19
 HASH_BITS = 48
-BAND_RATIO = 1.5
+BAND_RATIO = 1.25
+SLACK = 0.12
 COMMON = 64
 KEY_BYTES = 6  # of a key are sent to its partition; equal ones by chance are found out on verification
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
+MAX_BAND = 150  # BAND_RATIO ** 150 shingles are beyond any text
 SEED = 7_919
 
 _U = np.uint64
@@ -139,39 +141,54 @@ def band_of(size: int) -> int:
 
 
 @functools.cache
-def band_shape(g: int, num: int, den: int) -> tuple[int, int]:
-    """(P, D): parts of a band's sketches, and the largest symmetric difference of a linked
-    pair whose larger set lies in the band."""
+def band_shape(g: int, num: int, den: int) -> tuple[int, int, int]:
+    """(P, D, w): parts of a band's sketches, the largest symmetric difference of a linked
+    pair whose larger set lies in the band, and the shingles up to which a part is weak.
+
+    P exceeds D by a slack, so that a linked pair agrees in P - D parts at least; w is as
+    large (0 to 2) as leaves the expected weak parts of the band's smallest sets well
+    below that slack."""
     most = math.ceil(BAND_RATIO ** (g + 1)) - 1
     d = (den - num) * 2 * most // (den + num)
-    return d + 2 + math.ceil(0.06 * d), d
+    p = d + 2 + math.ceil(SLACK * d)
+    fill = BAND_RATIO ** g * num / den / p  # shingles a part of the smallest sets
+    shares = [math.exp(-fill) * sum(fill ** i / math.factorial(i) for i in range(w + 1)) for w in range(3)]
+    return p, d, max([0, *[w for w, s in enumerate(shares) if s < 0.4 * (p - d) / p]])
 
 
 def sketch_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, number of the set of each key): part values of every set in the bands that a
-    larger or equal partner may lie in; the last six bits of a key are the band."""
+    larger or equal partner may lie in.  The last eight bits of a key are the band, the bit
+    before them says that the part is weak."""
     jobs = []
     for i, s in enumerate(sets):
         if len(s):
-            jobs += [(i, g) for g in range(band_of(len(s)), band_of(max(len(s), len(s) * den // num)) + 1)]
+            jobs += [(i, g) for g in range(band_of(len(s)), band_of(max(len(s), len(s) * den // num)) + 1)
+                     if band_shape(g, num, den)[1]]  # D = 0: only equal sets link
     if not jobs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     owner = np.array([i for i, _ in jobs])
     band = np.array([g for _, g in jobs], np.uint64)
-    parts = np.array([band_shape(g, num, den)[0] for _, g in jobs], np.int64)
+    shape = np.array([band_shape(g, num, den) for _, g in jobs], np.int64)
+    parts = shape[:, 0]
     base = np.cumsum(parts) - parts
     length = np.array([len(sets[i]) for i, _ in jobs])
     tokens = np.concatenate([sets[i] for i, _ in jobs])
     spread = _mix(tokens + _U(SEED))
     cell = np.repeat(base, length) + ((spread >> _U(8)) % np.repeat(parts, length).astype(np.uint64)).astype(np.int64)
-    sketch = np.zeros(int(parts.sum()), np.uint64)
-    np.bitwise_xor.at(sketch, cell, _U(1) << (spread & _U(63)))
-    number = np.arange(len(sketch)) - np.repeat(base, parts)
-    value = _mix(_mix(sketch + _U(1)) + number.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + np.repeat(band, parts))
-    return (value << _U(6)) | np.repeat(band, parts), np.repeat(owner, parts)
+    total = int(parts.sum())
+    sketch = np.zeros(total, np.uint64)
+    # a part is a sparse bit sketch as wide as the hashes: every shingle flips the bit of its
+    # hash, and what is kept is the XOR of one random word per set bit, which tells parts apart
+    np.bitwise_xor.at(sketch, cell, _mix(tokens * _U(0xD6E8FEB86659FD93) + _U(1)))
+    weak = (np.bincount(cell, minlength=total) <= np.repeat(shape[:, 2], parts)).astype(np.uint64)
+    number = np.arange(total) - np.repeat(base, parts)
+    bands = np.repeat(band, parts)
+    value = _mix(_mix(sketch + _U(1)) + number.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + bands)
+    return (value << _U(9)) | (weak << _U(8)) | bands, np.repeat(owner, parts)
 
 
-FOUND = "doc_id long, text_hash long, n long, sid long, key long, size long, band int"
+FOUND = "doc_id long, text_hash long, n long, sid long, key long, size long, band int, weak boolean"
 
 
 def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
@@ -224,7 +241,7 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
-        types = [pa.int32() if f.endswith("int") else pa.int64() for f in FOUND.split(", ")]
+        types = [{"int": pa.int32(), "boolean": pa.bool_()}.get(f.split()[1], pa.int64()) for f in FOUND.split(", ")]
         keys, sids = [], []
 
         def rows(length, **cols):
@@ -253,7 +270,7 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
         for lo in range(0, len(key), 100_000):
             k = key[lo:lo + 100_000]
             yield rows(len(k), key=k.view(np.int64), sid=sid[lo:lo + 100_000], size=size[lo:lo + 100_000],
-                       band=(k & _U(63)).astype(np.int32))
+                       band=(k & _U(255)).astype(np.int32), weak=((k & _U(256)) != 0) | (size[lo:lo + 100_000] > COMMON))
 
     return (src.mapInArrow(sketch, "part int, docs array<long>, hashes array<long>, sizes array<long>, sids binary, keys binary")
             .repartitionById(parts, F.col("part")).mapInArrow(share, FOUND))
@@ -332,15 +349,12 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = materialise(docs.where("doc_id is not null and n > 0").groupBy("sid")
                           .agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash")))
 
-    shared = found.where("key is not null").select("key", "sid", "size", "band")
-    need = F.lit(0)
-    for g in range(64):
-        p, d = band_shape(g, num, den) if g < 40 else (1 << 40, 0)
-        need = F.when(F.col("band") == g, F.lit(p - d)).otherwise(need)
-    heavy = (shared.where(F.col("size") > COMMON).groupBy("sid", "band").agg(F.count(F.lit(1)).alias("k"))
-             .where(F.col("k") >= need).select("sid", "band"))
-    members = (shared.where(F.col("size") <= COMMON)
-               .unionByName(shared.where(F.col("size") > COMMON).join(heavy, ["sid", "band"], "left_semi")))
+    shared = found.where("key is not null").select("key", "sid", "size", "band", "weak")
+    slack = F.element_at(F.lit([p - d for p, d, _ in (band_shape(g, num, den) for g in range(MAX_BAND))]), F.col("band") + 1)
+    heavy = (shared.where("weak").groupBy("sid", "band").agg(F.count(F.lit(1)).alias("k"))
+             .where(F.col("k") >= slack).select("sid", "band"))
+    members = (shared.where("not weak")
+               .unionByName(shared.where("weak").join(heavy, ["sid", "band"], "left_semi")))
     central = members.groupBy("sid").agg(F.sum("size").alias("weight"))
     members = materialise(members.select("key", "sid").join(central, "sid"))
     discard(found)
@@ -353,25 +367,27 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for step in range(PIVOT_ROUNDS + 1):
         state = members.select("key", "sid", "weight")
         if comp is not None:
+            # only buckets with members in different components are still open
             state = (state.join(comp, F.col("sid") == F.col("node"), "left")
                      .select("key", "sid", "weight", F.coalesce("component", "sid").alias("comp")))
             open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
             state = materialise(state.join(open_keys, "key"))
             spent.append(state)
+        else:
+            state = state.withColumn("comp", F.col("sid"))
         if step < PIVOT_ROUNDS:
-            order = F.struct("weight", (-F.col("sid")).alias("tie"))
-            if comp is None:
-                pivots = materialise(state.groupBy("key").agg(F.max_by("sid", order).alias("pivot")))
-                first = pivots
-                pairs = state.join(pivots, "key").where("sid <> pivot").select(*_ordered("sid", "pivot")).distinct()
-            else:
-                # the next pivot lies outside the component of the first one
-                had = first.join(comp, F.col("pivot") == F.col("node"), "left").select("key", F.coalesce("component", "pivot").alias("had"))
-                pivots = materialise(state.join(had, "key").where("comp <> had").groupBy("key")
-                                     .agg(F.max_by(F.struct("sid", "comp"), order).alias("p"))
-                                     .select("key", F.col("p.sid").alias("pivot"), F.col("p.comp").alias("pivot_comp")))
-                pairs = (state.join(pivots, "key").where("comp <> pivot_comp").select(*_ordered("sid", "pivot")).distinct()
-                         .join(verified.select("a", "b"), ["a", "b"], "left_anti"))
+            # a bucket's pivot is its most central set; every set is compared with one pivot a
+            # round, the most central of its buckets' pivots outside its component
+            rank = F.struct("weight", (-F.col("sid")).alias("tie"))
+            pivots = materialise(state.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), F.col("comp").alias("comp"))).alias("top"))
+                                 .select("key", F.col("top.rank").alias("rank"), F.col("top.comp").alias("pivot_comp")))
+            spent.append(pivots)
+            if first is None:
+                first = pivots.select("key", (-F.col("rank.tie")).alias("pivot"))
+            pairs = (state.join(pivots, "key").where("comp <> pivot_comp").groupBy("sid").agg(F.max("rank").alias("rank"))
+                     .select("sid", (-F.col("rank.tie")).alias("pivot")).select(*_ordered("sid", "pivot")).distinct())
+            if verified is not None:
+                pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
         else:
             # all that is still open: members of a bucket in different components, unless the
             # triangle inequality over the bucket's first pivot rules a link out
@@ -393,7 +409,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         got = materialise(_verify(pairs, texts, n))
         verified = got if verified is None else verified.unionByName(got)
         comp = materialise(connected_components(verified.where(linked)))
-    discard(texts, members, first, *spent)  # everything that is left lazy reads docs, classes and comp
+    discard(texts, members, *spent)  # everything that is left lazy reads docs, classes and comp
     if comp is None:
         comp = spark.createDataFrame([], "node long, component long")
     named = (classes.join(comp, F.col("sid") == F.col("node"), "left")

@@ -496,18 +496,20 @@ def test_jaccard_edges(edge, none):
     assert jaccard_groups(none).count() == 0 and drop_near_duplicates(none).count() == 0
 
 
-def test_sketch_distance_bounds_the_symmetric_difference():
-    from concord.llm.ngram_join import band_shape, sketch_keys
+def test_linked_sets_agree_in_as_many_parts_as_promised():
+    from concord.llm.ngram_join import band_of, band_shape, sketch_keys
 
     rng = np.random.default_rng(2)
-    pool = np.unique(rng.integers(1, 1 << 47, 400).astype(np.uint64))
-    a, b = np.sort(pool[:300]), np.sort(pool[10:310])
-    keys, owner = sketch_keys([a, b], 90, 100)
-    for g in {int(k & np.uint64(63)) for k in keys}:
-        p, d = band_shape(g, 90, 100)
-        of = [keys[(owner == i) & ((keys & np.uint64(63)) == g)] for i in (0, 1)]
-        if len(of[0]) == len(of[1]) == p:
-            assert (of[0] != of[1]).sum() <= 20 <= d
+    for size, num in ((300, 90), (40, 90), (77, 80), (1200, 80)):
+        pool = np.unique(rng.integers(1, 1 << 47, 2 * size).astype(np.uint64))
+        change = (100 - num) * 2 * size // (100 + num) // 2
+        a, b = np.sort(pool[:size]), np.sort(pool[change:size + change])
+        assert 100 * (size - change) >= num * (size + change)
+        keys, owner = sketch_keys([a, b], num, 100)
+        g = band_of(size)
+        p, d, _ = band_shape(g, num, 100)
+        of = [keys[(owner == i) & ((keys & np.uint64(255)) == g)] for i in (0, 1)]
+        assert len(of[0]) == len(of[1]) == p and p - d <= (of[0] == of[1]).sum() < p
 
 
 # --- shared helpers, pipeline ---------------------------------------------------------
