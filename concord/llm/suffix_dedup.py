@@ -39,7 +39,7 @@ from concord.llm.collection_bwt import collection_order
 from concord.llm.common import prepare, shuffle_parts, text_slices
 
 WINDOW = 100
-GRAM = 20
+GRAM = 26
 REACH = WINDOW - GRAM + 1  # k-grams in a string
 MOST = 128  # strings per segment, so segments stay below 256 bytes
 SLICE_BYTES = 2 << 20
