@@ -6,16 +6,20 @@
     auc_pr = area_under_pr(predict(test, model.weights, "logistic", indices="indices", values="values"))
 """
 
-from concord.operators.blocks import assign_blocks, block_sizes, split_hot_blocks
+from concord.operators.blocks import assign_blocks, block_sizes, blocks_for, split_hot_blocks
 from concord.operators.evaluate import accuracy, area_under_pr, pr_curve, predict, regression_metrics
+from concord.plans.admm import ADMMConfig, ADMMResult, LocalUpdate, ZUpdate, run_admm
 from concord.plans.train import (
     LinearModel,
+    Placed,
     check_binary_labels,
+    fit_logistic,
     fit_regression,
+    fit_svm,
     lambda_grid,
+    place,
     prepare_regression,
     regularization_path,
-    single_lambda,
     train_logistic,
     train_regression,
     train_svm,
@@ -28,12 +32,14 @@ from concord.sources.libsvm import (
     load_libsvm,
     load_libsvm_builtin,
     load_libsvm_lines,
+    load_libsvm_tolerant,
 )
 
 __all__ = [
-    "LinearModel", "accuracy", "area_under_pr", "assign_blocks", "block_sizes", "check_binary_labels",
-    "fit_regression", "hash_split", "lambda_grid", "load_data", "load_datasets", "load_dense_points",
-    "load_libsvm", "load_libsvm_builtin", "load_libsvm_lines", "pr_curve", "predict", "prepare_regression",
-    "regression_metrics", "regularization_path", "single_lambda", "split_hot_blocks", "train_logistic",
-    "train_regression", "train_svm",
+    "ADMMConfig", "ADMMResult", "LinearModel", "LocalUpdate", "Placed", "ZUpdate", "accuracy", "area_under_pr",
+    "assign_blocks", "block_sizes", "blocks_for", "check_binary_labels", "fit_logistic", "fit_regression", "fit_svm",
+    "hash_split", "lambda_grid", "load_data", "load_datasets", "load_dense_points", "load_libsvm",
+    "load_libsvm_builtin", "load_libsvm_lines", "load_libsvm_tolerant", "place", "pr_curve", "predict",
+    "prepare_regression", "regression_metrics", "regularization_path", "run_admm", "split_hot_blocks",
+    "train_logistic", "train_regression", "train_svm",
 ]

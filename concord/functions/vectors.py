@@ -28,10 +28,6 @@ def sq_norm(arr: ColumnOrName) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0).cast("double"), lambda acc, v: acc + v * v)
 
 
-def norm2(arr: ColumnOrName) -> Column:
-    return F.sqrt(sq_norm(arr))
-
-
 def _size_check(n1: Column, n2: Column, value: Column, what: str) -> Column:
     return F.when(n1 == n2, value).otherwise(
         F.raise_error(F.concat(F.lit(f"{what}: vector sizes differ ("), n1.cast("string"), F.lit(" vs "), n2.cast("string"), F.lit(")")))
@@ -73,12 +69,6 @@ def vector_dot(size1: ColumnOrName, indices1: ColumnOrName | None, values1: Colu
     return _size_check(_c(size1), _c(size2), value, "dot")
 
 
-def axpy_dense(a: ColumnOrName, x: ColumnOrName, y: ColumnOrName) -> Column:
-    """y + a*x for dense x, y (per row)."""
-    a = _c(a) if not isinstance(a, (int, float)) else F.lit(float(a))
-    return F.zip_with(_c(x), _c(y), lambda xv, yv: yv + a * xv)
-
-
 def axpy_sparse(a: ColumnOrName, indices: ColumnOrName, values: ColumnOrName, y: ColumnOrName) -> Column:
     """y + a*x for sparse x and dense y (per row): only the slots in ``indices`` change."""
     a = _c(a) if not isinstance(a, (int, float)) else F.lit(float(a))

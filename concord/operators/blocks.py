@@ -1,24 +1,23 @@
-"""Block assignment, physical placement and state initialisation.
+"""Block assignment, splitting of hot blocks and input checks.
 
-Blocks are data, not layout: every row carries an explicit ``block_id``.  For the
-loop the rows are hash-partitioned once on a ``slot`` column chosen so that block k
-lands in partition k (no two blocks share a task, no core idles), sorted, and
-persisted.  Every later pass cogroups the N-row state with those cached rows on
-``slot``: Spark moves the N state rows to the data, never the data.
+Blocks are data, not layout: every row carries an explicit ``block_id``.  Ids come from
+a key, or from the row's place in its source; place-based ids are written to the
+checkpoint folder before they are used, because a second evaluation of the same frame
+may order its rows differently.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.functions.vectors import zeros
-from concord.session import ensure_importable
+from concord.session import ensure_checkpoint_dir
 
-# Block counts above this are refused by the broadcast of the (block_id -> slot) map.
-MAX_BLOCKS = 1_000_000
+#: Rows of a block are one Python task's input: blocks are sized for this many bytes ...
+BLOCK_BYTES = 200 << 20
+#: ... and a block with more rows than this is split before training.
+MAX_BLOCK_ROWS = 5_000_000
 
 
 def block_of_key(key: str | Column, n_blocks: int) -> Column:
@@ -27,17 +26,29 @@ def block_of_key(key: str | Column, n_blocks: int) -> Column:
     return F.pmod(k, F.lit(int(n_blocks))).cast("int")
 
 
-def block_of_row(n_blocks: int) -> Column:
-    """Block by the row's position in its source, hashed: spreads any key skew and any
-    group of identical copies evenly (content hashing would send all copies to one block)."""
-    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(int(n_blocks))).cast("int")
+def _by_place(parts: Column) -> Column:
+    """A hash of the row's place, below ``parts``: spreads identical copies evenly
+    (content hashing would keep them together)."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("int")
 
 
-def assign_blocks(df: DataFrame, n_blocks: int, key: str | Column | None = None) -> DataFrame:
-    """Add ``block_id``: ``pmod(key, N)`` when a key is given, else a hash of the row position."""
-    if n_blocks < 1:
+def blocks_for(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of about ``block_bytes`` each, from the optimizer's size of the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, -(-size // block_bytes))
+
+
+def assign_blocks(df: DataFrame, n_blocks: int | None = None, key: str | Column | None = None) -> DataFrame:
+    """Add ``block_id``: ``pmod(key, N)`` when a key is given, else a hash of the row's
+    place, written once to the checkpoint folder so that every later evaluation reads
+    the same ids.  Without ``n_blocks`` the input's bytes decide it."""
+    n = blocks_for(df) if n_blocks is None else n_blocks
+    if n < 1:
         raise ValueError("n_blocks must be >= 1")
-    return df.withColumn("block_id", block_of_key(key, n_blocks) if key is not None else block_of_row(n_blocks))
+    if key is not None:
+        return df.withColumn("block_id", block_of_key(key, n))
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.withColumn("block_id", _by_place(F.lit(int(n)))).checkpoint()
 
 
 def block_sizes(df: DataFrame) -> DataFrame:
@@ -47,68 +58,35 @@ def block_sizes(df: DataFrame) -> DataFrame:
 
 def split_hot_blocks(df: DataFrame, max_rows: int) -> DataFrame:
     """Split any block holding more than ``max_rows`` rows into equal hashed sub-blocks
-    and renumber densely; no row is dropped.  Costs one N-row aggregate."""
+    and renumber densely.  Costs one N-row aggregate; the result is written to the
+    checkpoint folder.  A row whose block the aggregate did not see, or without a
+    block, fails the job: no row is dropped."""
+    ensure_checkpoint_dir(df.sparkSession)
     sizes = block_sizes(df).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(max_rows))).cast("int"))
     w = Window.orderBy("block_id")  # over N rows only
     sizes = sizes.withColumn("base", (F.sum("parts").over(w) - F.col("parts")).cast("int"))
-    sub = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int")
-    return (df.join(F.broadcast(sizes.select("block_id", "parts", "base")), "block_id")
-              .withColumn("block_id", (F.col("base") + sub).cast("int"))
-              .drop("parts", "base"))
-
-
-def slot_map(spark: SparkSession, block_ids: DataFrame, check_binary: str | None = None):
-    """(block_id, slot, part): ``slot`` is an int whose Spark hash partition, among N
-    partitions, is the block's dense index ``part``.  Built by a tiny Spark job.
-
-    Finding the blocks present is one N-row aggregate over the input; with
-    ``check_binary`` (a label column) the same aggregate also counts labels other than
-    0/1, so validation costs no extra scan."""
-    if check_binary:
-        lab = F.col(check_binary)
-        stats = block_ids.groupBy("block_id").agg(
-            F.count_if(lab.isNull() | ~lab.isin(0.0, 1.0)).alias("bad")).persist()
-        bad = stats.agg(F.sum("bad").alias("bad")).first()["bad"] or 0
-        if bad:
-            stats.unpersist()
-            raise ValueError(f"{bad} rows have a label other than 0/1")
-        present = stats.select("block_id")
-    else:
-        present = block_ids.select("block_id").distinct()
-    n = present.count()
-    if n == 0:
+    placed = df.withColumn("__place__", F.xxhash64(F.monotonically_increasing_id()))
+    joined = placed.join(sizes.select("block_id", "parts", "base"), "block_id", "left")
+    block = F.when(F.col("parts").isNull(), F.raise_error(F.lit("a row has no block, or one that was not counted")).cast("int")) \
+        .otherwise(F.col("base") + F.pmod("__place__", F.col("parts")).cast("int"))
+    return joined.withColumn("block_id", block.cast("int")).drop("parts", "base", "__place__").checkpoint()
+
+
+def check_rows(df: DataFrame, label: str = "label", binary: bool = False) -> tuple[int, int]:
+    """(rows, rows of the largest block); fails on an empty input, a null block, a null
+    or NaN label, and with ``binary`` on any label other than 0/1.  One scan, N rows
+    shuffled, one row to the driver."""
+    lab = F.col(label)
+    bad = lab.isNull() | F.isnan(lab.cast("double"))
+    if binary:
+        bad = bad | ~lab.isin(0.0, 1.0)
+    r = (df.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
+         .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bad").alias("bad"),
+              F.sum(F.when(F.col("block_id").isNull(), F.col("n")).otherwise(0)).alias("lost")).first())
+    if not r["n"]:
         raise ValueError("no rows to train on")
-    if n > MAX_BLOCKS:
-        raise ValueError(f"{n} blocks exceed the broadcast bound of {MAX_BLOCKS}")
-    dense = present.withColumn("part", (F.row_number().over(Window.orderBy("block_id")) - 1).cast("int"))
-    candidates = (spark.range(0, 64 * n).select(F.col("id").cast("int").alias("slot"))
-                  .withColumn("part", F.pmod(F.hash("slot"), F.lit(int(n))))
-                  .groupBy("part").agg(F.min("slot").alias("slot")))
-    mapping = dense.join(candidates, "part").select("block_id", "slot", "part")
-    return mapping, int(n)
-
-
-def place_blocks(spark: SparkSession, df: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
-                 check_binary: str | None = None):
-    """Hash-partition rows by ``slot`` (one block per partition), sort, persist.
-
-    Returns (cached rows, N, mapping).  The rows are moved exactly once here.
-    """
-    ensure_importable(spark)
-    mapping, n = slot_map(spark, df, check_binary)
-    mapping = mapping.persist()
-    mapping.count()
-    placed = (df.join(F.broadcast(mapping.select("block_id", "slot")), "block_id")
-                .repartition(n, "slot")
-                .sortWithinPartitions("slot")
-                .persist(storage))
-    return placed, n, mapping
-
-
-def init_state(mapping: DataFrame, p: int, x0: list[float] | None = None) -> DataFrame:
-    """Every block starts at x = w0 (zeros by default), y = 0."""
-    x = F.array(*[F.lit(float(v)) for v in x0]) if x0 is not None else zeros(p)
-    # Fresh aliases: the state must not share attribute ids with the placed rows (both
-    # descend from ``mapping``), or the per-pass cogroup is an ambiguous self-join.
-    return mapping.select(F.col("slot").alias("slot"), F.col("block_id").alias("block_id"),
-                          x.alias("x"), zeros(p).alias("y"))
+    if r["lost"]:
+        raise ValueError(f"{r['lost']} rows have no block_id")
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} rows have {'a label other than 0/1' if binary else 'a null or NaN label'}")
+    return int(r["n"]), int(r["most"])

@@ -6,8 +6,8 @@ Two forms of each step:
 * DataFrame forms over a state table ``(block_id, x array<double>, y array<double>)``
   and a consensus table ``(j, z)`` -- the plain relational statement of the step,
   used as stand-alone operators and for the SQL checks.
-* ``consensus_from_sums``: the same arithmetic from four per-feature sums that the
-  loop gets in ONE aggregate over the state per pass (see ``plans.admm``).
+* ``z_from_sum`` and ``consensus_from_moments``: the same arithmetic from the moments
+  per coordinate that the loop gets in one aggregate per pass (see ``plans.admm``).
 """
 
 from __future__ import annotations
@@ -80,24 +80,25 @@ def z_from_sum(u_sum: np.ndarray, n_blocks: int, lam: float, rho: float, l1: boo
     return rho / (rho * n_blocks + 2.0 * lam) * u_sum
 
 
-def consensus_from_sums(u_sum, x_sum, x_sq, w_sq, z_prev, n_blocks, p, lam, rho, l1) -> PassStats:
-    """One pass of z, residuals and tolerances from four aggregates over blocks.
+def consensus_from_moments(z, z_prev, n_blocks: int, rho: float, m, abs_tol: float = ABS_TOL,
+                           rel_tol: float = REL_TOL) -> PassStats:
+    """Residuals and tolerances of one pass from per-coordinate moments over the blocks.
 
-    u_sum = sum_i (x_i + y_i/rho), x_sum = sum_i x_i (vectors);
-    x_sq = sum_i ||x_i||^2, w_sq = sum_i ||y_i + rho x_i||^2 (scalars), with y_i the
-    dual *before* this pass's dual update.  Then, with y_i' = y_i + rho (x_i - z):
-    sum ||x_i - z||^2 = x_sq - 2 z.x_sum + N ||z||^2 and
-    sum ||y_i'||^2   = w_sq - 2 rho^2 z.u_sum + N rho^2 ||z||^2.
+    ``m`` has, per coordinate, mean (mx) and sum of squared deviations (sx) of x_i, and
+    the same (mw, sw) of w_i = y_i + rho x_i with y_i *before* this pass's dual update.
+    With y_i' = w_i - rho z the dual after it:
+    sum ||x_i - z||^2 = sx + N (mx - z)^2 and sum ||y_i'||^2 = sw + N (mw - rho z)^2,
+    summed over coordinates -- sums of squares only, so nothing cancels.
     """
-    z = z_from_sum(u_sum, n_blocks, lam, rho, l1)
-    zz = float(z @ z)
-    r2 = max(x_sq - 2.0 * float(z @ x_sum) + n_blocks * zz, 0.0)
-    y2 = max(w_sq - 2.0 * rho * rho * float(z @ u_sum) + n_blocks * rho * rho * zz, 0.0)
-    resid_dual = rho * math.sqrt(n_blocks) * float(np.linalg.norm(z - z_prev))
-    base = math.sqrt(p * n_blocks) * ABS_TOL
-    eps_primal = REL_TOL * max(math.sqrt(x_sq), math.sqrt(n_blocks) * math.sqrt(zz)) + base
-    eps_dual = REL_TOL * math.sqrt(y2) + base
-    return PassStats(z, math.sqrt(r2), eps_primal, resid_dual, eps_dual)
+    z = np.asarray(z, dtype=np.float64)
+    mx, sx, mw, sw = (m[c].to_numpy() for c in ("mx", "sx", "mw", "sw"))
+    r2 = float(np.sum(sx + n_blocks * (mx - z) ** 2))
+    y2 = float(np.sum(sw + n_blocks * (mw - rho * z) ** 2))
+    x2 = float(np.sum(sx + n_blocks * mx ** 2))
+    base = math.sqrt(len(z) * n_blocks) * abs_tol
+    eps_primal = rel_tol * max(math.sqrt(x2), math.sqrt(n_blocks) * float(np.linalg.norm(z))) + base
+    eps_dual = rel_tol * math.sqrt(y2) + base
+    return PassStats(z, math.sqrt(r2), eps_primal, rho * math.sqrt(n_blocks) * float(np.linalg.norm(z - z_prev)), eps_dual)
 
 
 def converged(stats: PassStats, primal_only: bool) -> bool:

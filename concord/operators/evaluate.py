@@ -68,70 +68,63 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
 
 
 def confusion_by_score(pred: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Positives and negatives per distinct score (score first, label second)."""
-    pos = (F.col(label) > 0.5).cast("long")
-    return pred.groupBy(F.col(score).alias("score")).agg(F.sum(pos).alias("tp"), F.sum(1 - pos).alias("fp"))
-
-
-def score_ranges(conf: DataFrame, n_ranges: int) -> Column:
-    """Range id of each score, highest scores in range 0.
-
-    The id is a fixed function of the score -- the number of range bounds above it --
-    with the R-1 bounds taken once from approximate quantiles of the distinct scores.
-    (A partition id after ``repartitionByRange`` is not: two evaluations of the same
-    plan may sample different bounds, and the totals and running sums below must
-    agree on every score's range.)"""
-    if n_ranges <= 1:
-        return F.lit(0)
-    probs = [k / n_ranges for k in range(1, n_ranges)]
-    bounds = conf.agg(F.percentile_approx("score", probs, 10_000).alias("b")).first()["b"] or []
-    lit_bounds = F.lit(sorted({float(b) for b in bounds})).cast("array<double>")
-    return F.size(F.filter(lit_bounds, lambda b: b > F.col("score").cast("double")))
+    """Positives and negatives per distinct score (score first, label second).  A null
+    label or score fails the job."""
+    null = F.col(label).isNull() | F.col(score).isNull()
+    pos = F.when(null, F.raise_error(F.lit("a scored row has a null label or score")).cast("long")).otherwise((F.col(label) > 0.5).cast("long"))
+    return pred.groupBy(F.col(score).alias("score")).agg(F.sum(pos).alias("tp"), F.count(F.lit(1)).alias("n")) \
+        .select("score", "tp", (F.col("n") - F.col("tp")).alias("fp"))
 
 
 def cumulative_by_score(conf: DataFrame, n_ranges: int = 64) -> DataFrame:
-    """Running totals of tp/fp over scores in descending order, without a global window:
-    per-range totals (n_ranges rows) are prefix-summed, each range's rows add their
-    range's offset; the window work is split by range."""
-    ranged = conf.withColumn("rng", score_ranges(conf, n_ranges))
+    """Running totals of tp/fp over scores in descending order, and all positives ``P``,
+    without a global window.
+
+    Scores are cut into ranges at approximate quantiles of the distinct scores -- a
+    one-row aggregate of the same plan, so no job runs while the plan is built; range
+    totals (n_ranges rows) are prefix-summed and each range adds its offset to its own
+    window.  The aggregation by score is shuffled once and reused by all three."""
+    probs = [k / n_ranges for k in range(1, n_ranges)] or [0.5]
+    # every use reads all columns of conf, so that its shuffle is one and the same
+    held = F.when(F.col("tp") + F.col("fp") > 0, F.col("score").cast("double"))
+    bounds = conf.agg(F.percentile_approx(held, probs, 10_000).alias("bounds"), F.sum("tp").alias("P"))
+    # the range is a function of the score alone: the number of bounds above it
+    above = F.size(F.filter("bounds", lambda b: b > F.col("score").cast("double"))) if n_ranges > 1 else F.lit(0)
+    ranged = attach(conf, bounds).withColumn("rng", above).drop("bounds")
     totals = ranged.groupBy("rng").agg(F.sum("tp").alias("rtp"), F.sum("fp").alias("rfp"))
     w_tot = Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)  # over n_ranges rows
     offsets = totals.select("rng", F.coalesce(F.sum("rtp").over(w_tot), F.lit(0)).alias("otp"),
                             F.coalesce(F.sum("rfp").over(w_tot), F.lit(0)).alias("ofp"))
     w_in = Window.partitionBy("rng").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    within = ranged.select("rng", "score", "tp", "fp", F.sum("tp").over(w_in).alias("ctp"), F.sum("fp").over(w_in).alias("cfp"))
-    return (within.join(F.broadcast(offsets), "rng")
-                  .select("score", "tp", "fp", (F.col("ctp") + F.col("otp")).alias("cum_tp"),
+    within = ranged.select("rng", "score", "tp", "fp", "P", F.sum("tp").over(w_in).alias("ctp"), F.sum("fp").over(w_in).alias("cfp"))
+    return (within.join(F.broadcast(offsets), "rng")  # n_ranges rows
+                  .select("score", "tp", "fp", "P", (F.col("ctp") + F.col("otp")).alias("cum_tp"),
                           (F.col("cfp") + F.col("ofp")).alias("cum_fp")))
 
 
 def pr_curve(pred: DataFrame, score: str = "score", label: str = "label", n_ranges: int = 64) -> DataFrame:
-    """(threshold, recall, precision) per distinct score, highest first."""
-    cum = cumulative_by_score(confusion_by_score(pred, score, label), n_ranges)
-    total_pos = pred.agg(F.sum((F.col(label) > 0.5).cast("long")).alias("P"))
-    return attach(cum, total_pos).select(
+    """(threshold, recall, precision) per distinct score; recall is 0 without positives."""
+    return cumulative_by_score(confusion_by_score(pred, score, label), n_ranges).select(
         F.col("score").alias("threshold"),
-        F.when(F.col("P") == 0, F.lit(0.0)).otherwise(F.col("cum_tp") / F.col("P")).alias("recall"),
+        F.when(F.col("P") == 0, F.lit(0.0)).otherwise(F.try_divide("cum_tp", "P")).alias("recall"),
         (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
     )
 
 
 def area_under_pr(pred: DataFrame, score: str = "score", label: str = "label", n_ranges: int = 64) -> DataFrame:
-    """Trapezoid area under the PR curve with the point (0, first precision) prepended.
+    """Trapezoid area under the PR curve with the point (0, first precision) prepended; 0
+    without positives, null without rows.
 
     Each point's segment needs only its own running totals: the previous point is the
     running total minus this score's counts, so no lag over a global order is needed.
     """
     cum = cumulative_by_score(confusion_by_score(pred, score, label), n_ranges)
-    total_pos = pred.agg(F.sum((F.col(label) > 0.5).cast("long")).cast("double").alias("P"))
     prev_tp = F.col("cum_tp") - F.col("tp")
     prev_n = F.col("cum_tp") + F.col("cum_fp") - F.col("tp") - F.col("fp")
     prec = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
-    prev_prec = F.when(prev_n == 0, prec).otherwise(prev_tp / prev_n)
-    recall = F.col("cum_tp") / F.col("P")
-    prev_recall = prev_tp / F.col("P")
-    seg = (recall - prev_recall) * (prec + prev_prec) / 2.0
-    return attach(cum, total_pos).agg(F.sum(seg).alias("area_under_pr"))
+    prev_prec = F.when(prev_n == 0, prec).otherwise(F.try_divide(prev_tp, prev_n))
+    step = F.coalesce(F.try_divide("tp", "P"), F.lit(0.0))
+    return cum.agg(F.sum(step * (prec + prev_prec) / 2.0).alias("area_under_pr"))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -144,8 +137,3 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     agg = joined.groupBy("n", "mean_label").agg(F.sum(dev * dev).alias("sst"), F.sum(err * err).alias("sse"))
     return agg.select("n", "mean_label", "sst", "sse", (F.col("sse") / F.col("n")).alias("mse"),
                       (F.lit(1.0) - F.col("sse") / F.col("sst")).alias("r2"))
-
-
-def hard_prediction_aupr(precision: float, recall: float, base_rate: float) -> float:
-    """AUPR of hard 0/1 predictions: R*P + (1-R)(P+pi)/2."""
-    return recall * precision + (1.0 - recall) * (precision + base_rate) / 2.0

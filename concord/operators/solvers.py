@@ -12,6 +12,7 @@ run a small vectorised solver.  Nothing here talks to Spark.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,17 +38,6 @@ class CSR:
     def rmatvec(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.cols, weights=self.vals * r[self.rows], minlength=self.p)
 
-    def weighted_gram(self, d: np.ndarray) -> np.ndarray:
-        """X^T diag(d) X as a dense p x p matrix (used only when p is small)."""
-        return dense_of(self).T @ (d[:, None] * dense_of(self))
-
-
-def dense_of(csr: CSR) -> np.ndarray:
-    out = np.zeros((csr.n, csr.p))
-    np.add.at(out, (csr.rows, csr.cols), csr.vals)
-    return out
-
-
 def _list_parts(col: pa.ChunkedArray | pa.Array):
     """Offsets and flat values of a list column, combined into one chunk."""
     if isinstance(col, pa.ChunkedArray):
@@ -103,9 +93,6 @@ class _Dense:
     def rmatvec(self, r):
         return self.X.T @ r
 
-    def weighted_gram(self, d):
-        return self.X.T @ (d[:, None] * self.X)
-
 
 def as_operator(X):
     return _Dense(X) if isinstance(X, np.ndarray) else X
@@ -221,30 +208,51 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 10, history: int = 5, tol: float =
     return x
 
 
-def newton_logistic_mean(X: np.ndarray, y01: np.ndarray, v: np.ndarray, rho: float, x0: np.ndarray,
+def newton_logistic_mean(X, y01: np.ndarray, v: np.ndarray, rho: float, x0: np.ndarray,
                          max_iter: int = 100, eps_abs: float = 1e-6, eps_rel: float = 1e-6) -> np.ndarray:
-    """Newton's method on (1/m) sum logloss + rho/2 ||x - v||^2 (dense block, labels 0/1).
+    """Damped Newton on (1/m) sum logloss + rho/2 ||x - v||^2, labels 0/1.
 
-    Gradient X^T (sigma(Xx) - y)/m + rho (x - v); Hessian X^T W X / m + rho I, solved
-    (not inverted).  Stops when ||d|| < eps_abs sqrt(p) or ||d|| < eps_rel ||x||.
-    """
-    m, p = X.shape
+    Each step solves with the Hessian's Cholesky factor and is halved until the value
+    falls; it stops when the step is below eps_abs sqrt(p) or eps_rel ||x||."""
+    m = max(len(y01), 1)
+    mean_loss = logistic_sum(X, 2.0 * y01 - 1.0)
+    A = as_operator(X)
+
+    def scaled(w):
+        f, g = mean_loss(w)
+        return f / m, g / m
+
+    fg = with_prox(scaled, v, rho)
     x = np.array(x0, dtype=np.float64, copy=True)
-    scale = 1.0 / max(m, 1)
+    f, g = fg(x)
     for _ in range(max_iter):
-        mu = sigmoid(X @ x)
-        grad = scale * (X.T @ (mu - y01)) + rho * (x - v)
-        w = mu * (1.0 - mu)
-        H = scale * (X.T @ (w[:, None] * X))
+        mu = sigmoid(A.matvec(x))
+        root = np.sqrt(mu * (1.0 - mu) / m)
+        H = gram_of(scaled_rows(X, root))
         H[np.diag_indices_from(H)] += rho
-        d = -np.linalg.solve(H, grad)
-        x += d
-        r = np.linalg.norm(d)
-        if r < eps_abs * np.sqrt(p) or r < eps_rel * np.linalg.norm(x):
+        factor = np.linalg.cholesky(H)
+        step = -np.linalg.solve(factor.T, np.linalg.solve(factor, g))
+        t, slope = 1.0, float(g @ step)
+        while True:
+            new = x + t * step
+            f_new, g_new = fg(new)
+            if f_new <= f + 1e-4 * t * slope or t < 1e-10:
+                break
+            t *= 0.5
+        x, f, g = new, f_new, g_new
+        size = t * float(np.linalg.norm(step))
+        if size < eps_abs * math.sqrt(len(x)) or size < eps_rel * float(np.linalg.norm(x)):
             break
     return x
 
 
+def scaled_rows(X, d: np.ndarray):
+    """diag(d) X, keeping its form."""
+    if isinstance(X, np.ndarray):
+        return d[:, None] * X
+    return CSR(X.n, X.p, X.rows, X.cols, X.vals * d[X.rows])
+
+
 def least_squares_update(gram: np.ndarray, xty: np.ndarray, n: float, v: np.ndarray, rho: float) -> np.ndarray:
     """(X^T X / n + rho I)^-1 (X^T b / n + rho v) from a cached Gram and X^T b."""
     p = xty.shape[0]
@@ -255,60 +263,91 @@ def least_squares_update(gram: np.ndarray, xty: np.ndarray, n: float, v: np.ndar
 
 # ---------------------------------------------------------------- packed blocks
 #
-# A placed block is stacked once into a few large chunks: labels, a dense row-major
-# matrix or CSR arrays, each as one binary value.  Every pass then ships a handful of
-# big buffers per block instead of one Arrow list entry per row, and numpy reads
-# them without copying.
+# A task stacks its rows by block into one record per block: labels, a dense row-major
+# matrix or the rows' lengths, indices and values, each as one binary value.  Every pass
+# then ships a handful of big buffers per block instead of one Arrow list entry per row,
+# and numpy reads them without copying.
 
-PACK_SCHEMA = ("slot int, block_id int, n int, label binary, x binary, "
-               "indptr binary, idx binary, val binary")
-CHUNK_BYTES = 64 << 20
+PACK_SCHEMA = "block_id int, n int, label binary, x binary, lens binary, idx binary, val binary"
 
 
-def pack_chunks(table: pa.Table, kind: str, p: int):
-    """Yield dicts (one per chunk) for the rows of ``table`` (one Arrow batch)."""
-    n = table.num_rows
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``values`` as one binary value per run; ``ends`` counts values."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * values.itemsize
+    data = np.ascontiguousarray(values)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def pack_rows(table: pa.Table, kind: str, p: int) -> pa.RecordBatch:
+    """One record per block of ``table``: rows are ordered by block once, then every
+    column is cut at the block borders (no loop over rows or blocks)."""
+    ids = table.column("block_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    table, ids = table.take(pa.array(order)), ids[order]
+    ends = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids))
     y = labels_of(table)
+    empty = pa.array([b""] * len(ends), pa.binary())
+    x = lens = idx = val = empty
     if kind == "dense":
-        X = dense_block(table, "features", p)
-        step = max(1, min(n, CHUNK_BYTES // max(8 * p, 1)))
-        for s in range(0, n, step):
-            e = min(n, s + step)
-            yield {"n": e - s, "label": y[s:e].tobytes(), "x": np.ascontiguousarray(X[s:e]).tobytes(),
-                   "indptr": b"", "idx": b"", "val": b""}
-        return
-    offsets, cols = _list_parts(table.column("indices"))
-    _, vals = _list_parts(table.column("values"))
-    cols = np.asarray(cols, dtype=np.int32)
-    vals = np.asarray(vals, dtype=np.float64)
-    s = 0
-    while s < n:
-        e = s + 1
-        budget = CHUNK_BYTES // 12
-        while e < n and offsets[e + 1] - offsets[s] <= budget:
-            e += 1
-        lo, hi = offsets[s], offsets[e]
-        yield {"n": e - s, "label": y[s:e].tobytes(), "x": b"",
-               "indptr": (offsets[s:e + 1] - lo).astype(np.int64).tobytes(),
-               "idx": cols[lo:hi].tobytes(), "val": vals[lo:hi].tobytes()}
-        s = e
+        x = _cut(dense_block(table, "features", p).ravel(), ends * p)
+    else:
+        block = sparse_block(table, p)
+        per_row = np.bincount(block.rows, minlength=block.n).astype(np.int32)
+        stored = np.concatenate([[0], np.cumsum(per_row)])[ends]
+        lens, idx, val = _cut(per_row, ends), _cut(block.cols.astype(np.int32), stored), _cut(block.vals, stored)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[ends - 1], pa.int32()), pa.array(np.diff(ends, prepend=0), pa.int32()), _cut(y, ends), x, lens, idx, val],
+        names=["block_id", "n", "label", "x", "lens", "idx", "val"])
 
 
 def unpack_block(table: pa.Table, kind: str, p: int):
-    """(X, y) of one block from its packed chunks: dense ndarray or CSR."""
-    ns = table.column("n").to_pylist()
-    y = np.concatenate([np.frombuffer(b, dtype=np.float64) for b in table.column("label").to_pylist()]) \
-        if ns else np.zeros(0)
+    """(X, y) of one block from its packed records: dense ndarray or CSR."""
+    def joined(name, dtype):
+        return np.concatenate([np.frombuffer(b, dtype=dtype) for b in table.column(name).to_pylist()])
+
+    y = joined("label", np.float64)
     if kind == "dense":
-        parts = [np.frombuffer(b, dtype=np.float64).reshape(k, p) for b, k in zip(table.column("x").to_pylist(), ns)]
-        return (np.vstack(parts) if parts else np.zeros((0, p))), y
-    rows, cols, vals, base = [], [], [], 0
-    for k, ip, ix, vv in zip(ns, table.column("indptr").to_pylist(), table.column("idx").to_pylist(),
-                             table.column("val").to_pylist()):
-        indptr = np.frombuffer(ip, dtype=np.int64)
-        rows.append(base + np.repeat(np.arange(k), np.diff(indptr)))
-        cols.append(np.frombuffer(ix, dtype=np.int32).astype(np.int64))
-        vals.append(np.frombuffer(vv, dtype=np.float64))
-        base += k
-    cat = (lambda xs, dt: np.concatenate(xs) if xs else np.zeros(0, dt))
-    return CSR(base, p, cat(rows, np.int64), cat(cols, np.int64), cat(vals, np.float64)), y
+        return joined("x", np.float64).reshape(len(y), p), y
+    rows = np.repeat(np.arange(len(y)), joined("lens", np.int32))
+    return CSR(len(y), p, rows, joined("idx", np.int32).astype(np.int64), joined("val", np.float64)), y
+
+
+def gram_of(X) -> np.ndarray:
+    """X^T X as p x p, dense or from stored values only (row by row products are grouped
+    through the sparse rows, never a dense n x p copy)."""
+    if isinstance(X, np.ndarray):
+        return X.T @ X
+    G = np.zeros((X.p, X.p))
+    lens = np.bincount(X.rows, minlength=X.n)
+    start = np.concatenate([[0], np.cumsum(lens)])[:-1]
+    for shift in range(int(lens.max()) if X.n else 0):  # pairs (k, k + shift) of stored values of a row
+        left = np.flatnonzero(np.arange(len(X.vals)) + shift < (start + lens)[X.rows])
+        prod = X.vals[left] * X.vals[left + shift]
+        np.add.at(G, (X.cols[left], X.cols[left + shift]), prod)
+        if shift:
+            np.add.at(G, (X.cols[left + shift], X.cols[left]), prod)
+    return G
+
+
+def least_squares_cg(X, b: np.ndarray, v: np.ndarray, rho: float, x0: np.ndarray, tol: float = 1e-12,
+                     max_iter: int = 1000) -> np.ndarray:
+    """The least-squares x-update without a Gram: conjugate gradients on
+    (X^T X / n + rho I) x = X^T b / n + rho v, warm-started."""
+    A = as_operator(X)
+    n = max(len(b), 1)
+    rhs = A.rmatvec(b) / n + rho * v
+    x = np.array(x0, dtype=np.float64, copy=True)
+    r = rhs - A.rmatvec(A.matvec(x)) / n - rho * x
+    d, rr = r.copy(), float(r @ r)
+    stop = tol * max(float(np.linalg.norm(rhs)), 1e-300)
+    for _ in range(max_iter):
+        if math.sqrt(rr) <= stop:
+            break
+        Ad = A.rmatvec(A.matvec(d)) / n + rho * d
+        step = rr / float(d @ Ad)
+        x += step * d
+        r -= step * Ad
+        new = float(r @ r)
+        d = r + (new / rr) * d
+        rr = new
+    return x

@@ -1,63 +1,46 @@
 """The ADMM loop as Spark jobs.
 
-Per pass (one Spark job, or two when the model is wide):
-
-1. x-update: ``payload.groupBy(slot).cogroup(state.groupBy(slot)).applyInArrow``.
-   The payload (the block's rows, or its cached Gram) is hash-partitioned on ``slot``
-   and persisted, so only the N state rows are shuffled to it.  The function first
-   applies the previous pass's dual update y_i += rho_prev (x_i - z), then solves the
-   block subproblem warm-started at x_i.
-2. The cross-block sums sum(x + y/rho), sum(x), sum(x^2), sum((y + rho x)^2): while
-   N x (2p + 2) is small they come back with the x-update tasks through an
-   accumulator; otherwise one aggregate over the new state, grouped by coordinate j,
-   returns them as p rows.  The driver turns these into
-   z, both residuals and both tolerances (``consensus_from_sums``), applies the stop
-   rule and the penalty update.  At most p values reach the driver per pass; rows
-   and the N x p state never do.
+Per pass:
+
+1. x-update: ``payload.groupBy(block_id).cogroup(state.groupBy(block_id)).applyInArrow``.
+   The payload (the block's packed rows, or its Gram) is hash-partitioned on
+   ``block_id`` and persisted, so only the N state rows are shuffled to it.  The
+   function first applies the previous pass's dual update y_i += rho_prev (x_i - z),
+   then solves the block subproblem warm-started at x_i.
+2. One aggregate over the new state, grouped by coordinate j: sums of x + y/rho and
+   mean and variance of x and y + rho x over the blocks (p rows).  The driver turns
+   these into z, both residuals and both tolerances (``consensus_from_moments``),
+   applies the stop rule and the penalty update.  Rows and the N x p state never reach
+   the driver, whatever N and p are.
 
 z and rho travel to the next pass as values in the function's closure (Spark ships a
 large closure as a broadcast), so a recomputed task always sees the values of *its*
-pass.  The new state is written by a reliable checkpoint every pass (N rows): this cuts
-the plan -- persisted states nested pass after pass make Spark's plan analysis grow
-exponentially -- and a lost executor costs at most one pass.
+pass.  The new state (N rows) is written to the checkpoint folder every pass and the
+one before it is deleted: this cuts the plan, and a lost executor costs at most one
+pass.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.operators.blocks import init_state
-from concord.operators.consensus import PassStats, consensus_from_sums, converged, update_rho
-from concord.session import ensure_checkpoint_dir
+from concord.functions.vectors import zeros
+from concord.operators.consensus import ABS_TOL, REL_TOL, PassStats, consensus_from_moments, converged, update_rho, z_from_sum
+from concord.session import delete_path, scratch_path
 
-STATE_SCHEMA = "slot int, block_id int, x array<double>, y array<double>"
+STATE_SCHEMA = "block_id int, x array<double>, y array<double>"
 
+#: (payload of the block, x_i, v_i = z - y_i / rho, rho) -> new x_i
 LocalUpdate = Callable[[pa.Table, np.ndarray, np.ndarray, float], np.ndarray]
-
-# Up to this many values (N blocks x (2p + 2)) per pass, the cross-block sums ride back
-# with the x-update tasks (one job per pass, a p-sized reduction on the driver as in
-# MLlib's gradient aggregation); above it, a distributed groupBy over coordinates.
-DRIVER_SUM_LIMIT = 2_000_000
-
-
-class VectorSum(AccumulatorParam):
-    """Accumulator of float64 vectors (element-wise sum)."""
-
-    def zero(self, value):
-        return np.zeros_like(value)
-
-    def addInPlace(self, a, b):
-        a += b
-        return a
+#: (sum over blocks of x_i + y_i / rho, N, lam, rho) -> z
+ZUpdate = Callable[[np.ndarray, int, float, float], np.ndarray]
 
 
 @dataclass
@@ -69,6 +52,12 @@ class ADMMConfig:
     adaptive_rho: bool = False
     primal_only_stop: bool = True
     early_stop: bool = True
+    abs_tol: float = ABS_TOL
+    rel_tol: float = REL_TOL
+    #: start weights of every block and of z (zeros by default)
+    x0: np.ndarray | None = None
+    #: replaces the L2 / L1 consensus step
+    z_update: ZUpdate | None = None
 
 
 @dataclass
@@ -81,104 +70,82 @@ class ADMMResult:
     state: DataFrame | None = field(default=None, repr=False)
 
 
-def _list_to_matrix(col: pa.ChunkedArray, p: int) -> np.ndarray:
-    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    flat = arr.values.to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=np.float64).reshape(len(arr), p)
+def _vector(col: pa.ChunkedArray) -> np.ndarray:
+    """The one list of a one-row column, without a copy through Python objects."""
+    arr = col.combine_chunks()
+    arr = arr.chunk(0) if isinstance(arr, pa.ChunkedArray) else arr
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
-def make_pass_function(local_update: LocalUpdate, p: int, z: np.ndarray, rho: float,
-                       pending: tuple[np.ndarray, float] | None, sums=None):
-    """The cogroup function of one pass: (payload rows, state row) -> new state row.
+def list_column(v: np.ndarray) -> pa.Array:
+    """One list<double> holding ``v``, without a copy through Python objects."""
+    v = np.ascontiguousarray(v, dtype=np.float64).ravel()
+    return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
 
-    With ``sums`` (an accumulator) each block also adds its share of
-    [x + y/rho, x, ||x||^2, ||y + rho x||^2]."""
+
+def make_pass_function(local_update: LocalUpdate, p: int, z: np.ndarray, rho: float,
+                       pending: tuple[np.ndarray, float] | None):
+    """The cogroup function of one pass: (payload rows, state row) -> new state row."""
 
     def run(payload: pa.Table, state: pa.Table) -> pa.Table:
-        if state.num_rows == 0 or payload.num_rows == 0:
-            return pa.table({"slot": pa.array([], pa.int32()), "block_id": pa.array([], pa.int32()),
-                             "x": pa.array([], pa.list_(pa.float64())), "y": pa.array([], pa.list_(pa.float64()))})
-        if state.num_rows != 1:
-            raise ValueError("one state row per block expected")
-        x = _list_to_matrix(state.column("x"), p)[0]
-        y = _list_to_matrix(state.column("y"), p)[0]
+        if payload.num_rows == 0 or state.num_rows != 1:
+            raise RuntimeError(f"a block has {payload.num_rows} payload rows and {state.num_rows} state rows")
+        x, y = _vector(state.column("x")), _vector(state.column("y"))
+        if len(x) != p or len(y) != p:
+            raise ValueError(f"state of width {len(x)}, model of width {p}")
         if pending is not None:
             z_new, rho_prev = pending
             y = y + rho_prev * (x - z_new)
-        v = z - y / rho
-        x_new = np.asarray(local_update(payload, x, v, rho), dtype=np.float64)
-        if sums is not None:
-            w = y + rho * x_new
-            sums.add(np.concatenate([x_new + y / rho, x_new, [float(x_new @ x_new), float(w @ w)]]))
-        return pa.table({
-            "slot": pa.array([state.column("slot")[0].as_py()], pa.int32()),
-            "block_id": pa.array([state.column("block_id")[0].as_py()], pa.int32()),
-            "x": pa.array([x_new.tolist()], pa.list_(pa.float64())),
-            "y": pa.array([y.tolist()], pa.list_(pa.float64())),
-        })
+        x_new = np.asarray(local_update(payload, x, z - y / rho, rho), dtype=np.float64)
+        return pa.table({"block_id": state.column("block_id"), "x": list_column(x_new), "y": list_column(y)})
 
     return run
 
 
-def pass_sums(state: DataFrame, rho: float, p: int):
-    """The one aggregate per pass: p rows (j, u, sx, xx, ww) -> numpy vectors/scalars."""
+def pass_moments(state: DataFrame, rho: float, p: int) -> pd.DataFrame:
+    """One aggregate per pass, p rows: sum of u = x + y/rho, and mean and sum of squared
+    deviations over the blocks of x and w = y + rho x (no difference of large sums)."""
     long = state.select(F.posexplode(F.arrays_zip("x", "y")).alias("j", "e"))
     x, y = F.col("e.x"), F.col("e.y")
     w = y + F.lit(rho) * x
-    sums = long.groupBy("j").agg(
-        F.sum(x + y / F.lit(rho)).alias("u"), F.sum(x).alias("sx"),
-        F.sum(x * x).alias("xx"), F.sum(w * w).alias("ww"))
-    pdf = sums.toPandas().sort_values("j")
-    if len(pdf) != p:
-        raise RuntimeError(f"aggregate returned {len(pdf)} coordinates, expected {p}")
-    return (pdf["u"].to_numpy(), pdf["sx"].to_numpy(), float(pdf["xx"].sum()), float(pdf["ww"].sum()))
-
-
-@contextmanager
-def loop_conf(spark: SparkSession):
-    """Adaptive execution off for the pass jobs: their only shuffle moves the N state
-    rows onto an existing partitioning, so there is nothing to re-plan, and the
-    per-stage re-optimisation is pure latency when a pass repeats a hundred times."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def run_admm(spark: SparkSession, payload: DataFrame, mapping: DataFrame, n_blocks: int, p: int,
-             local_update: LocalUpdate, cfg: ADMMConfig, x0: np.ndarray | None = None) -> ADMMResult:
-    """Run ADMM over a placed payload (see ``operators.blocks.place_blocks``)."""
-    with loop_conf(spark):
-        return _run_admm(spark, payload, mapping, n_blocks, p, local_update, cfg, x0)
-
-
-def _run_admm(spark, payload, mapping, n_blocks, p, local_update, cfg, x0) -> ADMMResult:
-    ensure_checkpoint_dir(spark)
-    state = init_state(mapping, p, None if x0 is None else list(x0))
-    z = np.zeros(p)
-    rho = float(cfg.rho)
+    n = F.count(F.lit(1))
+    out = long.groupBy("j").agg(
+        F.sum(x + y / F.lit(rho)).alias("u"), n.alias("n"), F.avg(x).alias("mx"), (F.var_pop(x) * n).alias("sx"),
+        F.avg(w).alias("mw"), (F.var_pop(w) * n).alias("sw")).toPandas().sort_values("j")
+    if len(out) != p:
+        raise RuntimeError(f"aggregate returned {len(out)} coordinates, expected {p}")
+    return out
+
+
+def run_admm(payload: DataFrame, p: int, local_update: LocalUpdate, cfg: ADMMConfig) -> ADMMResult:
+    """Run ADMM over a placed payload: rows with ``block_id``, hash-partitioned on it and
+    persisted.  Every block of the payload takes part."""
+    spark: SparkSession = payload.sparkSession
+    root = scratch_path(spark, "concord-admm")
+    start = np.zeros(p) if cfg.x0 is None else np.asarray(cfg.x0, dtype=np.float64)
+    if len(start) != p:
+        raise ValueError(f"start weights of width {len(start)}, model of width {p}")
+    x0 = zeros(p) if cfg.x0 is None else F.lit([float(v) for v in start]).cast("array<double>")
+    # Fresh names: the state must not share attribute ids with the payload, or the
+    # cogroup of the first pass is an ambiguous self-join.
+    state = (payload.select(F.col("block_id").alias("b")).distinct()
+             .select(F.col("b").alias("block_id"), x0.alias("x"), zeros(p).alias("y")))
+    z, rho, n_blocks = start, float(cfg.rho), 0
     pending: tuple[np.ndarray, float] | None = None
     rows = []
-    grouped_payload = payload.groupBy("slot")
-    on_driver = n_blocks * (2 * p + 2) <= DRIVER_SUM_LIMIT
+    grouped = payload.groupBy("block_id")
     for it in range(cfg.max_iter):
-        acc = spark.sparkContext.accumulator(np.zeros(2 * p + 2), VectorSum()) if on_driver else None
-        fn = make_pass_function(local_update, p, z, rho, pending, acc)
-        # The reliable checkpoint runs the x-update once (accumulator updates count once
-        # per block), writes the N new state rows to spark.checkpoint.dir and cuts the
-        # plan: pass k's plan never nests pass k-1's.
-        state = (grouped_payload.cogroup(state.groupBy("slot"))
-                 .applyInArrow(fn, STATE_SCHEMA)
-                 .checkpoint(eager=True))
-        if on_driver:
-            tot = acc.value
-            u_sum, x_sum, x_sq, w_sq = tot[:p], tot[p:2 * p], float(tot[2 * p]), float(tot[2 * p + 1])
-        else:
-            u_sum, x_sum, x_sq, w_sq = pass_sums(state, rho, p)
-        stats: PassStats = consensus_from_sums(u_sum, x_sum, x_sq, w_sq, z, n_blocks, p, cfg.lam, rho, cfg.l1)
+        fn = make_pass_function(local_update, p, z, rho, pending)
+        path = f"{root}/pass-{it}"
+        grouped.cogroup(state.groupBy("block_id")).applyInArrow(fn, STATE_SCHEMA).write.parquet(path)
+        state = spark.read.schema(STATE_SCHEMA).parquet(path)
+        if it:
+            delete_path(spark, f"{root}/pass-{it - 1}")
+        m = pass_moments(state, rho, p)
+        n_blocks = int(m["n"].iloc[0])
+        u = m["u"].to_numpy()
+        z_new = cfg.z_update(u, n_blocks, cfg.lam, rho) if cfg.z_update else z_from_sum(u, n_blocks, cfg.lam, rho, cfg.l1)
+        stats: PassStats = consensus_from_moments(z_new, z, n_blocks, rho, m, cfg.abs_tol, cfg.rel_tol)
         rows.append((it, stats.resid_primal, stats.eps_primal, stats.resid_dual, stats.eps_dual, rho))
         pending = (stats.z, rho)
         z = stats.z

@@ -25,8 +25,8 @@ def _coef_frame(df: DataFrame, coefficients, intercept: float) -> DataFrame:
 
 
 def baseline_logistic(df: DataFrame, reg: float = 0.0, elastic_net: float = 0.0, max_iter: int = 100,
-                      fit_intercept: bool = False) -> DataFrame:
-    model = LogisticRegression(regParam=reg, elasticNetParam=elastic_net, maxIter=max_iter,
+                      fit_intercept: bool = False, tol: float = 1e-6) -> DataFrame:
+    model = LogisticRegression(regParam=reg, elasticNetParam=elastic_net, maxIter=max_iter, tol=tol,
                                fitIntercept=fit_intercept, standardization=False).fit(_ml_input(df))
     return _coef_frame(df, model.coefficients, model.intercept)
 

@@ -14,12 +14,9 @@ from concord.operators.blocks import block_of_key
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the session's parallelism when the scan yields fewer
-    tasks than cores (one large row group is one task).  Used before CPU-heavy per-row
-    text work only; a no-op for inputs that are already split -- every table at
-    cluster scale -- so it adds no shuffle there."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    """The rows dealt over the session's parallelism, before CPU-heavy text work: a table
+    of one row group is one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -67,8 +67,13 @@ BAD_TEXT = TEXT + """,
 txt AS (
   SELECT l_orderkey, l_linenumber,
     CASE
+      WHEN l_linenumber = 1 AND l_quantity < 5 THEN concat_ws(' ', lab, '1:' || q, '1:' || q)
+      WHEN l_linenumber = 2 AND l_quantity < 5 THEN lab || ' ' || q
+      WHEN l_linenumber = 3 AND l_quantity < 5 THEN chr(9) || '# order ' || CAST(l_orderkey AS VARCHAR)
       WHEN l_linenumber = 4 AND l_quantity < 5 THEN concat_ws(' ', lab, '3:' || CAST(tt AS VARCHAR), '1:' || q)
       WHEN l_linenumber = 5 AND l_quantity < 5 THEN lab || ' 0:' || q
+      WHEN l_linenumber = 6 AND l_quantity < 5 THEN 'label 1:' || q
+      WHEN l_linenumber = 7 AND l_quantity < 5 THEN lab || ' 1:x'
       ELSE value
     END AS value
   FROM txt0)"""
@@ -77,20 +82,21 @@ GOOD_TEXT = TEXT + """,
 txt AS (SELECT l_orderkey, l_linenumber, value FROM txt0)"""
 
 PARSED = """,
-clean AS (SELECT l_orderkey, l_linenumber, trim(value) AS line FROM txt
-          WHERE NOT (length(trim(value)) = 0 OR starts_with(trim(value), '#'))),
+clean AS (SELECT l_orderkey, l_linenumber, trim(value, chr(9) || ' ') AS line FROM txt
+          WHERE NOT (length(trim(value, chr(9) || ' ')) = 0 OR starts_with(trim(value, chr(9) || ' '), '#'))),
 split AS (SELECT *, string_split(line, ' ') AS toks FROM clean),
 items AS (SELECT *, TRY_CAST(toks[1] AS DOUBLE) AS raw_label,
                  list_filter(toks[2:], lambda x: x <> '') AS its FROM split),
 parsed AS (
   SELECT l_orderkey, l_linenumber, line, raw_label,
-         list_transform(its, lambda x: TRY_CAST(split_part(x, ':', 1) AS INTEGER) - 1) AS indices,
+         its, list_transform(its, lambda x: TRY_CAST(split_part(x, ':', 1) AS INTEGER) - 1) AS indices,
          list_transform(its, lambda x: TRY_CAST(split_part(x, ':', 2) AS DOUBLE)) AS vals
   FROM items),
 flagged AS (
   SELECT *, (raw_label IS NULL
              OR len(list_filter(indices, lambda i: i IS NULL)) > 0
              OR len(list_filter(vals, lambda v: v IS NULL)) > 0
+             OR len(list_filter(its, lambda x: len(string_split(x, ':')) <> 2)) > 0
              OR len(list_filter(range(1, len(indices) + 1),
                                 lambda k: indices[k] <= CASE WHEN k = 1 THEN -1 ELSE indices[k - 1] END)) > 0) AS bad
   FROM parsed)"""
@@ -232,8 +238,8 @@ SCORED = CLS + f""",
 scored AS (SELECT l_orderkey, l_linenumber, label, {_sigmoid(_dot3(W_LR))} AS score FROM cls),
 pred AS (SELECT *, CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM scored)"""
 
-BUCKETED = SCORED + """,
-conf AS (SELECT CAST(round(score * 10000) AS BIGINT) AS score, sum(CASE WHEN label > 0.5 THEN 1 ELSE 0 END) AS tp,
+BY_SCORE = SCORED + """,
+conf AS (SELECT round(score, 12) AS score, sum(CASE WHEN label > 0.5 THEN 1 ELSE 0 END) AS tp,
                 sum(CASE WHEN label > 0.5 THEN 0 ELSE 1 END) AS fp FROM pred GROUP BY 1),
 cum AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC) AS cum_tp, sum(fp) OVER (ORDER BY score DESC) AS cum_fp FROM conf),
 tot AS (SELECT sum(tp)::DOUBLE AS P FROM conf)"""
@@ -259,6 +265,81 @@ UNION ALL
 SELECT block_id, 1 AS j, {r6('(h11 * r2 - h12 * r1) / (h11 * h22 - h12 * h12)')} AS x FROM h"""
 
 
+def _loss_terms(kind: str, w: list[str]) -> tuple[str, str]:
+    """(derivative by the margin, curvature) of a row's loss at weights ``w``."""
+    m = f"({w[0]} * a + {w[1]} * c + {w[2]} * t)"
+    if kind == "lr":
+        mu = f"(1.0 / (1.0 + exp(-{m})))"
+        return f"({mu} - label)", f"({mu} * (1.0 - {mu}))"
+    active = f"(CASE WHEN 1.0 - ypm * {m} > 0 THEN {_d(2 * CEE)} ELSE 0.0::DOUBLE END)"
+    return f"({active} * ({m} - ypm))", active
+
+
+def _newton_chain(kind: str, lam2: float, shift: list[str], free: int, mean: bool, source: str, name: str, steps: int = 60) -> str:
+    """Recursive Newton iterations over the whole table: gradient and Hessian of the summed
+    loss + lam2 |w|^2 + shift . w over the first ``free`` coordinates, 3 x 3 solve by cofactors;
+    other coordinates stay 0."""
+    d, h = _loss_terms(kind, ["w1", "w2", "w3"])
+    wt = "wt" if mean else "1.0::DOUBLE"
+    x = ["a", "c", "t"]
+    grads = ", ".join(f"sum({wt} * {d} * {x[i]}) + 2 * {_d(lam2)} * w{i + 1} + {shift[i]} AS g{i + 1}" if i < free else f"0.0::DOUBLE AS g{i + 1}"
+                      for i in range(3))
+    hess = ", ".join((f"sum({wt} * {h} * {x[i]} * {x[j]})" + (f" + 2 * {_d(lam2)}" if i == j else "") if j < free
+                      else ("1.0::DOUBLE" if i == j else "0.0::DOUBLE")) + f" AS h{i + 1}{j + 1}" for i in range(3) for j in range(i, 3))
+    det = "(h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13))"
+    s1 = f"((h22 * h33 - h23 * h23) * g1 + (h13 * h23 - h12 * h33) * g2 + (h12 * h23 - h13 * h22) * g3) / {det}"
+    s2 = f"((h13 * h23 - h12 * h33) * g1 + (h11 * h33 - h13 * h13) * g2 + (h12 * h13 - h11 * h23) * g3) / {det}"
+    s3 = f"((h12 * h23 - h13 * h22) * g1 + (h12 * h13 - h11 * h23) * g2 + (h11 * h22 - h12 * h12) * g3) / {det}"
+    # half steps while far from the optimum keep the iteration monotone
+    step = "(CASE WHEN k < 40 THEN 0.5 ELSE 1.0 END)"
+    return f"""{name}(k, w1, w2, w3) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, w1 - {step} * {s1}, w2 - {step} * {s2}, w3 - {step} * {s3}
+  FROM (SELECT k, w1, w2, w3, {grads}, {hess} FROM {name}, {source} WHERE k < {steps} GROUP BY k, w1, w2, w3))"""
+
+
+CLS_MAT = CLS.replace("cls AS (", "clsv AS (") + """,
+cls AS MATERIALIZED (SELECT a, c, t, label, ypm, 1.0 / count(*) OVER (PARTITION BY block_id) AS wt FROM clsv)"""
+
+
+def _newton_sql(kind: str, lam: float, mean: bool = False) -> str:
+    chain = _newton_chain(kind, lam, ["0.0"] * 3, 3, mean, "cls", "it")
+    union = " UNION ALL ".join(f"SELECT {j} AS j, {r3(f'w{j + 1}')} AS weight FROM it WHERE k = 60" for j in range(3))
+    return f"WITH RECURSIVE {CLS_MAT},\n{chain}\n{union}"
+
+
+def _newton_l1_sql(kind: str, lam: float) -> str:
+    """Weights 1 and 2 have the planted signs (+, -).  Without weight 3 first; if the gradient
+    there is beyond lam, all three with the sign it then takes."""
+    two = _newton_chain(kind, 0.0, [_d(lam), _d(-lam), "0.0"], 2, False, "cls", "two")
+    three = _newton_chain(kind, 0.0, [_d(lam), _d(-lam), f"{_d(lam)} * any_value(s3)"], 3, False, "(SELECT cls.*, s3 FROM cls, side)", "three")
+    d, _ = _loss_terms(kind, ["w1", "w2", "0.0::DOUBLE"])
+    pick = lambda j: f"CASE WHEN abs(g3) <= {_d(lam)} THEN two.w{j} ELSE three.w{j} END"
+    union = " UNION ALL ".join(f"SELECT {j} AS j, {r3(pick(j + 1))} AS weight FROM two, three, side WHERE two.k = 60 AND three.k = 60"
+                               for j in range(3))
+    return f"""WITH RECURSIVE {CLS_MAT},
+{two},
+side AS MATERIALIZED (SELECT g3, -sign(g3) AS s3 FROM (SELECT sum({d} * t) AS g3 FROM cls, two WHERE k = 60)),
+{three}
+{union}"""
+
+
+def _lasso_intercept_sql(reg: float) -> str:
+    """min 1/(2n) |b - w.x - i|^2 + reg |w|_1 by coordinate descent on the centred moments."""
+    soft = lambda v, q: f"(CASE WHEN {v} > {_d(reg)} THEN ({v} - {_d(reg)}) / {q} WHEN {v} < -{_d(reg)} THEN ({v} + {_d(reg)}) / {q} ELSE 0.0::DOUBLE END)"
+    return f"""WITH RECURSIVE {LI},
+m AS MATERIALIZED (SELECT avg(a) AS ma, avg(c) AS mc, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(a, c) AS ac, covar_pop(c, c) AS cc,
+             covar_pop(a, b) AS ab, covar_pop(c, b) AS cb FROM li),
+it(k, w1, w2) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, n1, {soft('(cb - ac * n1)', 'cc')} FROM (SELECT k, {soft('(ab - ac * w2)', 'aa')} AS n1, ac, cc, cb FROM it, m WHERE k < 100))
+SELECT 0 AS j, {r3('w1')} AS weight FROM it WHERE k = 100
+UNION ALL SELECT 1, {r3('w2')} FROM it WHERE k = 100
+UNION ALL SELECT -1, {r3('mb - w1 * ma - w2 * mc')} FROM it, m WHERE k = 100"""
+
+
 def oracle_sql() -> dict[str, str]:
     sq: dict[str, str] = {}
 
@@ -278,6 +359,11 @@ width AS (SELECT max(CASE WHEN len(indices) = 0 THEN 0 ELSE indices[-1] END) + 1
 SELECT l_orderkey, l_linenumber, {r6(lab)} AS label, CAST(d AS INTEGER) AS size, len(indices) AS nnz,
        array_to_string(indices, ',') AS idx, {r6(_vsum('vals'))} AS val_sum
 FROM parsed, width"""
+    sq["libsvm_good_rows"] = f"""WITH {BAD_TEXT}{PARSED},
+width AS (SELECT max(CASE WHEN len(indices) = 0 THEN 0 ELSE indices[-1] END) + 1 AS d FROM flagged WHERE NOT bad)
+SELECT l_orderkey, l_linenumber, {r6("CASE WHEN raw_label = -1.0 THEN 0.0::DOUBLE ELSE raw_label END")} AS label, CAST(d AS INTEGER) AS size,
+       len(indices) AS nnz, array_to_string(indices, ',') AS idx, {r6(_vsum('vals'))} AS val_sum
+FROM flagged, width WHERE NOT bad"""
     sq["num_features"] = f"""WITH {GOOD_TEXT}{PARSED}
 SELECT CAST(max(CASE WHEN len(indices) = 0 THEN 0 ELSE indices[-1] END) + 1 AS INTEGER) AS num_features FROM parsed"""
     sq["dense_points_parse"] = f"""WITH {LI},
@@ -285,10 +371,10 @@ pts AS (SELECT l_orderkey, l_linenumber, CASE WHEN b > 0 THEN 1.0::DOUBLE ELSE 0
                [round(l_quantity), round(l_discount * 100), round(l_tax * 100)] AS f FROM li)
 SELECT l_orderkey, l_linenumber, {r6('label')} AS label, len(f) AS n, {r6('list_sum(f)')} AS f_sum,
        {r6('list_sum(list_transform(f, lambda v: v * v))')} AS f_sq FROM pts"""
-    bucket = "CAST(CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS INTEGER)"
+    bucket = "CAST(CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 1000000 AS INTEGER)"
     sq["hash_split"] = f"""SELECT o_orderkey, {bucket} AS bucket,
-       CASE WHEN {bucket} < 20 THEN 'test' ELSE 'train' END AS split FROM orders"""
-    sq["split_counts"] = f"""SELECT CASE WHEN {bucket} < 20 THEN 'test' ELSE 'train' END AS split, count(*) AS n
+       CASE WHEN {bucket} < 200000 THEN 'test' ELSE 'train' END AS split FROM orders"""
+    sq["split_counts"] = f"""SELECT CASE WHEN {bucket} < 200000 THEN 'test' ELSE 'train' END AS split, count(*) AS n
 FROM orders GROUP BY 1"""
 
     # ---------------- labels, vectors, scalar functions
@@ -356,6 +442,9 @@ SELECT block_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c,
        {r6(f'sum(v) / count(*) + CASE WHEN r = c THEN {_d(RHO)} ELSE 0.0::DOUBLE END')} AS h
 FROM pairs GROUP BY block_id, r, c"""
 
+    sq["block_assign_counts"] = "SELECT count(DISTINCT l_orderkey) AS n_rows FROM lineitem"
+    sq["split_hot_counts"] = "SELECT count(*)::DECIMAL(38,0)::BIGINT AS n_rows, true AS bounded FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"
+
     # ---------------- consensus steps
     sq["z_update_l2"] = f"""WITH {STATE2}
 SELECT j, {r6(f'{_d(RHO)} / ({_d(RHO)} * count(*) + {_d(2.0)}) * sum(x + y / {_d(RHO)})')} AS z FROM stl GROUP BY j"""
@@ -384,6 +473,15 @@ SELECT {r6(f'{_d(1e-3)} * greatest(sqrt(xx), sqrt(n::DOUBLE) * sqrt(zz)) + {_d(1
     sq["admm_ridge_path"] = _path_sql()
     sq["admm_ridge_sparse_weights"] = _weights_sql(1.0, False)
     sq["rho_update"] = _rho_update_sql()
+    sq["admm_lr_l2"] = _newton_sql("lr", 1.0)
+    sq["admm_lr_newton"] = _newton_sql("lr", 0.1, mean=True)
+    sq["admm_svm"] = _newton_sql("svm", 1.0)
+    sq["admm_lr_l1"] = _newton_l1_sql("lr", 1.0)
+    sq["admm_svm_adaptive"] = _newton_l1_sql("svm", 1.0)
+    sq["baseline_lr"] = _newton_sql("lr", 1.0) + f" UNION ALL SELECT -1, 0.0::DOUBLE"
+    sq["baseline_linreg"] = _lasso_intercept_sql(0.1)
+    sq["admm_custom_updater"] = f"""WITH {LI}, m AS (SELECT avg(b) AS m FROM li GROUP BY block_id)
+SELECT count(*)::INTEGER AS n_blocks, {r6('avg(m)')} AS mean FROM m"""
     sq["lambda_grid"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM orders),
 p AS (SELECT ln({_d(1.0)} * n) AS lmax, ln({_d(0.001)} * n) AS lmin FROM n)
 SELECT CAST(i AS INTEGER) AS i, {r6('exp(lmax - i * (lmax - lmin) / 49.0)')} AS lambda FROM p, range(0, 50) AS r(i)"""
@@ -398,10 +496,10 @@ SELECT l_orderkey, l_linenumber, {r6('label')} AS label, {r6('score')} AS score,
 SELECT l_orderkey, l_linenumber, {rnd('b', 7)} AS label, {r6('a * 3.0 + c * (-2.0)')} AS prediction FROM li"""
     sq["accuracy"] = f"""WITH {SCORED}
 SELECT count(*) AS n, {r6('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS accuracy FROM pred"""
-    sq["pr_curve"] = f"""WITH {BUCKETED}
-SELECT score AS threshold, {r6('CASE WHEN P = 0 THEN 0.0::DOUBLE ELSE cum_tp / P END')} AS recall,
+    sq["pr_curve"] = f"""WITH {BY_SCORE}
+SELECT {r6('score')} AS threshold, {r6('CASE WHEN P = 0 THEN 0.0::DOUBLE ELSE cum_tp / P END')} AS recall,
        {r6('cum_tp / (cum_tp + cum_fp)')} AS precision FROM cum, tot"""
-    sq["area_under_pr"] = f"""WITH {BUCKETED},
+    sq["area_under_pr"] = f"""WITH {BY_SCORE},
 seg AS (SELECT cum_tp / P AS rec, (cum_tp - tp) / P AS prev_rec, cum_tp / (cum_tp + cum_fp) AS prec,
                CASE WHEN cum_tp + cum_fp - tp - fp = 0 THEN cum_tp / (cum_tp + cum_fp)
                     ELSE (cum_tp - tp) / (cum_tp + cum_fp - tp - fp) END AS prev_prec FROM cum, tot)

@@ -17,7 +17,7 @@ from concord.functions import vectors as V
 from concord.operators import consensus as C
 from concord.operators import evaluate as E
 from concord.operators import objectives as O
-from concord.operators.blocks import block_sizes, place_blocks
+from concord.operators.blocks import assign_blocks, block_sizes, split_hot_blocks
 from concord.plans import fixtures as fx
 from concord.plans.admm import STATE_SCHEMA, make_pass_function
 from concord.sources import libsvm as io
@@ -77,8 +77,13 @@ def libsvm_text(spark: SparkSession, sf_dir: str, with_bad: bool = False) -> Dat
               .otherwise(normal))
     if with_bad:
         small = F.col("l_quantity") < 5
-        value = (F.when((ln == 4) & small, F.concat_ws(" ", lab, F.concat(F.lit("3:"), t.cast("string")), tok_q))
+        value = (F.when((ln == 1) & small, F.concat_ws(" ", lab, tok_q, tok_q))  # an index twice
+                  .when((ln == 2) & small, F.concat_ws(" ", lab, q))  # no colon
+                  .when((ln == 3) & small, F.concat(F.lit("\t# order "), F.col("l_orderkey").cast("string")))
+                  .when((ln == 4) & small, F.concat_ws(" ", lab, F.concat(F.lit("3:"), t.cast("string")), tok_q))
                   .when((ln == 5) & small, F.concat(lab, F.lit(" 0:"), q))
+                  .when((ln == 6) & small, F.concat_ws(" ", F.lit("label"), tok_q))
+                  .when((ln == 7) & small, F.concat(lab, F.lit(" 1:x")))
                   .otherwise(value))
     return li.select("l_orderkey", "l_linenumber", value.alias("value"))
 
@@ -140,6 +145,12 @@ def q_libsvm_bad_rows(spark, sf_dir):
     return io.bad_rows(_parsed(spark, sf_dir, with_bad=True)).select("l_orderkey", "l_linenumber", "line")
 
 
+def q_libsvm_good_rows(spark, sf_dir):
+    """Tolerant load of the lines with malformed records: the good rows."""
+    rows, _, _ = io.load_libsvm_tolerant(libsvm_text(spark, sf_dir, with_bad=True), binary=True)
+    return _loaded_summary(rows)
+
+
 def q_libsvm_load_binary(spark, sf_dir):
     rows, _ = io.load_libsvm_lines(libsvm_text(spark, sf_dir), binary=True)
     return _loaded_summary(rows)
@@ -163,7 +174,7 @@ def q_dense_points_parse(spark, sf_dir):
 def q_hash_split(spark, sf_dir):
     orders = fx.table(spark, sf_dir, "orders")
     return orders.select("o_orderkey", io.bucket_of("o_orderkey").alias("bucket"),
-                         F.when(io.bucket_of("o_orderkey") < 20, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+                         F.when(io.bucket_of("o_orderkey") < 200_000, F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
 
 def q_split_counts(spark, sf_dir):
@@ -270,23 +281,37 @@ def q_block_state_join(spark, sf_dir):
                                      r3(F.sum(V.dense_dot("features", "x"))).alias("sum_margin"))
 
 
-def _long_gram(spark, sf_dir):
-    from concord.plans.train import block_gram
-    rows = fx.reg_small(spark, sf_dir).select("block_id", "label", "features")
-    placed, n, _ = place_blocks(spark, rows)
-    return block_gram(placed, 2, "dense")
+def q_block_assign_counts(spark, sf_dir):
+    """Blocks by place over a shuffled input: rows in, rows placed by a trainer's placement."""
+    from concord.plans.train import place
+    grouped = fx.reg_small(spark, sf_dir).groupBy("l_orderkey").agg(F.avg("label").alias("label"), F.first("features").alias("features"))
+    placed = place(assign_blocks(grouped, 400), 2)
+    try:
+        return spark.createDataFrame([(placed.n_rows,)], "n_rows long")
+    finally:
+        placed.release()
+
+
+def q_split_hot_counts(spark, sf_dir):
+    """Blocks of a shuffled input split at 300 rows: rows and largest block afterwards."""
+    grouped = fx.reg_small(spark, sf_dir).groupBy("l_orderkey", "l_linenumber", "block_id").agg(F.avg("label").alias("label"))
+    sizes = block_sizes(split_hot_blocks(grouped, 300))
+    return sizes.agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 400).alias("bounded"))
+
+
+def _grams(spark, sf_dir):
+    from concord.plans.train import prepare_regression
+    return prepare_regression(fx.reg_small(spark, sf_dir), 2)
 
 
 def q_block_gram(spark, sf_dir):
-    g = _long_gram(spark, sf_dir)
-    return g.select("block_id", "n", F.posexplode("gram").alias("k", "g")).select(
+    return _grams(spark, sf_dir).payload.select("block_id", "n", F.posexplode("gram").alias("k", "g")).select(
         "block_id", "n", (F.col("k") / 2).cast("int").alias("r"), (F.col("k") % 2).cast("int").alias("c"),
         r6(F.col("g") / F.col("n")).alias("g_mean"))
 
 
 def q_block_xty(spark, sf_dir):
-    g = _long_gram(spark, sf_dir)
-    return g.select("block_id", "n", F.posexplode("xty").alias("j", "q")).select(
+    return _grams(spark, sf_dir).payload.select("block_id", "n", F.posexplode("xty").alias("j", "q")).select(
         "block_id", F.col("j").cast("int").alias("j"), r6(F.col("q") / F.col("n")).alias("q_mean"))
 
 
@@ -294,13 +319,10 @@ def q_ls_x_update(spark, sf_dir):
     """One least-squares x-update from state2 with consensus Z2, rho = 2."""
     import numpy as np
 
-    from concord.plans.train import _ls_update, block_gram
-    rows = fx.reg_small(spark, sf_dir).select("block_id", "label", "features")
-    placed, n, mapping = place_blocks(spark, rows)
-    grams = block_gram(placed, 2, "dense")
-    st = state2(spark, sf_dir).join(mapping.select("block_id", "slot"), "block_id")
-    fn = make_pass_function(_ls_update(2), 2, np.array(Z2), RHO, None)
-    out = grams.groupBy("slot").cogroup(st.select("slot", "block_id", "x", "y").groupBy("slot")).applyInArrow(fn, STATE_SCHEMA)
+    from concord.plans.train import ls_update
+    prep = _grams(spark, sf_dir)
+    fn = make_pass_function(ls_update(2, prep.kind), 2, np.array(Z2), RHO, None)
+    out = prep.payload.groupBy("block_id").cogroup(state2(spark, sf_dir).groupBy("block_id")).applyInArrow(fn, STATE_SCHEMA)
     return out.select("block_id", F.posexplode("x").alias("j", "x")).select(
         "block_id", F.col("j").cast("int").alias("j"), r6("x").alias("x"))
 
@@ -390,7 +412,7 @@ PATH_LAMBDAS = [10.0, 1.0, 0.1]
 def q_admm_ridge_path(spark, sf_dir):
     """Regularisation path: PASSES passes per lambda, every fit on the same cached Grams."""
     from concord.plans.train import regularization_path
-    models = regularization_path(fx.reg_small(spark, sf_dir), 2, PATH_LAMBDAS, rho=RHO, max_iter=PASSES,
+    models = regularization_path(fx.reg_small(spark, sf_dir), 2, PATH_LAMBDAS, warm_start=False, rho=RHO, max_iter=PASSES,
                                  early_stop=False)
     rows = [(float(lam), j, float(w)) for lam, m in zip(PATH_LAMBDAS, models) for j, w in enumerate(m.weights)]
     return spark.createDataFrame(rows, "lambda double, j int, weight double").select(
@@ -451,19 +473,18 @@ def q_accuracy(spark, sf_dir):
     return E.accuracy(_scored_lr(spark, sf_dir)).select("n", r6("accuracy").alias("accuracy"))
 
 
-def _bucketed(spark, sf_dir):
-    """Scores on a 1e-4 grid (ties share a PR point)."""
-    p = _scored_lr(spark, sf_dir)
-    return p.withColumn("score", F.round(F.col("score") * 10000).cast("long"))
+def _ranked(spark, sf_dir):
+    """Scores to 12 decimals: equal scores then tie in any engine, whatever its exp()."""
+    return _scored_lr(spark, sf_dir).withColumn("score", F.round("score", 12))
 
 
 def q_pr_curve(spark, sf_dir):
-    c = E.pr_curve(_bucketed(spark, sf_dir))
-    return c.select(F.col("threshold").cast("long").alias("threshold"), r6("recall").alias("recall"), r6("precision").alias("precision"))
+    c = E.pr_curve(_ranked(spark, sf_dir))
+    return c.select(r6("threshold").alias("threshold"), r6("recall").alias("recall"), r6("precision").alias("precision"))
 
 
 def q_area_under_pr(spark, sf_dir):
-    return E.area_under_pr(_bucketed(spark, sf_dir)).select(r6("area_under_pr").alias("area_under_pr"))
+    return E.area_under_pr(_ranked(spark, sf_dir)).select(r6("area_under_pr").alias("area_under_pr"))
 
 
 def q_regression_metrics(spark, sf_dir):
@@ -476,50 +497,94 @@ def q_regression_metrics(spark, sf_dir):
 # ------------------------------------------------------------------ trainers checked against solvers (rows-only in the driver)
 
 
+#: the classifiers run to these tolerances, so their weights are the optimum's
+TIGHT = dict(max_iter=300, abs_tol=1e-6, rel_tol=1e-6, primal_only_stop=False)
+SOLVE = dict(lbfgs_max_iter=60, lbfgs_history=10, lbfgs_tol=1e-12)
+
+
 def _weights(model, spark) -> DataFrame:
     return model.weights_frame(spark).select("j", r6("weight").alias("weight"))
 
 
+def _optimum(model, spark) -> DataFrame:
+    """Weights of a converged run, to three decimals."""
+    if model.iterations >= TIGHT["max_iter"]:
+        raise RuntimeError("the run did not converge")
+    return model.weights_frame(spark).select("j", r3("weight").alias("weight"))
+
+
+def _rho_for(spark, sf_dir, rows_per_unit: float) -> float:
+    """A penalty parameter near the curvature of a block's summed loss, which grows with
+    the rows (few logistic rows are near the boundary, more of the hinge's are active)."""
+    return fx.table(spark, sf_dir, "lineitem").count() / rows_per_unit
+
+
 def q_admm_lr_l2(spark, sf_dir):
     from concord.plans.train import train_logistic
-    return _weights(train_logistic(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=RHO, max_iter=30), spark)
+    return _optimum(train_logistic(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=_rho_for(spark, sf_dir, 3000.0), **TIGHT, **SOLVE), spark)
 
 
 def q_admm_lr_l1(spark, sf_dir):
     from concord.plans.train import train_logistic
-    return _weights(train_logistic(fx.cls_small_sparse(spark, sf_dir), 3, lam=1.0, rho=RHO, max_iter=30, l1=True), spark)
+    return _optimum(train_logistic(fx.cls_small_sparse(spark, sf_dir), 3, lam=1.0, rho=_rho_for(spark, sf_dir, 3000.0), l1=True,
+                                   **TIGHT, **SOLVE), spark)
 
 
 def q_admm_lr_newton(spark, sf_dir):
     from concord.plans.train import train_logistic
-    return _weights(train_logistic(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=RHO, max_iter=30, solver="newton"), spark)
+    return _optimum(train_logistic(fx.cls_small(spark, sf_dir), 3, lam=0.1, rho=0.1, solver="newton", **TIGHT), spark)
 
 
 def q_admm_svm(spark, sf_dir):
     from concord.plans.train import train_svm
-    return _weights(train_svm(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=RHO, cee=CEE, max_iter=30), spark)
+    return _optimum(train_svm(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=_rho_for(spark, sf_dir, 300.0), cee=CEE, **TIGHT, **SOLVE), spark)
 
 
 def q_admm_svm_adaptive(spark, sf_dir):
     from concord.plans.train import train_svm
-    return _weights(train_svm(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=RHO, cee=CEE, max_iter=30, l1=True,
-                              adaptive_rho=True), spark)
+    return _optimum(train_svm(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=_rho_for(spark, sf_dir, 800.0), cee=CEE, l1=True,
+                              adaptive_rho=True, **TIGHT, **SOLVE), spark)
+
+
+def q_admm_custom_updater(spark, sf_dir):
+    """A user's own block update and consensus step on the exported loop: the mean of the
+    labels (p = 1), blocks weighted equally."""
+    import numpy as np
+
+    from concord.plans.admm import ADMMConfig, run_admm
+    from concord.plans.train import place
+    from concord.operators.solvers import unpack_block
+
+    rows = fx.reg_small(spark, sf_dir).select("block_id", "label", F.array(F.lit(1.0)).alias("features"))
+
+    def block_mean(payload, x, v, rho):
+        _, b = unpack_block(payload, "dense", 1)
+        return np.array([(b.mean() + rho * v[0]) / (1.0 + rho)])
+
+    placed = place(rows, 1)
+    try:
+        res = run_admm(placed.payload, 1, block_mean, ADMMConfig(rho=1.0, max_iter=200, abs_tol=1e-10, rel_tol=1e-10,
+                                                                primal_only_stop=False, z_update=lambda u, n, lam, rho: u / n))
+    finally:
+        placed.release()
+    return spark.createDataFrame([(res.n_blocks, float(res.z[0]))], "n_blocks int, mean double").select("n_blocks", r6("mean").alias("mean"))
 
 
 def q_admm_lr_docs(spark, sf_dir):
     from concord.plans.train import train_logistic
     rows = fx.cls_sparse(spark, sf_dir)
-    return _weights(train_logistic(rows, fx.HASH_WIDTH, lam=1.0, rho=RHO, max_iter=20), spark)
+    return _weights(train_logistic(rows, fx.HASH_WIDTH, lam=1.0, rho=RHO, max_iter=100), spark)
 
 
 def q_admm_lr_wide_dense(spark, sf_dir):
     from concord.plans.train import train_logistic
-    return _weights(train_logistic(fx.cls_wide_dense(spark, sf_dir), 64, lam=1.0, rho=RHO, max_iter=20, solver="newton"), spark)
+    return _weights(train_logistic(fx.cls_wide_dense(spark, sf_dir), 64, lam=1.0, rho=RHO, max_iter=100, solver="newton"), spark)
 
 
 def q_baseline_lr(spark, sf_dir):
     from concord.plans.baselines import baseline_logistic
-    return baseline_logistic(fx.cls_small(spark, sf_dir))
+    return baseline_logistic(fx.cls_small(spark, sf_dir), reg=2.0 / fx.table(spark, sf_dir, "lineitem").count(), tol=1e-14).select(
+        "j", r3("weight").alias("weight"))
 
 
 def q_baseline_svm(spark, sf_dir):
@@ -529,7 +594,7 @@ def q_baseline_svm(spark, sf_dir):
 
 def q_baseline_linreg(spark, sf_dir):
     from concord.plans.baselines import baseline_linear_regression
-    return baseline_linear_regression(fx.reg_small(spark, sf_dir))
+    return baseline_linear_regression(fx.reg_small(spark, sf_dir), reg=0.1).select("j", r3("weight").alias("weight"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,16 +1,18 @@
 """Trainers: logistic regression (L-BFGS, sum loss; Newton, mean loss), squared-hinge
 SVM, ridge / lasso regression -- each one ADMM run over explicit row blocks -- plus
-the lambda grid and regularisation path.
+the lambda grid and regularisation paths.
 
 Input rows: ``block_id int, label double`` and either ``features array<double>``
 (dense) or ``indices array<int>, values array<double>`` (sparse, 0-based), with the
-model width ``p`` given.  Training never brings rows to the driver.
+model width ``p`` given.  Training never brings rows to the driver.  Every trainer
+checks its input first (blocks and labels present) and that exactly the counted rows
+were placed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Iterator, Tuple
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,15 +22,23 @@ from pyspark.sql import functions as F
 
 from concord.functions.losses import label_01
 from concord.operators import solvers as S
-from concord.operators.blocks import place_blocks
-from concord.plans.admm import ADMMConfig, ADMMResult, run_admm, trace_frame, weights_frame
+from concord.operators.blocks import MAX_BLOCK_ROWS, check_rows, split_hot_blocks
+from concord.plans.admm import ADMMConfig, ADMMResult, LocalUpdate, list_column, run_admm, trace_frame, weights_frame
+from concord.session import ensure_importable
 
-GRAM_SCHEMA = "slot int, block_id int, n long, gram array<double>, xty array<double>"
+GRAM_SCHEMA = "block_id int, n long, gram array<double>, xty array<double>"
+PARTIAL_SCHEMA = "block_id int, n long, gram binary, xty binary"
+
+#: Up to this width a least-squares block is kept as its p x p Gram (8 p^2 bytes per
+#: block); wider ones keep their packed rows and solve by conjugate gradients.
+GRAM_MAX_P = 512
+#: A task stacks about this many bytes of rows before it emits its records.
+PACK_BUFFER_BYTES = 256 << 20
 
 
 @dataclass
 class LinearModel:
-    """Weights (intercept 0, as in the reference) plus how they were found."""
+    """Weights (intercept 0) plus how they were found."""
 
     weights: np.ndarray
     kind: str  # "logistic" | "svm" | "regression"
@@ -49,6 +59,9 @@ class LinearModel:
         return linear_score(self.weights, features=features, indices=indices, values=values)
 
 
+# ------------------------------------------------------------------ placement
+
+
 def _features_spec(df: DataFrame) -> str:
     cols = set(df.columns)
     if "features" in cols:
@@ -58,370 +71,238 @@ def _features_spec(df: DataFrame) -> str:
     raise ValueError("rows need `features` (dense) or `indices`+`values` (sparse)")
 
 
-def _block_matrix(table: pa.Table, kind: str, p: int):
-    if kind == "dense":
-        return S.dense_block(table, "features", p)
-    return S.sparse_block(table, p)
+def _payload_columns(kind: str) -> list[str]:
+    return ["block_id", "label", "features"] if kind == "dense" else ["block_id", "label", "indices", "values"]
 
 
-PACK_BUFFER_BYTES = 256 << 20
+def check_binary_labels(df: DataFrame, label: str = "label") -> None:
+    """Fail unless every label is 0 or 1 (one aggregate)."""
+    bad = df.agg(F.count_if(~F.col(label).isin(0.0, 1.0) | F.col(label).isNull()).alias("bad")).first()["bad"]
+    if bad:
+        raise ValueError(f"{bad} rows have a label other than 0/1")
 
 
-def per_slot(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
-    """Group one input partition's rows by ``slot`` and hand each group to ``emit``,
-    flushing whenever ~256 MB are buffered (memory stays bounded on skewed input)."""
-    buffered: dict[int, list] = {}
-    size = 0
+def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to tables of about PACK_BUFFER_BYTES, so memory stays bounded."""
+    held, size = [], 0
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        t = pa.Table.from_batches([batch])
-        slots = t.column("slot").to_numpy()
-        order = np.argsort(slots, kind="stable")
-        t, slots = t.take(pa.array(order)), slots[order]
-        cuts = np.flatnonzero(np.diff(slots)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
-            buffered.setdefault(int(slots[a]), []).append(t.slice(int(a), int(b - a)))
-        size += t.nbytes
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
         if size > PACK_BUFFER_BYTES:
-            for slot, tables in buffered.items():
-                yield from emit(slot, tables)
-            buffered, size = {}, 0
-    for slot, tables in buffered.items():
-        yield from emit(slot, tables)
-
-
-def place_packed(spark: SparkSession, df: DataFrame, p: int, kind: str, check_binary: str | None = None):
-    """Place classifier rows packed: each input partition stacks its rows per slot into
-    binary chunks (buffering at most ~256 MB), and only those chunks are shuffled, one
-    block per partition, then cached.  Every row crosses the network once, inside a
-    large binary record.  Returns (packed, N, mapping)."""
-    from concord.operators.blocks import slot_map
-    from concord.session import ensure_importable
-
-    ensure_importable(spark)
-    mapping, n = slot_map(spark, df, check_binary)
-    mapping = mapping.persist()
-    mapping.count()
-    rows = df.join(F.broadcast(mapping.select("block_id", "slot")), "block_id")
-
-    def emit(slot: int, tables: list) -> Iterator[pa.RecordBatch]:
-        t = pa.concat_tables(tables)
-        block_id = t.column("block_id")[0].as_py()
-        for chunk in S.pack_chunks(t, kind, p):
-            yield pa.RecordBatch.from_pydict({
-                "slot": pa.array([slot], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
-                "n": pa.array([chunk["n"]], pa.int32()),
-                **{c: pa.array([chunk[c]], pa.binary()) for c in ("label", "x", "indptr", "idx", "val")}})
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from per_slot(batches, emit)
-
-    packed = rows.mapInArrow(pack, S.PACK_SCHEMA)
-    packed = packed.repartition(n, "slot").sortWithinPartitions("slot").persist()
-    packed.count()
-    return packed, n, mapping
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _payload_columns(kind: str) -> list[str]:
-    return ["block_id", "label", "features"] if kind == "dense" else ["block_id", "label", "indices", "values"]
+@dataclass
+class Placed:
+    """A payload with all records of a block in one partition, cached."""
 
+    payload: DataFrame
+    kind: str  # "dense" | "sparse" packed rows, "gram"
+    n_rows: int
+    n_blocks: int
+    p: int
 
-def check_binary_labels(df: DataFrame, label: str = "label") -> None:
-    """Binary-label validation: fail unless every label is 0 or 1 (one aggregate).
-    The trainers fold the same count into block discovery (``slot_map``)."""
-    bad = df.agg(F.count_if(~F.col(label).isin(0.0, 1.0) | F.col(label).isNull()).alias("bad")).first()["bad"]
-    if bad:
-        raise ValueError(f"{bad} rows have a label other than 0/1")
+    def release(self) -> None:
+        self.payload.unpersist()
 
 
-# ------------------------------------------------------------------ regression
+def place(df: DataFrame, p: int, binary: bool = False, max_block_rows: int | None = MAX_BLOCK_ROWS,
+          gram: bool = False) -> Placed:
+    """Check the rows, split blocks above ``max_block_rows``, stack the rows of each block
+    map-side (packed rows, or their partial Gram), and move only those records, once:
+    hash-partitioned on ``block_id`` and cached.  Two partitions per block keep blocks
+    that meet by hash few.  Fails unless exactly the counted rows were placed."""
+    ensure_importable(df.sparkSession)
+    kind = _features_spec(df)
+    rows = df.select(*_payload_columns(kind))
+    n_rows, most = check_rows(rows, binary=binary)
+    if max_block_rows and most > max_block_rows:
+        rows = split_hot_blocks(rows, max_block_rows)
+    n_blocks = rows.select("block_id").distinct().count()
+
+    def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buffered(batches):
+            packed = S.pack_rows(table, kind, p)
+            if not gram:
+                yield packed
+                continue
+            for i in range(packed.num_rows):
+                X, b = S.unpack_block(packed.slice(i, 1), kind, p)
+                yield pa.RecordBatch.from_pydict({
+                    "block_id": packed.column("block_id").slice(i, 1), "n": pa.array([len(b)], pa.int64()),
+                    "gram": pa.array([S.gram_of(X).tobytes()], pa.binary()),
+                    "xty": pa.array([S.as_operator(X).rmatvec(b).tobytes()], pa.binary())})
 
+    def finish(table: pa.Table) -> pa.Table:
+        G, q = np.zeros(p * p), np.zeros(p)
+        for g, xy in zip(table.column("gram").to_pylist(), table.column("xty").to_pylist()):
+            G += np.frombuffer(g, dtype=np.float64)
+            q += np.frombuffer(xy, dtype=np.float64)
+        n = int(np.sum(table.column("n").to_numpy()))
+        return pa.table({"block_id": table.column("block_id").slice(0, 1), "n": pa.array([n], pa.int64()),
+                         "gram": list_column(G), "xty": list_column(q)})
 
-def block_gram(placed: DataFrame, p: int, kind: str) -> DataFrame:
-    """Per block: n, X^T X (p*p, row-major) and X^T b, streamed batch by batch."""
+    records = rows.mapInArrow(stack, PARTIAL_SCHEMA if gram else S.PACK_SCHEMA)
+    if gram:
+        records = records.groupBy("block_id").applyInArrow(finish, GRAM_SCHEMA)
+    payload = records.repartition(2 * n_blocks, "block_id").sortWithinPartitions("block_id").persist()
+    got = payload.agg(F.sum("n").alias("n"), F.countDistinct("block_id").alias("b")).first()
+    if got["n"] != n_rows or got["b"] != n_blocks:
+        payload.unpersist()
+        raise RuntimeError(f"{n_rows} rows in {n_blocks} blocks were counted, {got['n']} in {got['b']} were placed: "
+                           "the input gives other rows when it is read again")
+    return Placed(payload, "gram" if gram else kind, n_rows, n_blocks, p)
 
-    def gram(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        G = np.zeros((p, p))
-        q = np.zeros(p)
-        n = 0
-        block_id = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            t = pa.Table.from_batches([batch])
-            X = _block_matrix(t, kind, p)
-            if not isinstance(X, np.ndarray):
-                X = S.dense_of(X)
-            b = S.labels_of(t)
-            G += X.T @ X
-            q += X.T @ b
-            n += t.num_rows
-            block_id = t.column("block_id")[0].as_py()
-        yield pa.RecordBatch.from_pydict({
-            "slot": pa.array([key[0].as_py()], pa.int32()),
-            "block_id": pa.array([block_id], pa.int32()),
-            "n": pa.array([n], pa.int64()),
-            "gram": pa.array([G.ravel().tolist()], pa.list_(pa.float64())),
-            "xty": pa.array([q.tolist()], pa.list_(pa.float64())),
-        })
-
-    return placed.groupBy("slot").applyInArrow(gram, GRAM_SCHEMA)
-
-
-def _ls_update(p: int):
-    def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
-        G = np.asarray(payload.column("gram")[0].as_py(), dtype=np.float64).reshape(p, p)
-        q = np.asarray(payload.column("xty")[0].as_py(), dtype=np.float64)
-        n = float(payload.column("n")[0].as_py())
-        return S.least_squares_update(G, q, n, v, rho)
 
-    return update
+# ------------------------------------------------------------------ block updates
 
 
-@dataclass
-class GramBlocks:
-    """Per-block Gram and X^T b, placed one block per partition and cached."""
+def ls_update(p: int, kind: str) -> LocalUpdate:
+    """Least squares: a solve on the block's Gram, or conjugate gradients on its rows."""
 
-    grams: DataFrame
-    mapping: DataFrame
-    n_blocks: int
-    p: int
+    def from_gram(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
+        payload = payload.combine_chunks()
+        G = payload.column("gram").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(p, p)
+        q = payload.column("xty").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        return S.least_squares_update(G, q, float(payload.column("n")[0].as_py()), v, rho)
 
-    def release(self) -> None:
-        self.grams.unpersist()
-        self.mapping.unpersist()
-
-
-def _bounded_blocks(df: DataFrame, max_block_rows: int | None) -> DataFrame:
-    """Split any block above ``max_block_rows`` into hashed sub-blocks (no row dropped),
-    so a hot key cannot make one block -- one Python task -- hold a third of the data."""
-    if not max_block_rows:
-        return df
-    from concord.operators.blocks import split_hot_blocks
-    return split_hot_blocks(df, max_block_rows)
-
-
-PARTIAL_SCHEMA = "slot int, block_id int, n long, gram binary, xty binary, x binary, label binary"
-
-
-def _dense_rows(t: pa.Table, kind: str, p: int) -> np.ndarray:
-    X = _block_matrix(t, kind, p)
-    return X if isinstance(X, np.ndarray) else S.dense_of(X)
-
-
-def partial_grams(rows: DataFrame, p: int, kind: str) -> DataFrame:
-    """Map side: per input partition and slot, X^T X and X^T b of the rows seen (when the
-    group has more than p rows), else the raw rows -- whichever is smaller.  Buffers at
-    most ~256 MB per task."""
-
-    def emit(slot: int, tables: list) -> Iterator[pa.RecordBatch]:
-        t = pa.concat_tables(tables)
-        X, b = _dense_rows(t, kind, p), S.labels_of(t)
-        block_id = t.column("block_id")[0].as_py()
-        if t.num_rows > p:
-            rec = {"gram": (X.T @ X).tobytes(), "xty": (X.T @ b).tobytes(), "x": b"", "label": b""}
-        else:
-            rec = {"gram": b"", "xty": b"", "x": np.ascontiguousarray(X).tobytes(), "label": b.tobytes()}
-        yield pa.RecordBatch.from_pydict({
-            "slot": pa.array([slot], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
-            "n": pa.array([t.num_rows], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in rec.items()}})
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from per_slot(batches, emit)
-
-    return rows.mapInArrow(part, PARTIAL_SCHEMA)
-
-
-def finish_grams(partials: DataFrame, p: int) -> DataFrame:
-    """Reduce side: one block's partial Grams summed, raw rows folded in."""
-
-    def finish(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        G, q, n, block_id = np.zeros((p, p)), np.zeros(p), 0, None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for k, g, xy, x, lab, bid in zip(t.column("n").to_pylist(), t.column("gram").to_pylist(),
-                                             t.column("xty").to_pylist(), t.column("x").to_pylist(),
-                                             t.column("label").to_pylist(), t.column("block_id").to_pylist()):
-                block_id = bid
-                n += k
-                if g:
-                    G += np.frombuffer(g, dtype=np.float64).reshape(p, p)
-                    q += np.frombuffer(xy, dtype=np.float64)
-                else:
-                    X = np.frombuffer(x, dtype=np.float64).reshape(k, p)
-                    b = np.frombuffer(lab, dtype=np.float64)
-                    G += X.T @ X
-                    q += X.T @ b
-        yield pa.RecordBatch.from_pydict({
-            "slot": pa.array([key[0].as_py()], pa.int32()), "block_id": pa.array([block_id], pa.int32()),
-            "n": pa.array([n], pa.int64()), "gram": pa.array([G.ravel().tolist()], pa.list_(pa.float64())),
-            "xty": pa.array([q.tolist()], pa.list_(pa.float64()))})
-
-    return partials.groupBy("slot").applyInArrow(finish, GRAM_SCHEMA)
-
-
-def prepare_regression(df: DataFrame, p: int, max_block_rows: int | None = None) -> GramBlocks:
-    """Read the rows once: per-partition partial Grams are the only thing shuffled; each
-    block's X^T X and X^T b are summed and cached one block per partition."""
-    from concord.operators.blocks import slot_map
-    from concord.session import ensure_importable
-
-    spark = df.sparkSession
-    ensure_importable(spark)
-    kind = _features_spec(df)
-    df = _bounded_blocks(df, max_block_rows).select(*_payload_columns(kind))
-    mapping, n = slot_map(spark, df)
-    mapping = mapping.persist()
-    mapping.count()
-    rows = df.join(F.broadcast(mapping.select("block_id", "slot")), "block_id")
-    grams = finish_grams(partial_grams(rows, p, kind), p)
-    grams = grams.repartition(n, "slot").sortWithinPartitions("slot").persist()
-    grams.count()
-    return GramBlocks(grams, mapping, n, p)
-
-
-def fit_regression(prep: GramBlocks, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
-                   l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
-                   early_stop: bool = True) -> LinearModel:
-    cfg = ADMMConfig(lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
-                     primal_only_stop=primal_only_stop, early_stop=early_stop)
-    res = run_admm(prep.grams.sparkSession, prep.grams, prep.mapping, prep.n_blocks, prep.p, _ls_update(prep.p), cfg)
-    return _model(res, "regression")
-
-
-def train_regression(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
-                     l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
-                     early_stop: bool = True, max_block_rows: int | None = None) -> LinearModel:
-    """Ridge (L2, penalty lam ||w||^2) or lasso (L1, lam ||w||_1) on
-    sum_blocks 1/(2 n_i) ||X_i w - b_i||^2.  The rows are read once, to build each
-    block's Gram and X^T b; every pass after that solves p x p systems only."""
-    prep = prepare_regression(df, p, max_block_rows)
-    try:
-        return fit_regression(prep, lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
-                              primal_only_stop=primal_only_stop, early_stop=early_stop)
-    finally:
-        prep.release()
+    def from_rows(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
+        X, b = S.unpack_block(payload, kind, p)
+        return S.least_squares_cg(X, b, v, rho, x)
 
+    return from_gram if kind == "gram" else from_rows
 
-# ------------------------------------------------------------------ classification
 
+def _loss_update(p: int, kind: str, loss: Callable, max_iter: int, history: int, tol: float) -> LocalUpdate:
+    """L-BFGS on ``loss(X, labels -1/+1)`` plus the proximal term."""
 
-def _lr_lbfgs_update(p: int, kind: str, max_iter: int, history: int, tol: float):
     def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
         X, y01 = S.unpack_block(payload, kind, p)
-        ypm = 2.0 * y01 - 1.0
-        fg = S.with_prox(S.logistic_sum(X, ypm), v, rho)
-        return S.lbfgs(fg, x, max_iter=max_iter, history=history, tol=tol)
+        return S.lbfgs(S.with_prox(loss(X, 2.0 * y01 - 1.0), v, rho), x, max_iter=max_iter, history=history, tol=tol)
 
     return update
 
 
-def _lr_newton_update(p: int, kind: str):
+def _newton_update(p: int, kind: str) -> LocalUpdate:
     def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
         X, y01 = S.unpack_block(payload, kind, p)
-        if not isinstance(X, np.ndarray):
-            X = S.dense_of(X)
         return S.newton_logistic_mean(X, y01, v, rho, x)
 
     return update
 
 
-def _svm_update(p: int, kind: str, cee: float, max_iter: int, history: int, tol: float):
-    def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
-        X, y01 = S.unpack_block(payload, kind, p)
-        ypm = 2.0 * y01 - 1.0
-        fg = S.with_prox(S.squared_hinge_sum(X, ypm, cee), v, rho)
-        return S.lbfgs(fg, x, max_iter=max_iter, history=history, tol=tol)
+# ------------------------------------------------------------------ regression
 
-    return update
 
+def prepare_regression(df: DataFrame, p: int, max_block_rows: int | None = MAX_BLOCK_ROWS,
+                       gram_max_p: int = GRAM_MAX_P) -> Placed:
+    """Read the rows once.  Up to ``gram_max_p`` features only partial Grams are
+    shuffled and each block is kept as X^T X and X^T b; beyond, packed rows."""
+    return place(df, p, max_block_rows=max_block_rows, gram=p <= gram_max_p)
 
-def _run_rows(df: DataFrame, p: int, update_factory, cfg: ADMMConfig, validate: bool = True,
-              max_block_rows: int | None = None) -> ADMMResult:
-    spark = df.sparkSession
-    kind = _features_spec(df)
-    df = _bounded_blocks(df, max_block_rows)
-    packed, n, mapping = place_packed(spark, df.select(*_payload_columns(kind)), p, kind,
-                                      check_binary="label" if validate else None)
+
+def fit_regression(prep: Placed, **config) -> LinearModel:
+    """One ridge or lasso fit on a prepared payload (options of ``ADMMConfig``)."""
+    return _model(run_admm(prep.payload, prep.p, ls_update(prep.p, prep.kind), ADMMConfig(**config)), "regression")
+
+
+def train_regression(df: DataFrame, p: int, *, max_block_rows: int | None = MAX_BLOCK_ROWS,
+                     gram_max_p: int = GRAM_MAX_P, **config) -> LinearModel:
+    """Ridge (L2, penalty lam ||w||^2) or lasso (L1, lam ||w||_1) on
+    sum_blocks 1/(2 n_i) ||X_i w - b_i||^2; ``config`` are ``ADMMConfig`` fields."""
+    prep = prepare_regression(df, p, max_block_rows, gram_max_p)
     try:
-        return run_admm(spark, packed, mapping, n, p, update_factory(kind), cfg)
+        return fit_regression(prep, **config)
     finally:
-        packed.unpersist()
-        mapping.unpersist()
+        prep.release()
 
 
-def train_logistic(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, max_iter: int = 100,
-                   l1: bool = False, adaptive_rho: bool = False, primal_only_stop: bool = True,
-                   solver: str = "lbfgs", lbfgs_max_iter: int = 10, lbfgs_history: int = 5,
-                   lbfgs_tol: float = 1e-4, early_stop: bool = True,
-                   validate: bool = True, max_block_rows: int | None = None) -> LinearModel:
-    """Logistic regression, labels 0/1.
+# ------------------------------------------------------------------ classification
+
 
-    ``solver="lbfgs"``: sum of log-losses per block (sparse or dense rows).
-    ``solver="newton"``: mean log-loss per block, Newton steps on a dense block.
-    """
-    cfg = ADMMConfig(lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
-                     primal_only_stop=primal_only_stop, early_stop=early_stop)
+def fit_logistic(prep: Placed, *, solver: str = "lbfgs", lbfgs_max_iter: int = 10, lbfgs_history: int = 5,
+                 lbfgs_tol: float = 1e-4, **config) -> LinearModel:
+    """One logistic fit on a placed payload."""
     if solver == "lbfgs":
-        factory = lambda kind: _lr_lbfgs_update(p, kind, lbfgs_max_iter, lbfgs_history, lbfgs_tol)
+        update = _loss_update(prep.p, prep.kind, S.logistic_sum, lbfgs_max_iter, lbfgs_history, lbfgs_tol)
     elif solver == "newton":
-        factory = lambda kind: _lr_newton_update(p, kind)
+        update = _newton_update(prep.p, prep.kind)
     else:
         raise ValueError(f"unknown solver {solver!r}")
-    res = _run_rows(df, p, factory, cfg, validate=validate, max_block_rows=max_block_rows)
-    model = _model(res, "logistic")
+    model = _model(run_admm(prep.payload, prep.p, update, ADMMConfig(**config)), "logistic")
     model.threshold = 0.5
     return model
 
 
-def train_svm(df: DataFrame, p: int, *, lam: float = 1.0, rho: float = 2.0, cee: float = 1.0,
-              max_iter: int = 100, l1: bool = False, adaptive_rho: bool = False,
-              primal_only_stop: bool = False, lbfgs_max_iter: int = 5, lbfgs_history: int = 10,
-              lbfgs_tol: float = 1e-4, early_stop: bool = True, max_block_rows: int | None = None) -> LinearModel:
-    """Linear SVM with the squared hinge, C * sum max(1 - y w.x, 0)^2 + lam R(w).
+def train_logistic(df: DataFrame, p: int, *, validate: bool = True, max_block_rows: int | None = MAX_BLOCK_ROWS,
+                   **options) -> LinearModel:
+    """Logistic regression, labels 0/1.
 
-    Accepts 0/1 or -1/+1 labels (mapped once to 0/1; -1 -> 0)."""
-    df = df.withColumn("label", label_01("label"))
-    cfg = ADMMConfig(lam=lam, rho=rho, max_iter=max_iter, l1=l1, adaptive_rho=adaptive_rho,
-                     primal_only_stop=primal_only_stop, early_stop=early_stop)
-    res = _run_rows(df, p, lambda kind: _svm_update(p, kind, cee, lbfgs_max_iter, lbfgs_history, lbfgs_tol), cfg,
-                    max_block_rows=max_block_rows)
-    model = _model(res, "svm")
+    ``solver="lbfgs"``: sum of log-losses per block.  ``solver="newton"``: mean log-loss
+    per block.  Other options are those of ``fit_logistic`` and ``ADMMConfig``."""
+    prep = place(df, p, binary=validate, max_block_rows=max_block_rows)
+    try:
+        return fit_logistic(prep, **options)
+    finally:
+        prep.release()
+
+
+def fit_svm(prep: Placed, *, cee: float = 1.0, lbfgs_max_iter: int = 5, lbfgs_history: int = 10,
+            lbfgs_tol: float = 1e-4, primal_only_stop: bool = False, **config) -> LinearModel:
+    """One SVM fit on a placed payload."""
+    update = _loss_update(prep.p, prep.kind, lambda X, y: S.squared_hinge_sum(X, y, cee), lbfgs_max_iter, lbfgs_history, lbfgs_tol)
+    model = _model(run_admm(prep.payload, prep.p, update, ADMMConfig(primal_only_stop=primal_only_stop, **config)), "svm")
     model.threshold = 0.0
     return model
 
 
+def train_svm(df: DataFrame, p: int, *, max_block_rows: int | None = MAX_BLOCK_ROWS, **options) -> LinearModel:
+    """Linear SVM with the squared hinge, C * sum max(1 - y w.x, 0)^2 + lam R(w).
+
+    Accepts 0/1 or -1/+1 labels (mapped once to 0/1; -1 -> 0)."""
+    prep = place(df.withColumn("label", label_01("label")), p, binary=True, max_block_rows=max_block_rows)
+    try:
+        return fit_svm(prep, **options)
+    finally:
+        prep.release()
+
+
 def _model(res: ADMMResult, kind: str) -> LinearModel:
-    if res.state is not None:
-        res.state.unpersist()
     return LinearModel(weights=res.z, kind=kind, n_blocks=res.n_blocks, trace=res.trace,
                        rho=res.rho, iterations=res.iterations)
 
 
-# ------------------------------------------------------------------ lambda grid
+# ------------------------------------------------------------------ lambda grid, paths
 
 
 def lambda_grid(spark: SparkSession, n: int, minr: float = 0.001, maxr: float = 1.0, nlambda: int = 50) -> DataFrame:
-    """Log-spaced lambdas from maxr*n down to minr*n: exp(log(maxr n) - i * step)."""
-    logmin, logmax = np.log(minr * n), np.log(maxr * n)
-    step = (logmax - logmin) / (nlambda - 1.0)
-    i = F.col("id")
-    return spark.range(nlambda).select(i.cast("int").alias("i"), F.exp(F.lit(logmax) - i * F.lit(step)).alias("lambda"))
-
-
-def single_lambda(n: int, i: int, minr: float = 0.001, maxr: float = 1.0) -> float:
-    """The i-th lambda when the grid has i points: steps past minr*n (nlambda unused)."""
-    logmin, logmax = np.log(minr * n), np.log(maxr * n)
-    step = (logmax - logmin) / (i - 1.0)
-    return float(np.exp(logmax - i * step))
-
-
-def regularization_path(df: DataFrame, p: int, lambdas: list[float], **kwargs) -> list[LinearModel]:
-    """Fit ridge/lasso for each lambda (largest first).  The rows are read once; every
-    fit re-reads only the cached Grams."""
-    prep = prepare_regression(df, p)
+    """A geometric series of ``nlambda`` penalties falling from maxr n to minr n."""
+    ratio = (minr / maxr) ** (1.0 / (nlambda - 1))
+    return spark.range(nlambda).select(F.col("id").cast("int").alias("i"),
+                                       (F.lit(float(maxr * n)) * F.pow(F.lit(ratio), F.col("id"))).alias("lambda"))
+
+
+def regularization_path(df: DataFrame, p: int, lambdas: list[float], *, family: str = "regression",
+                        warm_start: bool = True, max_block_rows: int | None = MAX_BLOCK_ROWS, **options) -> list[LinearModel]:
+    """One fit per penalty, in the order given (largest first is best), all on one placed
+    payload.  ``warm_start`` begins each fit at the weights of the one before."""
+    if family == "regression":
+        prep, fit = prepare_regression(df, p, max_block_rows), fit_regression
+    elif family == "logistic":
+        prep, fit = place(df, p, binary=True, max_block_rows=max_block_rows), fit_logistic
+    elif family == "svm":
+        prep, fit = place(df.withColumn("label", label_01("label")), p, binary=True, max_block_rows=max_block_rows), fit_svm
+    else:
+        raise ValueError(f"unknown family {family!r}")
     try:
-        return [fit_regression(prep, lam=lam, **kwargs) for lam in lambdas]
+        models: list[LinearModel] = []
+        for lam in lambdas:
+            start = models[-1].weights if warm_start and models else None
+            models.append(fit(prep, lam=lam, x0=start, **options))
+        return models
     finally:
         prep.release()

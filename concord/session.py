@@ -57,6 +57,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name for intermediate tables under ``spark.checkpoint.dir`` (only a
+    local session without that setting gets a folder of its own)."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder written by this library, through Spark's file system layer."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 

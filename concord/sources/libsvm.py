@@ -1,10 +1,12 @@
 """LIBSVM and labelled-point text loaders, as DataFrame plans (no per-row Python).
 
 A LIBSVM record is ``label i:v i:v ...`` with 1-based ascending indices.  The plan:
-``spark.read.text`` -> trim -> drop blank and ``#`` lines -> split on single spaces ->
-skip empty tokens -> ``i:v`` to (i-1, v) -> index-order check -> optional relabel
-(-1 -> 0).  Every step is a built-in expression, so the scan stays in codegen and a
-width inference is one ``max`` aggregate.
+``spark.read.text`` -> trim all white space -> drop blank and ``#`` lines -> split once on
+blanks -> ``i:v`` to (i-1, v) -> order and width checks -> optional relabel (-1 -> 0).  Every
+step is a built-in expression; each line is split once and each item once.
+
+A strict load carries its checks in ``label``, ``indices`` and ``values`` themselves, so
+whichever of them a query reads, the first bad row fails the job.
 """
 
 from __future__ import annotations
@@ -16,51 +18,57 @@ from pyspark.sql import functions as F
 
 from concord.functions.losses import label_01
 
+#: characters stripped from both ends of a line
+_BLANKS = " \t\r\n\f\x0b"
+
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Text lines of one or several files or folders (``value string``)."""
+def read_lines(spark: SparkSession, paths: str | Sequence[str], ignore_missing: bool = False) -> DataFrame:
+    """Text lines of one or several files or folders (``value string``).  With
+    ``ignore_missing`` paths that match nothing are skipped (all missing: no lines)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if ignore_missing:
+        paths = [p for p in paths if _exists(spark, p)]
+        if not paths:
+            return spark.createDataFrame([], "value string")
     return spark.read.text(paths)
 
 
-def clean_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Trim, then drop empty lines and ``#`` comment lines; adds ``line``."""
-    line = F.trim(F.col(col))
-    return lines.withColumn("line", line).where(~((F.length("line") == 0) | F.col("line").startswith("#")))
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
-def _items(line: Column) -> Column:
-    tokens = F.split(line, " ")
-    return F.filter(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: t != "")
+def _trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(_BLANKS))
 
 
-def order_violation(indices: Column) -> Column:
-    """True when some index is not greater than the one before it (start value -1),
-    or an index / value failed to parse."""
-    n = F.size(indices)
-    bad_order = F.exists(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda k: (k <= n) & (F.element_at(indices, k) <= F.when(k == 1, F.lit(-1)).otherwise(F.element_at(indices, F.greatest(k - 1, F.lit(1))))),
-    )
-    return F.when(n == 0, F.lit(False)).otherwise(bad_order)
+def clean_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Trim, then drop empty lines and ``#`` comment lines; adds ``line``."""
+    return (lines.withColumn("line", _trimmed(F.col(col)))
+            .where(~((F.length("line") == 0) | F.col("line").startswith("#"))))
 
 
 def parse_records(lines: DataFrame, line_col: str = "line", relabel: bool = True) -> DataFrame:
     """Parse cleaned lines into ``label double, indices array<int>, values array<double>``
-    plus a ``bad`` flag (unparsable token or index order violated)."""
-    line = F.col(line_col)
-    head = F.element_at(F.split(line, " "), 1)
-    raw_label = head.try_cast("double")
-    items = _items(line)
-    indices = F.transform(items, lambda t: F.element_at(F.split(t, ":"), 1).try_cast("int") - 1)
-    values = F.transform(items, lambda t: F.element_at(F.split(t, ":"), 2).try_cast("double"))
-    out = lines.select("*", (label_01(raw_label) if relabel else raw_label).alias("label"),
-                       indices.alias("indices"), values.alias("values"))
-    unparsable = (F.col("label").isNull()
-                  | F.exists("indices", lambda i: i.isNull())
-                  | F.exists("values", lambda v: v.isNull())
-                  | F.exists(items, lambda t: F.size(F.split(t, ":")) != 2))
-    return out.withColumn("bad", unparsable | order_violation(F.col("indices")))
+    plus a ``bad`` flag: an item that is not ``i:v``, an unparsable number, or an index
+    that is not above the one before it (the first must be at least 1).
+
+    One projection splits the line, one its items, so neither is repeated."""
+    tokens = F.filter(F.split(F.col(line_col), " "), lambda t: t != "")
+    out = lines.withColumn("__tokens__", tokens)
+    out = out.withColumn("__items__", F.transform(
+        F.slice("__tokens__", 2, F.greatest(F.size("__tokens__") - 1, F.lit(0))), lambda t: F.split(t, ":")))
+    raw_label = F.get("__tokens__", 0).try_cast("double")
+    out = out.select(*lines.columns, (label_01(raw_label) if relabel else raw_label).alias("label"),
+                     F.transform("__items__", lambda x: F.get(x, 0).try_cast("int") - 1).alias("indices"),
+                     F.transform("__items__", lambda x: F.get(x, 1).try_cast("double")).alias("values"),
+                     F.exists("__items__", lambda x: F.size(x) != 2).alias("__shape__"))
+    # one pass over the indices: the running index, or -2 once the order was broken
+    order = F.aggregate("indices", F.lit(-1), lambda last, i: F.when((last >= -1) & (i > last), i).otherwise(F.lit(-2)))
+    bad = (F.col("label").isNull() | F.col("__shape__") | F.exists("indices", lambda i: i.isNull())
+           | F.exists("values", lambda v: v.isNull()) | (order == -2))
+    return out.withColumn("bad", bad).drop("__shape__")
 
 
 def bad_rows(parsed: DataFrame) -> DataFrame:
@@ -68,49 +76,66 @@ def bad_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("bad")
 
 
+def _checked(parsed: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """``label``, ``indices`` and ``values`` fail the job where ``bad`` holds."""
+    for name in ("label", "indices", "values"):
+        kind = parsed.schema[name].dataType
+        parsed = parsed.withColumn(f"__{name}__", F.when(bad, F.raise_error(message).cast(kind)).otherwise(F.col(name)))
+    return parsed.select(*[F.col(f"__{c}__").alias(c) if c in ("label", "indices", "values") else F.col(f"`{c}`")
+                           for c in parsed.columns if not c.startswith("__")])
+
+
 def require_valid(parsed: DataFrame) -> DataFrame:
-    """Strict mode: the first bad row fails the job with its text."""
-    return parsed.withColumn(
-        "bad", F.when(F.col("bad"), F.raise_error(F.concat(
-            F.lit("indices should be one-based and in ascending order; line=\""), F.col("line"), F.lit("\""))))
-        .otherwise(F.lit(False)))
+    """Strict mode: reading label, indices or values of a bad row fails with its text."""
+    return _checked(parsed, F.col("bad"), F.concat(F.lit("not a valid record: \""), F.col("line"), F.lit("\"")))
+
+
+def _last_index(parsed: DataFrame) -> Column:
+    return F.coalesce(F.get("indices", F.size("indices") - 1), F.lit(0))
 
 
 def infer_num_features(parsed: DataFrame) -> int:
     """``max(last index) + 1``; a row without features counts as index 0."""
-    last = F.coalesce(F.element_at(F.col("indices"), -1), F.lit(0))
-    return int(parsed.agg(F.max(F.when(F.size("indices") == 0, F.lit(0)).otherwise(last)).alias("m")).first()["m"]) + 1
+    return int(parsed.agg(F.max(_last_index(parsed)).alias("m")).first()["m"] or 0) + 1
 
 
 def num_features_frame(parsed: DataFrame) -> DataFrame:
-    last = F.when(F.size("indices") == 0, F.lit(0)).otherwise(F.element_at(F.col("indices"), -1))
-    return parsed.agg((F.max(last) + 1).cast("int").alias("num_features"))
+    return parsed.agg((F.max(_last_index(parsed)) + 1).cast("int").alias("num_features"))
+
+
+def _with_width(rows: DataFrame, num_features: int) -> tuple[DataFrame, int]:
+    """Enforce the width on the three data columns (indices ascend, so the last decides)."""
+    d = num_features if num_features > 0 else infer_num_features(rows)
+    message = F.concat(F.lit(f"feature index beyond the model width {d}: \""), F.col("line"), F.lit("\""))
+    return _checked(rows, _last_index(rows) >= F.lit(d), message).withColumn("size", F.lit(d)).drop("bad"), d
 
 
-def load_libsvm_lines(lines: DataFrame, num_features: int = -1, binary: bool = True,
-                      strict: bool = True) -> tuple[DataFrame, int]:
+def load_libsvm_lines(lines: DataFrame, num_features: int = -1, binary: bool = True) -> tuple[DataFrame, int]:
     """Lines (``value``) -> rows ``label, size, indices, values`` and the width d.
 
     ``binary=True`` relabels -1 to 0 (classification); ``False`` keeps labels (regression).
-    A known ``num_features`` is enforced: larger indices are an error, not a silent widening.
-    """
+    The first bad row fails the job that reads it; so does an index beyond a known width."""
+    return _with_width(require_valid(parse_records(clean_lines(lines), relabel=binary)), num_features)
+
+
+def load_libsvm_tolerant(lines: DataFrame, num_features: int = -1, binary: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """(good rows, bad rows, width): bad records are set apart instead of failing.  With a
+    known width, records beyond it are bad too."""
     parsed = parse_records(clean_lines(lines), relabel=binary)
-    if strict:
-        parsed = require_valid(parsed)
-    d = num_features if num_features > 0 else infer_num_features(parsed)
-    too_wide = F.exists("indices", lambda i: i >= F.lit(d))
-    rows = parsed.withColumn("size", F.when(too_wide, F.raise_error(F.concat(
-        F.lit(f"feature index beyond the model width {d}; line=\""), F.col("line"), F.lit("\"")))).otherwise(F.lit(d)))
-    return rows.drop("bad"), d
+    if num_features > 0:
+        parsed = parsed.withColumn("bad", F.col("bad") | (_last_index(parsed) >= F.lit(num_features)))
+    good = parsed.where("not bad")
+    rows, d = _with_width(good, num_features)
+    return rows, parsed.where("bad").drop("bad"), d
 
 
 def load_libsvm(spark: SparkSession, paths: str | Sequence[str], num_features: int = -1, binary: bool = True,
-                min_partitions: int | None = None) -> tuple[DataFrame, int]:
-    """Load LIBSVM files (``binary``: -1 -> 0)."""
-    lines = read_lines(spark, paths)
-    want = max(min_partitions or 0, spark.sparkContext.defaultParallelism)
-    if lines.rdd.getNumPartitions() < want:  # small inputs only; split inputs are left alone
-        lines = lines.repartition(want)
+                min_partitions: int | None = None, ignore_missing: bool = False) -> tuple[DataFrame, int]:
+    """Load LIBSVM files (``binary``: -1 -> 0).  ``min_partitions`` spreads the lines over
+    that many tasks at least."""
+    lines = read_lines(spark, paths, ignore_missing)
+    if min_partitions:
+        lines = lines.repartition(min_partitions)
     return load_libsvm_lines(lines, num_features=num_features, binary=binary)
 
 
@@ -139,14 +164,15 @@ _LEGACY = r"^([^,(]+),(.*)$"
 
 def _num_list(s: Column, sep: str, cast: str) -> Column:
     parts = F.filter(F.split(F.trim(s), sep), lambda t: F.trim(t) != "")
-    return F.transform(parts, lambda t: F.trim(t).cast(cast))
+    return F.transform(parts, lambda t: F.trim(t).try_cast(cast))
 
 
 def parse_labeled_points(lines: DataFrame, col: str = "value") -> DataFrame:
     """Labelled-point text: ``(label,[v1,v2,...])`` dense, ``(label,(n,[i..],[v..]))``
     sparse, or the legacy ``label,v1 v2 ...``.  Output ``label double,
-    features array<double>`` (sparse forms are expanded to dense)."""
-    line = F.trim(F.col(col))
+    features array<double>`` (sparse forms are expanded to dense).  A line with an
+    unreadable number fails the job that reads its label or features, with its text."""
+    line = _trimmed(F.col(col))
     is_sparse = line.rlike(_SPARSE)
     is_dense = line.rlike(_DENSE)
     label = (F.when(is_sparse, F.regexp_extract(line, _SPARSE, 1))
@@ -161,8 +187,12 @@ def parse_labeled_points(lines: DataFrame, col: str = "value") -> DataFrame:
     sparse_dense = F.transform(F.array_repeat(F.lit(0.0), F.coalesce(size, F.lit(0))),
                                lambda zero, k: F.coalesce(F.element_at(lookup, k), zero))
     features = F.when(is_sparse, sparse_dense).when(is_dense, dense_vals).otherwise(legacy_vals)
-    return (lines.where(F.length(line) > 0)
-                 .select("*", F.trim(label).cast("double").alias("label"), features.alias("features")))
+    out = lines.where(F.length(line) > 0).select(
+        "*", line.alias("__line__"), F.trim(label).try_cast("double").alias("__label__"), features.alias("__features__"))
+    bad = F.col("__label__").isNull() | F.col("__features__").isNull() | F.exists("__features__", lambda v: v.isNull())
+    error = F.raise_error(F.concat(F.lit("not a labelled point: \""), F.col("__line__"), F.lit("\"")))
+    return out.select(*lines.columns, F.when(bad, error.cast("double")).otherwise(F.col("__label__")).alias("label"),
+                      F.when(bad, error.cast("array<double>")).otherwise(F.col("__features__")).alias("features"))
 
 
 def load_dense_points(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -182,17 +212,20 @@ def load_data(spark: SparkSession, path: str, fmt: str, num_features: int | None
     raise ValueError(f"Bad data format: {fmt}")
 
 
-def bucket_of(key: str | Column) -> Column:
-    """0..99 from the first 8 hex digits of md5(key as string): repeatable in any engine."""
+#: grain of a repeatable split
+SPLIT_BUCKETS = 1_000_000
+
+
+def bucket_of(key: str | Column, buckets: int = SPLIT_BUCKETS) -> Column:
+    """0..buckets-1 from the first 8 hex digits of md5(key as string): repeatable in any engine."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.conv(F.substring(F.md5(k.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(100)).cast("int")
+    return F.pmod(F.conv(F.substring(F.md5(k.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
 def hash_split(df: DataFrame, key: str | Column, frac_test: float) -> tuple[DataFrame, DataFrame]:
-    """Repeatable train/test split by key bucket (bucket < 100*frac_test -> test)."""
-    cut = int(round(100 * frac_test))
-    b = bucket_of(key)
-    return df.where(b >= cut), df.where(b < cut)
+    """Repeatable train/test split by key bucket, to a millionth; a null key trains."""
+    test = F.coalesce(bucket_of(key) < int(round(SPLIT_BUCKETS * frac_test)), F.lit(False))
+    return df.where(~test), df.where(test)
 
 
 def load_datasets(spark: SparkSession, path: str, fmt: str, test_path: str = "", frac_test: float = 0.2,
@@ -210,6 +243,8 @@ def load_datasets(spark: SparkSession, path: str, fmt: str, test_path: str = "",
     d = int(train.agg(F.max(F.size("features")).alias("d")).first()["d"])
     if test_path:
         test = load_data(spark, test_path, fmt)
+        wide = F.raise_error(F.concat(F.lit(f"a test row is wider than the model width {d}: "), F.col("value")))
+        test = test.withColumn("features", F.when(F.size("features") > d, wide.cast("array<double>")).otherwise(F.col("features")))
     else:
         train, test = train.randomSplit([1.0 - frac_test, frac_test], seed=seed)
     return train, test, d

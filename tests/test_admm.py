@@ -45,15 +45,11 @@ def test_l2_dual_sum_invariant(spark):
     """After any L2 pass, sum_i y_i (after the dual update) = 2 lam z, for any rho."""
 
     lam, rho = 0.7, 1.3
-    from concord.operators.blocks import place_blocks
     from concord.plans.admm import ADMMConfig, run_admm
-    from concord.plans.train import _ls_update, block_gram
+    from concord.plans.train import ls_update, prepare_regression
 
-    rows = fx.reg_small(spark, SF_SMALL).select("block_id", "label", "features")
-    placed, n, mapping = place_blocks(spark, rows)
-    grams = block_gram(placed, 2, "dense").repartition(n, "slot").sortWithinPartitions("slot").persist()
-    res = run_admm(spark, grams, mapping, n, 2, _ls_update(2),
-                   ADMMConfig(lam=lam, rho=rho, max_iter=4, early_stop=False))
+    prep = prepare_regression(fx.reg_small(spark, SF_SMALL), 2)
+    res = run_admm(prep.payload, 2, ls_update(2, prep.kind), ADMMConfig(lam=lam, rho=rho, max_iter=4, early_stop=False))
     st = res.state.toPandas()
     x, y = np.stack(st.x.values), np.stack(st.y.values)
     y_after = y + rho * (x - res.z)
@@ -103,19 +99,65 @@ def test_regularization_path_is_monotone(spark):
     assert norms[0] < norms[1] < norms[2]
 
 
-def test_distributed_sums_path_gives_the_same_passes(spark, monkeypatch):
-    """Beyond the driver bound the consensus sums come from a groupBy over coordinates."""
-    import concord.plans.admm as admm
+def test_warm_start_reaches_the_same_path_in_fewer_passes(spark):
+    from concord.plans.train import regularization_path
+
+    df, lambdas = fx.reg_small(spark, SF_SMALL), [0.5, 0.45, 0.4]
+    kw = dict(rho=0.2, max_iter=300, abs_tol=1e-7, rel_tol=1e-7, primal_only_stop=False)
+    cold = regularization_path(df, 2, lambdas, warm_start=False, **kw)
+    warm = regularization_path(df, 2, lambdas, warm_start=True, **kw)
+    for a, b in zip(cold, warm):
+        np.testing.assert_allclose(a.weights, b.weights, atol=1e-5)
+    assert sum(m.iterations for m in warm) <= sum(m.iterations for m in cold)
+    svm = regularization_path(fx.cls_small(spark, SF_SMALL), 3, [2.0, 1.0], family="svm", max_iter=3, early_stop=False)
+    assert [m.iterations for m in svm] == [3, 3]
+
+
+def test_wide_rows_use_conjugate_gradients_with_the_same_answer(spark):
+    df = fx.reg_lasso(spark, SF_SMALL)
+    a = train_regression(df, 3, lam=0.3, rho=0.5, max_iter=6, early_stop=False)
+    b = train_regression(df, 3, lam=0.3, rho=0.5, max_iter=6, early_stop=False, gram_max_p=0)
+    np.testing.assert_allclose(a.weights, b.weights, atol=1e-9)
+
+
+def test_sparse_gram_equals_dense():
+    from concord.operators.solvers import CSR, gram_of
+
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(40, 9)) * (rng.random((40, 9)) < 0.3)
+    rows, cols = np.nonzero(X)
+    np.testing.assert_allclose(gram_of(CSR(40, 9, rows, cols, X[rows, cols])), X.T @ X, atol=1e-12)
+
+
+def test_moments_give_the_residuals_of_the_definition(spark):
+    import pandas as pd
+
+    from concord.operators.consensus import consensus_from_moments
+
+    rng = np.random.default_rng(4)
+    x, y, z, z_prev, rho = rng.normal(size=(5, 3)), rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3), 1.7
+    w = y + rho * x
+    m = pd.DataFrame({"mx": x.mean(0), "sx": x.var(0) * 5, "mw": w.mean(0), "sw": w.var(0) * 5})
+    s = consensus_from_moments(z, z_prev, 5, rho, m)
+    assert s.resid_primal == pytest.approx(np.sqrt(((x - z) ** 2).sum()))
+    assert s.resid_dual == pytest.approx(rho * np.sqrt(5) * np.linalg.norm(z - z_prev))
+    assert s.eps_dual == pytest.approx(1e-3 * np.linalg.norm(y + rho * (x - z)) + 1e-3 * np.sqrt(15))
+
+
+def test_old_pass_files_are_deleted(spark):
+    import os
+
+    from concord.plans.admm import ADMMConfig, run_admm
+    from concord.plans.train import ls_update, prepare_regression
 
-    monkeypatch.setattr(admm, "DRIVER_SUM_LIMIT", 0)
-    m = train_regression(fx.reg_small(spark, SF_CHECK), 2, lam=1.0, rho=2.0, max_iter=5, early_stop=False)
-    np.testing.assert_allclose(m.weights, (0.30918535, -0.20755521), atol=1e-8)
+    prep = prepare_regression(fx.reg_small(spark, SF_SMALL), 2)
+    res = run_admm(prep.payload, 2, ls_update(2, prep.kind), ADMMConfig(max_iter=4, early_stop=False))
+    root = os.path.dirname(os.path.dirname(res.state.inputFiles()[0].replace("file://", "")))
+    assert os.listdir(root) == ["pass-3"]
 
 
-def test_partial_grams_and_raw_rows_agree(spark):
-    """Input partitions so small that most (partition, block) groups have <= p rows ship
-    raw rows instead of partial Grams; the block Grams and the passes are the same."""
+def test_grams_of_many_small_input_partitions_agree(spark):
     df = fx.reg_small(spark, SF_SMALL)
     a = train_regression(df.coalesce(1), 2, lam=1.0, max_iter=5, early_stop=False).weights
-    b = train_regression(df.repartition(4000), 2, lam=1.0, max_iter=5, early_stop=False).weights
+    b = train_regression(df.repartition(400), 2, lam=1.0, max_iter=5, early_stop=False).weights
     np.testing.assert_allclose(a, b, rtol=1e-10, atol=1e-12)

@@ -51,7 +51,8 @@ def test_hard_predictions_aupr_formula(spark, scored):
     tp = ((pdf.prediction == 1) & (pdf.label == 1)).sum()
     precision = tp / (pdf.prediction == 1).sum()
     recall = tp / (pdf.label == 1).sum()
-    assert ours == pytest.approx(E.hard_prediction_aupr(precision, recall, (pdf.label == 1).mean()), abs=1e-12)
+    base = (pdf.label == 1).mean()
+    assert ours == pytest.approx(recall * precision + (1 - recall) * (precision + base) / 2, abs=1e-12)
 
 
 def test_pr_curve_points(spark, scored):
@@ -81,3 +82,23 @@ def test_sparse_scoring_equals_dense(spark):
     sparse = E.predict(fx.cls_small_sparse(spark, SF_SMALL), W, "logistic", indices="indices",
                        values="values").select("score").toPandas()
     np.testing.assert_allclose(np.sort(dense.score.values), np.sort(sparse.score.values), atol=1e-15)
+
+
+def test_no_positive_and_null_labels(spark):
+    rows = spark.createDataFrame([(0.3, 0.0), (0.6, 0.0)], "score double, label double")
+    assert E.area_under_pr(rows).first()[0] == 0.0
+    assert [r["recall"] for r in E.pr_curve(rows).collect()] == [0.0, 0.0]
+    with pytest.raises(Exception):
+        E.area_under_pr(spark.createDataFrame([(0.3, None), (0.6, 1.0)], "score double, label double")).collect()
+
+
+def test_curve_scans_its_input_once_and_runs_no_job_while_planned(spark, scratch):
+    path = f"{scratch}/scored"
+    E.predict(fx.cls_small(spark, SF_SMALL), W, "logistic").select("score", "label").write.parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    df = E.area_under_pr(spark.read.schema("score double, label double").parquet(path))
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 2

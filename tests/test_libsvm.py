@@ -42,17 +42,56 @@ def test_bad_rows_flagged(spark, line):
     assert parsed(spark, [line]).first()["bad"]
 
 
-def test_strict_loader_raises_on_bad_row(spark):
-    rows, _ = io.load_libsvm_lines(lines(spark, ["1 1:1", "1 3:1 2:1"]))
-    with pytest.raises(Exception):
-        rows.collect()
+@pytest.mark.parametrize("line", ["1 2:1 2:3", "1 3:1 2:1", "1 0:1", "1 1:x", "abc 1:1", "1 5", "1 1:2:3", "1 :1"])
+@pytest.mark.parametrize("column", ["label", "indices", "values"])
+def test_strict_loader_raises_whatever_is_read(spark, line, column):
+    rows, _ = io.load_libsvm_lines(lines(spark, ["1 1:1", line]), num_features=9)
+    with pytest.raises(Exception, match="not a valid record"):
+        rows.select(column).collect()
 
 
-def test_known_width_rejects_wider_rows(spark):
+@pytest.mark.parametrize("column", ["label", "indices", "values"])
+def test_known_width_rejects_wider_rows(spark, column):
     rows, d = io.load_libsvm_lines(lines(spark, ["1 1:1 5:2"]), num_features=3)
     assert d == 3
+    with pytest.raises(Exception, match="beyond the model width"):
+        rows.select(column).collect()
+
+
+def test_tolerant_loader_sets_bad_rows_apart(spark):
+    rows = ["1 1:1", "\t# note", "\t", "1 5", "x 1:1", "-1 2:1 4:2", "1 9:1"]
+    good, bad, d = io.load_libsvm_tolerant(lines(spark, rows), num_features=4)
+    assert d == 4 and sorted(r["label"] for r in good.collect()) == [0.0, 1.0]
+    assert sorted(r["line"] for r in bad.collect()) == ["1 5", "1 9:1", "x 1:1"]
+
+
+def test_missing_paths_can_be_skipped(spark, scratch):
+    a = os.path.join(scratch, "here")
+    lines(spark, ["1 1:1"]).write.text(a)
+    rows, _ = io.load_libsvm(spark, [a, os.path.join(scratch, "gone")], ignore_missing=True)
+    assert rows.count() == 1
     with pytest.raises(Exception):
-        rows.collect()
+        io.load_libsvm(spark, [a, os.path.join(scratch, "gone")])[0].count()
+
+
+def test_malformed_point_fails_with_its_text(spark):
+    with pytest.raises(Exception, match="not a labelled point"):
+        io.parse_labeled_points(lines(spark, ["(1.0,[1.0,oops])"])).select("features").collect()
+
+
+def test_small_test_fractions_are_not_rounded_away(spark):
+    df = spark.range(100_000).withColumnRenamed("id", "k")
+    assert 300 < io.hash_split(df, "k", 0.004)[1].count() < 500
+
+
+def test_dense_test_rows_wider_than_the_model_are_refused(spark, scratch):
+    tr, te = os.path.join(scratch, "dtr"), os.path.join(scratch, "dte")
+    lines(spark, ["(1.0,[1.0,2.0])", "(0.0,[2.0,1.0])"]).write.text(tr)
+    lines(spark, ["(1.0,[1.0,2.0,3.0])"]).write.text(te)
+    _, test, d = io.load_datasets(spark, tr, "dense", test_path=te)
+    assert d == 2
+    with pytest.raises(Exception, match="wider than the model"):
+        test.select("features").collect()
 
 
 def test_classifier_rejects_non_binary_label(spark):

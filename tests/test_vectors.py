@@ -43,10 +43,10 @@ def test_size_mismatch_raises(spark):
 def test_copy_scale_norm(spark):
     r = one(spark, V.sparse_to_dense(F.lit(5), F.array(F.lit(2)), F.array(F.lit(7.0))).alias("c"),
             V.scale(3.0, F.array(F.lit(1.0), F.lit(-2.0))).alias("s"),
-            V.norm2(F.array(F.lit(3.0), F.lit(4.0))).alias("n"))
+            V.sq_norm(F.array(F.lit(3.0), F.lit(4.0))).alias("n"))
     assert r["c"] == [0.0, 0.0, 7.0, 0.0, 0.0]
     assert r["s"] == [3.0, -6.0]
-    assert r["n"] == 5.0
+    assert r["n"] == 25.0
 
 
 def test_soft_threshold_edges_are_exact_zero(spark):
