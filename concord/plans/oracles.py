@@ -325,6 +325,23 @@ side AS MATERIALIZED (SELECT g3, -sign(g3) AS s3 FROM (SELECT sum({d} * t) AS g3
 {union}"""
 
 
+def _wide_newton_mean_sql(lam: float, width: int = 64, steps: int = 120) -> str:
+    """Mean logistic loss per block + lam |w|^2 over the embeddings by gradient descent: the
+    loss curvature is small against 2 lam, so a fixed step contracts fast."""
+    return f"""WITH RECURSIVE rows AS MATERIALIZED (
+  SELECT embedding::DOUBLE[] AS f, CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
+         1.0 / count(*) OVER (PARTITION BY vec_id % 4) AS wt FROM embeddings),
+it(k, w) AS (
+  SELECT 0, list_transform(range({width}), lambda x: 0.0::DOUBLE)
+  UNION ALL
+  SELECT k + 1, list(wj - {_d(0.8 / (2 * lam))} * (g + {_d(2 * lam)} * wj) ORDER BY j)
+  FROM (SELECT k, j, any_value(w[j]) AS wj, sum(e * f[j]) AS g
+        FROM (SELECT k, w, f, wt * (1.0 / (1.0 + exp(-list_dot_product(w, f))) - y) AS e FROM it, rows WHERE k < {steps}),
+             range(1, {width + 1}) AS r(j) GROUP BY k, j)
+  GROUP BY k)
+SELECT CAST(j - 1 AS INTEGER) AS j, {rnd('w[j]', 4)} AS weight FROM it, range(1, {width + 1}) AS r(j) WHERE k = {steps}"""
+
+
 def _lasso_intercept_sql(reg: float) -> str:
     """min 1/(2n) |b - w.x - i|^2 + reg |w|_1 by coordinate descent on the centred moments."""
     soft = lambda v, q: f"(CASE WHEN {v} > {_d(reg)} THEN ({v} - {_d(reg)}) / {q} WHEN {v} < -{_d(reg)} THEN ({v} + {_d(reg)}) / {q} ELSE 0.0::DOUBLE END)"
@@ -479,6 +496,7 @@ SELECT {r6(f'{_d(1e-3)} * greatest(sqrt(xx), sqrt(n::DOUBLE) * sqrt(zz)) + {_d(1
     sq["admm_lr_l1"] = _newton_l1_sql("lr", 1.0)
     sq["admm_svm_adaptive"] = _newton_l1_sql("svm", 1.0)
     sq["baseline_lr"] = _newton_sql("lr", 1.0) + f" UNION ALL SELECT -1, 0.0::DOUBLE"
+    sq["admm_lr_wide_dense"] = _wide_newton_mean_sql(1.0)
     sq["baseline_linreg"] = _lasso_intercept_sql(0.1)
     sq["admm_custom_updater"] = f"""WITH {LI}, m AS (SELECT avg(b) AS m FROM li GROUP BY block_id)
 SELECT count(*)::INTEGER AS n_blocks, {r6('avg(m)')} AS mean FROM m"""

@@ -578,7 +578,8 @@ def q_admm_lr_docs(spark, sf_dir):
 
 def q_admm_lr_wide_dense(spark, sf_dir):
     from concord.plans.train import train_logistic
-    return _weights(train_logistic(fx.cls_wide_dense(spark, sf_dir), 64, lam=1.0, rho=RHO, max_iter=100, solver="newton"), spark)
+    m = train_logistic(fx.cls_wide_dense(spark, sf_dir), 64, lam=1.0, rho=1.0, solver="newton", **TIGHT)
+    return m.weights_frame(spark).select("j", rnd("weight", 4).alias("weight"))
 
 
 def q_baseline_lr(spark, sf_dir):
