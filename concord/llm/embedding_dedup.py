@@ -114,7 +114,8 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     own = own.withColumn("ck", F.when(F.coalesce(usable, F.lit(False)), ck))
     classes = materialise(own.where("ck is not null").groupBy("ck").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("vec").alias("vec")))
-    sample = classes.orderBy("ck").limit(SAMPLE).select("vec").collect()  # bounded: fits the axes only
+    # about SAMPLE vectors, which fit the axes only
+    sample = classes.select("vec").sample(False, min(1.0, SAMPLE / max(classes.count(), 1)), seed=23).collect()
     axes = spark.sparkContext.broadcast(principal_axes([r["vec"] for r in sample]))
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
 
