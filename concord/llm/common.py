@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.session import ensure_checkpoint_dir, ensure_importable
+from concord.session import delete_path, ensure_importable, scratch_path
 
 
 def prepare(spark: SparkSession) -> None:
@@ -21,20 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """A fresh folder for intermediate tables under ``spark.checkpoint.dir``.
-
-    The setting is read from the session, so on a cluster this is the shared storage it
-    names; only a local session without the setting gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{base}/concord-llm-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives the
     loss of any executor, and lets a table that is used twice be computed once."""
     spark = df.sparkSession
-    path = scratch_root(spark)
+    path = scratch_path(spark, "concord-llm")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._concord_path = path
@@ -46,9 +36,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_concord_path", None)
         if path:
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            delete_path(df.sparkSession, path)
             df._concord_path = None
 
 
@@ -114,43 +102,83 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: edges that a task contracts at a time
+CONTRACT_EDGES = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition as stars around the smallest node of each local
+    component; work memory is bounded by CONTRACT_EDGES."""
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def stars(schema):
+        rows = [(u, find(u)) for u in parent]
+        rows = [(u, v) for u, v in rows if u != v]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in (0, 1)], schema=schema)
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+        if len(parent) > CONTRACT_EDGES:
+            yield stars(schema)
+    if parent:
+        yield stars(schema)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
-    Alternating large-star and small-star rounds: every round is a minimum per node
-    (combined map-side) and an equi-join back, so a hub's edges are never gathered in
-    one task beyond what adaptive execution may split.  Edges are written to the shared
-    folder each round; only their count and checksum reach the driver.  Null ends and
-    self-loops are ignored apart from making their node known.
+    Every task first contracts its own edges to stars; then alternating large-star and
+    small-star rounds join stars across tasks.  A round is a minimum per node (combined
+    map-side) and an equi-join back, so a hub's edges are never gathered in one task.
+    Edges are written to the shared folder each round; only their count and checksum reach
+    the driver.  Null ends are ignored; self-loops only make their node known.
     """
     spark = edges.sparkSession
-    e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                    .where("u is not null and v is not null").distinct())
+    e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null"))
     loops = materialise(e.where("u = v").select("u"))
-    cur = e.where("u > v")
+    kind = e.schema["u"].dataType.simpleString()
+
+    def contracted(df):
+        return materialise(df.where("u > v").mapInArrow(_contract, f"u {kind}, v {kind}"))
 
     def stamp(df):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return r["n"], r["h"]
 
-    last, owned = stamp(cur), e
+    cur = contracted(e)
+    discard(e)
+    last = stamp(cur)
     for _ in range(max_rounds):
         if last[0] == 0:
             break
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u > v").distinct())
+        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low2, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low2.select("u", F.col("m").alias("v"))).distinct())
         nxt = materialise(small)
+        discard(cur)
         now = stamp(nxt)
-        discard(owned)
-        cur = owned = nxt
+        cur = nxt
         if now == last:
             break
-        last = now
+        cur = contracted(nxt)
+        discard(nxt)
+        last = stamp(cur)
     else:
         raise RuntimeError("connected components did not converge")
     star = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

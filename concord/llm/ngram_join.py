@@ -10,10 +10,9 @@ components.
 A part is weak if it has hardly any shingle, or if more than ``COMMON`` sets hold its value
 (a part filled by a passage of very many texts); both follow from the value alone.  A pair
 whose agreeing parts are all weak has at least P - D weak parts that others share on both
-sides, so weak values are joined only among such sets; no link is lost.  In a bucket the most central set is compared with all others, so a group of
-near copies costs comparisons in proportion to its size; what that leaves open (different
-components, and not excluded by the triangle inequality of the Jaccard distance) is compared
-in full.
+sides, so weak values are joined only among such sets; no link is lost.  First every set is compared with
+one central set; then sets that share part values but are not connected yet are compared tile
+by tile within such clouds, in tasks that return links and no pairs.
 
 Defined results: null or empty text, and text without words, has no shingles and is its own
 component; fewer words than n are one shingle; equal sets are one class whatever their texts;
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 
 from concord.llm.bpe import pack, unpack
 from concord.llm.common import connected_components, discard, materialise, prepare, shuffle_parts, text_slices
+from concord.llm.embedding_dedup import smallest_reachable
 
 SLICE_BYTES = 1 << 19
 HASH_BITS = 48
@@ -43,7 +43,8 @@ BAND_RATIO = 1.25
 SLACK = 0.12
 COMMON = 64
 KEY_BYTES = 6  # of a key are sent to its partition; equal ones by chance are found out on verification
-PIVOT_ROUNDS = 3
+TILE = 256  # sets compared with each other at a time, and shingle columns per product
+TILE_COLUMNS = 1 << 14
 MAX_BAND = 150  # BAND_RATIO ** 150 shingles are beyond any text
 SEED = 7_919
 
@@ -320,6 +321,72 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             .mapInArrow(run, "a long, b long, common long, either long"))
 
 
+def linked_rows(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of all pairs of sets with den * |x & y| >= num * |x | y|.
+
+    Intersections of all pairs are counted at once, by products of 0/1 columns of the
+    shingles that both sides hold, some columns at a time."""
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (x, y)]
+    flat = [np.concatenate(side) for side in (x, y)]
+    owner = [np.repeat(np.arange(len(side)), n) for side, n in zip((x, y), sizes)]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    common = np.zeros((len(x), len(y)), np.int64)
+    column = [np.searchsorted(shared, f) for f in flat]
+    held = [c < len(shared) for c in column]
+    if len(shared):
+        held = [h & (shared[np.minimum(c, len(shared) - 1)] == f) for h, c, f in zip(held, column, flat)]
+    order = [np.argsort(c[h], kind="stable") for c, h in zip(column, held)]
+    column = [c[h][o] for c, h, o in zip(column, held, order)]
+    owner = [w[h][o] for w, h, o in zip(owner, held, order)]
+    for lo in range(0, len(shared), TILE_COLUMNS):
+        width = min(TILE_COLUMNS, len(shared) - lo)
+        sides = []
+        for c, w, n in zip(column, owner, (len(x), len(y))):
+            a, z = np.searchsorted(c, [lo, lo + width])
+            m = np.zeros((n, width), np.float32)
+            m[w[a:z], c[a:z] - lo] = 1
+            sides.append(m)
+        common += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    either = sizes[0][:, None] + sizes[1][None, :] - common
+    return np.nonzero((common > 0) & (den * common >= num * either))
+
+
+def _links_in_clouds(cloud: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): links between sets of one cloud, as stars.
+
+    Clouds are salted into tiles of about TILE sets; every pair of tiles of a cloud is one
+    task's work of bounded size, whatever the cloud's."""
+    salts = materialise(cloud.groupBy("cloud").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("salts")))
+    tile = F.concat_ws(":", F.col("cloud").cast("string"), F.col("salt").cast("string")).alias("tile")
+    placed = (cloud.join(salts, "cloud").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+              .select("sid", tile).join(texts, "sid"))
+
+    def bundle(table: pa.Table) -> pa.Table:
+        return pa.table({"tile": table.column("tile").slice(0, 1),
+                         "sids": pa.array([table.column("sid").to_pylist()], pa.list_(pa.int64())),
+                         "bodies": pa.array([table.column("body").to_pylist()], pa.list_(pa.binary()))})
+
+    tiles = materialise(placed.select("tile", "sid", "body").groupBy("tile").applyInArrow(bundle, "tile string, sids array<long>, bodies array<binary>"))
+    index = salts.select("cloud", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("cloud", "salt", tile)
+    pairs = (index.join(index.toDF("cloud", "salt2", "tile2"), "cloud").where("salt <= salt2")
+             .select(F.concat("tile", F.lit("|"), "tile2").alias("pair"), F.explode(F.array(
+                 F.struct(F.lit(0).alias("side"), F.col("tile").alias("tile")),
+                 F.struct(F.lit(1).alias("side"), F.col("tile2").alias("tile")))).alias("s")).select("pair", "s.side", "s.tile"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor()
+        rows = sorted(table.to_pylist(), key=lambda r: r["side"])
+        sets = {r["tile"]: shingle_sets([open_.decompress(b).decode("utf-8", "surrogatepass") for b in r["bodies"]], n) for r in rows}
+        i, j = linked_rows(sets[rows[0]["tile"]], sets[rows[-1]["tile"]], num, den)
+        same = rows[0]["tile"] == rows[-1]["tile"]
+        names = np.array(rows[0]["sids"] if same else [*rows[0]["sids"], *rows[-1]["sids"]], np.int64)
+        root = smallest_reachable(len(names), i, j if same else j + len(rows[0]["sids"]))
+        hit = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[hit]), "b": pa.array(names[root[hit]])})
+
+    return pairs.join(tiles, "tile").groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
 def _cut_bytes(a: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of every value."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
@@ -361,57 +428,25 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = members.select("sid").distinct().join(classes, "sid").select(F.col("rep").alias("doc_id"), "text_hash", "sid")
     texts = materialise(_texts_of(src, wanted).dropDuplicates(["sid"]))
 
-    linked = (F.col("common") * den >= F.col("either") * num)
-    verified = comp = first = None
-    spent: list[DataFrame] = []
-    for step in range(PIVOT_ROUNDS + 1):
-        state = members.select("key", "sid", "weight")
-        if comp is not None:
-            # only buckets with members in different components are still open
-            state = (state.join(comp, F.col("sid") == F.col("node"), "left")
-                     .select("key", "sid", "weight", F.coalesce("component", "sid").alias("comp")))
-            open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            state = materialise(state.join(open_keys, "key"))
-            spent.append(state)
-        else:
-            state = state.withColumn("comp", F.col("sid"))
-        if step < PIVOT_ROUNDS:
-            # a bucket's pivot is its most central set; every set is compared with one pivot a
-            # round, the most central of its buckets' pivots outside its component
-            rank = F.struct("weight", (-F.col("sid")).alias("tie"))
-            pivots = materialise(state.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), F.col("comp").alias("comp"))).alias("top"))
-                                 .select("key", F.col("top.rank").alias("rank"), F.col("top.comp").alias("pivot_comp")))
-            spent.append(pivots)
-            if first is None:
-                first = pivots.select("key", (-F.col("rank.tie")).alias("pivot"))
-            pairs = (state.join(pivots, "key").where("comp <> pivot_comp").groupBy("sid").agg(F.max("rank").alias("rank"))
-                     .select("sid", (-F.col("rank.tie")).alias("pivot")).select(*_ordered("sid", "pivot")).distinct())
-            if verified is not None:
-                pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        else:
-            # all that is still open: members of a bucket in different components, unless the
-            # triangle inequality over the bucket's first pivot rules a link out
-            near = (verified.select("a", "b", (F.col("common") / F.col("either")).alias("j")))
-            both = near.union(near.select("b", "a", "j")).toDF("sid", "pivot", "j")
-            dist = (state.join(first, "key").join(both, ["sid", "pivot"], "left")
-                    .select("key", "sid", "comp", F.when(F.col("sid") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("j")).alias("j")))
-            dist = materialise(dist)
-            spent.append(dist)
-            other = dist.toDF("key", "sid2", "comp2", "j2")
-            gap = F.coalesce(F.abs(F.col("j") - F.col("j2")) <= 1 - num / den + 1e-9, F.lit(True))
-            pairs = (dist.join(other, "key").where((F.col("comp") < F.col("comp2")) & gap).select(*_ordered("sid", "sid2")).distinct()
-                     .join(verified.select("a", "b"), ["a", "b"], "left_anti"))
-        pairs = materialise(pairs)
-        if pairs.isEmpty():
-            if step:
-                continue
-            break
-        got = materialise(_verify(pairs, texts, n))
-        verified = got if verified is None else verified.unionByName(got)
-        comp = materialise(connected_components(verified.where(linked)))
-    discard(texts, members, *spent)  # everything that is left lazy reads docs, classes and comp
-    if comp is None:
-        comp = spark.createDataFrame([], "node long, component long")
+    linked = F.col("common") * den >= F.col("either") * num
+    # first every set against one pivot: a bucket's pivot is its most central set, a set's is
+    # the most central of its buckets' pivots
+    rank = F.struct("weight", (-F.col("sid")).alias("tie"))
+    pivots = materialise(members.groupBy("key").agg(F.max(rank).alias("rank")))
+    pairs = (members.select("key", "sid").join(pivots, "key").groupBy("sid").agg(F.max("rank").alias("rank"))
+             .select(F.col("sid").alias("a"), (-F.col("rank.tie")).alias("b")).where("a <> b"))
+    got = materialise(_verify(pairs, texts, n))
+    comp = materialise(connected_components(got.where(linked)))
+    # then all that is still open: sets of different components that share a part value.  Such
+    # sets are compared tile by tile in tasks, which return links as stars and never pairs
+    state = materialise(members.select("key", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left")
+                        .select("key", "sid", F.coalesce("component", "sid").alias("comp")))
+    open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("head")).where("lo < hi")
+    cloud = materialise(connected_components(
+        state.join(open_keys, "key").select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()))
+    more = _links_in_clouds(cloud.toDF("sid", "cloud"), texts, n, num, den)
+    comp = materialise(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    discard(texts, members, pivots, state, got, cloud)  # what is left lazy reads docs, classes and comp
     named = (classes.join(comp, F.col("sid") == F.col("node"), "left")
              .select("sid", "rep", F.coalesce("component", "sid").alias("comp")))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
