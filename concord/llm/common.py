@@ -108,7 +108,8 @@ CONTRACT_EDGES = 500_000
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (u, v) of a partition as stars around the smallest node of each local
-    component; work memory is bounded by CONTRACT_EDGES."""
+    component; work memory is bounded by eight times CONTRACT_EDGES nodes, which the edges
+    of one task do not reach unless it was given more than its share."""
     parent: dict = {}
 
     def find(x):
@@ -131,7 +132,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u, v = find(u), find(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
-        if len(parent) > CONTRACT_EDGES:
+        if len(parent) > 8 * CONTRACT_EDGES:
             yield stars(schema)
     if parent:
         yield stars(schema)
@@ -140,30 +141,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
-    Every task first contracts its own edges to stars; then alternating large-star and
-    small-star rounds join stars across tasks.  A round is a minimum per node (combined
+    Every task first contracts about CONTRACT_EDGES edges to stars; unless one task saw all
+    edges, alternating large-star and small-star rounds join stars across tasks.  A round is a minimum per node (combined
     map-side) and an equi-join back, so a hub's edges are never gathered in one task.
     Edges are written to the shared folder each round; only their count and checksum reach
     the driver.  Null ends are ignored; self-loops only make their node known.
     """
-    spark = edges.sparkSession
     e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null"))
-    loops = materialise(e.where("u = v").select("u"))
     kind = e.schema["u"].dataType.simpleString()
 
-    def contracted(df):
-        return materialise(df.where("u > v").mapInArrow(_contract, f"u {kind}, v {kind}"))
-
     def stamp(df):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return r["n"], r["h"]
 
-    cur = contracted(e)
-    discard(e)
-    last = stamp(cur)
+    def contracted(df, n):
+        """(stars, whether one task saw all edges): about CONTRACT_EDGES edges a task."""
+        tasks = max(1, -(-n // CONTRACT_EDGES))
+        return materialise(df.where("u > v").coalesce(tasks).mapInArrow(_contract, f"u {kind}, v {kind}")), tasks == 1
+
+    cur, whole = contracted(e, stamp(e)[0])
+    loops = e.where("u = v").select("u")
     for _ in range(max_rounds):
-        if last[0] == 0:
+        if whole:  # its stars are the components
             break
+        last = stamp(cur)
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
@@ -172,13 +173,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
                  .union(low2.select("u", F.col("m").alias("v"))).distinct())
         nxt = materialise(small)
         discard(cur)
-        now = stamp(nxt)
         cur = nxt
+        now = stamp(cur)
         if now == last:
             break
-        cur = contracted(nxt)
+        cur, whole = contracted(nxt, now[0])
         discard(nxt)
-        last = stamp(cur)
     else:
         raise RuntimeError("connected components did not converge")
     star = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

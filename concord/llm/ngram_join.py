@@ -356,9 +356,13 @@ def _links_in_clouds(cloud: DataFrame, texts: DataFrame, n: int, num: int, den:
 
     Clouds are salted into tiles of about TILE sets; every pair of tiles of a cloud is one
     task's work of bounded size, whatever the cloud's."""
-    salts = materialise(cloud.groupBy("cloud").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("salts")))
-    tile = F.concat_ws(":", F.col("cloud").cast("string"), F.col("salt").cast("string")).alias("tile")
-    placed = (cloud.join(salts, "cloud").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+    home = ["cloud", "band"]
+    # linked sets differ in size by the threshold at most, so only neighbouring bands meet
+    cloud = materialise(cloud.withColumn("band", F.floor(F.log("size") / F.lit(math.log(den / num) + 1e-9)).cast("int")
+                                         if num < den else F.col("size").cast("int")))
+    salts = materialise(cloud.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("salts")))
+    tile = F.concat_ws(":", *[F.col(c).cast("string") for c in (*home, "salt")]).alias("tile")
+    placed = (cloud.join(salts, home).withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
               .select("sid", tile).join(texts, "sid"))
 
     def bundle(table: pa.Table) -> pa.Table:
@@ -367,8 +371,9 @@ def _links_in_clouds(cloud: DataFrame, texts: DataFrame, n: int, num: int, den:
                          "bodies": pa.array([table.column("body").to_pylist()], pa.list_(pa.binary()))})
 
     tiles = materialise(placed.select("tile", "sid", "body").groupBy("tile").applyInArrow(bundle, "tile string, sids array<long>, bodies array<binary>"))
-    index = salts.select("cloud", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("cloud", "salt", tile)
-    pairs = (index.join(index.toDF("cloud", "salt2", "tile2"), "cloud").where("salt <= salt2")
+    index = salts.select(*home, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(*home, "salt", tile)
+    reach = index.select("cloud", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("from"), "salt", "tile")
+    pairs = (reach.join(index.toDF(*home, "salt2", "tile2"), home).where((F.col("from") != F.col("band")) | (F.col("salt") <= F.col("salt2")))
              .select(F.concat("tile", F.lit("|"), "tile2").alias("pair"), F.explode(F.array(
                  F.struct(F.lit(0).alias("side"), F.col("tile").alias("tile")),
                  F.struct(F.lit(1).alias("side"), F.col("tile2").alias("tile")))).alias("s")).select("pair", "s.side", "s.tile"))
@@ -414,7 +419,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialise(_sketch(src, n, num, den, shuffle_parts(spark)))
     docs = materialise(found.where("key is null").select("doc_id", "text_hash", "n", "sid"))
     classes = materialise(docs.where("doc_id is not null and n > 0").groupBy("sid")
-                          .agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash")))
+                          .agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.max("n").alias("n")))
 
     shared = found.where("key is not null").select("key", "sid", "size", "band", "weak")
     slack = F.element_at(F.lit([p - d for p, d, _ in (band_shape(g, num, den) for g in range(MAX_BAND))]), F.col("band") + 1)
@@ -444,7 +449,8 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("head")).where("lo < hi")
     cloud = materialise(connected_components(
         state.join(open_keys, "key").select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()))
-    more = _links_in_clouds(cloud.toDF("sid", "cloud"), texts, n, num, den)
+    sized = cloud.toDF("sid", "cloud").join(classes.select("sid", F.col("n").alias("size")), "sid")
+    more = _links_in_clouds(sized, texts, n, num, den)
     comp = materialise(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     discard(texts, members, pivots, state, got, cloud)  # what is left lazy reads docs, classes and comp
     named = (classes.join(comp, F.col("sid") == F.col("node"), "left")
