@@ -2,13 +2,14 @@
 
 Each text is scanned once for three base kinds (assignments, access keys, hex runs) and
 for loose tokens that mix cases and digits.  Hashes of all candidates are then counted
-over the corpus by distinct repositories and owners: a value seen under many owners is a
-copied example, a value that only a few share looks like a live credential.  Base spans
-always stay; a loose token becomes a span only when it is owner-specific.
-
-Defined results: null or empty text has no spans; a null owner or repository counts as one
-of its own (the empty string); repeated rows are scanned row by row and count as one
-repository; other columns pass through or are ignored.
+over the corpus by distinct owners: a value seen under many owners is a copied example, a
+value that only a few share looks like a live credential.  Rows, files and copies inside an
+owner never count against it.  Base spans always stay; a loose token becomes a span only
+when it is owner-specific and not wholly covered by base spans.
+
+Defined results: null or empty text has no spans; a null owner counts as one of its own
+(the empty string); repeated rows are scanned row by row; other columns pass through or are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the same spans as all runs filtered by length
 LOOSE = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 KINDS = ("assign", "access", "hex", "loose")
-#: a value is owner-specific up to this many owners and repositories
-MAX_OWNERS, MAX_REPOSITORIES = 2, 5
+#: a value is owner-specific up to this many owners
+MAX_OWNERS = 2
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
@@ -43,11 +44,20 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, in
     for m in LOOSE.finditer(text):
         v = m[0]
         if (any(c.islower() for c in v) and any(c.isupper() for c in v) and sum(c.isdigit() for c in v) >= 3
-                and not any(s < m.end() and m.start() < e for s, _, e, _ in base)):
+                and not _covered(m.start(), m.end(), base)):
             loose.append((m.start(), 3, m.end(), v))
     return base, loose
 
 
+def _covered(start: int, stop: int, base: list) -> bool:
+    """Whether base spans (sorted by start) together hold every character of start..stop."""
+    for s, _, e, _ in base:
+        if s > start or start >= stop:
+            break
+        start = max(start, e)
+    return start >= stop
+
+
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in spans)
 
@@ -92,15 +102,14 @@ def row_key(doc, text: str) -> str:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(value, owners, repositories, live) per candidate hash.
-
-    Two aggregations, both combined map-side: (value, owner, repository) to distinct
-    triples, then (value, owner), then value; no value is gathered in one task."""
-    triples = (scanned.select(F.coalesce("owner", F.lit("")).alias("owner"), "row", F.explode("found").alias("f"))
-               .select(F.col("f.value").alias("value"), "owner", "row"))
-    per_owner = triples.distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return (per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-            .withColumn("live", (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)))
+    """(value, owners, live) per candidate hash.
+
+    Two aggregations, both combined map-side: (value, owner) to distinct pairs, then value;
+    no value is gathered in one task."""
+    pairs = (scanned.select(F.coalesce("owner", F.lit("")).alias("owner"), F.explode("found").alias("f"))
+             .select(F.col("f.value").alias("value"), "owner").distinct())
+    return (pairs.groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+            .withColumn("live", F.col("owners") <= MAX_OWNERS))
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:

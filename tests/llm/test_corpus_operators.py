@@ -424,6 +424,26 @@ def test_ownership_parts_examples_from_live_credentials(spark, none):
     assert find_secrets(none).count() == 0
 
 
+def test_copies_inside_an_owner_do_not_hide_its_credential(spark):
+    from concord.llm.secret_scan import find_secrets, mask_secrets
+
+    own = "Live9Token" * 3
+    rows = [(i, f"file {i} has {own} inside", "s1") for i in range(40)] + [(i, f"also {own}", None) for i in range(40, 48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r.spans.startswith("loose:") and r.n_live == 1 for r in find_secrets(df).collect())
+    assert not any(own in r.text for r in mask_secrets(df).collect())
+
+
+def test_loose_tokens_that_reach_beyond_a_base_span():
+    from concord.llm.secret_scan import scan
+
+    run = "0123456789abcdef"
+    text = f"Zx9Qw7Er5/{run}/Ty8Ui6Op4"
+    base, loose = scan(text)
+    assert [x[:3] for x in base] == [(10, 2, 26)] and [x[:3] for x in loose] == [(0, 3, len(text))]
+    assert scan("token=Abcdefghijklmnopqrstuvw123")[1] == []  # held by the assignment
+
+
 def test_mask_edges(edge):
     from concord.llm.secret_scan import mask_secrets
 
