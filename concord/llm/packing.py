@@ -4,8 +4,9 @@ Every document is tokenised (word vocabulary) and closed with an end id; longer
 are cut into full pieces and a rest.  Pieces are dealt evenly over groups by a hash.  In
 each group a best-fit start is improved by moving, swapping one for one and two for one
 between underfull bins, each step raising the sum of squared fills, until bins empty.
-Bins that stay underfull go on to a next level with fewer groups, so the waste of the whole
-corpus is that of one last small group.
+Bins that stay underfull go on to a next level, dealt anew over groups of the same size: bins
+of complementary fills meet, or by hash where that saved nothing.  It ends with a level of one
+group, or when neither dealing saves a bin; no group grows with the corpus.
 
 Defined results: a null or empty text is the end id alone; strings of special tokens become
 those tokens; a document of exactly the capacity is one piece; repeated rows are packed
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 
 from concord.llm import words
 from concord.llm.bpe import ragged, vocabulary_text
-from concord.llm.common import materialise, prepare, text_slices
+from concord.llm.common import discard, materialise, prepare, text_slices
 
 CAPACITY = 4096
 END_ID = 1
 SLICE_BYTES = 4 << 20
 CACHE_WORDS = 400_000
-#: pieces per group of the first level, and bins per group of later levels
+#: pieces per group, on every level
 GROUP_PIECES = 20_000
 
 
@@ -182,74 +183,123 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_steps: int = 20_000) -> list[list[int]]:
+class _Search:
+    """Bins of one group in arrays: fills, items, and the sums a bin may give back."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.capacity, self.size = capacity, lengths.astype(np.int64)
+        self.items = [list(b) for b in bins]
+        self.fill = np.array([int(self.size[b].sum()) for b in bins], np.int64)
+        self.sums = list(zip(*[self._sums(b) for b in range(len(bins))])) or [(), ()]
+        self.sums = [list(x) for x in self.sums]  # of one item and of two items, per bin
+        self._lay()
+
+    def _lay(self) -> None:
+        """The sums of all bins in one array each, with their bins; a bin's old rows go to the
+        bin behind the last, which has no room."""
+        n = len(self.items)
+        self.flat = []
+        for sums in self.sums:
+            sizes = np.array([len(x) for x in sums], np.int64)
+            self.flat.append([np.concatenate([np.zeros(0, np.int64), *sums]), np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes, int(sizes.sum())])
+
+    def _renew(self, b: int, own: tuple[np.ndarray, np.ndarray]) -> None:
+        for k, new in enumerate(own):
+            given, owner, start, used = self.flat[k]
+            owner[start[b]:start[b] + len(self.sums[k][b])] = len(self.items)
+            if used + len(new) > len(given):
+                more = len(given) // 2 + len(new)
+                given = np.concatenate([given, np.zeros(more, np.int64)])
+                owner = np.concatenate([owner, np.full(more, len(self.items))])
+            given[used:used + len(new)], owner[used:used + len(new)], start[b] = new, b, used
+            self.flat[k] = [given, owner, start, used + len(new)]
+            self.sums[k][b] = new
+
+    def _sums(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct sums of one and of two items of a bin; at most ``capacity`` of each."""
+        one, n = np.unique(self.size[self.items[b]], return_counts=True)
+        i, j = np.triu_indices(len(one), 1)
+        return one, np.unique(np.concatenate([one[i] + one[j], 2 * one[n > 1]]))
+
+    def find(self, a: int) -> tuple[int, int, int, int, int] | None:
+        """(bin, sum out, items out, sum back, items back) of a step that raises the sum of
+        squared fills, by a move, a one-for-one, two-for-one or one-for-two exchange with any
+        bin at least as full; the one that leaves least room.  None when there is none."""
+        open_ = (self.fill >= self.fill[a]) & (self.fill < self.capacity)
+        open_[a] = False
+        room = np.append(np.where(open_, self.capacity - self.fill, 0), 0)
+        below = []  # per number of items out: the largest sum of them up to every value
+        for own in (self.sums[0][a], self.sums[1][a]):
+            at = np.zeros(2 * self.capacity + 1, np.int64)
+            at[own] = own
+            below.append(np.maximum.accumulate(at))
+        for out, back in ((1, 0), (1, 1), (2, 1), (1, 2)):
+            given, owner = self.flat[back - 1][:2] if back else (np.zeros(len(room), np.int64), np.arange(len(room)))
+            gain = np.where(room[owner] > 0, below[out - 1][given + room[owner]] - given, 0)
+            hits = np.flatnonzero(gain > 0)
+            if len(hits):
+                k = hits[np.argmin(room[owner[hits]] - gain[hits])]
+                return int(owner[k]), int(given[k] + gain[k]), out, int(given[k]), back
+        return None
+
+    def apply(self, a: int, step: tuple[int, int, int, int, int]) -> None:
+        b, out, n_out, back, n_back = step
+        gone, came = self._pick(a, out, n_out), self._pick(b, back, n_back)
+        for i in gone:
+            self.items[a].remove(i)
+        for i in came:
+            self.items[b].remove(i)
+        self.items[a] += came
+        self.items[b] += gone
+        self.fill[a] -= out - back
+        self.fill[b] += out - back
+        for c in (a, b):
+            self._renew(c, self._sums(c))
+        if self.flat[0][3] > 4 * sum(len(x) for x in self.items) + 1000:  # mostly old rows
+            self._lay()
+
+    def _pick(self, b: int, total: int, n: int) -> list[int]:
+        """``n`` items of a bin that add up to ``total``."""
+        first: dict[int, int] = {}
+        for i in self.items[b] if n else []:
+            size = int(self.size[i])
+            if n == 1 and size == total:
+                return [i]
+            if n == 2 and total - size in first:
+                return [first[total - size], i]
+            first.setdefault(size, i)
+        return []
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search over underfull bins: the emptiest bin gives items away by a move, a
-    one-for-one or a two-for-one exchange.  Every step raises the sum of squared fills,
-    so it ends; a bin without items is dropped."""
+    one-for-one or a two-for-one exchange.  Every step raises the sum of squared fills, so it
+    ends: when no step of any bin does so, or when the items fill more than all bins but one
+    and no bin can be saved.  A bin without items is dropped."""
     full = [b for b in bins if sum(lengths[b]) == capacity]
-    rest = sorted((b for b in bins if sum(lengths[b]) < capacity), key=lambda b: int(sum(lengths[b])))
-    if sum(int(sum(lengths[b])) for b in rest) > (len(rest) - 1) * capacity:
-        return full + rest  # no exchange can save a bin
-    fill = [int(sum(lengths[b])) for b in rest]
-    alive = set(range(len(rest)))
-    size = lengths.tolist()
-    steps, changed = 0, True
-    while changed and steps < max_steps:
+    search = _Search([b for b in bins if sum(lengths[b]) < capacity], lengths, capacity)
+    total, alive = int(search.fill.sum()), {b for b, items in enumerate(search.items) if items}
+    changed = True
+    while changed and total <= (len(alive) - 1) * capacity:
         changed = False
-        for a in sorted(alive, key=lambda b: fill[b]):
-            moved = True
-            while rest[a] and moved and steps < max_steps:
-                moved = False
-                steps += 1
-                others = sorted((b for b in alive if b != a and fill[b] < capacity and fill[b] >= fill[a]),
-                                key=lambda b: capacity - fill[b])
-                for b in others:
-                    step = _step(rest[a], rest[b], size, capacity - fill[b])
-                    if step:
-                        out, back = step
-                        for i in out:
-                            rest[a].remove(i)
-                        for i in back:
-                            rest[b].remove(i)
-                        rest[a] += back
-                        rest[b] += out
-                        gain = sum(size[i] for i in out) - sum(size[i] for i in back)
-                        fill[a] -= gain
-                        fill[b] += gain
-                        moved = changed = True
-                        break
-            if not rest[a]:
+        # bins of equal content are alike: what one of them tried in vain since the last step,
+        # the others need not try
+        vain: set[tuple[int, ...]] = set()
+        for a in sorted(alive, key=lambda b: int(search.fill[b])):
+            while search.items[a] and search.fill[a] < capacity:
+                content = tuple(sorted(search.size[search.items[a]].tolist()))
+                step = search.find(a) if content not in vain else None
+                if step is None:
+                    vain.add(content)
+                    break
+                search.apply(a, step)
+                vain.clear()
+                changed = True
+            if not search.items[a]:
                 alive.discard(a)
-    return full + [rest[b] for b in sorted(alive)]
-
-
-def _step(a: list[int], b: list[int], size: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills most of ``room``: items out of a, items back from b."""
-    best, found = 0, None
-    for i in a:
-        if best < size[i] <= room:
-            best, found = size[i], ([i], [])
-    if best == room:
-        return found
-    for i in a:
-        for j in b:
-            if best < size[i] - size[j] <= room:
-                best, found = size[i] - size[j], ([i], [j])
-    if best == room or found:
-        return found
-    for x, i in enumerate(a):
-        for i2 in a[x + 1:]:
-            for j in b:
-                if best < size[i] + size[i2] - size[j] <= room:
-                    best, found = size[i] + size[i2] - size[j], ([i, i2], [j])
-    if found:
-        return found
-    for i in a:
-        for x, j in enumerate(b):
-            for j2 in b[x + 1:]:
-                if best < size[i] - size[j] - size[j2] <= room:
-                    best, found = size[i] - size[j] - size[j2], ([i], [j, j2])
-    return found
+                if total > (len(alive) - 1) * capacity:
+                    break
+    return full + [search.items[b] for b in sorted(alive)]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -260,22 +310,25 @@ PLACED = PIECE + ", sequence_id long, offset long"
 
 
 def _pack_group(level: int, group: int, table: pa.Table, capacity: int, last: bool) -> pa.Table:
-    """Pack the pieces of one group; ``done`` marks bins that are full (or the last level)."""
+    """Pack the pieces of one group; ``done`` marks bins that are full (or the last level).
+
+    ``fill`` is the fill of the bin a piece is in."""
     order = np.lexsort([table.column("tie").to_numpy(), table.column("piece").to_numpy(),
                         table.column("doc_id").fill_null(-(1 << 62)).to_numpy(), -table.column("length").to_numpy()])
     table = table.take(pa.array(order))
     lengths = table.column("length").to_numpy()
     seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    done = np.zeros(len(lengths), bool)
+    done, fill = np.zeros(len(lengths), bool), np.zeros(len(lengths), np.int64)
     for b, items in enumerate(pack_lengths(lengths, capacity)):
         at = 0
         total = int(sum(lengths[items]))
         for i in items:
-            seq[i], off[i] = (level << 56) | (group << 24) | b, at
+            seq[i], off[i] = (level << 48) | (group << 24) | b, at
             done[i] = last or total == capacity
+            fill[i] = total
             at += int(lengths[i])
     keep = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
-    for name, col in (("sequence_id", seq), ("offset", off), ("done", done)):
+    for name, col in (("sequence_id", seq), ("offset", off), ("done", done), ("fill", fill)):
         keep = keep.append_column(name, pa.array(col))
     return keep
 
@@ -284,6 +337,29 @@ def _group_packer(level: int, capacity: int, last: bool):
     return lambda key, table: _pack_group(level, key[0].as_py(), table, capacity, last)
 
 
+def _dealt(left: DataFrame, held: DataFrame | None, level: int, vain: int, groups: int, capacity: int) -> DataFrame:
+    """Pieces dealt over ``groups`` groups of about equal size (column ``grp``).
+
+    At first, and after a level in vain, by a hash of the piece.  Otherwise by bins: a bin of
+    fill f and one of fill capacity - f are of one class, classes follow each other over the
+    groups, and a class of many bins is spread by hash over as many groups as it needs."""
+    piece = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level))
+    if held is None or vain:
+        return left.withColumn("grp", F.pmod(piece, F.lit(groups)).cast("int"))
+    kind = F.abs(2 * F.col("fill") - capacity)
+    # one row per class, at most capacity + 1
+    sizes = {r["kind"]: r["n"] for r in left.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows, before, total = [], 0, sum(sizes.values())
+    for k in sorted(sizes, reverse=True):
+        rows.append((k, before, sizes[k]))
+        before += sizes[k]
+    classes = F.broadcast(left.sparkSession.createDataFrame(rows, "kind long, before long, own long"))
+    place = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(1 << 20)) / (1 << 20)
+    return (left.withColumn("kind", kind).join(classes, "kind")
+            .withColumn("grp", F.least(F.floor((F.col("before") + place * F.col("own")) * groups / total), F.lit(groups - 1)).cast("int"))
+            .drop("kind", "before", "own"))
+
+
 def pack(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece with its sequence and its offset in it."""
@@ -295,24 +371,33 @@ def pack(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str =
     placed = [whole.withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 61))
               .withColumn("offset", F.lit(0).cast("long"))]
     left = pieces.where(F.col("length") < capacity).withColumn("tie", F.col("ids_crc32"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    schema = PIECE + ", tie long, sequence_id long, offset long, done boolean, fill long"
     count = left.count()
-    level, per_group = 0, GROUP_PIECES
+    level, vain, held, held_bins = 0, 0, None, None
     while count:
-        groups = max(1, -(-count // per_group))
+        groups = -(-count // GROUP_PIECES)
         last = groups == 1
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)).cast("int"))
-
-        schema = PIECE + ", tie long, sequence_id long, offset long, done boolean"
+        dealt = _dealt(left, held, level, vain, groups, capacity)
         packed = materialise(dealt.groupBy("grp").applyInArrow(_group_packer(level, capacity, last), schema))
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        placed.append(packed.where("done").select(*names, "sequence_id", "offset"))
-        if last:
+        # a bin is one row with offset 0
+        now = packed.where("offset = 0").agg(F.count(F.lit(1)).alias("bins"), F.count_if(~F.col("done")).alias("open")).first()
+        saved = held is None or now["bins"] < held_bins
+        if saved:
+            placed.append(packed.where("done").select(*names, "sequence_id", "offset"))
+            held, held_bins, vain = packed.where("not done"), now["open"], 0
+        else:
+            discard(packed)
+            vain += 1
+        level += 1
+        if last and saved:
+            break
+        # the dealing by complementary fills and the one by hash have both saved nothing
+        if vain == (1 if last else 2):
+            placed.append(held.select(*names, "sequence_id", "offset"))
             break
-        left = packed.where("not done").select(*names, "tie")
-        after = left.count()
-        if after > 0.8 * count:  # hardly any bin got full: meet in larger groups
-            per_group *= 4
-        count, level = after, level + 1
+        left = held.select(*names, "tie", "sequence_id", "fill")
+        count = left.count() if saved else count
     out = placed[0]
     for p in placed[1:]:
         out = out.select(p.columns).unionByName(p)

@@ -383,6 +383,44 @@ def test_local_search_empties_a_bin():
     assert all(lengths[b].sum() <= 10 for b in bins)
 
 
+def test_local_search_ends_only_when_no_step_is_left():
+    from concord.llm.packing import _Search, improve
+
+    # 30,000 bins of which only the fullest pairs of classes can be joined, after many vain attempts
+    lengths = np.array([60] * 30_000 + [45, 45])
+    bins = improve([[i] for i in range(len(lengths))], lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and len(bins) == 30_001
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        lengths = rng.integers(1, 60, 40)
+        bins = improve([[i] for i in range(40)], lengths, 64)
+        assert sorted(i for b in bins for i in b) == list(range(40)) and all(lengths[b].sum() <= 64 for b in bins)
+        left = [b for b in bins if lengths[b].sum() < 64]
+        search = _Search(left, lengths, 64)
+        assert search.fill.sum() > (len(left) - 1) * 64 or not any(search.find(b) for b in range(len(left)))
+
+
+@pytest.mark.parametrize("words", [lambda i: 33 + i * 7 % 30, lambda i: 40 if i % 3 else 1 + i % 5])
+def test_packing_groups_do_not_grow(spark, monkeypatch, words):
+    from concord.llm import packing
+    from concord.llm.queries import vocabulary
+
+    seen, own = spark.sparkContext.accumulator(0), packing._pack_group
+
+    def counted(level, group, table, capacity, last):
+        if table.num_rows > 60:  # twice the group size
+            seen.add(1)
+        return own(level, group, table, capacity, last)
+
+    monkeypatch.setattr(packing, "GROUP_PIECES", 30)
+    monkeypatch.setattr(packing, "_group_packer", lambda level, capacity, last: lambda key, table: counted(level, key[0].as_py(), table, capacity, last))
+    texts = [(i, " ".join(["a"] * words(i))) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = [r.asDict() for r in packing.pack(df, vocabulary("word_bpe_49k.json"), capacity=64).collect()]
+    check_packing(rows, texts, 64)
+    assert seen.value == 0
+
+
 # --- op9 ------------------------------------------------------------------------------
 
 def base_spans(text):
