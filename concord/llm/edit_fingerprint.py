@@ -5,8 +5,9 @@ and a shared random bit of (j, character) says whether the pointer moves on.  Te
 edit distance fall into step again after an edit, so edit distance becomes Hamming distance
 between the characters read (Chakraborty, Goldenberg and Koucky 2016).  A fingerprint samples
 the walk at ``DIGITS`` steps: of all steps below twice the length, those of smallest shared
-random rank, so texts of different lengths still share most of their steps.  Bands of sampled
-digits find candidates, and agreement of the digits verifies them.
+random rank, so texts of different lengths still share most of their steps.  Bands of sampled digits, cut at
+steps that texts of similar lengths share, find candidates (``Windows``: every pair as like as
+the threshold meets), and agreement of the digits verifies them.
 
 Walks run over whole texts, many texts abreast in numpy.
 
@@ -187,13 +188,119 @@ def likeness(a: str, b: str) -> float:
 
 
 def bands(fingerprint: str) -> list[str]:
-    """Band keys: each joins ``BAND_DIGITS`` sampled digits that follow each other in the walk."""
+    """Band keys of a text and its edit, for ``shared_bands``: each joins ``BAND_DIGITS`` sampled
+    digits that follow each other in the walk.  ``near_classes`` finds its pairs by ``Windows``."""
     length, digits = fingerprint.split(":")
     if len(digits) < DIGITS:
         return [f"short:{length}:{digits}"]
     return [f"{k}:{digits[k * BAND_DIGITS:(k + 1) * BAND_DIGITS]}" for k in range(BANDS)]
 
 
+class Windows:
+    """Bands keyed by sampled steps that texts of different lengths share.
+
+    A window starts at a length g and holds the longer texts whose sample has at most so
+    many steps that the sample of g lacks.  The steps of least rank in the sample of g are
+    sampled in every text of the window; they are cut into one band more than alike texts can
+    differ in.  Two texts as like as the threshold are both in the window at or below the
+    shorter one, and by the pigeonhole principle they agree in a whole band of it."""
+
+    SLACK = 8
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.most = self.differ(DIGITS)
+        self.starts: list[int] = [1]
+        self.cuts: dict[int, list[np.ndarray]] = {}
+
+    def differ(self, length: int) -> int:
+        """Steps in which a text may differ from a shorter one that is as like as the threshold."""
+        n = min(2 * length, DIGITS)
+        return n - sum(1 for k in range(n) if k / n < self.threshold)
+
+    def slack(self, start: int) -> int:
+        return 1 if 2 * start < DIGITS else self.SLACK
+
+    @staticmethod
+    def fresh(start: int, length: int) -> int:
+        """Steps sampled for ``length`` and not for ``start``."""
+        own = _SAMPLING.of(length)
+        return len(own) - len(np.intersect1d(own, _SAMPLING.of(start), assume_unique=True))
+
+    def holds(self, start: int, length: int) -> bool:
+        return self.fresh(start, length) < self.differ(length) + self.slack(start)
+
+    def extend(self, length: int) -> None:
+        """Starts of all windows up to ``length``: a window starts where the one before
+        misses as many steps as its slack."""
+        while True:
+            start = self.starts[-1]
+            if length <= start or self.fresh(start, length) < self.slack(start):
+                return
+            low, high = start, length  # fresh() never falls as the length grows
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (low, mid) if self.fresh(start, mid) >= self.slack(start) else (mid, high)
+            self.starts.append(high)
+
+    def bands_of(self, start: int) -> list[np.ndarray]:
+        """Places of the steps of every band of a window."""
+        if start not in self.cuts:
+            own = _SAMPLING.of(start)
+            keep = min(len(own), max(DIGITS - self.most - self.slack(start) + 1, 0))
+            least = np.sort(own[np.argsort(_SAMPLING.ranks[own], kind="stable")[:keep]])
+            end = start
+            while 2 * end < DIGITS and self.holds(start, end + 1):
+                end += 1
+            self.cuts[start] = np.array_split(least, self.differ(end) + 1)
+        return self.cuts[start]
+
+    def keys(self, fingerprint: str) -> list[str]:
+        """Keys of all bands of all windows that hold a fingerprint."""
+        length, digits = fingerprint.split(":")
+        n = int(length, 16)
+        if not digits:
+            return []
+        _SAMPLING.extend(2 * n + 1)
+        self.extend(n)
+        own, out = _SAMPLING.of(n), []
+        for start in reversed(self.starts[:int(np.searchsorted(self.starts, n, side="right"))]):
+            if self.fresh(start, n) >= self.most + self.SLACK:
+                break
+            if self.holds(start, n):
+                for k, band in enumerate(self.bands_of(start)):
+                    out.append(f"{start}:{k}:" + "".join(digits[i] for i in np.searchsorted(own, band)))
+        return out
+
+
+_WINDOWS: dict[float, Windows] = {}
+
+
+def band_keys(fingerprint: str, threshold: float) -> list[str]:
+    if threshold not in _WINDOWS:
+        _WINDOWS[threshold] = Windows(threshold)
+    return _WINDOWS[threshold].keys(fingerprint)
+
+
+def linked(a: list[str], b: list[str] | None, threshold: float) -> list[np.ndarray]:
+    """Per fingerprint of ``a`` the numbers of those of ``b`` as like as the threshold
+    (without ``b``: of the later ones of ``a``)."""
+    every = [x.split(":") for x in [*a, *(b or [])]]
+    _SAMPLING.extend(2 * max(int(n, 16) for n, _ in every) + 1)
+    places = [_SAMPLING.of(int(n, 16)) for n, _ in every]
+    columns = np.unique(np.concatenate(places))
+    table = np.zeros((len(every), len(columns)), np.uint8)  # 0: not sampled
+    for row, at, (_, digits) in zip(table, places, every):
+        row[np.searchsorted(columns, at)] = np.frombuffer(digits.encode(), np.uint8)
+    size = np.array([len(d) for _, d in every])
+    out = []
+    for i in range(len(a)):
+        first = i + 1 if b is None else len(a)
+        same = ((table[first:] == table[i]) & (table[i] != 0)).sum(axis=1)
+        out.append(np.flatnonzero(same / np.maximum(size[first:], size[i]) >= threshold) + first - (0 if b is None else len(a)))
+    return out
+
+
 def edited(text: str, after: str) -> str:
     """``text`` with its last quarter replaced by as many first characters of ``after``."""
     q = len(text) // 4
@@ -278,28 +385,75 @@ def fingerprint_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
     return inner.unionByName(edges).withColumnRenamed("doc_id", id_col)
 
 
+#: classes on one side of a tile
+TILE = 1000
+
+
+def _tile_links(threshold: float):
+    """Links between classes of different components in one tile, as a forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lo, side = table.column("lo")[0].as_py(), table.column("side").to_pylist()
+        rows = list(zip(table.column("node").to_pylist(), table.column("comp").to_pylist(), table.column("fp").to_pylist()))
+        left = [r for r, t in zip(rows, side) if t == lo]
+        right = None if table.column("hi")[0].as_py() == lo else [r for r, t in zip(rows, side) if t != lo]
+        parent = {c: c for _, c, _ in rows}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        edges = []
+        if left and right != []:
+            for r, hits in zip(left, linked([x[2] for x in left], right and [x[2] for x in right], threshold)):
+                for k in hits.tolist():
+                    other = (right or left)[k]
+                    u, v = find(r[1]), find(other[1])
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        edges.append((r[0], other[0]))
+        return pa.table({c: pa.array([e[k] for e in edges], pa.int64()) for k, c in enumerate("ab")})
+
+    return run
+
+
 def near_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(id, class_id): documents linked by bit-sampled banding and verified likeness.
 
-    Equal fingerprints are one class; classes that share a band are compared with the
-    band's first class (stars, never all pairs), and verified links are closed by
-    connected components.  A band held by very many classes stays a plain join by key."""
+    Equal fingerprints are one class.  Classes that share a band (``Windows``) are first
+    compared with the band's first class; what is then still of different components within
+    a band is compared in salted tiles of bounded size, so every pair of classes as like as
+    the threshold is linked.  Links are closed by connected components; ``class_id`` is the
+    smallest id of a component (null when none of its rows has an id)."""
     from pyspark.sql.types import ArrayType, DoubleType, StringType
 
     from concord.llm.common import connected_components
 
     prepare(df.sparkSession)
+    # the numbers are written with the table, so they stay
     reps = materialise(df.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fp"))
-                       .agg(F.min(F.col(id_col).cast("long")).alias("rep")))
-    cut = F.pandas_udf(lambda s: s.map(bands), ArrayType(StringType()))
+                       .agg(F.min(F.col(id_col).cast("long")).alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    cut = F.pandas_udf(lambda s: s.map(lambda fp: band_keys(fp, threshold)), ArrayType(StringType()))
     like = F.pandas_udf(lambda a, b: a.combine(b, likeness), DoubleType())
-    banded = materialise(reps.select("rep", "fp", F.explode(cut("fp")).alias("band")))
-    firsts = materialise(banded.groupBy("band").agg(F.min_by("fp", "rep").alias("fp0"), F.min("rep").alias("rep0")))
-    pairs = (banded.join(firsts, "band").where("rep <> rep0").select("rep", "rep0", "fp", "fp0").distinct())
-    links = pairs.where(like("fp", "fp0") >= threshold).select(F.col("rep").alias("a"), F.col("rep0").alias("b"))
-    comp = materialise(connected_components(links))
-    out = (df.select(F.col(id_col), F.col(fingerprint).alias("fp")).join(reps, "fp", "left")
-           .join(comp, F.col("rep") == F.col("node"), "left")
-           .select(id_col, F.coalesce("component", "rep").alias("class_id")))
-    discard(banded, firsts)
-    return out
+    banded = materialise(reps.select("node", F.explode(cut("fp")).alias("band")).select("node", F.xxhash64("band").alias("band")))
+    firsts = materialise(banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    fps = reps.select("node", "fp")
+    pairs = (banded.join(firsts, "band").where("node <> first").select("node", "first").distinct()
+             .join(fps, "node").join(fps.toDF("first", "fp0"), "first"))
+    comp = materialise(connected_components(pairs.where(like("fp", "fp0") >= threshold).select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    state = materialise(banded.join(firsts.select("band", "n"), "band").join(comp, "node", "left")
+                        .select("band", "node", "n", F.coalesce("component", "node").alias("comp")))
+    still = state.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    cells = (state.join(still, "band").withColumn("side", F.pmod(F.xxhash64("node", "band"), tiles).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+             .select("band", "node", "comp", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+             .join(fps, "node"))
+    more = cells.groupBy("band", "lo", "hi").applyInArrow(_tile_links(threshold), "a long, b long")
+    whole = materialise(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    discard(banded, firsts, state, comp)
+    named = reps.join(whole, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    return (df.select(F.col(id_col), F.col(fingerprint).alias("fp")).join(named.join(least, "comp").select("fp", "class_id"), "fp", "left")
+            .select(id_col, "class_id"))

@@ -248,6 +248,38 @@ def test_fingerprints_do_not_depend_on_their_company(edge, none):
     assert classes[4] == classes[5] == 4 and classes[8] == classes[9] == 8
 
 
+def test_near_classes_equal_brute_force_likeness(spark, monkeypatch):
+    import random
+
+    from concord.llm import edit_fingerprint as E
+
+    monkeypatch.setattr(E, "TILE", 7)
+    rng, texts = random.Random(5), ["", "a", "b"]
+    for size in (8, 14, 30, 50, 60, 70, 200, 2000, 2000, 2000):
+        base = "".join(rng.choice("abcdefgh ijklmnop") for _ in range(size))
+        for longer in (0, 0.05, 0.1, 0.15, 0.2, 0.3):
+            texts.append(base + "".join(rng.choice("qrstuvwxyz") for _ in range(round(size * longer))))
+            k = rng.randrange(size)
+            texts.append(base[:k] + "Z" + base[k + 1:])
+    prints = [E.as_string(len(t), d) for t, d in zip(texts, E.fingerprints([E.code_classes(t) for t in texts]))]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if E.likeness(prints[i], prints[j]) >= 0.8:
+                assert prints[i] == prints[j] or set(E.band_keys(prints[i], 0.8)) & set(E.band_keys(prints[j], 0.8))
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    got = {r.doc_id: r.class_id for r in E.near_classes(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) < 60
+
+
 # --- op6 ------------------------------------------------------------------------------
 
 def test_vector_edges(spark):
