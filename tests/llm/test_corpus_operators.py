@@ -182,6 +182,23 @@ def test_language_model_sums_to_one_and_edges(spark, edge, none):
     assert train(none).langs == [] and decide(Model([]), ["a"])[0] == ["und"]
 
 
+def test_language_model_keeps_every_gram(spark):
+    from concord.llm.language_id import count_grams, gram_keys, letter_runs, train
+
+    # more than 500,000 distinct grams in each language, nearly all of them once
+    rng = np.random.default_rng(9)
+    rows = []
+    for lang, low in (("xa", 0x4E00), ("xb", 0x7E00)):
+        for _ in range(26):
+            rows.append(("".join(map(chr, rng.integers(low, low + 0x2000, 20_000))), lang))
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = train(df)
+    assert model.langs == ["xa", "xb"]
+    assert len(model.logp[0]) - 1 == count_grams(df).select("gram").distinct().count() > 1_000_000
+    symbols, starts = letter_runs([rows[0][0][:100]])
+    assert (model.grams[0].find(gram_keys(symbols, starts)[1:]) < len(model.logp[0]) - 1).all()
+
+
 # --- op4 ------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("url,rule,verdict", [
