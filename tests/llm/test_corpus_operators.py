@@ -199,6 +199,29 @@ def test_language_model_keeps_every_gram(spark):
     assert (model.grams[0].find(gram_keys(symbols, starts)[1:]) < len(model.logp[0]) - 1).all()
 
 
+def test_rare_languages_reject_junk(spark):
+    import random
+
+    from concord.llm.language_id import predict, train
+
+    rng = random.Random(3)
+
+    def text(words, n=30):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    common = ["the", "house", "stands", "near", "river", "where", "people", "walk", "every", "morning"]
+    rare, few = ["wij", "zijn", "naar", "huis", "gegaan", "omdat", "regen", "viel"], ["мы", "пошли", "домой", "потому", "дождь"]
+    # a thousandth of the rows is "rare", a thirtieth of which is foreign text; "few" has three rows
+    rows = [(text(common), "c") for _ in range(20_000)] + [(text(rare), "r") for _ in range(30)] + [(text(few), "f") for _ in range(3)]
+    rows.append(("qzxj" * 40, "r"))
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    assert np.isfinite(model.spread).all() and (model.spread < 0.1).all()
+    junk = ["".join(rng.choice("ghuisnwvlrjz") for _ in range(200)) for _ in range(5)] + ["ъыжщ" * 50]
+    good = [text(rare), text(common), text(few)]
+    out = predict(spark.createDataFrame([(t,) for t in [*junk, *good]], "text string"), model).collect()
+    assert [r.rejected for r in out] == [r.text in junk for r in out]
+
+
 # --- op4 ------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("url,rule,verdict", [
