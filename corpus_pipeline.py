@@ -29,8 +29,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of several lines go from the texts, and documents of which nothing
-    is left go."""
-    out = dedup_lines(docs).where("n_removed_lines < n_lines or text <> ''")
+    is left go; a document that lost no line stays, also without a text."""
+    out = dedup_lines(docs).where("n_removed_lines = 0 or n_removed_lines < n_lines or text <> ''")
     return resized(out.select(own_columns(docs)), docs)
 
 

@@ -693,3 +693,12 @@ def test_pipeline_stages_take_edge_rows(spark, edge, none):
         assert stage(spark, none, SF).count() == 0, name
         out = stage(spark, edge, SF)
         assert out.count() > 0, name
+
+
+def test_line_dedup_stage_keeps_documents_that_lost_nothing(spark):
+    import corpus_pipeline
+
+    rows = [(1, None, None), (2, "", 0), (3, LINES, len(LINES)), (4, LINES, len(LINES)), (5, "word", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, SF).collect()}
+    assert got[1] is None and got[2] == "" and got[3] == LINES and got[5] == "word"
