@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import read_table
 from concord.llm.embedding_dedup import ORACLE as EMBEDDING_SQL
+from concord.llm.hard_negatives import ORACLE as HARD_NEGATIVE_SQL
 from concord.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
+from concord.llm.mixing import ORACLE as MIXING_SQL
 
 #: rules of op4: verdict, host, path
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -99,12 +101,44 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (id divisible by 100) for each of its five positives."""
+    from concord.llm.hard_negatives import mine_hard_negatives
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.select("vec_id", "embedding", changed.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; labelled good documents come four times as
+    readily as labelled bad ones, unlabelled ones twice."""
+    from concord.llm.mixing import mix
+
+    grade = F.when(F.col("quality") == 1, 4.0).when(F.col("quality") == 0, 1.0).otherwise(2.0)
+    quality = (read_table(spark, sf_dir, "labels").where("doc_id is not null")
+               .groupBy("doc_id").agg(F.avg(grade).alias("quality")))
+    mixed = mix(read_table(spark, sf_dir, "documents"), weights=[1, 2, 3], quality=quality, quality_default=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every embedding.  ``deviation`` is null where a long cannot hold it."""
+    from concord.llm.whitening import whitened_components
+
+    out = whitened_components(read_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_language_id, op4_url_filter, op5_edit_fingerprints, op6_embedding_dedup,
-                                   op7_bpe_round_trip, op8_best_fit_packing, op9_secret_scan, op10_ngram_jaccard)}
+                                   op7_bpe_round_trip, op8_best_fit_packing, op9_secret_scan, op10_ngram_jaccard,
+                                   op11_hard_negatives, op12_source_mixing, op13_embedding_whitening)}
 
 ORACLE_SQL = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op6_embedding_dedup": EMBEDDING_SQL,
+    "op11_hard_negatives": HARD_NEGATIVE_SQL,
+    "op12_source_mixing": MIXING_SQL,
     "op4_url_filter": r"""
 WITH parts AS (
   SELECT page_id,
