@@ -8,16 +8,18 @@ may order its rows differently.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 from pyspark.sql.window import Window
 
 from concord.session import ensure_checkpoint_dir
 
-#: Rows of a block are one Python task's input: blocks are sized for this many bytes ...
+#: Rows of a block are one Python task's input: blocks are sized for this many bytes, and a block
+#: with more of them is split before training, whatever its number of rows.
 BLOCK_BYTES = 200 << 20
-#: ... and a block with more rows than this is split before training.
-MAX_BLOCK_ROWS = 5_000_000
 
 
 def block_of_key(key: str | Column, n_blocks: int) -> Column:
@@ -32,10 +34,27 @@ def _by_place(parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("int")
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: 8 per number, the length of text and binary values, the sum over an array."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        col, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, ArrayType):
+            size = F.size(col) * 8 if not isinstance(kind.elementType, (StringType, BinaryType)) else \
+                F.aggregate(col, F.lit(0).cast("long"), lambda a, v: a + F.coalesce(F.octet_length(v), F.lit(0)))
+        elif isinstance(kind, (StringType, BinaryType)):
+            size = F.octet_length(col)
+        else:
+            size = F.lit(8)
+        total = total + F.greatest(F.coalesce(size, F.lit(0)), F.lit(0))
+    return total
+
+
 def blocks_for(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks of about ``block_bytes`` each, from the optimizer's size of the input."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, -(-size // block_bytes))
+    """Blocks of about ``block_bytes`` each, from the bytes of the rows (one aggregate): the
+    optimizer's estimate of a joined or filtered input may be far from them."""
+    size = df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0
+    return max(1, -(-int(size) // block_bytes))
 
 
 def assign_blocks(df: DataFrame, n_blocks: int | None = None, key: str | Column | None = None) -> DataFrame:
@@ -72,21 +91,30 @@ def split_hot_blocks(df: DataFrame, max_rows: int) -> DataFrame:
     return joined.withColumn("block_id", block.cast("int")).drop("parts", "base", "__place__").checkpoint()
 
 
-def check_rows(df: DataFrame, label: str = "label", binary: bool = False) -> tuple[int, int]:
-    """(rows, rows of the largest block); fails on an empty input, a null block, a null
+class Checked(NamedTuple):
+    """What ``check_rows`` counted: rows, blocks, and rows and bytes of the largest blocks."""
+
+    rows: int
+    blocks: int
+    most_rows: int
+    most_bytes: int
+
+
+def check_rows(df: DataFrame, label: str = "label", binary: bool = False) -> Checked:
+    """Counts of the rows and their blocks; fails on an empty input, a null block, a null
     or NaN label, and with ``binary`` on any label other than 0/1.  One scan, N rows
     shuffled, one row to the driver."""
     lab = F.col(label)
     bad = lab.isNull() | F.isnan(lab.cast("double"))
     if binary:
         bad = bad | ~lab.isin(0.0, 1.0)
-    r = (df.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
-         .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bad").alias("bad"),
-              F.sum(F.when(F.col("block_id").isNull(), F.col("n")).otherwise(0)).alias("lost")).first())
+    r = (df.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.sum(row_bytes(df)).alias("bytes"))
+         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"), F.max("n").alias("most"), F.max("bytes").alias("bytes"),
+              F.sum("bad").alias("bad"), F.sum(F.when(F.col("block_id").isNull(), F.col("n")).otherwise(0)).alias("lost")).first())
     if not r["n"]:
         raise ValueError("no rows to train on")
     if r["lost"]:
         raise ValueError(f"{r['lost']} rows have no block_id")
     if r["bad"]:
         raise ValueError(f"{r['bad']} rows have {'a label other than 0/1' if binary else 'a null or NaN label'}")
-    return int(r["n"]), int(r["most"])
+    return Checked(int(r["n"]), int(r["blocks"]), int(r["most"]), int(r["bytes"]))

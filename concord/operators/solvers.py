@@ -13,6 +13,7 @@ run a small vectorised solver.  Nothing here talks to Spark.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +77,25 @@ def sparse_block(table: pa.Table, p: int, indices: str = "indices", values: str
     return CSR(n, p, rows, cols, np.asarray(vals, dtype=np.float64))
 
 
+def features_kind(columns: list[str]) -> str:
+    """"dense" (``features``) or "sparse" (``indices`` and ``values``) rows."""
+    if "features" in columns:
+        return "dense"
+    if {"indices", "values"} <= set(columns):
+        return "sparse"
+    raise ValueError("rows need `features` (dense) or `indices`+`values` (sparse)")
+
+
+def row_columns(kind: str) -> list[str]:
+    return ["block_id", "label", "features"] if kind == "dense" else ["block_id", "label", "indices", "values"]
+
+
+def list_column(v: np.ndarray) -> pa.Array:
+    """One list<double> holding ``v``, without a copy through Python objects."""
+    v = np.ascontiguousarray(v, dtype=np.float64).ravel()
+    return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
+
+
 def labels_of(table: pa.Table, label: str = "label") -> np.ndarray:
     return pc.cast(table.column(label), pa.float64()).to_numpy()
 
@@ -208,18 +228,49 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 10, history: int = 5, tol: float =
     return x
 
 
-def newton_logistic_mean(X, y01: np.ndarray, v: np.ndarray, rho: float, x0: np.ndarray,
-                         max_iter: int = 100, eps_abs: float = 1e-6, eps_rel: float = 1e-6) -> np.ndarray:
+#: a Newton step is solved with the p x p Hessian up to this width, and by conjugate gradients on Hessian-vector products beyond
+NEWTON_DIRECT_P = 256
+
+
+class NotConverged(RuntimeError):
+    """A block solver stopped at its iteration cap."""
+
+
+def conjugate_gradients(product, rhs: np.ndarray, x0: np.ndarray, stop: float, max_iter: int) -> tuple[np.ndarray, bool]:
+    """(x, whether the residual norm fell to ``stop``) of a symmetric positive definite system
+    given by its matrix-vector product."""
+    x = np.array(x0, dtype=np.float64, copy=True)
+    r = rhs - product(x) if x.any() else rhs.copy()
+    d, rr = r.copy(), float(r @ r)
+    for _ in range(max_iter):
+        if math.sqrt(rr) <= stop:
+            return x, True
+        Ad = product(d)
+        step = rr / float(d @ Ad)
+        x += step * d
+        r -= step * Ad
+        new = float(r @ r)
+        d = r + (new / rr) * d
+        rr = new
+    return x, math.sqrt(rr) <= stop
+
+
+def newton_logistic_mean(X, y01: np.ndarray, v: np.ndarray, rho: float, x0: np.ndarray, rows: int | None = None,
+                         max_iter: int = 100, eps_abs: float = 1e-6, eps_rel: float = 1e-6,
+                         direct_p: int = NEWTON_DIRECT_P) -> np.ndarray:
     """Damped Newton on (1/m) sum logloss + rho/2 ||x - v||^2, labels 0/1.
 
-    Each step solves with the Hessian's Cholesky factor and is halved until the value
-    falls; it stops when the step is below eps_abs sqrt(p) or eps_rel ||x||."""
-    m = max(len(y01), 1)
-    mean_loss = logistic_sum(X, 2.0 * y01 - 1.0)
+    m is ``rows``, the rows of the whole block when this is a part of one, else the rows given.
+    Up to ``direct_p`` features a step solves with the Hessian's Cholesky factor.  Wider
+    models never form it: a step is a truncated conjugate-gradient solve on products
+    H d = X^T (w * (X d)) / m + rho d, the tighter the smaller the gradient is.  A step is halved
+    until the value falls; the last one is below eps_abs sqrt(p) or eps_rel ||x||."""
+    m = max(rows or len(y01), 1)
+    summed = logistic_sum(X, 2.0 * y01 - 1.0)
     A = as_operator(X)
 
     def scaled(w):
-        f, g = mean_loss(w)
+        f, g = summed(w)
         return f / m, g / m
 
     fg = with_prox(scaled, v, rho)
@@ -227,11 +278,16 @@ def newton_logistic_mean(X, y01: np.ndarray, v: np.ndarray, rho: float, x0: np.n
     f, g = fg(x)
     for _ in range(max_iter):
         mu = sigmoid(A.matvec(x))
-        root = np.sqrt(mu * (1.0 - mu) / m)
-        H = gram_of(scaled_rows(X, root))
-        H[np.diag_indices_from(H)] += rho
-        factor = np.linalg.cholesky(H)
-        step = -np.linalg.solve(factor.T, np.linalg.solve(factor, g))
+        weight = mu * (1.0 - mu) / m
+        if len(x) <= direct_p:
+            H = gram_of(scaled_rows(X, np.sqrt(weight)))
+            H[np.diag_indices_from(H)] += rho
+            factor = np.linalg.cholesky(H)
+            step = -np.linalg.solve(factor.T, np.linalg.solve(factor, g))
+        else:
+            size = float(np.linalg.norm(g))
+            step, _ = conjugate_gradients(lambda d: A.rmatvec(weight * A.matvec(d)) + rho * d, -g, np.zeros_like(x),
+                                          max(min(0.1, math.sqrt(size)), 1e-8) * size, 2 * len(x))
         t, slope = 1.0, float(g @ step)
         while True:
             new = x + t * step
@@ -242,8 +298,8 @@ def newton_logistic_mean(X, y01: np.ndarray, v: np.ndarray, rho: float, x0: np.n
         x, f, g = new, f_new, g_new
         size = t * float(np.linalg.norm(step))
         if size < eps_abs * math.sqrt(len(x)) or size < eps_rel * float(np.linalg.norm(x)):
-            break
-    return x
+            return x
+    raise NotConverged(f"Newton's method took {max_iter} steps")
 
 
 def scaled_rows(X, d: np.ndarray):
@@ -270,6 +326,9 @@ def least_squares_update(gram: np.ndarray, xty: np.ndarray, n: float, v: np.ndar
 
 PACK_SCHEMA = "block_id int, n int, label binary, x binary, lens binary, idx binary, val binary"
 
+#: bytes of a stored dense value, of a stored sparse value (index and value), and of a row's label and length
+DENSE_BYTES, SPARSE_BYTES, ROW_BYTES = 8, 12, 12
+
 
 def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """``values`` as one binary value per run; ``ends`` counts values."""
@@ -278,13 +337,29 @@ def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def pack_rows(table: pa.Table, kind: str, p: int) -> pa.RecordBatch:
+def _piece_ends(ids: np.ndarray, load: np.ndarray, unit: float) -> np.ndarray:
+    """Ends of runs of rows of one block whose loads add up to less than ``unit`` plus one row's."""
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    before = np.cumsum(load) - load
+    within = before - np.repeat(before[new], np.diff(np.append(np.flatnonzero(new), len(ids))))
+    group = np.floor(within / unit)
+    return np.append(np.flatnonzero((np.diff(group) != 0) | new[1:]) + 1, len(ids))
+
+
+def pack_rows(table: pa.Table, kind: str, p: int, piece: tuple[int, int] | None = None) -> pa.RecordBatch:
     """One record per block of ``table``: rows are ordered by block once, then every
-    column is cut at the block borders (no loop over rows or blocks)."""
+    column is cut at the block borders (no loop over rows or blocks).  ``piece`` (rows, bytes)
+    cuts a block's rows further into records of about that many rows and bytes at most; a
+    longer row is a record of its own."""
     ids = table.column("block_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     table, ids = table.take(pa.array(order)), ids[order]
-    ends = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids))
+    if piece is None:
+        ends = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids))
+    else:
+        stored = np.full(len(ids), p * DENSE_BYTES) if kind == "dense" else \
+            pc.list_value_length(table.column("indices")).to_numpy().astype(np.int64) * SPARSE_BYTES
+        ends = _piece_ends(ids, np.maximum(1 / piece[0], (stored + ROW_BYTES) / piece[1]), 0.5)
     y = labels_of(table)
     empty = pa.array([b""] * len(ends), pa.binary())
     x = lens = idx = val = empty
@@ -300,6 +375,24 @@ def pack_rows(table: pa.Table, kind: str, p: int) -> pa.RecordBatch:
         names=["block_id", "n", "label", "x", "lens", "idx", "val"])
 
 
+#: a task stacks about this many bytes of rows before it works on them
+BUFFER_BYTES = 256 << 20
+
+
+def buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to tables of about BUFFER_BYTES, so memory stays bounded."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > BUFFER_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def unpack_block(table: pa.Table, kind: str, p: int):
     """(X, y) of one block from its packed records: dense ndarray or CSR."""
     def joined(name, dtype):
@@ -312,42 +405,50 @@ def unpack_block(table: pa.Table, kind: str, p: int):
     return CSR(len(y), p, rows, joined("idx", np.int32).astype(np.int64), joined("val", np.float64)), y
 
 
+#: products of sparse rows held at a time by ``gram_of``
+GRAM_PRODUCTS = 1 << 22
+
+
 def gram_of(X) -> np.ndarray:
-    """X^T X as p x p, dense or from stored values only (row by row products are grouped
-    through the sparse rows, never a dense n x p copy)."""
+    """X^T X as p x p, dense or from stored values only (never a dense n x p copy).
+
+    Sparse rows are ordered by their number of stored values and taken in runs of equal
+    length k: such a run is an m x k matrix of values, whose k * k products per row are
+    added at once.  A row costs the square of its own stored values, whatever the others have."""
     if isinstance(X, np.ndarray):
         return X.T @ X
-    G = np.zeros((X.p, X.p))
+    G = np.zeros(X.p * X.p)
     lens = np.bincount(X.rows, minlength=X.n)
     start = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    for shift in range(int(lens.max()) if X.n else 0):  # pairs (k, k + shift) of stored values of a row
-        left = np.flatnonzero(np.arange(len(X.vals)) + shift < (start + lens)[X.rows])
-        prod = X.vals[left] * X.vals[left + shift]
-        np.add.at(G, (X.cols[left], X.cols[left + shift]), prod)
-        if shift:
-            np.add.at(G, (X.cols[left + shift], X.cols[left]), prod)
-    return G
-
-
-def least_squares_cg(X, b: np.ndarray, v: np.ndarray, rho: float, x0: np.ndarray, tol: float = 1e-12,
-                     max_iter: int = 1000) -> np.ndarray:
+    for k in np.unique(lens[lens > 0]):
+        rows = np.flatnonzero(lens == k)
+        if k * k > GRAM_PRODUCTS:  # long rows: column by column of the row
+            for r in rows:
+                cols, vals = X.cols[start[r]:start[r] + k], X.vals[start[r]:start[r] + k]
+                for c, v in zip(cols, vals):
+                    np.add.at(G, c * X.p + cols, v * vals)
+            continue
+        many = max(1, GRAM_PRODUCTS // int(k * k))
+        for lo in range(0, len(rows), many):
+            at = start[rows[lo:lo + many]][:, None] + np.arange(k)
+            cols, vals = X.cols[at], X.vals[at]
+            G += np.bincount((cols[:, :, None] * X.p + cols[:, None, :]).ravel(),
+                             weights=(vals[:, :, None] * vals[:, None, :]).ravel(), minlength=X.p * X.p)
+    return G.reshape(X.p, X.p)
+
+
+def least_squares_cg(X, b: np.ndarray, v: np.ndarray, rho: float, x0: np.ndarray, rows: int | None = None,
+                     tol: float = 1e-12, max_iter: int = 1000) -> np.ndarray:
     """The least-squares x-update without a Gram: conjugate gradients on
-    (X^T X / n + rho I) x = X^T b / n + rho v, warm-started."""
+    (X^T X / n + rho I) x = X^T b / n + rho v, warm-started.  n is ``rows``, the rows of the
+    whole block when this is a part of one, else the rows given."""
     A = as_operator(X)
-    n = max(len(b), 1)
+    n = max(rows or len(b), 1)
     rhs = A.rmatvec(b) / n + rho * v
-    x = np.array(x0, dtype=np.float64, copy=True)
-    r = rhs - A.rmatvec(A.matvec(x)) / n - rho * x
-    d, rr = r.copy(), float(r @ r)
-    stop = tol * max(float(np.linalg.norm(rhs)), 1e-300)
-    for _ in range(max_iter):
-        if math.sqrt(rr) <= stop:
-            break
-        Ad = A.rmatvec(A.matvec(d)) / n + rho * d
-        step = rr / float(d @ Ad)
-        x += step * d
-        r -= step * Ad
-        new = float(r @ r)
-        d = r + (new / rr) * d
-        rr = new
+    size = max(float(np.linalg.norm(rhs)), 1e-300)
+    x, done = conjugate_gradients(lambda d: A.rmatvec(A.matvec(d)) / n + rho * d, rhs, x0, tol * size, max_iter)
+    if not done:  # the residual that rounding leaves is fine, a larger one is not
+        left = float(np.linalg.norm(rhs - A.rmatvec(A.matvec(x)) / n - rho * x))
+        if left > 1e-8 * size:
+            raise NotConverged(f"conjugate gradients left a residual of {left / size:.1e} after {max_iter} steps")
     return x

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.vectors import zeros
 from concord.operators.consensus import ABS_TOL, REL_TOL, PassStats, consensus_from_moments, converged, update_rho, z_from_sum
+from concord.operators.solvers import list_column
 from concord.session import delete_path, scratch_path
 
 STATE_SCHEMA = "block_id int, x array<double>, y array<double>"
@@ -77,12 +78,6 @@ def _vector(col: pa.ChunkedArray) -> np.ndarray:
     return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
-def list_column(v: np.ndarray) -> pa.Array:
-    """One list<double> holding ``v``, without a copy through Python objects."""
-    v = np.ascontiguousarray(v, dtype=np.float64).ravel()
-    return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
-
-
 def make_pass_function(local_update: LocalUpdate, p: int, z: np.ndarray, rho: float,
                        pending: tuple[np.ndarray, float] | None):
     """The cogroup function of one pass: (payload rows, state row) -> new state row."""

@@ -97,6 +97,18 @@ def cls_wide_dense(spark: SparkSession, sf_dir: str, n_blocks: int = 4) -> DataF
 HASH_WIDTH = 4096
 
 
+def cls_slots(spark: SparkSession, sf_dir: str, n_blocks: int = 4, width: int = HASH_WIDTH) -> DataFrame:
+    """One stored value per row (1 + t) in the slot of its part key: wide, sparse, and separable
+    by slot, so SQL can solve it slot by slot."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        block_of_key("l_orderkey", n_blocks).alias("block_id"),
+        F.when(planted() > 0, 1.0).otherwise(0.0).alias("label"),
+        F.array(F.pmod("l_partkey", F.lit(width)).cast("int")).alias("indices"),
+        F.array(F.lit(1.0) + feat_t()).alias("values"),
+    )
+
+
 def cls_sparse(spark: SparkSession, sf_dir: str, n_blocks: int = 4, width: int = HASH_WIDTH) -> DataFrame:
     """documents joined to labels; lower-cased whitespace tokens hashed into `width`
     slots, counts as values (a wide sparse problem).  Whole texts are tokenised."""

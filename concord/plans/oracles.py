@@ -6,7 +6,7 @@ ADMM traces are unrolled CTE chains (a fixed pass count, the 2 x 2 solve written
 
 from __future__ import annotations
 
-from concord.plans.queries import CEE, KAPPA, PASSES, PATH_LAMBDAS, RHO, W3, W_LR, Z2, Z2_PREV, Z3
+from concord.plans.queries import CEE, KAPPA, PASSES, PATH_LAMBDAS, RHO, SGD, W3, W_LR, WIDE_LAMBDA, Z2, Z2_PREV, Z3
 
 
 def rnd(expr: str, digits: int) -> str:
@@ -342,6 +342,48 @@ it(k, w) AS (
 SELECT CAST(j - 1 AS INTEGER) AS j, {rnd('w[j]', 4)} AS weight FROM it, range(1, {width + 1}) AS r(j) WHERE k = {steps}"""
 
 
+def _slots_newton_sql(lam: float, width: int = 4096, steps: int = 40) -> str:
+    """Mean logistic loss per block + lam w^2, slot by slot: one-dimensional Newton steps, halved at first."""
+    return f"""WITH RECURSIVE {LI.replace("l_extendedprice,", "l_extendedprice, l_partkey,", 1)},
+rows AS MATERIALIZED (
+  SELECT CAST(((l_partkey % {width}) + {width}) % {width} AS INTEGER) AS j, 1.0 + t AS v, CASE WHEN b > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+         1.0 / count(*) OVER (PARTITION BY block_id) AS wt FROM li),
+it(k, j, w) AS (
+  SELECT 0, j, 0.0::DOUBLE FROM (SELECT DISTINCT j FROM rows)
+  UNION ALL
+  SELECT k + 1, j, w - CASE WHEN k < 20 THEN 0.5 ELSE 1.0 END * (g + {_d(2 * lam)} * w) / (h + {_d(2 * lam)})
+  FROM (SELECT k, rows.j, w, sum(wt * v * (1.0 / (1.0 + exp(-w * v)) - label)) AS g,
+               sum(wt * v * v * (1.0 / (1.0 + exp(-w * v))) * (1.0 - 1.0 / (1.0 + exp(-w * v)))) AS h
+        FROM it JOIN rows USING (j) WHERE k < {steps} GROUP BY k, rows.j, w))
+SELECT CAST(s.j AS INTEGER) AS j, {rnd('coalesce(w, 0.0)', 2)} AS weight FROM range(0, {width}) AS s(j) LEFT JOIN (SELECT j, w FROM it WHERE k = {steps}) f ON f.j = s.j"""
+
+
+def _ridge_closed_sql(lam: float) -> str:
+    """(sum of block means of x x^T + 2 lam I) w = sum of block means of b x, 2 x 2."""
+    return f"""WITH {LI},
+m AS (SELECT avg(a * a) AS aa, avg(a * c) AS ac, avg(c * c) AS cc, avg(a * b) AS ab, avg(c * b) AS cb FROM li GROUP BY block_id),
+h AS (SELECT sum(aa) + {_d(2 * lam)} AS p, sum(ac) AS q, sum(cc) + {_d(2 * lam)} AS r, sum(ab) AS u, sum(cb) AS v FROM m)
+SELECT 0 AS j, {r3('(r * u - q * v) / (p * r - q * q)')} AS weight FROM h
+UNION ALL SELECT 1, {r3('(p * v - q * u) / (p * r - q * q)')} FROM h"""
+
+
+def _sgd_sql() -> str:
+    """The steps of mini-batch SGD, unrolled by recursion: the batch of step t holds the rows whose
+    bucket of md5(key:t) is below the fraction."""
+    m = "(w1 * a + w2 * c + w3 * t)"
+    bucket = "CAST('0x' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || ':' || (k + 1)::VARCHAR), 1, 8) AS BIGINT) % 1000000"
+    s = f"({_d(SGD['step'])} / sqrt((k + 1)::DOUBLE))"
+    grad = [f"sum(CASE WHEN ypm * {m} < 1.0 THEN -ypm * {x} ELSE 0.0::DOUBLE END) / count(*) AS g{i}" for i, x in enumerate("act", 1)]
+    new = [f"(1.0 - {s} * {_d(SGD['lam'])}) * w{i} - {s} * g{i}" for i in (1, 2, 3)]
+    return f"""WITH RECURSIVE {CLS},
+it(k, w1, w2, w3) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, {", ".join(new)}
+  FROM (SELECT k, w1, w2, w3, {", ".join(grad)} FROM it, cls WHERE k < {SGD['iterations']} AND {bucket} < {int(1_000_000 * SGD['fraction'])} GROUP BY k, w1, w2, w3))
+""" + " UNION ALL ".join(f"SELECT {j} AS j, {r6(f'w{j + 1}')} AS weight FROM it WHERE k = {SGD['iterations']}" for j in range(3))
+
+
 def _lasso_intercept_sql(reg: float) -> str:
     """min 1/(2n) |b - w.x - i|^2 + reg |w|_1 by coordinate descent on the centred moments."""
     soft = lambda v, q: f"(CASE WHEN {v} > {_d(reg)} THEN ({v} - {_d(reg)}) / {q} WHEN {v} < -{_d(reg)} THEN ({v} + {_d(reg)}) / {q} ELSE 0.0::DOUBLE END)"
@@ -481,6 +523,14 @@ zz AS (SELECT sum(z * z) AS zz FROM zt)
 SELECT {r6(f'{_d(1e-3)} * greatest(sqrt(xx), sqrt(n::DOUBLE) * sqrt(zz)) + {_d(1e-3)} * sqrt((p * n)::DOUBLE)')} AS eps_primal,
        {r6(f'{_d(1e-3)} * sqrt(yy) + {_d(1e-3)} * sqrt((p * n)::DOUBLE)')} AS eps_dual FROM s, zz"""
 
+    for name in ("lr_objective", "lr_gradient", "svm_objective", "svm_gradient"):
+        sq[f"{name}_sparse"] = sq[name]
+    mu = "(1.0 / (1.0 + exp(-m)))"
+    along = f"list_dot_product(f, [{', '.join(_d(v) for v in W3)}])"
+    sq["lr_hessian_product"] = f"""WITH {STATE3}
+SELECT block_id, CAST(j - 1 AS INTEGER) AS j, {r6(f"avg({mu} * (1.0 - {mu}) * {along} * f[j]) + {_d(RHO)} * any_value([{', '.join(_d(v) for v in W3)}][j])")} AS hd
+FROM rows3, range(1, 4) AS r(j) GROUP BY block_id, j"""
+
     # ---------------- whole trainers
     sq["admm_ridge_trace"] = _trace_sql(1.0, False)
     sq["admm_ridge_weights"] = _weights_sql(1.0, False)
@@ -492,6 +542,12 @@ SELECT {r6(f'{_d(1e-3)} * greatest(sqrt(xx), sqrt(n::DOUBLE) * sqrt(zz)) + {_d(1
     sq["rho_update"] = _rho_update_sql()
     sq["admm_lr_l2"] = _newton_sql("lr", 1.0)
     sq["admm_lr_newton"] = _newton_sql("lr", 0.1, mean=True)
+    sq["admm_lr_newton_split"] = sq["admm_lr_newton"]
+    sq["admm_ridge_split"] = _ridge_closed_sql(1.0)
+    sq["admm_lr_newton_wide"] = _slots_newton_sql(WIDE_LAMBDA)
+    sq["admm_lr_docs_newton"] = """SELECT count(*) AS n_rows, sum(quality)::BIGINT AS n_good, true AS stationary
+FROM documents JOIN labels USING (doc_id) WHERE len(regexp_extract_all(text, '\\S')) > 0"""
+    sq["baseline_svm_sgd"] = _sgd_sql()
     sq["admm_svm"] = _newton_sql("svm", 1.0)
     sq["admm_lr_l1"] = _newton_l1_sql("lr", 1.0)
     sq["admm_svm_adaptive"] = _newton_l1_sql("svm", 1.0)

@@ -352,6 +352,33 @@ def q_svm_gradient(spark, sf_dir):
     return g.select("block_id", "j", r3("gradient").alias("gradient"))
 
 
+def q_lr_objective_sparse(spark, sf_dir):
+    """Sparse rows: the values of the dense rows."""
+    o = O.lr_objective(fx.cls_small_sparse(spark, sf_dir), state3(spark, sf_dir), _z_frame(spark, Z3), RHO)
+    return o.select("block_id", r3("objective").alias("objective"))
+
+
+def q_lr_gradient_sparse(spark, sf_dir):
+    g = O.lr_gradient(fx.cls_small_sparse(spark, sf_dir), state3(spark, sf_dir), _z_frame(spark, Z3), RHO)
+    return g.select("block_id", "j", r3("gradient").alias("gradient"))
+
+
+def q_svm_objective_sparse(spark, sf_dir):
+    o = O.svm_objective(fx.cls_small_sparse(spark, sf_dir), state3(spark, sf_dir), _z_frame(spark, Z3), RHO, CEE)
+    return o.select("block_id", r3("objective").alias("objective"))
+
+
+def q_svm_gradient_sparse(spark, sf_dir):
+    g = O.svm_gradient(fx.cls_small_sparse(spark, sf_dir), state3(spark, sf_dir), _z_frame(spark, Z3), RHO, CEE)
+    return g.select("block_id", "j", r3("gradient").alias("gradient"))
+
+
+def q_lr_hessian_product(spark, sf_dir):
+    """The Newton Hessian times a vector, without forming it (sparse rows)."""
+    h = O.lr_hessian_product(fx.cls_small_sparse(spark, sf_dir), state3(spark, sf_dir), W3, RHO)
+    return h.select("block_id", "j", r6("hd").alias("hd"))
+
+
 # ------------------------------------------------------------------ consensus steps
 
 
@@ -535,6 +562,61 @@ def q_admm_lr_newton(spark, sf_dir):
     return _optimum(train_logistic(fx.cls_small(spark, sf_dir), 3, lam=0.1, rho=0.1, solver="newton", **TIGHT), spark)
 
 
+def _tenth(spark, sf_dir) -> int:
+    return -(-fx.table(spark, sf_dir, "lineitem").count() // 10)
+
+
+def q_admm_lr_newton_split(spark, sf_dir):
+    """Blocks solved in parts of at most a tenth of all rows: the model of the whole blocks."""
+    from concord.plans.train import train_logistic
+    m = train_logistic(fx.cls_small(spark, sf_dir), 3, lam=0.1, rho=0.04, solver="newton", max_block_rows=_tenth(spark, sf_dir), **TIGHT)
+    if m.n_blocks <= 4:
+        raise RuntimeError("no block was split")
+    return _optimum(m, spark)
+
+
+def q_admm_ridge_split(spark, sf_dir):
+    """Ridge on packed rows (no Gram), blocks in parts: the closed form of the whole blocks."""
+    from concord.plans.train import train_regression
+    m = train_regression(fx.reg_small(spark, sf_dir), 2, lam=1.0, rho=0.5, gram_max_p=0, max_block_rows=_tenth(spark, sf_dir), **TIGHT)
+    if m.n_blocks <= 4:
+        raise RuntimeError("no block was split")
+    return _optimum(m, spark)
+
+
+WIDE_LAMBDA = 1e-4
+
+
+def q_admm_lr_newton_wide(spark, sf_dir):
+    """Newton by conjugate gradients at p = 4096, sparse rows: one weight per slot of the part key."""
+    from concord.plans.train import train_logistic
+    m = train_logistic(fx.cls_slots(spark, sf_dir), fx.HASH_WIDTH, lam=WIDE_LAMBDA, rho=WIDE_LAMBDA / 2, solver="newton", max_iter=300,
+                       abs_tol=1e-8, rel_tol=1e-6, primal_only_stop=False)
+    if m.iterations >= 300:
+        raise RuntimeError("the run did not converge")
+    return m.weights_frame(spark).select("j", rnd("weight", 2).alias("weight"))
+
+
+def q_admm_lr_docs_newton(spark, sf_dir):
+    """Newton by conjugate gradients on hashed texts (p = 4096).  SQL has no such hash, so the query
+    checks the fit itself: every component of the objective's gradient, summed anew over all
+    rows by the relational operator, is near 0."""
+    import numpy as np
+
+    from concord.plans.train import train_logistic
+    rows = fx.cls_sparse(spark, sf_dir).persist()
+    lam = 0.01
+    m = train_logistic(rows, fx.HASH_WIDTH, lam=lam, rho=lam, solver="newton", max_iter=300, abs_tol=1e-7, rel_tol=1e-7, primal_only_stop=False)
+    at = F.lit([float(v) for v in m.weights])
+    state = rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).select("block_id", "n", at.alias("x"))
+    sums = O.block_sums(rows, state, O._logistic).select("block_id", F.posexplode("s").alias("k", "g")).where("k > 0")
+    mean = (sums.join(state.select("block_id", "n"), "block_id").groupBy("k").agg(F.sum(F.col("g") / F.col("n")).alias("g"))
+            .select((F.col("g") + F.lit(2 * lam) * F.element_at(at, F.col("k"))).alias("g")))
+    worst = mean.agg(F.max(F.abs("g")).alias("g")).first()["g"]
+    out = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("long").alias("n_good"))
+    return out.select("n_rows", "n_good", F.lit(bool(worst < 1e-5 and np.abs(m.weights).max() > 1e-3)).alias("stationary"))
+
+
 def q_admm_svm(spark, sf_dir):
     from concord.plans.train import train_svm
     return _optimum(train_svm(fx.cls_small(spark, sf_dir), 3, lam=1.0, rho=_rho_for(spark, sf_dir, 300.0), cee=CEE, **TIGHT, **SOLVE), spark)
@@ -593,6 +675,16 @@ def q_baseline_svm(spark, sf_dir):
     return baseline_svm(fx.cls_small(spark, sf_dir))
 
 
+SGD = dict(iterations=40, step=1.0, lam=0.01, fraction=0.25, tol=0.0)
+
+
+def q_baseline_svm_sgd(spark, sf_dir):
+    """Mini-batch SGD on the hinge: forty steps over repeatable quarter samples of the rows."""
+    from concord.plans.sgd import svm_sgd
+    rows = fx.cls_small(spark, sf_dir)
+    return _weights(svm_sgd(rows, 3, key=F.concat_ws("-", "l_orderkey", "l_linenumber"), **SGD), spark)
+
+
 def q_baseline_linreg(spark, sf_dir):
     from concord.plans.baselines import baseline_linear_regression
     return baseline_linear_regression(fx.reg_small(spark, sf_dir), reg=0.1).select("j", r3("weight").alias("weight"))

@@ -19,21 +19,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from concord.functions.losses import label_01
 from concord.operators import solvers as S
-from concord.operators.blocks import MAX_BLOCK_ROWS, check_rows, split_hot_blocks
+from concord.operators.blocks import BLOCK_BYTES, check_rows
 from concord.plans.admm import ADMMConfig, ADMMResult, LocalUpdate, list_column, run_admm, trace_frame, weights_frame
-from concord.session import ensure_importable
+from concord.session import delete_path, ensure_importable, scratch_path
 
 GRAM_SCHEMA = "block_id int, n long, gram array<double>, xty array<double>"
-PARTIAL_SCHEMA = "block_id int, n long, gram binary, xty binary"
+PARTIAL_SCHEMA = "block_id int, n int, gram binary, xty binary"
+#: a block's packed records; ``m`` counts the rows of the whole block where a record belongs to a part of it
+PAYLOAD_SCHEMA = f"{S.PACK_SCHEMA}, m long"
+#: a split block is cut into records of this part of a block's limits, so that parts are filled well
+PIECE = 1 / 16
 
 #: Up to this width a least-squares block is kept as its p x p Gram (8 p^2 bytes per
 #: block); wider ones keep their packed rows and solve by conjugate gradients.
 GRAM_MAX_P = 512
-#: A task stacks about this many bytes of rows before it emits its records.
-PACK_BUFFER_BYTES = 256 << 20
 
 
 @dataclass
@@ -62,19 +65,6 @@ class LinearModel:
 # ------------------------------------------------------------------ placement
 
 
-def _features_spec(df: DataFrame) -> str:
-    cols = set(df.columns)
-    if "features" in cols:
-        return "dense"
-    if {"indices", "values"} <= cols:
-        return "sparse"
-    raise ValueError("rows need `features` (dense) or `indices`+`values` (sparse)")
-
-
-def _payload_columns(kind: str) -> list[str]:
-    return ["block_id", "label", "features"] if kind == "dense" else ["block_id", "label", "indices", "values"]
-
-
 def check_binary_labels(df: DataFrame, label: str = "label") -> None:
     """Fail unless every label is 0 or 1 (one aggregate)."""
     bad = df.agg(F.count_if(~F.col(label).isin(0.0, 1.0) | F.col(label).isNull()).alias("bad")).first()["bad"]
@@ -82,20 +72,6 @@ def check_binary_labels(df: DataFrame, label: str = "label") -> None:
         raise ValueError(f"{bad} rows have a label other than 0/1")
 
 
-def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined to tables of about PACK_BUFFER_BYTES, so memory stays bounded."""
-    held, size = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size > PACK_BUFFER_BYTES:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 @dataclass
 class Placed:
     """A payload with all records of a block in one partition, cached."""
@@ -105,27 +81,65 @@ class Placed:
     n_rows: int
     n_blocks: int
     p: int
+    path: str | None = None
 
     def release(self) -> None:
         self.payload.unpersist()
-
-
-def place(df: DataFrame, p: int, binary: bool = False, max_block_rows: int | None = MAX_BLOCK_ROWS,
-          gram: bool = False) -> Placed:
-    """Check the rows, split blocks above ``max_block_rows``, stack the rows of each block
-    map-side (packed rows, or their partial Gram), and move only those records, once:
-    hash-partitioned on ``block_id`` and cached.  Two partitions per block keep blocks
-    that meet by hash few.  Fails unless exactly the counted rows were placed."""
+        if self.path:
+            delete_path(self.payload.sparkSession, self.path)
+            self.path = None
+
+
+def _split_blocks(rows: DataFrame, kind: str, p: int, max_rows: int, max_bytes: int) -> tuple[DataFrame, int, str]:
+    """(records, parts, their folder): blocks cut into parts of at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    Tasks pack their rows into small records, which are written once.  Sums over the records of a block, by place, deal
+    them to parts: rows are never moved one by one, and a part's load follows from what its records hold, however
+    unlike the rows are.  Every record keeps the number of rows of its whole block."""
+    spark = rows.sparkSession
+    limit = (max(1, int(max_rows * PIECE)), max(1, int(max_bytes * PIECE)))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in S.buffered(batches):
+            yield S.pack_rows(table, kind, p, piece=limit)
+
+    path = scratch_path(spark, "concord-parts")
+    rows.mapInArrow(pieces, S.PACK_SCHEMA).withColumn("piece", F.monotonically_increasing_id()).write.parquet(path)
+    written = spark.read.schema(f"{S.PACK_SCHEMA}, piece long").parquet(path)
+    held = F.octet_length("x") + F.octet_length("idx") + F.octet_length("val") + F.lit(S.ROW_BYTES) * F.col("n")
+    load = F.greatest(F.col("n") / F.lit(max_rows), held / F.lit(max_bytes))
+    loads = written.select("block_id", "piece", "n", load.alias("load"))
+    # a few records per part: the table is small, and one block's records are summed in order of place
+    upto = Window.partitionBy("block_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("block_id")
+    dealt = (loads.withColumn("part", F.floor((F.sum("load").over(upto) - F.col("load")) / F.lit(1 - 2 * PIECE)))
+             .withColumn("m", F.sum("n").over(whole)).select("block_id", "piece", "part", "m"))
+    numbers = dealt.select("block_id", "part").distinct().withColumn(
+        "number", F.row_number().over(Window.orderBy("block_id", "part")) - 1)  # one row per part
+    placed = dealt.join(numbers, ["block_id", "part"]).select("piece", F.col("number").cast("int").alias("number"), "m")
+    parts = numbers.count()
+    records = (written.join(placed, "piece").drop("block_id", "piece")
+               .select(F.col("number").alias("block_id"), *[c for c in written.columns if c not in ("block_id", "piece")], "m"))
+    return records, parts, path
+
+
+def place(df: DataFrame, p: int, binary: bool = False, max_block_rows: int | None = None, gram: bool = False,
+          max_block_bytes: int = BLOCK_BYTES) -> Placed:
+    """Check the rows, stack the rows of each block map-side (packed rows, or their partial Gram), and move only those
+    records, once: hash-partitioned on ``block_id`` and cached.  Two partitions per block keep blocks
+    that meet by hash few.  Fails unless exactly the counted rows were placed.
+
+    A block of more than ``max_block_bytes`` (or ``max_block_rows``, if given) is solved in parts, each with the row
+    count of the whole block: a mean loss is the sum of the parts' losses over that count, so the objective, and with it the
+    model, is the same however blocks are split.  A Gram is p x p whatever the rows, so with ``gram`` no block is split."""
     ensure_importable(df.sparkSession)
-    kind = _features_spec(df)
-    rows = df.select(*_payload_columns(kind))
-    n_rows, most = check_rows(rows, binary=binary)
-    if max_block_rows and most > max_block_rows:
-        rows = split_hot_blocks(rows, max_block_rows)
-    n_blocks = rows.select("block_id").distinct().count()
+    kind = S.features_kind(df.columns)
+    rows = df.select(*S.row_columns(kind))
+    checked = check_rows(rows, binary=binary)
+    n_blocks, path = checked.blocks, None
 
     def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buffered(batches):
+        for table in S.buffered(batches):
             packed = S.pack_rows(table, kind, p)
             if not gram:
                 yield packed
@@ -133,34 +147,47 @@ def place(df: DataFrame, p: int, binary: bool = False, max_block_rows: int | Non
             for i in range(packed.num_rows):
                 X, b = S.unpack_block(packed.slice(i, 1), kind, p)
                 yield pa.RecordBatch.from_pydict({
-                    "block_id": packed.column("block_id").slice(i, 1), "n": pa.array([len(b)], pa.int64()),
+                    "block_id": packed.column("block_id").slice(i, 1), "n": packed.column("n").slice(i, 1),
                     "gram": pa.array([S.gram_of(X).tobytes()], pa.binary()),
                     "xty": pa.array([S.as_operator(X).rmatvec(b).tobytes()], pa.binary())})
 
-    def finish(table: pa.Table) -> pa.Table:
-        G, q = np.zeros(p * p), np.zeros(p)
-        for g, xy in zip(table.column("gram").to_pylist(), table.column("xty").to_pylist()):
-            G += np.frombuffer(g, dtype=np.float64)
-            q += np.frombuffer(xy, dtype=np.float64)
-        n = int(np.sum(table.column("n").to_numpy()))
-        return pa.table({"block_id": table.column("block_id").slice(0, 1), "n": pa.array([n], pa.int64()),
-                         "gram": list_column(G), "xty": list_column(q)})
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partial Grams of a partition summed as they come; one Gram per block is held."""
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = sums.setdefault(r["block_id"], [0, np.zeros(p * p), np.zeros(p)])
+                s[0] += r["n"]
+                s[1] += np.frombuffer(r["gram"], dtype=np.float64)
+                s[2] += np.frombuffer(r["xty"], dtype=np.float64)
+        for block, (n, G, q) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n], pa.int64()), list_column(G), list_column(q)],
+                                             names=["block_id", "n", "gram", "xty"])
 
-    records = rows.mapInArrow(stack, PARTIAL_SCHEMA if gram else S.PACK_SCHEMA)
     if gram:
-        records = records.groupBy("block_id").applyInArrow(finish, GRAM_SCHEMA)
+        records = rows.mapInArrow(stack, PARTIAL_SCHEMA).repartition(2 * n_blocks, "block_id").mapInArrow(finish, GRAM_SCHEMA)
+    elif checked.most_bytes > max_block_bytes or checked.most_rows > (max_block_rows or checked.most_rows):
+        records, n_blocks, path = _split_blocks(rows, kind, p, max_block_rows or checked.rows, max_block_bytes)
+    else:
+        records = rows.mapInArrow(stack, S.PACK_SCHEMA).withColumn("m", F.lit(None).cast("long"))
     payload = records.repartition(2 * n_blocks, "block_id").sortWithinPartitions("block_id").persist()
+    placed = Placed(payload, "gram" if gram else kind, checked.rows, n_blocks, p, path)
     got = payload.agg(F.sum("n").alias("n"), F.countDistinct("block_id").alias("b")).first()
-    if got["n"] != n_rows or got["b"] != n_blocks:
-        payload.unpersist()
-        raise RuntimeError(f"{n_rows} rows in {n_blocks} blocks were counted, {got['n']} in {got['b']} were placed: "
+    if got["n"] != checked.rows or got["b"] != n_blocks:
+        placed.release()
+        raise RuntimeError(f"{checked.rows} rows in {n_blocks} blocks were counted, {got['n']} in {got['b']} were placed: "
                            "the input gives other rows when it is read again")
-    return Placed(payload, "gram" if gram else kind, n_rows, n_blocks, p)
+    return placed
 
 
 # ------------------------------------------------------------------ block updates
 
 
+def whole_rows(payload: pa.Table) -> int | None:
+    """Rows of the whole block where the payload is a part of one."""
+    return payload.column("m")[0].as_py()
+
+
 def ls_update(p: int, kind: str) -> LocalUpdate:
     """Least squares: a solve on the block's Gram, or conjugate gradients on its rows."""
 
@@ -172,7 +199,7 @@ def ls_update(p: int, kind: str) -> LocalUpdate:
 
     def from_rows(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
         X, b = S.unpack_block(payload, kind, p)
-        return S.least_squares_cg(X, b, v, rho, x)
+        return S.least_squares_cg(X, b, v, rho, x, rows=whole_rows(payload))
 
     return from_gram if kind == "gram" else from_rows
 
@@ -190,7 +217,7 @@ def _loss_update(p: int, kind: str, loss: Callable, max_iter: int, history: int,
 def _newton_update(p: int, kind: str) -> LocalUpdate:
     def update(payload: pa.Table, x: np.ndarray, v: np.ndarray, rho: float) -> np.ndarray:
         X, y01 = S.unpack_block(payload, kind, p)
-        return S.newton_logistic_mean(X, y01, v, rho, x)
+        return S.newton_logistic_mean(X, y01, v, rho, x, rows=whole_rows(payload))
 
     return update
 
@@ -198,11 +225,11 @@ def _newton_update(p: int, kind: str) -> LocalUpdate:
 # ------------------------------------------------------------------ regression
 
 
-def prepare_regression(df: DataFrame, p: int, max_block_rows: int | None = MAX_BLOCK_ROWS,
-                       gram_max_p: int = GRAM_MAX_P) -> Placed:
+def prepare_regression(df: DataFrame, p: int, max_block_rows: int | None = None, gram_max_p: int = GRAM_MAX_P,
+                       max_block_bytes: int = BLOCK_BYTES) -> Placed:
     """Read the rows once.  Up to ``gram_max_p`` features only partial Grams are
     shuffled and each block is kept as X^T X and X^T b; beyond, packed rows."""
-    return place(df, p, max_block_rows=max_block_rows, gram=p <= gram_max_p)
+    return place(df, p, max_block_rows=max_block_rows, gram=p <= gram_max_p, max_block_bytes=max_block_bytes)
 
 
 def fit_regression(prep: Placed, **config) -> LinearModel:
@@ -210,11 +237,11 @@ def fit_regression(prep: Placed, **config) -> LinearModel:
     return _model(run_admm(prep.payload, prep.p, ls_update(prep.p, prep.kind), ADMMConfig(**config)), "regression")
 
 
-def train_regression(df: DataFrame, p: int, *, max_block_rows: int | None = MAX_BLOCK_ROWS,
-                     gram_max_p: int = GRAM_MAX_P, **config) -> LinearModel:
+def train_regression(df: DataFrame, p: int, *, max_block_rows: int | None = None, gram_max_p: int = GRAM_MAX_P,
+                     max_block_bytes: int = BLOCK_BYTES, **config) -> LinearModel:
     """Ridge (L2, penalty lam ||w||^2) or lasso (L1, lam ||w||_1) on
     sum_blocks 1/(2 n_i) ||X_i w - b_i||^2; ``config`` are ``ADMMConfig`` fields."""
-    prep = prepare_regression(df, p, max_block_rows, gram_max_p)
+    prep = prepare_regression(df, p, max_block_rows, gram_max_p, max_block_bytes)
     try:
         return fit_regression(prep, **config)
     finally:
@@ -238,13 +265,13 @@ def fit_logistic(prep: Placed, *, solver: str = "lbfgs", lbfgs_max_iter: int = 1
     return model
 
 
-def train_logistic(df: DataFrame, p: int, *, validate: bool = True, max_block_rows: int | None = MAX_BLOCK_ROWS,
-                   **options) -> LinearModel:
+def train_logistic(df: DataFrame, p: int, *, validate: bool = True, max_block_rows: int | None = None,
+                   max_block_bytes: int = BLOCK_BYTES, **options) -> LinearModel:
     """Logistic regression, labels 0/1.
 
     ``solver="lbfgs"``: sum of log-losses per block.  ``solver="newton"``: mean log-loss
     per block.  Other options are those of ``fit_logistic`` and ``ADMMConfig``."""
-    prep = place(df, p, binary=validate, max_block_rows=max_block_rows)
+    prep = place(df, p, binary=validate, max_block_rows=max_block_rows, max_block_bytes=max_block_bytes)
     try:
         return fit_logistic(prep, **options)
     finally:
@@ -260,11 +287,13 @@ def fit_svm(prep: Placed, *, cee: float = 1.0, lbfgs_max_iter: int = 5, lbfgs_hi
     return model
 
 
-def train_svm(df: DataFrame, p: int, *, max_block_rows: int | None = MAX_BLOCK_ROWS, **options) -> LinearModel:
+def train_svm(df: DataFrame, p: int, *, max_block_rows: int | None = None, max_block_bytes: int = BLOCK_BYTES,
+              **options) -> LinearModel:
     """Linear SVM with the squared hinge, C * sum max(1 - y w.x, 0)^2 + lam R(w).
 
     Accepts 0/1 or -1/+1 labels (mapped once to 0/1; -1 -> 0)."""
-    prep = place(df.withColumn("label", label_01("label")), p, binary=True, max_block_rows=max_block_rows)
+    prep = place(df.withColumn("label", label_01("label")), p, binary=True, max_block_rows=max_block_rows,
+                 max_block_bytes=max_block_bytes)
     try:
         return fit_svm(prep, **options)
     finally:
@@ -287,7 +316,7 @@ def lambda_grid(spark: SparkSession, n: int, minr: float = 0.001, maxr: float =
 
 
 def regularization_path(df: DataFrame, p: int, lambdas: list[float], *, family: str = "regression",
-                        warm_start: bool = True, max_block_rows: int | None = MAX_BLOCK_ROWS, **options) -> list[LinearModel]:
+                        warm_start: bool = True, max_block_rows: int | None = None, **options) -> list[LinearModel]:
     """One fit per penalty, in the order given (largest first is best), all on one placed
     payload.  ``warm_start`` begins each fit at the weights of the one before."""
     if family == "regression":
