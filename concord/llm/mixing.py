@@ -28,7 +28,7 @@ from concord.llm.common import discard, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: about so many rows in a range of keys
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 #: repeated rows are summed by chunks of so many places of the written table
 CHUNK_ROWS = 10_000
 

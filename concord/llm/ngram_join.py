@@ -7,12 +7,12 @@ sketch of P > D parts then agrees in at least P - D whole parts (pigeonhole), an
 joined by value.  Candidates are verified on their sets, links are closed by connected
 components.
 
-A part is weak if it has hardly any shingle, or if more than ``COMMON`` sets hold its value
-(a part filled by a passage of very many texts); both follow from the value alone.  A pair
-whose agreeing parts are all weak has at least P - D weak parts that others share on both
-sides, so weak values are joined only among such sets; no link is lost.  First every set is compared with
-one central set; then sets that share part values but are not connected yet are compared tile
-by tile within such clouds, in tasks that return links and no pairs.
+Part values are ordered by the number of sets that hold them.  A linked pair agrees in s = P - D
+values at least, so the rarest of these is not among the last s - 1 of either set: every set is joined on
+the others only (a prefix filter).  Empty parts, parts of one shingle and parts filled by a passage of very
+many texts are the common ones and fall away; a set with fewer than s shared values has no partner.  No link is lost.
+First every set is compared with one central set; then sets that share such values but are not connected yet are
+compared tile by tile within such clouds, in tasks that return links and no pairs.
 
 Defined results: null or empty text, and text without words, has no shingles and is its own
 component; fewer words than n are one shingle; equal sets are one class whatever their texts;
@@ -30,18 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.bpe import pack, unpack
-from concord.llm.common import connected_components, discard, materialise, prepare, shuffle_parts, text_slices
+from concord.llm.common import connected_components, discard, free_name, materialise, prepare, shuffle_parts, text_slices
 from concord.llm.embedding_dedup import smallest_reachable
 
 SLICE_BYTES = 1 << 19
-HASH_BITS = 48
 BAND_RATIO = 1.25
-SLACK = 0.12
-COMMON = 64
+SLACK = 0.3
 KEY_BYTES = 6  # of a key are sent to its partition; equal ones by chance are found out on verification
 TILE = 256  # sets compared with each other at a time, and shingle columns per product
 TILE_COLUMNS = 1 << 14
@@ -78,7 +76,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """Sorted distinct 48-bit shingle hashes of every text."""
+    """Sorted distinct 64-bit shingle hashes of every text."""
     data = np.frombuffer("\n".join("" if t is None else t for t in texts).encode("utf-8", "surrogatepass"), np.uint8)
     sizes = np.fromiter((0 if t is None else len(t.encode("utf-8", "surrogatepass")) if not t.isascii() else len(t) for t in texts),
                         np.int64, len(texts))
@@ -118,13 +116,10 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
             whole.append(h)
         hashes = np.concatenate([hashes, _mix(np.array(whole, np.uint64))])
         owner = np.concatenate([owner, short])
-    low = _U((1 << HASH_BITS) - 1)
-    if len(texts) >= 1 << (64 - HASH_BITS):
-        raise ValueError("too many texts in a slice")
-    keyed = np.unique((owner.astype(np.uint64) << _U(HASH_BITS)) | (hashes & low))
-    cuts = np.searchsorted(keyed, np.arange(len(texts) + 1, dtype=np.uint64) << _U(HASH_BITS))
-    keyed &= low
-    return [keyed[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    order = np.argsort(owner, kind="stable")
+    hashes = hashes[order]
+    cuts = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    return [np.unique(hashes[a:b]) if b > a else none for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts)]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -142,25 +137,19 @@ def band_of(size: int) -> int:
 
 
 @functools.cache
-def band_shape(g: int, num: int, den: int) -> tuple[int, int, int]:
-    """(P, D, w): parts of a band's sketches, the largest symmetric difference of a linked
-    pair whose larger set lies in the band, and the shingles up to which a part is weak.
+def band_shape(g: int, num: int, den: int) -> tuple[int, int]:
+    """(P, D): parts of a band's sketches, and the largest symmetric difference of a linked
+    pair whose larger set lies in the band.
 
-    P exceeds D by a slack, so that a linked pair agrees in P - D parts at least; w is as
-    large (0 to 2) as leaves the expected weak parts of the band's smallest sets well
-    below that slack."""
+    P exceeds D by a slack, so that a linked pair agrees in P - D parts at least."""
     most = math.ceil(BAND_RATIO ** (g + 1)) - 1
     d = (den - num) * 2 * most // (den + num)
-    p = d + 2 + math.ceil(SLACK * d)
-    fill = BAND_RATIO ** g * num / den / p  # shingles a part of the smallest sets
-    shares = [math.exp(-fill) * sum(fill ** i / math.factorial(i) for i in range(w + 1)) for w in range(3)]
-    return p, d, max([0, *[w for w, s in enumerate(shares) if s < 0.4 * (p - d) / p]])
+    return d + 2 + math.ceil(SLACK * d), d
 
 
 def sketch_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, number of the set of each key): part values of every set in the bands that a
-    larger or equal partner may lie in.  The last eight bits of a key are the band, the bit
-    before them says that the part is weak."""
+    larger or equal partner may lie in.  The last eight bits of a key are the band."""
     jobs = []
     for i, s in enumerate(sets):
         if len(s):
@@ -182,14 +171,13 @@ def sketch_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     # a part is a sparse bit sketch as wide as the hashes: every shingle flips the bit of its
     # hash, and what is kept is the XOR of one random word per set bit, which tells parts apart
     np.bitwise_xor.at(sketch, cell, _mix(tokens * _U(0xD6E8FEB86659FD93) + _U(1)))
-    weak = (np.bincount(cell, minlength=total) <= np.repeat(shape[:, 2], parts)).astype(np.uint64)
     number = np.arange(total) - np.repeat(base, parts)
     bands = np.repeat(band, parts)
     value = _mix(_mix(sketch + _U(1)) + number.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + bands)
-    return (value << _U(9)) | (weak << _U(8)) | bands, np.repeat(owner, parts)
+    return (value << _U(8)) | bands, np.repeat(owner, parts)
 
 
-FOUND = "doc_id long, text_hash long, n long, sid long, key long, size long, band int, weak boolean"
+FOUND = "doc_id long, text_hash long, n long, sid long, key long, size long, band int"
 
 
 def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
@@ -242,7 +230,7 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
-        types = [{"int": pa.int32(), "boolean": pa.bool_()}.get(f.split()[1], pa.int64()) for f in FOUND.split(", ")]
+        types = [{"int": pa.int32()}.get(f.split()[1], pa.int64()) for f in FOUND.split(", ")]
         keys, sids = [], []
 
         def rows(length, **cols):
@@ -271,12 +259,23 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
         for lo in range(0, len(key), 100_000):
             k = key[lo:lo + 100_000]
             yield rows(len(k), key=k.view(np.int64), sid=sid[lo:lo + 100_000], size=size[lo:lo + 100_000],
-                       band=(k & _U(255)).astype(np.int32), weak=((k & _U(256)) != 0) | (size[lo:lo + 100_000] > COMMON))
+                       band=(k & _U(255)).astype(np.int32))
 
     return (src.mapInArrow(sketch, "part int, docs array<long>, hashes array<long>, sizes array<long>, sids binary, keys binary")
             .repartitionById(parts, F.col("part")).mapInArrow(share, FOUND))
 
 
+def _joined_keys(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, sid, size): the part values on which each set is joined, all of its shared values in a band but the
+    P - D - 1 most common ones, as far as another set is joined on them too."""
+    slack = F.element_at(F.lit([p - d for p, d in (band_shape(g, num, den) for g in range(MAX_BAND))]), F.col("band") + 1)
+    own = Window.partitionBy("sid", "band")  # at most P values
+    kept = (shared.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("size", "key")))
+            .where(F.col("place") <= F.col("n") - slack + 1).select("key", "sid"))
+    held = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return kept.join(held, "key").select("key", "sid", "size")
+
+
 def _texts_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, body) of the wanted sets: one text of each, compressed (a third of its set)."""
 
@@ -421,12 +420,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = materialise(docs.where("doc_id is not null and n > 0").groupBy("sid")
                           .agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.max("n").alias("n")))
 
-    shared = found.where("key is not null").select("key", "sid", "size", "band", "weak")
-    slack = F.element_at(F.lit([p - d for p, d, _ in (band_shape(g, num, den) for g in range(MAX_BAND))]), F.col("band") + 1)
-    heavy = (shared.where("weak").groupBy("sid", "band").agg(F.count(F.lit(1)).alias("k"))
-             .where(F.col("k") >= slack).select("sid", "band"))
-    members = (shared.where("not weak")
-               .unionByName(shared.where("weak").join(heavy, ["sid", "band"], "left_semi")))
+    members = _joined_keys(found.where("key is not null").select("key", "sid", "size", "band"), num, den)
     central = members.groupBy("sid").agg(F.sum("size").alias("weight"))
     members = materialise(members.select("key", "sid").join(central, "sid"))
     discard(found)
@@ -453,9 +447,10 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = _links_in_clouds(sized, texts, n, num, den)
     comp = materialise(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     discard(texts, members, pivots, state, got, cloud)  # what is left lazy reads docs, classes and comp
-    named = (classes.join(comp, F.col("sid") == F.col("node"), "left")
-             .select("sid", "rep", F.coalesce("component", "sid").alias("comp")))
-    lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = materialise(classes.join(comp, F.col("sid") == F.col("node"), "left")
+                        .select("sid", "rep", F.coalesce("component", "sid").alias("comp")))
+    # written, so that the join of a large component may be split
+    lowest = materialise(named.groupBy("comp").agg(F.min("rep").alias("component_id")))
     per_set = materialise(named.join(lowest, "comp").select("sid", "component_id"))
     out = (docs.join(per_set, "sid", "left")
            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(),
@@ -465,11 +460,17 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                          num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` that stand for their group: the smallest id of each component
-    (one row of that id).  Rows without an id or without words all stay."""
-    groups = jaccard_groups(df, id_col, text_col, n, num, den)
-    gone = materialise(groups.where(F.col("component_id").isNotNull() & (F.col("component_id") != F.col(id_col)))
-                       .select(id_col).distinct())
-    return df.join(gone, id_col, "left_anti")
-
-
+    """The rows of ``df`` that stand for their group: one row of each component, one with its smallest id.
+
+    Rows, not ids, are compared: a row without an id takes part and goes if a row with an id is in
+    its group; of repeated rows one stays; rows that share an id and differ in text stand for themselves.  Rows without
+    words all stay."""
+    row = free_name(df, "row")
+    numbered = materialise(df.withColumn(row, F.monotonically_increasing_id()))
+    groups = materialise(jaccard_groups(numbered, row, text_col, n, num, den).select(F.col(row).alias("r"), F.col("component_id").alias("c")))
+    known = numbered.select(F.col(row).alias("r"), F.col(f"`{id_col}`").alias("i"))
+    first = F.min(F.struct(F.col("i").isNull().alias("none"), "i", "r"))
+    stays = materialise(groups.join(known, "r").groupBy("c").agg(first.alias("f")).select("c", F.col("f.r").alias("stays")))
+    gone = materialise(groups.join(stays, "c").where("r <> stays").select(F.col("r").alias(row)))
+    discard(groups, stays)
+    return numbered.join(gone, row, "left_anti").drop(row)

@@ -592,19 +592,19 @@ def test_jaccard_query_equals_brute_force(spark, docs):
     assert got == brute_components([(d, t) for d, t, _ in docs], 3, 90)
 
 
-@pytest.mark.parametrize("common", [64, 1])
-def test_jaccard_chains_and_common_passages(spark, monkeypatch, common):
+@pytest.mark.parametrize("tile", [256, 8])
+def test_jaccard_chains_and_common_passages(spark, monkeypatch, tile):
     import random
 
     from concord.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "COMMON", common)  # 1: every shared part value is common
+    monkeypatch.setattr(ngram_join, "TILE", tile)  # 8: clouds of many tiles
     rng = random.Random(11)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = []
     for g in range(12):
         words = [f"g{g}w{rng.randrange(500)}" for _ in range(rng.choice([7, 40, 150]))]
-        for k in range(6):  # each copy edits the one before: chains of links
+        for k in range(40 if g == 5 else 6):  # each copy edits the one before: chains of links
             words[rng.randrange(len(words))] = f"e{g}x{k}"
             rows.append((len(rows), " ".join(words) + (" " + passage if g % 3 == 0 else "")))
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -613,6 +613,27 @@ def test_jaccard_chains_and_common_passages(spark, monkeypatch, common):
         assert got == brute_components(rows, n, num)
 
 
+def test_a_common_passage_joins_no_cloud(spark, monkeypatch):
+    """Texts that share a long passage but not 80 % have too few shared parts beyond the common ones."""
+    from concord.llm import ngram_join
+
+    compared = []
+    clouds = ngram_join._links_in_clouds
+
+    def seen(cloud, *rest):
+        compared.append(cloud.count())
+        return clouds(cloud, *rest)
+
+    monkeypatch.setattr(ngram_join, "_links_in_clouds", seen)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(140)) + " " + passage) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 300, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(df).collect()}
+    assert got == {d: d - 1000 if d >= 1000 else d for d, _ in rows}
+    assert sum(compared) < 60
+
+
 def test_jaccard_edges(edge, none):
     from concord.llm.ngram_join import drop_near_duplicates, jaccard_groups
 
@@ -622,10 +643,22 @@ def test_jaccard_edges(edge, none):
     assert comp[None] is None and comp[1] == 1 and comp[2] == 2 and comp[3] == 3 and comp[5] == 4 and comp[9] == 8
     kept = drop_near_duplicates(edge)
     assert kept.columns == edge.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 6, 6, 8, 10, 11, 12]
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    text = {d: t for d, t, *_ in EDGE if d != 7}
+    assert sorted(rows, key=lambda r: r[0]) == [(d, text[d]) for d in (1, 2, 3, 4, 6, 8, 10, 11, 12)]
     assert jaccard_groups(none).count() == 0 and drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_go_by_row_and_not_by_id(spark):
+    from concord.llm.ngram_join import drop_near_duplicates
+
+    t, other = " ".join(f"w{i}" for i in range(40)), "a b c d e f g"
+    rows = [(1, t), (1, t), (2, t), (None, t), (3, other), (3, t), (None, "only here"), (4, None), (4, None), (None, "")]
+    df = spark.createDataFrame([(d, x, 1) for d, x in rows], "doc_id long, text string, `row` int")
+    got = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, t), (3, other), (None, "only here"), (4, None), (4, None), (None, "")], key=repr)
+
+
 def test_linked_sets_agree_in_as_many_parts_as_promised():
     from concord.llm.ngram_join import band_of, band_shape, sketch_keys
 
@@ -637,7 +670,7 @@ def test_linked_sets_agree_in_as_many_parts_as_promised():
         assert 100 * (size - change) >= num * (size + change)
         keys, owner = sketch_keys([a, b], num, 100)
         g = band_of(size)
-        p, d, _ = band_shape(g, num, 100)
+        p, d = band_shape(g, num, 100)
         of = [keys[(owner == i) & ((keys & np.uint64(255)) == g)] for i in (0, 1)]
         assert len(of[0]) == len(of[1]) == p and p - d <= (of[0] == of[1]).sum() < p
 
