@@ -11,7 +11,9 @@ smaller document, or earlier in the same one); strings are judged on the input.
    contexts.
 2. Equal segments become one, in the task that cuts them and again where they meet: all
    their places but the first are repeats as a whole.
-3. Segments that share a minimiser but differ are sorted as a collection, column by column
+3. A string that two different segments share holds their minimiser at one place, and CONTEXT bytes after it
+   or before it; a segment that has neither in common with another one of its minimiser shares nothing and goes
+   no further.  The others are sorted as a collection, column by column
    (``collection_bwt``), with common prefixes; a run of suffixes with WINDOW common bytes is
    one repeated string, whose first place stays.  The columns of a batch of segments are
    held in memory (batches are bounded; a batch is never larger than one minimiser's
@@ -41,8 +43,10 @@ from concord.llm.common import prepare, shuffle_parts, text_slices
 WINDOW = 100
 GRAM = 26
 REACH = WINDOW - GRAM + 1  # k-grams in a string
+CONTEXT = (WINDOW - GRAM) // 2  # bytes beside the minimiser that a shared string has on one side at least
 MOST = 128  # strings per segment, so segments stay below 256 bytes
 SLICE_BYTES = 2 << 20
+HELD_BYTES = 16 << 20  # texts whose segments a task deals out at a time
 BATCH_BYTES = 1 << 19
 SAMPLE_ROWS = 1000
 HOT_SHARE = 0.02
@@ -113,11 +117,11 @@ def _sliding(least, h: np.ndarray) -> np.ndarray:
 
 def segments(data: np.ndarray, ends: np.ndarray, hot: Hot):
     """(minimiser, content hash, text number, start in data, strings, whether it may repeat
-    itself) of every segment of the texts that end at ``ends`` in ``data``."""
+    itself, place of the minimiser in it) of every segment of the texts that end at ``ends`` in ``data``."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(bool)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(bool), none
     sums, inverse = _sums(data)
     grams = gram_hashes(sums, inverse)
     hot.raise_in(grams)
@@ -126,8 +130,8 @@ def segments(data: np.ndarray, ends: np.ndarray, hot: Hot):
     # a segment can repeat itself only if its minimiser lies in it twice: find k-grams that
     # are a minimiser at two places of which one string of a segment can hold both
     edge = np.full(REACH - 1, 0, np.uint64)
-    chosen = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, low, edge])) == grams)
-    chosen = chosen[np.lexsort((chosen, grams[chosen]))]
+    minima = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, low, edge])) == grams)
+    chosen = minima[np.lexsort((minima, grams[minima]))]
     close = (grams[chosen][1:] == grams[chosen][:-1]) & (np.diff(chosen) <= REACH)
     double = np.unique(grams[chosen][1:][close])
     sizes = np.diff(ends, prepend=0)
@@ -156,7 +160,14 @@ def segments(data: np.ndarray, ends: np.ndarray, hot: Hot):
     twice = np.zeros(len(found), bool)
     if len(double):
         twice = double[np.minimum(np.searchsorted(double, found), len(double) - 1)] == found
-    return found, content, np.searchsorted(ends, start, side="right"), start, strings, twice
+    # the minimiser lies in every string of its segment, so from the start of the last one on
+    at = np.searchsorted(minima, np.minimum(start + strings - 1, minima[-1]))
+    open_ = np.flatnonzero(~twice & (grams[minima[at]] != found))
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[grams[minima[at[open_]]] != found[open_]]
+    middle = np.where(twice, 0, minima[at] - start)
+    return found, content, np.searchsorted(ends, start, side="right"), start, strings, twice, middle
 
 
 CUT = "part int, ids array<long>, keys array<long>, head binary, gone binary, body binary"
@@ -182,53 +193,86 @@ def _uncolumns(blob: bytes, *dtypes) -> list[np.ndarray]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], hot: Hot, parts: int) -> Iterator[pa.RecordBatch]:
-    """Segments of every slice of texts, packed per partition; repeats inside the slice
+    """Segments of the texts, packed per partition for about HELD_BYTES of texts at a time; repeats among these
     travel as places only."""
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
         for part in text_slices(batch, "text", SLICE_BYTES):
             rows = {k: (i, t) for i, k, t in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(),
                                                  part.column("text").to_pylist()) if t}
             if not rows:
                 continue
-            keys = np.array(list(rows), np.int64)
-            ids = np.array([LAST_ID if i is None else i for i, _ in rows.values()], np.int64)
             texts = [t.encode("utf-8", "surrogatepass") for _, t in rows.values()]
             raw = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts])
-            low, content, text, start, strings, twice = segments(np.frombuffer(raw, np.uint8), ends, hot)
-            if not len(low):
+            found = segments(np.frombuffer(raw, np.uint8), ends, hot)
+            if not len(found[0]):
                 continue
-            place = start - (ends - np.diff(ends, prepend=0))[text]
-            # earliest place first, so the first of equal segments is the one that stays
-            order = np.lexsort((place, keys[text], ids[text], content))
-            twin = np.zeros(len(order), bool)
-            same = content[order][1:] == content[order][:-1]
-            head = order[np.concatenate([[True], ~same])]
-            leader = np.repeat(head, np.diff(np.append(np.flatnonzero(np.concatenate([[True], ~same])), len(order))))
-            for at in np.flatnonzero(leader != order):
-                s, b = order[at], leader[at]
-                n = int(strings[s]) + WINDOW - 1
-                twin[s] = strings[s] == strings[b] and raw[start[s]:start[s] + n] == raw[start[b]:start[b] + n]
-            to = (low % _U(parts)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            lows = np.searchsorted(to[by], np.arange(parts + 1))
-            out = []
-            data = np.frombuffer(raw, np.uint8)
-            for p in range(parts):
-                own = by[lows[p]:lows[p + 1]]
-                if not len(own):
-                    continue
-                used = np.unique(text[own])
-                number = np.searchsorted(used, text[own]).astype(np.uint32)
-                g, k = twin[own], ~twin[own]
-                kept = own[k]
-                body = data[ragged(start[kept], strings[kept] + WINDOW - 1)].tobytes()
-                out.append({"part": p, "ids": ids[used], "keys": keys[used],
-                            "head": _columns(number[k], place[kept].astype(np.uint32), strings[kept].astype(np.uint8), twice[kept].astype(np.uint8),
-                                             (low[kept] // _U(parts)).astype(np.uint32)),
-                            "gone": _columns(number[g], place[own[g]].astype(np.uint32), strings[own[g]].astype(np.uint8)),
-                            "body": zstandard.ZstdCompressor(level=3).compress(body)})
-            yield pa.RecordBatch.from_pylist(out, schema=CUT_SCHEMA)
+            ids = np.array([LAST_ID if i is None else i for i, _ in rows.values()], np.int64)
+            held.append((raw, ends, ids, np.array(list(rows), np.int64), found))
+            size += len(raw)
+            if size >= HELD_BYTES:
+                yield _dealt(held, parts)
+                held, size = [], 0
+    if held:
+        yield _dealt(held, parts)
+
+
+def _dealt(held: list[tuple], parts: int) -> pa.RecordBatch:
+    raw = b"".join(h[0] for h in held)
+    shift = np.cumsum([0, *[len(h[0]) for h in held[:-1]]])
+    docs = np.cumsum([0, *[len(h[1]) for h in held[:-1]]])
+    ends = np.concatenate([h[1] + at for h, at in zip(held, shift)])
+    ids, keys = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+    low, content, strings, twice, middle = (np.concatenate([h[4][k] for h in held]) for k in (0, 1, 4, 5, 6))
+    text = np.concatenate([h[4][2] + at for h, at in zip(held, docs)])
+    start = np.concatenate([h[4][3] + at for h, at in zip(held, shift)])
+    place = start - (ends - np.diff(ends, prepend=0))[text]
+    # earliest place first, so the first of equal segments is the one that stays
+    order = np.lexsort((place, keys[text], ids[text], content))
+    twin = np.zeros(len(order), bool)
+    same = content[order][1:] == content[order][:-1]
+    head = order[np.concatenate([[True], ~same])]
+    leader = np.repeat(head, np.diff(np.append(np.flatnonzero(np.concatenate([[True], ~same])), len(order))))
+    for at in np.flatnonzero(leader != order):
+        s, b = order[at], leader[at]
+        n = int(strings[s]) + WINDOW - 1
+        twin[s] = strings[s] == strings[b] and raw[start[s]:start[s] + n] == raw[start[b]:start[b] + n]
+    to = (low % _U(parts)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    lows = np.searchsorted(to[by], np.arange(parts + 1))
+    out = []
+    data = np.frombuffer(raw, np.uint8)
+    z = zstandard.ZstdCompressor(level=3)
+    for p in np.flatnonzero(np.diff(lows)).tolist():
+        own = by[lows[p]:lows[p + 1]]
+        used = np.unique(text[own])
+        number = np.searchsorted(used, text[own]).astype(np.uint32)
+        g, k = twin[own], ~twin[own]
+        kept = own[k]
+        body = data[ragged(start[kept], strings[kept] + WINDOW - 1)].tobytes()
+        out.append({"part": p, "ids": ids[used], "keys": keys[used],
+                    "head": _columns(number[k], place[kept].astype(np.uint32), strings[kept].astype(np.uint8), twice[kept].astype(np.uint8),
+                                     middle[kept].astype(np.uint8), (low[kept] // _U(parts)).astype(np.uint32)),
+                    "gone": _columns(number[g], place[own[g]].astype(np.uint32), strings[own[g]].astype(np.uint8)),
+                    "body": z.compress(body)})
+    return pa.RecordBatch.from_pylist(out, schema=CUT_SCHEMA)
+
+
+def _in_common(texts: list[bytes], middle: list[int], group: list[int]) -> np.ndarray:
+    """Which distinct segments share the bytes after or before their minimiser with another one."""
+    seen: dict[tuple, int] = {}
+    fits = np.zeros(len(texts), bool)
+    for k, (text, at, g) in enumerate(zip(texts, middle, group)):
+        sides = [(g, True, text[at:at + GRAM + CONTEXT])] if len(text) >= at + GRAM + CONTEXT else []
+        if at >= CONTEXT:
+            sides.append((g, False, text[at - CONTEXT:at + GRAM]))
+        for side in sides:
+            first = seen.setdefault(side, k)
+            if first != k:
+                fits[first] = fits[k] = True
+    return fits
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -237,8 +281,8 @@ def _repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     ids, keys, bodies, cols, gone, blob_no, docs = [], [], [], [], [], [], 0
     for batch in batches:
         for r in batch.to_pylist():
-            number, place, strings, twice, group = _uncolumns(r["head"], np.uint32, np.uint32, np.uint8, np.uint8, np.uint32)
-            cols.append((number.astype(np.int64) + docs, place.astype(np.int64), strings.astype(np.int64), group, twice > 0))
+            number, place, strings, twice, middle, group = _uncolumns(r["head"], np.uint32, np.uint32, np.uint8, np.uint8, np.uint8, np.uint32)
+            cols.append((number.astype(np.int64) + docs, place.astype(np.int64), strings.astype(np.int64), group, twice > 0, middle))
             blob_no.append(np.full(len(number), len(bodies)))
             number, place, strings = _uncolumns(r["gone"], np.uint32, np.uint32, np.uint8)
             gone.append((number.astype(np.int64) + docs, place.astype(np.int64), place + strings.astype(np.int64) + WINDOW - 1))
@@ -249,7 +293,7 @@ def _repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     if not bodies:
         return
     ids, keys = np.concatenate(ids), np.concatenate(keys)
-    doc, place, strings, group, twice = (np.concatenate(x) for x in zip(*cols))
+    doc, place, strings, group, twice, middle = (np.concatenate(x) for x in zip(*cols))
     blob = np.concatenate(blob_no)
     out_doc, out_from, out_to = ([np.concatenate(x)] for x in zip(*gone))
     # documents in order, equal ones sharing a rank
@@ -294,7 +338,10 @@ def _repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     out_to.append(place[late] + strings[late] + WINDOW - 1)
     # minimisers with several different segments: sort each batch as a collection
     kind = group[leader]
-    order = np.argsort(kind, kind="stable")
+    # a segment that may repeat itself has its minimiser at several places: its whole group is sorted
+    fits = _in_common(texts, middle[leader].tolist(), kind.tolist()) | np.isin(kind, kind[twice[leader]])
+    order = np.flatnonzero(fits)
+    order = order[np.argsort(kind[order], kind="stable")]
     edge = np.append(np.flatnonzero(np.concatenate([[True], kind[order][1:] != kind[order][:-1]])), len(order)) if len(order) else np.zeros(1, np.int64)
     held: list[int] = []
     held_bytes = 0
@@ -374,7 +421,7 @@ def hot_grams(src: DataFrame, rows: int) -> np.ndarray:
         found = found[n >= max(HOT_SHARE * texts, 8)]
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
-    sample = src.select("text").sample(False, share, seed=11).coalesce(1)
+    sample = src.select("text").sample(False, share, seed=11).repartition(1)  # the sampled texts only
     return np.array([r["h"] for r in sample.mapInArrow(run, "h long").collect()], np.int64).view(np.uint64)
 
 
