@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from concord.llm.common import discard, materialise, prepare, shuffle_parts
 
 DIGITS = 128
-BANDS, BAND_DIGITS = 16, 8
 CLASSES = 256
 BLOCK = 1024
 SLICE_CHARS = 16 << 20
@@ -170,30 +170,38 @@ def as_string(length: int, digits: np.ndarray) -> str:
     return f"{length:x}:" + "".join("-" if d == 255 else "0123456789abcdef"[d] for d in digits)
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of the sampled steps at which two fingerprints read the same digit.
+#: pairs of fingerprints compared at a time
+PAIRS = 1024
+
+
+def _table(prints: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(digits by sampled step, 0 where a text is not sampled; number of digits) of fingerprints."""
+    _SAMPLING.extend(2 * max(int(n, 16) for n, _ in prints) + 1)
+    places = [_SAMPLING.of(int(n, 16)) for n, _ in prints]
+    columns = np.unique(np.concatenate(places))
+    table = np.zeros((len(prints), len(columns)), np.uint8)
+    for row, at, (_, digits) in zip(table, places, prints):
+        row[np.searchsorted(columns, at)] = np.frombuffer(digits.encode(), np.uint8)
+    return table, np.array([len(d) for _, d in prints])
+
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """Per pair of fingerprints the share of the sampled steps at which both read the same digit.
 
     Steps of the longer text that lie past the steps of the shorter do not agree."""
-    (la, da), (lb, db) = (x.split(":") for x in (a, b))
-    if la == lb:
-        return sum(x == y for x, y in zip(da, db)) / len(da) if da else 1.0
-    if not da or not db:
-        return 0.0
-    na, nb = int(la, 16), int(lb, 16)
-    _SAMPLING.extend(2 * max(na, nb) + 1)
-    sa, sb = _SAMPLING.of(na), _SAMPLING.of(nb)
-    both, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
-    same = sum(da[i] == db[j] for i, j in zip(ia, ib))
-    return same / max(len(da), len(db))
-
-
-def bands(fingerprint: str) -> list[str]:
-    """Band keys of a text and its edit, for ``shared_bands``: each joins ``BAND_DIGITS`` sampled
-    digits that follow each other in the walk.  ``near_classes`` finds its pairs by ``Windows``."""
-    length, digits = fingerprint.split(":")
-    if len(digits) < DIGITS:
-        return [f"short:{length}:{digits}"]
-    return [f"{k}:{digits[k * BAND_DIGITS:(k + 1) * BAND_DIGITS]}" for k in range(BANDS)]
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), PAIRS):
+        own = a[lo:lo + PAIRS]
+        table, size = _table([x.split(":") for x in [*own, *b[lo:lo + PAIRS]]])
+        n = len(own)
+        same = ((table[:n] == table[n:]) & (table[:n] != 0)).sum(axis=1)
+        larger = np.maximum(size[:n], size[n:])
+        out[lo:lo + n] = np.where(larger == 0, 1.0, same / np.maximum(larger, 1))
+    return out
+
+
+def likeness(a: str, b: str) -> float:
+    return float(likenesses([a], [b])[0])
 
 
 class Windows:
@@ -285,14 +293,7 @@ def band_keys(fingerprint: str, threshold: float) -> list[str]:
 def linked(a: list[str], b: list[str] | None, threshold: float) -> list[np.ndarray]:
     """Per fingerprint of ``a`` the numbers of those of ``b`` as like as the threshold
     (without ``b``: of the later ones of ``a``)."""
-    every = [x.split(":") for x in [*a, *(b or [])]]
-    _SAMPLING.extend(2 * max(int(n, 16) for n, _ in every) + 1)
-    places = [_SAMPLING.of(int(n, 16)) for n, _ in every]
-    columns = np.unique(np.concatenate(places))
-    table = np.zeros((len(every), len(columns)), np.uint8)  # 0: not sampled
-    for row, at, (_, digits) in zip(table, places, every):
-        row[np.searchsorted(columns, at)] = np.frombuffer(digits.encode(), np.uint8)
-    size = np.array([len(d) for _, d in every])
+    table, size = _table([x.split(":") for x in [*a, *(b or [])]])
     out = []
     for i in range(len(a)):
         first = i + 1 if b is None else len(a)
@@ -308,7 +309,7 @@ def edited(text: str, after: str) -> str:
 
 
 ROW = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-       "near_edited double, near_next double, shared_bands int")
+       "near_edited double, near_next double")
 PART = ROW + ", part int, edge string, text string"
 
 
@@ -319,9 +320,10 @@ def _rows(ids: list, texts: list[str], last_next: str | None) -> list[dict]:
     every = [code_classes(t) for t in [*texts, *([] if last_next is None else [last_next]), *changed]]
     prints = [as_string(len(c), d) for c, d in zip(every, fingerprints(every))]
     own, new = prints[:len(prints) - len(changed)], prints[len(prints) - len(changed):]
+    near_edited = likenesses(own[:len(new)], new).tolist()
+    near_next = likenesses(own[:len(new)], own[1:len(new) + 1]).tolist()
     return [{"doc_id": i, "n_chars": len(t), "edited_sha256": hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(),
-             "fingerprint": own[k], "edited_fingerprint": new[k], "near_edited": likeness(own[k], new[k]),
-             "near_next": likeness(own[k], own[k + 1]), "shared_bands": len(set(bands(own[k])) & set(bands(new[k])))}
+             "fingerprint": own[k], "edited_fingerprint": new[k], "near_edited": near_edited[k], "near_next": near_next[k]}
             for k, (i, t, e) in enumerate(zip(ids, texts, changed))]
 
 
@@ -339,7 +341,7 @@ def fingerprint_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
            .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
-                        ("shared_bands", pa.int32()), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
+                        ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -376,7 +378,7 @@ def fingerprint_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
     tails = out.where("edge = 'last'").select("part", "doc_id", "text").join(pairs, "part").join(heads, "next")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.schema(list(schema)[:8])
+        own = pa.schema(list(schema)[:7])
         for batch in batches:
             for r in batch.to_pylist():
                 yield pa.RecordBatch.from_pylist(_rows([r["doc_id"]], [r["text"]], r["after"]), schema=own)
@@ -418,8 +420,18 @@ def _tile_links(threshold: float):
     return run
 
 
+def with_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
+    """``df`` with ``class_id`` of ``fingerprint_classes``, by its fingerprint."""
+    return df.join(fingerprint_classes(df, fingerprint, id_col, threshold).withColumnRenamed("fp", fingerprint), fingerprint, "left")
+
+
 def near_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """(id, class_id): documents linked by bit-sampled banding and verified likeness.
+    """(id, class_id) per row of ``df``."""
+    return with_classes(df.select(id_col, fingerprint), fingerprint, id_col, threshold).select(id_col, "class_id")
+
+
+def fingerprint_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
+    """(fp, class_id): documents linked by bit-sampled banding and verified likeness.
 
     Equal fingerprints are one class.  Classes that share a band (``Windows``) are first
     compared with the band's first class; what is then still of different components within
@@ -435,7 +447,7 @@ def near_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str =
     reps = materialise(df.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fp"))
                        .agg(F.min(F.col(id_col).cast("long")).alias("rep")).withColumn("node", F.monotonically_increasing_id()))
     cut = F.pandas_udf(lambda s: s.map(lambda fp: band_keys(fp, threshold)), ArrayType(StringType()))
-    like = F.pandas_udf(lambda a, b: a.combine(b, likeness), DoubleType())
+    like = F.pandas_udf(lambda a, b: pd.Series(likenesses(a.tolist(), b.tolist())), DoubleType())
     banded = materialise(reps.select("node", F.explode(cut("fp")).alias("band")).select("node", F.xxhash64("band").alias("band")))
     firsts = materialise(banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     fps = reps.select("node", "fp")
@@ -453,7 +465,9 @@ def near_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str =
     more = cells.groupBy("band", "lo", "hi").applyInArrow(_tile_links(threshold), "a long, b long")
     whole = materialise(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     discard(banded, firsts, state, comp)
-    named = reps.join(whole, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    return (df.select(F.col(id_col), F.col(fingerprint).alias("fp")).join(named.join(least, "comp").select("fp", "class_id"), "fp", "left")
-            .select(id_col, "class_id"))
+    named = materialise(reps.join(whole, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("comp")))
+    # written, so that the join of a large class may be split
+    least = materialise(named.groupBy("comp").agg(F.min("rep").alias("class_id")))
+    out = materialise(named.join(least, "comp").select("fp", "class_id"))
+    discard(reps, whole, named, least)
+    return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import read_table
+from concord.llm.common import materialise, read_table
 from concord.llm.embedding_dedup import ORACLE as EMBEDDING_SQL
 from concord.llm.hard_negatives import ORACLE as HARD_NEGATIVE_SQL
 from concord.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
@@ -60,10 +60,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of every document and of its edited text."""
-    from concord.llm.edit_fingerprint import fingerprint_with_edits
+    """Fingerprint of every document and of its edited text, and its class of near copies:
+    fingerprints banded by sampled steps and verified at a likeness of 0.8."""
+    from concord.llm.edit_fingerprint import fingerprint_with_edits, with_classes
 
-    return fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+    return with_classes(materialise(fingerprint_with_edits(read_table(spark, sf_dir, "documents"))))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
