@@ -2,13 +2,14 @@
 
 Each text is scanned once for three base kinds (assignments, access keys, hex runs) and
 for loose tokens that mix cases and digits.  Hashes of all candidates are then counted
-over the corpus by distinct owners: a value seen under many owners is a copied example, a
-value that only a few share looks like a live credential.  Rows, files and copies inside an
-owner never count against it.  Base spans always stay; a loose token becomes a span only
+over the corpus by distinct repositories and distinct owners: a value seen under many owners is a copied
+example, a value that only a few share looks like a live credential, in however many of their repositories,
+rows and files it is.  Where the owner of a row is unknown, its repository stands for one: nobody says that two of them
+belong together.  Base spans always stay; a loose token becomes a span only
 when it is owner-specific and not wholly covered by base spans.
 
-Defined results: null or empty text has no spans; a null owner counts as one of its own
-(the empty string); repeated rows are scanned row by row; other columns pass through or are
+Defined results: null or empty text has no spans; rows without owner and repository count as one owner;
+repeated rows are scanned row by row; other columns pass through or are
 ignored.
 """
 
@@ -29,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the same spans as all runs filtered by length
 LOOSE = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 KINDS = ("assign", "access", "hex", "loose")
-#: a value is owner-specific up to this many owners
+#: a value is owner-specific up to this many owners (and repositories without one)
 MAX_OWNERS = 2
 
 
@@ -63,14 +64,15 @@ def joined(spans) -> str:
 
 
 FINDING = "start long, kind int, stop long, value string, base boolean"
-SCANNED = ("row string, doc_id long, owner string, n_assign long, n_access long, n_hex long, "
+SCANNED = ("row string, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, "
            f"base_sha256 string, found array<struct<{FINDING}>>")
 
 
-def scan_rows(df: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
+def scan_rows(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str | None = None) -> DataFrame:
     """One row per document with its candidates (hashes of values, never the values)."""
+    repo = F.lit(None) if repo_col is None else F.col(repo_col)
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
-                    F.col(text_col).alias("text"))
+                    F.col(text_col).alias("text"), repo.cast("string").alias("repository"))
     finding = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64()),
                          ("value", pa.string()), ("base", pa.bool_())])
 
@@ -88,10 +90,10 @@ def scan_rows(df: DataFrame, id_col: str, text_col: str, owner_col: str) -> Data
                                        "value": hashlib.sha256(v.encode()).hexdigest()[:32]}
                                       for s, k, e, v in [*base, *loose]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols["row"], pa.string()), batch.column(0), batch.column(1),
+                [pa.array(cols["row"], pa.string()), batch.column(0), batch.column(1), batch.column(3),
                  *[pa.array(cols[c], pa.int64()) for c in ("n_assign", "n_access", "n_hex")],
                  pa.array(cols["base_sha256"], pa.string()), pa.array(cols["found"], pa.list_(finding))],
-                names=["row", "doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+                names=["row", "doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
     return src.mapInArrow(run, SCANNED)
 
@@ -102,21 +104,38 @@ def row_key(doc, text: str) -> str:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(value, owners, live) per candidate hash.
-
-    Two aggregations, both combined map-side: (value, owner) to distinct pairs, then value;
-    no value is gathered in one task."""
-    pairs = (scanned.select(F.coalesce("owner", F.lit("")).alias("owner"), F.explode("found").alias("f"))
-             .select(F.col("f.value").alias("value"), "owner").distinct())
-    return (pairs.groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+    """(value, owners, repositories, live) per candidate hash.
+
+    ``repositories`` counts distinct pairs of owner and repository, ``owners`` the distinct owners, an unknown owner by its
+    repository.  Three aggregations, all combined map-side: to distinct (value, owner, repository), to
+    (value, owner), then to the value; no value is gathered in one task."""
+    owner = F.coalesce(F.concat(F.lit("o:"), "owner"), F.concat(F.lit("r:"), "repository"), F.lit(""))
+    pairs = (scanned.select(owner.alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("found").alias("f"))
+             .select(F.col("f.value").alias("value"), "owner", "repository").distinct())
+    return (pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
+            .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
             .withColumn("live", F.col("owners") <= MAX_OWNERS))
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+def credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
+                repo_col: str | None = None) -> DataFrame:
+    """(value, kinds, found, owners, repositories, live) per distinct candidate of the corpus: the report that separates
+    widely copied examples from owner-specific credentials.  Values are hashes."""
+    prepare(df.sparkSession)
+    scanned = materialise(scan_rows(df, id_col, text_col, owner_col, repo_col))
+    hits = scanned.select(F.explode("found").alias("f")).select(F.col("f.value").alias("value"), F.col("f.kind").alias("kind"))
+    label = F.array(*[F.lit(k) for k in KINDS])
+    seen = hits.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_set("kind")), lambda k: F.element_at(label, k + 1)), ",").alias("kinds"),
+                                     F.count(F.lit(1)).alias("found"))
+    return seen.join(ownership(scanned), "value")
+
+
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
+                 repo_col: str | None = None) -> DataFrame:
     """One row per document: counts of base kinds, ``base_sha256``, all ``spans``, the spans
     to mask, and how many of its candidates look live or are copied examples."""
     prepare(df.sparkSession)
-    scanned = materialise(scan_rows(df, id_col, text_col, owner_col))
+    scanned = materialise(scan_rows(df, id_col, text_col, owner_col, repo_col))
     hits = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).distinct()
     # written first, so that both sides of the join are plain shuffles that may be split
     # where one value is held by very many rows
@@ -138,12 +157,12 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 by: str = "[secret]") -> DataFrame:
+                 by: str = "[secret]", repo_col: str | None = None) -> DataFrame:
     """``df`` with every span of ``find_secrets`` replaced by ``by``; all rows stay.
 
     Rows are joined with their spans by content key; only rows with spans are on the
     other side."""
-    found = find_secrets(df, id_col, text_col, owner_col)
+    found = find_secrets(df, id_col, text_col, owner_col, repo_col)
     key, mask = free_name(df, "row_key"), free_name(df, "row_mask")
     spans = (found.where(F.size("mask") > 0).select(F.col("row").alias(key), F.col("mask").alias(mask))
              .dropDuplicates([key]))
