@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from concord.session import delete_path, ensure_importable, scratch_path
 
 
+#: bytes of an Arrow batch between the JVM and a Python worker: whole texts are long, and several
+#: batches of a task are in memory at a time.  A setting of the session's own stays.
+ARROW_BYTES, ARROW_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the Python workers (checkpoint folder included)."""
+    """Ship the package to the Python workers (checkpoint folder included), and bound the
+    bytes of an Arrow batch."""
     ensure_importable(spark)
+    if not spark.sparkContext.getConf().contains(ARROW_KEY):
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

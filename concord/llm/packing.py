@@ -34,7 +34,7 @@ from concord.llm.common import discard, materialise, prepare, text_slices
 CAPACITY = 4096
 END_ID = 1
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: pieces per group, on every level
 GROUP_PIECES = 20_000
 
