@@ -7,8 +7,9 @@ Per pass:
    ``block_id`` and persisted, so only the N state rows are shuffled to it.  The
    function first applies the previous pass's dual update y_i += rho_prev (x_i - z),
    then solves the block subproblem warm-started at x_i.
-2. One aggregate over the new state, grouped by coordinate j: sums of x + y/rho and
-   mean and variance of x and y + rho x over the blocks (p rows).  The driver turns
+2. Moments of the new state per coordinate j: sums of x + y/rho and
+   mean and variance of x and y + rho x over the blocks (p rows).  Narrow models observe them
+   while the state is written (no further job); wider ones take one aggregate over it.  The driver turns
    these into z, both residuals and both tolerances (``consensus_from_moments``),
    applies the stop rule and the penalty update.  Rows and the N x p state never reach
    the driver, whatever N and p are.
@@ -28,7 +29,7 @@ from typing import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions.vectors import zeros
@@ -112,6 +113,29 @@ def pass_moments(state: DataFrame, rho: float, p: int) -> pd.DataFrame:
     return out
 
 
+#: up to this width the moments are observed while the state is written
+OBSERVED_P = 16
+MOMENTS = ("u", "mx", "sx", "mw", "sw")
+
+
+def moment_columns(rho: float, p: int) -> list[Column]:
+    """The aggregates of ``pass_moments`` as one row: five per coordinate, and the blocks."""
+    out = ["count(1) AS n"]
+    for j in range(p):
+        x, y = f"x[{j}]", f"y[{j}]"
+        w = f"({y} + {float(rho)!r}D * {x})"
+        values = (f"sum({x} + {y} / {float(rho)!r}D)", f"avg({x})", f"var_pop({x})", f"avg({w})", f"var_pop({w})")
+        out += [f"{v} AS {name}{j}" for name, v in zip(MOMENTS, values)]
+    return [F.expr(e) for e in out]
+
+
+def observed_moments(row: dict, p: int) -> pd.DataFrame:
+    n = row["n"]
+    out = pd.DataFrame([{"j": j, "n": n} | {m: row[f"{m}{j}"] for m in MOMENTS} for j in range(p)])
+    out[["sx", "sw"]] *= n
+    return out
+
+
 def run_admm(payload: DataFrame, p: int, local_update: LocalUpdate, cfg: ADMMConfig) -> ADMMResult:
     """Run ADMM over a placed payload: rows with ``block_id``, hash-partitioned on it and
     persisted.  Every block of the payload takes part."""
@@ -132,11 +156,13 @@ def run_admm(payload: DataFrame, p: int, local_update: LocalUpdate, cfg: ADMMCon
     for it in range(cfg.max_iter):
         fn = make_pass_function(local_update, p, z, rho, pending)
         path = f"{root}/pass-{it}"
-        grouped.cogroup(state.groupBy("block_id")).applyInArrow(fn, STATE_SCHEMA).write.parquet(path)
+        updated = grouped.cogroup(state.groupBy("block_id")).applyInArrow(fn, STATE_SCHEMA)
+        seen = Observation() if p <= OBSERVED_P else None
+        (updated if seen is None else updated.observe(seen, *moment_columns(rho, p))).write.parquet(path)
         state = spark.read.schema(STATE_SCHEMA).parquet(path)
         if it:
             delete_path(spark, f"{root}/pass-{it - 1}")
-        m = pass_moments(state, rho, p)
+        m = pass_moments(state, rho, p) if seen is None else observed_moments(seen.get, p)
         n_blocks = int(m["n"].iloc[0])
         u = m["u"].to_numpy()
         z_new = cfg.z_update(u, n_blocks, cfg.lam, rho) if cfg.z_update else z_from_sum(u, n_blocks, cfg.lam, rho, cfg.l1)

@@ -144,6 +144,32 @@ def test_moments_give_the_residuals_of_the_definition(spark):
     assert s.eps_dual == pytest.approx(1e-3 * np.linalg.norm(y + rho * (x - z)) + 1e-3 * np.sqrt(15))
 
 
+@pytest.mark.parametrize("rho", [2.0, 1e-5])
+def test_observed_moments_equal_those_of_an_aggregate(spark, scratch, rho):
+    from pyspark.sql import Observation
+
+    from concord.plans import admm
+
+    rng = np.random.default_rng(6)
+    rows = [(b, [float(v) for v in rng.normal(size=3)], [float(v) for v in rng.normal(size=3) * 1e3]) for b in range(7)]
+    state = spark.createDataFrame(rows, admm.STATE_SCHEMA)
+    seen = Observation()
+    state.observe(seen, *admm.moment_columns(rho, 3)).write.parquet(f"{scratch}/state")
+    got, want = admm.observed_moments(seen.get, 3), admm.pass_moments(state, rho, 3)
+    for c in ("n", *admm.MOMENTS):
+        np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-10)
+
+
+def test_wide_and_narrow_models_take_the_same_passes(spark, monkeypatch):
+    from concord.plans import admm
+
+    df = fx.reg_small(spark, SF_SMALL)
+    narrow = train_regression(df, 2, lam=0.5, max_iter=4, early_stop=False)
+    monkeypatch.setattr(admm, "OBSERVED_P", 0)
+    wide = train_regression(df, 2, lam=0.5, max_iter=4, early_stop=False)
+    np.testing.assert_allclose(narrow.trace.to_numpy(), wide.trace.to_numpy(), rtol=1e-9)
+
+
 def test_old_pass_files_are_deleted(spark):
     import os
 
