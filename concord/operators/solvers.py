@@ -173,54 +173,109 @@ def with_prox(fg, v: np.ndarray, rho: float):
 # ---------------------------------------------------------------- solvers
 
 
+#: sufficient decrease and curvature constants of the line search
+DECREASE, CURVATURE = 1e-4, 0.9
+
+
+def _between(a: tuple, b: tuple) -> float:
+    """Minimiser of the cubic through two trial steps (step, value, slope), kept away from both ends."""
+    (ta, fa, da), (tb, fb, db) = a, b
+    low, high = min(ta, tb), max(ta, tb)
+    margin = 0.1 * (high - low)
+    d1 = da + db - 3.0 * (fa - fb) / (ta - tb)
+    square = d1 * d1 - da * db
+    if square >= 0.0:
+        d2 = math.copysign(math.sqrt(square), tb - ta)
+        bottom = db - da + 2.0 * d2
+        if bottom != 0.0:
+            t = tb - (tb - ta) * (db + d2 - d1) / bottom
+            if math.isfinite(t):
+                return min(max(t, low + margin), high - margin)
+    return 0.5 * (low + high)
+
+
+def strong_wolfe(fg, x: np.ndarray, d: np.ndarray, f0: float, slope0: float, step: float = 1.0, max_calls: int = 30):
+    """(step, x, value, gradient) along a descent direction with f <= f0 + c1 step slope0 and
+    |slope| <= c2 |slope0|: steps are lengthened until they bracket such a point, then the
+    bracket is narrowed by cubic interpolation.  After ``max_calls`` the best point that
+    decreases enough is taken (None if rounding leaves none)."""
+    def trial(t):
+        new = x + t * d
+        f, g = fg(new)
+        return (t, f, float(g @ d)), (t, new, f, g)
+
+    start = (0.0, f0, slope0)
+    low, high, best = start, None, None
+    t = step
+    for _ in range(max_calls):
+        at, point = trial(t)
+        enough = at[1] <= f0 + DECREASE * t * slope0
+        if enough and (best is None or at[1] < best[2]):
+            best = point
+        if not enough or (low[0] > 0.0 and at[1] >= low[1]) or not math.isfinite(at[1]):
+            high = at
+        elif abs(at[2]) <= -CURVATURE * slope0:
+            return point
+        else:
+            if high is None:
+                if at[2] >= 0.0:
+                    high, low = low, at
+                else:
+                    low = at
+            else:
+                if at[2] * (high[0] - low[0]) >= 0.0:
+                    high = low
+                low = at
+        if high is None:
+            t = 2.0 * t
+        elif not math.isfinite(high[1]):
+            t = 0.5 * (low[0] + high[0])
+        else:
+            t = _between(low, high)
+            if abs(high[0] - low[0]) * float(np.linalg.norm(d)) < 1e-14 * max(1.0, float(np.linalg.norm(x))):
+                break
+    return best
+
+
 def lbfgs(fg, x0: np.ndarray, max_iter: int = 10, history: int = 5, tol: float = 1e-4) -> np.ndarray:
-    """Limited-memory BFGS with a backtracking (Armijo) line search.
+    """Limited-memory BFGS with a strong-Wolfe line search, so that every step's pair has
+    positive curvature and enters the history.
 
-    Stops after ``max_iter`` accepted steps, when the gradient norm falls below
+    Stops after ``max_iter`` steps, when the gradient norm falls below
     ``tol * max(1, |f|)``, or when the relative decrease of f falls below ``tol``.
     """
     x = np.array(x0, dtype=np.float64, copy=True)
     f, g = fg(x)
-    s_hist: list[np.ndarray] = []
-    y_hist: list[np.ndarray] = []
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(max_iter):
-        if np.linalg.norm(g) <= tol * max(1.0, abs(f)):
+        size = float(np.linalg.norm(g))
+        if size <= tol * max(1.0, abs(f)):
             break
-        q = g.copy()
+        d = -g
         alphas = []
-        for s, y in zip(reversed(s_hist), reversed(y_hist)):
-            a = (s @ q) / (y @ s)
+        for s, y, sy in reversed(pairs):
+            a = float(s @ d) / sy
             alphas.append(a)
-            q -= a * y
-        if s_hist:
-            gamma = (s_hist[-1] @ y_hist[-1]) / (y_hist[-1] @ y_hist[-1])
-        else:
-            gamma = 1.0 / max(np.linalg.norm(g), 1e-12)
-        r = gamma * q
-        for (s, y), a in zip(zip(s_hist, y_hist), reversed(alphas)):
-            b = (y @ r) / (y @ s)
-            r += s * (a - b)
-        d = -r
-        slope = g @ d
-        if slope >= 0:  # not a descent direction: restart from steepest descent
-            s_hist.clear()
-            y_hist.clear()
-            d = -g
-            slope = -(g @ g)
-        step = 1.0
-        while True:
-            x_new = x + step * d
-            f_new, g_new = fg(x_new)
-            if f_new <= f + 1e-4 * step * slope or step < 1e-12:
-                break
-            step *= 0.5
-        s_vec, y_vec = x_new - x, g_new - g
-        if s_vec @ y_vec > 1e-12:
-            s_hist.append(s_vec)
-            y_hist.append(y_vec)
-            if len(s_hist) > history:
-                s_hist.pop(0)
-                y_hist.pop(0)
+            d = d - a * y
+        if pairs:
+            s, y, sy = pairs[-1]
+            d = d * (sy / float(y @ y))
+        for (s, y, sy), a in zip(pairs, reversed(alphas)):
+            d = d + s * (a - float(y @ d) / sy)
+        slope = float(g @ d)
+        if slope >= 0.0:  # rounding spoilt the direction: start again from steepest descent
+            pairs.clear()
+            d, slope = -g, -size * size
+        found = strong_wolfe(fg, x, d, f, slope, 1.0 if pairs else 1.0 / max(size, 1e-12))
+        if found is None:
+            break
+        _, x_new, f_new, g_new = found
+        s, y = x_new - x, g_new - g
+        sy = float(s @ y)
+        if sy > 1e-300:
+            pairs.append((s, y, sy))
+            if len(pairs) > history:
+                pairs.pop(0)
         improvement = (f - f_new) / max(abs(f_new), 1.0)
         x, f, g = x_new, f_new, g_new
         if improvement < tol * 1e-3:

@@ -60,6 +60,9 @@ class ADMMConfig:
     x0: np.ndarray | None = None
     #: replaces the L2 / L1 consensus step
     z_update: ZUpdate | None = None
+    #: distance of z from the optimum's conditions; the run goes on until it is at most ``certify``
+    certificate: Callable[[np.ndarray], float] | None = None
+    certify: float = 1e-6
 
 
 @dataclass
@@ -70,6 +73,8 @@ class ADMMResult:
     rho: float
     iterations: int
     state: DataFrame | None = field(default=None, repr=False)
+    #: the certificate at z, if one was asked for
+    gap: float | None = None
 
 
 def _vector(col: pa.ChunkedArray) -> np.ndarray:
@@ -150,6 +155,7 @@ def run_admm(payload: DataFrame, p: int, local_update: LocalUpdate, cfg: ADMMCon
     state = (payload.select(F.col("block_id").alias("b")).distinct()
              .select(F.col("b").alias("block_id"), x0.alias("x"), zeros(p).alias("y")))
     z, rho, n_blocks = start, float(cfg.rho), 0
+    gap: float | None = None
     pending: tuple[np.ndarray, float] | None = None
     rows = []
     grouped = payload.groupBy("block_id")
@@ -170,12 +176,14 @@ def run_admm(payload: DataFrame, p: int, local_update: LocalUpdate, cfg: ADMMCon
         rows.append((it, stats.resid_primal, stats.eps_primal, stats.resid_dual, stats.eps_dual, rho))
         pending = (stats.z, rho)
         z = stats.z
-        if cfg.early_stop and converged(stats, cfg.primal_only_stop):
+        if cfg.certificate:
+            gap = cfg.certificate(z)
+        if cfg.early_stop and (gap <= cfg.certify if cfg.certificate else converged(stats, cfg.primal_only_stop)):
             break
         if cfg.adaptive_rho:
             rho = update_rho(rho, stats.resid_primal, stats.eps_primal, stats.resid_dual, stats.eps_dual)
     trace = pd.DataFrame(rows, columns=["iter", "resid_primal", "eps_primal", "resid_dual", "eps_dual", "rho"])
-    return ADMMResult(z=z, trace=trace, n_blocks=n_blocks, rho=rho, iterations=len(rows), state=state)
+    return ADMMResult(z=z, trace=trace, n_blocks=n_blocks, rho=rho, iterations=len(rows), state=state, gap=gap)
 
 
 def trace_frame(spark: SparkSession, trace: pd.DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ ADMM traces are unrolled CTE chains (a fixed pass count, the 2 x 2 solve written
 
 from __future__ import annotations
 
-from concord.plans.queries import CEE, KAPPA, PASSES, PATH_LAMBDAS, RHO, SGD, W3, W_LR, WIDE_LAMBDA, Z2, Z2_PREV, Z3
+from concord.plans.queries import CEE, KAPPA, OPTIMUM_LAMBDAS, PASSES, PATH_LAMBDAS, RHO, SGD, W3, W_LR, WIDE_LAMBDA, Z2, Z2_PREV, Z3
 
 
 def rnd(expr: str, digits: int) -> str:
@@ -358,13 +358,44 @@ it(k, j, w) AS (
 SELECT CAST(s.j AS INTEGER) AS j, {rnd('coalesce(w, 0.0)', 2)} AS weight FROM range(0, {width}) AS s(j) LEFT JOIN (SELECT j, w FROM it WHERE k = {steps}) f ON f.j = s.j"""
 
 
-def _ridge_closed_sql(lam: float) -> str:
+REG_MEANS = """m AS (SELECT avg(a * a) AS aa, avg(a * c) AS ac, avg(c * c) AS cc, avg(a * b) AS ab, avg(c * b) AS cb FROM li GROUP BY block_id),
+h AS (SELECT sum(aa) AS p, sum(ac) AS q, sum(cc) AS r, sum(ab) AS u, sum(cb) AS v FROM m)"""
+
+
+def _ridge_closed_sql(lam: float, digits: int = 3) -> str:
     """(sum of block means of x x^T + 2 lam I) w = sum of block means of b x, 2 x 2."""
-    return f"""WITH {LI},
-m AS (SELECT avg(a * a) AS aa, avg(a * c) AS ac, avg(c * c) AS cc, avg(a * b) AS ab, avg(c * b) AS cb FROM li GROUP BY block_id),
-h AS (SELECT sum(aa) + {_d(2 * lam)} AS p, sum(ac) AS q, sum(cc) + {_d(2 * lam)} AS r, sum(ab) AS u, sum(cb) AS v FROM m)
-SELECT 0 AS j, {r3('(r * u - q * v) / (p * r - q * q)')} AS weight FROM h
-UNION ALL SELECT 1, {r3('(p * v - q * u) / (p * r - q * q)')} FROM h"""
+    return f"""WITH {LI}, {REG_MEANS}, {_ridge_weights(lam)}
+SELECT 0 AS j, {rnd('w0', digits)} AS weight FROM w UNION ALL SELECT 1, {rnd('w1', digits)} FROM w"""
+
+
+def _ridge_weights(lam: float, name: str = "w") -> str:
+    p, r = f"(p + {_d(2 * lam)})", f"(r + {_d(2 * lam)})"
+    return f"{name} AS (SELECT ({r} * u - q * v) / ({p} * {r} - q * q) AS w0, ({p} * v - q * u) / ({p} * {r} - q * q) AS w1 FROM h)"
+
+
+def _lasso_weights(lam: float, name: str = "w", steps: int = 300) -> str:
+    """Coordinate descent: each weight in turn is the soft-thresholded solution for it."""
+    def soft(t: str, by: str) -> str:
+        return f"(sign({t}) * greatest(abs({t}) - {_d(lam)}, 0.0) / {by})"
+
+    return f"""{name}_it(k, w0, w1) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, w0, {soft("(v - q * w0)", "r")} FROM (
+    SELECT k, {soft("(u - q * w1)", "p")} AS w0, p, q, r, u, v FROM {name}_it, h WHERE k < {steps})),
+{name} AS (SELECT w0, w1 FROM {name}_it WHERE k = {steps})"""
+
+
+def _lasso_optimum_sql(lam: float) -> str:
+    return f"""WITH RECURSIVE {LI}, {REG_MEANS}, {_lasso_weights(lam)}
+SELECT 0 AS j, {rnd('w0', 4)} AS weight FROM w UNION ALL SELECT 1, {rnd('w1', 4)} FROM w"""
+
+
+def _optimum_path_sql(weights) -> str:
+    ctes = ", ".join(weights(lam, f"w_{k}") for k, lam in enumerate(OPTIMUM_LAMBDAS))
+    rows = " UNION ALL ".join(f"SELECT {_d(lam)} AS lambda, {j} AS j, {rnd(f'w{j}', 4)} AS weight FROM w_{k}"
+                              for k, lam in enumerate(OPTIMUM_LAMBDAS) for j in (0, 1))
+    return f"WITH RECURSIVE {LI}, {REG_MEANS}, {ctes} {rows}"
 
 
 def _sgd_sql() -> str:
@@ -544,6 +575,10 @@ FROM rows3, range(1, 4) AS r(j) GROUP BY block_id, j"""
     sq["admm_lr_newton"] = _newton_sql("lr", 0.1, mean=True)
     sq["admm_lr_newton_split"] = sq["admm_lr_newton"]
     sq["admm_ridge_split"] = _ridge_closed_sql(1.0)
+    sq["admm_ridge_optimum"] = _ridge_closed_sql(0.3, 4)
+    sq["admm_lasso_optimum"] = _lasso_optimum_sql(0.05)
+    sq["admm_ridge_path_warm"] = _optimum_path_sql(_ridge_weights)
+    sq["admm_lasso_path_warm"] = _optimum_path_sql(_lasso_weights)
     sq["admm_lr_newton_wide"] = _slots_newton_sql(WIDE_LAMBDA)
     sq["admm_lr_docs_newton"] = """SELECT count(*) AS n_rows, sum(quality)::BIGINT AS n_good, true AS stationary
 FROM documents JOIN labels USING (doc_id) WHERE len(regexp_extract_all(text, '\\S')) > 0"""

@@ -446,6 +446,44 @@ def q_admm_ridge_path(spark, sf_dir):
         "lambda", "j", r6("weight").alias("weight"))
 
 
+#: certified fits: the optimality conditions hold to this part of the gradient at 0
+CERTIFIED = dict(certify=1e-6, rho=0.1, max_iter=300)
+OPTIMUM_LAMBDAS = [1.0, 0.3, 0.1, 0.03]
+
+
+def _certified(spark, sf_dir, lam: float, l1: bool) -> DataFrame:
+    from concord.plans.train import train_regression
+    m = train_regression(fx.reg_small(spark, sf_dir), 2, lam=lam, l1=l1, **CERTIFIED)
+    return m.weights_frame(spark).select("j", rnd("weight", 4).alias("weight"))
+
+
+def q_admm_ridge_optimum(spark, sf_dir):
+    """Ridge to a certified optimum: the closed form."""
+    return _certified(spark, sf_dir, 0.3, False)
+
+
+def q_admm_lasso_optimum(spark, sf_dir):
+    """Lasso to a certified optimum: coordinate descent to convergence."""
+    return _certified(spark, sf_dir, 0.05, True)
+
+
+def _warm_path(spark, sf_dir, l1: bool) -> DataFrame:
+    """A path over OPTIMUM_LAMBDAS, largest first: one placement, every fit starts at the weights of the one
+    before and runs to a certified optimum."""
+    from concord.plans.train import regularization_path
+    models = regularization_path(fx.reg_small(spark, sf_dir), 2, OPTIMUM_LAMBDAS, l1=l1, **CERTIFIED)
+    rows = [(float(lam), j, float(w)) for lam, m in zip(OPTIMUM_LAMBDAS, models) for j, w in enumerate(m.weights)]
+    return spark.createDataFrame(rows, "lambda double, j int, weight double").select("lambda", "j", rnd("weight", 4).alias("weight"))
+
+
+def q_admm_ridge_path_warm(spark, sf_dir):
+    return _warm_path(spark, sf_dir, False)
+
+
+def q_admm_lasso_path_warm(spark, sf_dir):
+    return _warm_path(spark, sf_dir, True)
+
+
 def q_admm_ridge_sparse_weights(spark, sf_dir):
     """Ridge from sparse rows (zeros not stored): the same answer as the dense rows."""
     from concord.plans.train import train_regression

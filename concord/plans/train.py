@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from concord.functions.losses import label_01
 from concord.operators import solvers as S
 from concord.operators.blocks import BLOCK_BYTES, check_rows
+from concord.operators.objectives import sum_partials
 from concord.plans.admm import ADMMConfig, ADMMResult, LocalUpdate, list_column, run_admm, trace_frame, weights_frame
 from concord.session import delete_path, ensure_importable, scratch_path
 
@@ -50,6 +51,8 @@ class LinearModel:
     rho: float = 0.0
     iterations: int = 0
     threshold: float | None = None
+    #: violation of the optimality conditions, where it was certified
+    gap: float | None = None
 
     def weights_frame(self, spark: SparkSession) -> DataFrame:
         return weights_frame(spark, self.weights)
@@ -82,6 +85,7 @@ class Placed:
     n_blocks: int
     p: int
     path: str | None = None
+    total: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
     def release(self) -> None:
         self.payload.unpersist()
@@ -232,18 +236,66 @@ def prepare_regression(df: DataFrame, p: int, max_block_rows: int | None = None,
     return place(df, p, max_block_rows=max_block_rows, gram=p <= gram_max_p, max_block_bytes=max_block_bytes)
 
 
-def fit_regression(prep: Placed, **config) -> LinearModel:
-    """One ridge or lasso fit on a prepared payload (options of ``ADMMConfig``)."""
-    return _model(run_admm(prep.payload, prep.p, ls_update(prep.p, prep.kind), ADMMConfig(**config)), "regression")
+def mean_gram(prep: Placed) -> tuple[np.ndarray, np.ndarray]:
+    """(H, q): sums over the blocks of X^T X / n and X^T b / n, so that the summed block losses have the gradient
+    H w - q.  Tasks add up their blocks' Grams; p x p values reach the driver, once per payload."""
+    if prep.kind != "gram":
+        raise ValueError("only a payload of Grams has their sum")
+    if prep.total is None:
+        p = prep.p
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = np.zeros(p * p + p), False
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    n, seen = batch.column("n")[i].as_py(), True
+                    total += np.concatenate([batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("gram", "xty")]) / n
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block_id", "s"])
+
+        s = np.array(sum_partials(prep.payload.mapInArrow(add, "block_id int, s binary"), 1).first()["s"])
+        prep.total = s[:p * p].reshape(p, p), s[p * p:]
+    return prep.total
+
+
+def regression_certificate(prep: Placed, lam: float, l1: bool) -> Callable[[np.ndarray], float]:
+    """How far weights are from satisfying the optimum's conditions, relative to the gradient at 0.
+
+    Ridge: the norm of H w - q + 2 lam w.  Lasso: the norm of the smallest subgradient of
+    the objective, 0 where |H w - q| <= lam at a zero weight."""
+    H, q = mean_gram(prep)
+    scale = max(float(np.linalg.norm(q)), 1e-300)
+
+    def violation(w: np.ndarray) -> float:
+        g = H @ w - q
+        if l1:
+            g = np.where(w != 0.0, g + lam * np.sign(w), np.sign(g) * np.maximum(np.abs(g) - lam, 0.0))
+        else:
+            g = g + 2.0 * lam * w
+        return float(np.linalg.norm(g)) / scale
+
+    return violation
+
+
+def fit_regression(prep: Placed, *, certify: float | None = None, **config) -> LinearModel:
+    """One ridge or lasso fit on a prepared payload (options of ``ADMMConfig``).  With ``certify``
+    (Gram payloads) the run stops once the optimality conditions hold to that relative tolerance, instead of by
+    the residuals, and fails if ``max_iter`` passes do not reach it."""
+    if certify is not None:
+        config |= {"certificate": regression_certificate(prep, config.get("lam", 1.0), config.get("l1", False)), "certify": certify}
+    model = _model(run_admm(prep.payload, prep.p, ls_update(prep.p, prep.kind), ADMMConfig(**config)), "regression")
+    if certify is not None and config.get("early_stop", True) and model.gap > certify:
+        raise RuntimeError(f"{model.iterations} passes left a violation of {model.gap:.1e} of the optimality conditions")
+    return model
 
 
 def train_regression(df: DataFrame, p: int, *, max_block_rows: int | None = None, gram_max_p: int = GRAM_MAX_P,
-                     max_block_bytes: int = BLOCK_BYTES, **config) -> LinearModel:
+                     max_block_bytes: int = BLOCK_BYTES, certify: float | None = None, **config) -> LinearModel:
     """Ridge (L2, penalty lam ||w||^2) or lasso (L1, lam ||w||_1) on
     sum_blocks 1/(2 n_i) ||X_i w - b_i||^2; ``config`` are ``ADMMConfig`` fields."""
     prep = prepare_regression(df, p, max_block_rows, gram_max_p, max_block_bytes)
     try:
-        return fit_regression(prep, **config)
+        return fit_regression(prep, certify=certify, **config)
     finally:
         prep.release()
 
@@ -302,7 +354,7 @@ def train_svm(df: DataFrame, p: int, *, max_block_rows: int | None = None, max_b
 
 def _model(res: ADMMResult, kind: str) -> LinearModel:
     return LinearModel(weights=res.z, kind=kind, n_blocks=res.n_blocks, trace=res.trace,
-                       rho=res.rho, iterations=res.iterations)
+                       rho=res.rho, iterations=res.iterations, gap=res.gap)
 
 
 # ------------------------------------------------------------------ lambda grid, paths

@@ -173,3 +173,65 @@ def test_sgd_leaves_the_weights_on_an_empty_batch(spark):
     df = spark.createDataFrame([("a", 1.0, [1.0])], "key string, label double, features array<double>")
     got = svm_sgd(df, 1, key="key", iterations=3, fraction=0.000001, tol=0.0, w0=np.array([0.25]))
     assert got.weights.tolist() == [0.25] and got.iterations == 3
+
+
+# --- line search, certificates ---------------------------------------------------------
+
+def loss_of(rng, n, p, svm):
+    X = rng.standard_normal((n, p)) * np.logspace(0, -1, p)
+    y = np.where(X @ rng.standard_normal(p) + rng.standard_normal(n) > 0, 1.0, -1.0)
+    return S.with_prox(S.squared_hinge_sum(X, y, 1.0) if svm else S.logistic_sum(X, y), rng.standard_normal(p), 0.1)
+
+
+@pytest.mark.parametrize("svm", [False, True])
+def test_line_search_meets_both_wolfe_conditions(svm):
+    rng = np.random.default_rng(8)
+    for p in (2, 30):
+        fg = loss_of(rng, 400, p, svm)
+        for first in (1e-6, 1e-3, 1.0, 1e3):
+            x = rng.standard_normal(p)
+            f, g = fg(x)
+            slope = -float(g @ g)
+            t, new, f_new, g_new = S.strong_wolfe(fg, x, -g, f, slope, first)
+            np.testing.assert_allclose(new, x - t * g)
+            assert f_new <= f + S.DECREASE * t * slope and abs(float(g_new @ -g)) <= S.CURVATURE * -slope
+
+
+@pytest.mark.parametrize("svm", [False, True])
+def test_lbfgs_reaches_the_optimum_with_few_calls(svm):
+    rng = np.random.default_rng(9)
+    fg, calls = loss_of(rng, 600, 40, svm), []
+
+    def counted(w):
+        calls.append(1)
+        return fg(w)
+
+    x = S.lbfgs(counted, np.zeros(40), max_iter=200, history=10, tol=1e-9)
+    assert np.linalg.norm(fg(x)[1]) < 1e-4 * np.linalg.norm(fg(np.zeros(40))[1]) and len(calls) < 120
+
+
+@pytest.mark.parametrize("l1", [False, True])
+def test_certified_fits_satisfy_the_optimality_conditions(spark, l1):
+    from concord.plans.train import fit_regression, mean_gram, prepare_regression, regression_certificate
+
+    df = fx.reg_lasso(spark, SF_SMALL)
+    prep = prepare_regression(df, 3)
+    rows = df.select("block_id", "features", "label").collect()
+    blocks = [(np.array([r["features"] for r in rows if r["block_id"] == b]), np.array([r["label"] for r in rows if r["block_id"] == b])) for b in range(4)]
+    H, q = mean_gram(prep)
+    np.testing.assert_allclose(H, sum(X.T @ X / len(b) for X, b in blocks), rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(q, sum(X.T @ b / len(b) for X, b in blocks), rtol=1e-9, atol=1e-12)
+    m = fit_regression(prep, certify=1e-7, lam=0.05, rho=0.1, l1=l1, max_iter=300)
+    assert m.gap <= 1e-7
+    want = np.linalg.solve(H + 0.1 * np.eye(3), q)
+    if l1:
+        want = np.zeros(3)
+        for _ in range(2000):
+            for j in range(3):
+                t = q[j] - H[j] @ want + H[j, j] * want[j]
+                want[j] = np.sign(t) * max(abs(t) - 0.05, 0) / H[j, j]
+    np.testing.assert_allclose(m.weights, want, atol=1e-5)
+    assert regression_certificate(prep, 0.05, l1)(want) < 1e-10 < 1e-3 < regression_certificate(prep, 0.05, l1)(want + 0.1)
+    with pytest.raises(RuntimeError):
+        fit_regression(prep, certify=1e-12, lam=0.05, rho=50.0, l1=l1, max_iter=2)
+    prep.release()
