@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from concord.functions.losses import sigmoid
 from concord.functions.vectors import dense_dot, sparse_dot
+from concord.session import ensure_checkpoint_dir
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -49,7 +50,10 @@ def predict(df: DataFrame, weights, kind: str, features: str = "features", indic
     svm:      score = w.x,          prediction = score > 0
     regression: score = prediction = w.x
     """
-    margin = linear_score(weights, features, indices, values)
+    return _scored(df, linear_score(weights, features, indices, values), kind)
+
+
+def _scored(df: DataFrame, margin: Column, kind: str) -> DataFrame:
     if kind == "logistic":
         out = df.withColumn("score", sigmoid(margin))
         return out.withColumn("prediction", F.when(F.col("score") > 0.5, 1.0).otherwise(0.0))
@@ -61,6 +65,36 @@ def predict(df: DataFrame, weights, kind: str, features: str = "features", indic
     raise ValueError(f"unknown model kind {kind!r}")
 
 
+def wide_margin(df: DataFrame, weights: DataFrame, key: Sequence[str] | None = None, indices: str = "indices",
+                values: str = "values", features: str | None = None) -> DataFrame:
+    """``df`` with ``margin`` = w . x, for models too wide for a plan or a task: ``weights`` is a table (j, weight).
+
+    Rows become (key, j, value), meet their weights by an equi-join on j and are summed per key, so neither the model nor a
+    feature is held whole anywhere; adaptive execution broadcasts a small weight table and splits the join of a
+    feature that very many rows have.  ``key`` names columns that tell all rows apart; without it rows are numbered by their
+    place, written once to the checkpoint folder.  Features without a weight, and rows without stored values, add 0."""
+    if key is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        place = "__row__"
+        numbered = df.withColumn(place, F.monotonically_increasing_id()).checkpoint()
+        return wide_margin(numbered, weights, [place], indices, values, features).drop(place)
+    if features is not None:
+        stored = df.select(*key, F.posexplode(features).alias("j", "v"))
+    else:
+        stored = (df.select(*key, F.explode(F.arrays_zip(F.col(indices).alias("j"), F.col(values).alias("v"))).alias("e"))
+                  .select(*key, F.col("e.j").alias("j"), F.col("e.v").alias("v")))
+    products = (stored.where("v <> 0.0").join(weights.select("j", "weight"), "j")
+                .groupBy(*key).agg(F.sum(F.col("v") * F.col("weight")).alias("margin")))
+    out = df.join(products, list(key), "left")
+    return out.withColumn("margin", F.coalesce("margin", F.lit(0.0)))
+
+
+def predict_wide(df: DataFrame, weights: DataFrame, kind: str, key: Sequence[str] | None = None, indices: str = "indices",
+                 values: str = "values", features: str | None = None) -> DataFrame:
+    """``predict`` with a weight table (j, weight) instead of a vector on the driver."""
+    return _scored(wide_margin(df, weights, key, indices, values, features), F.col("margin"), kind).drop("margin")
+
+
 def accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Share of rows whose prediction equals the label (one row: n, accuracy)."""
     hit = (F.col(prediction) == F.col(label)).cast("double")

@@ -454,6 +454,15 @@ width AS (SELECT max(CASE WHEN len(indices) = 0 THEN 0 ELSE indices[-1] END) + 1
 SELECT l_orderkey, l_linenumber, {r6("CASE WHEN raw_label = -1.0 THEN 0.0::DOUBLE ELSE raw_label END")} AS label, CAST(d AS INTEGER) AS size,
        len(indices) AS nnz, array_to_string(indices, ',') AS idx, {r6(_vsum('vals'))} AS val_sum
 FROM flagged, width WHERE NOT bad"""
+    last = "CASE WHEN len(indices) = 0 THEN 0 ELSE indices[-1] END"
+    sq["libsvm_load_files"] = f"""WITH {GOOD_TEXT}{PARSED}
+SELECT count(*) AS n_rows, count(*) FILTER (raw_label = 1.0) AS n_positive, sum(len(indices))::BIGINT AS nnz, {r3(f"sum({_vsum('vals')})")} AS val_sum,
+       CAST(max({last}) + 1 AS INTEGER) AS size, CAST(max({last}) + 1 AS INTEGER) AS width FROM parsed"""
+    sq["load_datasets_width"] = f"""WITH {GOOD_TEXT}{PARSED}
+SELECT count(*) FILTER (l_linenumber <> 1) AS n_train, count(*) FILTER (l_linenumber = 1) AS n_test,
+       CAST(max({last}) FILTER (l_linenumber <> 1) + 1 AS INTEGER) AS width, count(*) FILTER (l_linenumber = 1) AS n_builtin,
+       CAST(max({last}) FILTER (l_linenumber <> 1) + 1 AS INTEGER) AS builtin_width, {r3(f"sum({_vsum('vals')}) FILTER (l_linenumber = 1)")} AS builtin_sum
+FROM parsed"""
     sq["num_features"] = f"""WITH {GOOD_TEXT}{PARSED}
 SELECT CAST(max(CASE WHEN len(indices) = 0 THEN 0 ELSE indices[-1] END) + 1 AS INTEGER) AS num_features FROM parsed"""
     sq["dense_points_parse"] = f"""WITH {LI},
@@ -603,6 +612,12 @@ SELECT l_orderkey, l_linenumber, {r6('label')} AS label, {r6('score')} AS score,
        {r6('CASE WHEN score > 0.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END')} AS prediction FROM s"""
     sq["predict_reg"] = f"""WITH {LI}
 SELECT l_orderkey, l_linenumber, {rnd('b', 7)} AS label, {r6('a * 3.0 + c * (-2.0)')} AS prediction FROM li"""
+    sq["predict_wide"] = f"""WITH {LI.replace("l_extendedprice,", "l_extendedprice, l_partkey,", 1)},
+s AS (SELECT l_orderkey, l_linenumber,
+  (1.0 + a) * (((l_partkey * 97) % 500000 * 7919 % 1000) / 500.0 - 1.0)
+  + c * ((((l_orderkey * 31 + l_linenumber) % 500000 + 500000) * 7919 % 1000) / 500.0 - 1.0) AS m FROM li),
+p AS (SELECT l_orderkey, l_linenumber, {_sigmoid('m')} AS score FROM s)
+SELECT l_orderkey, l_linenumber, {r6('score')} AS score, {r6('CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END')} AS prediction FROM p"""
     sq["accuracy"] = f"""WITH {SCORED}
 SELECT count(*) AS n, {r6('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS accuracy FROM pred"""
     sq["pr_curve"] = f"""WITH {BY_SCORE}

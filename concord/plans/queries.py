@@ -161,6 +161,34 @@ def q_libsvm_load_raw(spark, sf_dir):
     return _loaded_summary(rows)
 
 
+def q_libsvm_load_files(spark, sf_dir):
+    """The lines written as two folders of text files and read back by path, with a path that does not
+    exist: rows, labels, stored values and the width found in the files."""
+    from concord.session import scratch_path
+    lines = libsvm_text(spark, sf_dir)
+    paths = [scratch_path(spark, "concord-lines") for _ in range(3)]
+    for k in (0, 1):
+        lines.where(F.col("l_linenumber") % 2 == k).select("value").write.text(paths[k])
+    rows, d = io.load_libsvm(spark, paths, binary=True, min_partitions=4, ignore_missing=True)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("long").alias("n_positive"), F.sum(F.size("indices")).alias("nnz"),
+                    r3(F.sum(V.array_sum("values"))).alias("val_sum"), F.max("size").alias("size")).withColumn("width", F.lit(d))
+
+
+def q_load_datasets_width(spark, sf_dir):
+    """Train and test files read with the width of the train file, and the built-in source beside them."""
+    from concord.session import scratch_path
+    lines = libsvm_text(spark, sf_dir)
+    train_path, test_path = (scratch_path(spark, "concord-lines") for _ in range(2))
+    lines.where("l_linenumber <> 1").select("value").write.text(train_path)
+    lines.where("l_linenumber = 1").select("value").write.text(test_path)
+    train, test, d = io.load_datasets(spark, train_path, "libsvm", test_path)
+    plain = io.vectors_to_arrays(io.load_libsvm_builtin(spark, test_path, num_features=d))
+    dense = plain.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("w"), F.sum(V.array_sum("features")).alias("s")).first()
+    return train.agg(F.count(F.lit(1)).alias("n_train")).join(test.agg(F.count(F.lit(1)).alias("n_test")), F.lit(True)).select(
+        "n_train", "n_test", F.lit(d).alias("width"), F.lit(int(dense["n"])).cast("long").alias("n_builtin"),
+        F.lit(int(dense["w"])).alias("builtin_width"), r3(F.lit(float(dense["s"]))).alias("builtin_sum"))
+
+
 def q_num_features(spark, sf_dir):
     return io.num_features_frame(_parsed(spark, sf_dir))
 
@@ -534,6 +562,21 @@ def q_predict_reg(spark, sf_dir):
     return p.select("l_orderkey", "l_linenumber", rnd("label", 7).alias("label"), r6("prediction").alias("prediction"))
 
 
+WIDE_P = 1_000_000
+
+
+def q_predict_wide(spark, sf_dir):
+    """Scores of a model of a million weights: a weight table, never a vector in the plan."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    rows = li.select("l_orderkey", "l_linenumber", F.array(
+        F.pmod(F.col("l_partkey") * 97, F.lit(WIDE_P // 2)).cast("int"),
+        (F.pmod(F.col("l_orderkey") * 31 + F.col("l_linenumber"), F.lit(WIDE_P // 2)) + WIDE_P // 2).cast("int")).alias("indices"),
+        F.array(F.lit(1.0) + fx.feat_a(), fx.feat_c()).alias("values"))
+    weights = spark.range(WIDE_P).select(F.col("id").cast("int").alias("j"), ((F.col("id") * 7919 % 1000) / 500.0 - 1.0).alias("weight"))
+    p = E.predict_wide(rows, weights, "logistic")
+    return p.select("l_orderkey", "l_linenumber", r6("score").alias("score"), r6("prediction").alias("prediction"))
+
+
 def q_accuracy(spark, sf_dir):
     return E.accuracy(_scored_lr(spark, sf_dir)).select("n", r6("accuracy").alias("accuracy"))
 

@@ -102,3 +102,25 @@ def test_curve_scans_its_input_once_and_runs_no_job_while_planned(spark, scratch
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 2
+
+
+@pytest.mark.parametrize("kind", ["logistic", "svm", "regression"])
+def test_wide_scores_equal_those_of_a_vector(spark, kind):
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=12)
+    rows = [(int(i % 7), [int(j) for j in sorted(rng.choice(14, k, replace=False))], [float(v) for v in rng.normal(size=k)])
+            for i, k in enumerate([0, 1, 5, 5, 14, 3, 2, 2])]
+    rows += [rows[3], (9, None, None)]  # a repeated row, a row without lists
+    df = spark.createDataFrame(rows, "id int, indices array<int>, values array<double>")
+    table = spark.createDataFrame([(j, float(v)) for j, v in enumerate(w)], "j int, weight double")  # no weight for 12 and 13
+    got = sorted((r.id, round(r.score, 9), r.prediction) for r in E.predict_wide(df, table, kind).collect())
+    margin = [sum(v * w[j] for j, v in zip(i or [], x or []) if j < 12) for _, i, x in rows]
+    score = [1 / (1 + np.exp(-m)) if kind == "logistic" else m for m in margin]
+    cut = {"logistic": 0.5, "svm": 0.0}.get(kind)
+    want = sorted((r[0], round(s, 9), s if cut is None else float(s > cut)) for r, s in zip(rows, score))
+    assert len(got) == len(want)
+    for g, e in zip(got, want):
+        assert g[0] == e[0] and g[1] == pytest.approx(e[1], abs=1e-8) and g[2] == pytest.approx(e[2], abs=1e-8)
+    dense = spark.createDataFrame([(1, [float(v) for v in range(12)])], "id int, features array<double>")
+    assert E.predict_wide(dense, table, kind, ["id"], features="features").first().score == pytest.approx(
+        E.predict(dense, w, kind).first().score)
