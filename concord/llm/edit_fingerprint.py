@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.bpe import pack, unpack
 from concord.llm.common import discard, materialise, prepare, shuffle_parts
 
 DIGITS = 128
@@ -220,6 +221,7 @@ class Windows:
         self.most = self.differ(DIGITS)
         self.starts: list[int] = [1]
         self.cuts: dict[int, list[np.ndarray]] = {}
+        self.at: dict[int, list] = {}
 
     def differ(self, length: int) -> int:
         """Steps in which a text may differ from a shorter one that is as like as the threshold."""
@@ -263,33 +265,115 @@ class Windows:
             self.cuts[start] = np.array_split(least, self.differ(end) + 1)
         return self.cuts[start]
 
-    def keys(self, fingerprint: str) -> list[str]:
-        """Keys of all bands of all windows that hold a fingerprint."""
+    def places(self, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For every window that holds a length: places of its bands' digits in the fingerprint, where each band
+        begins among them, and a salt per digit and band."""
+        if length not in self.at:
+            if len(self.at) > 20_000:
+                self.at.clear()
+            _SAMPLING.extend(2 * length + 1)
+            self.extend(length)
+            own, out = _SAMPLING.of(length), []
+            for start in reversed(self.starts[:int(np.searchsorted(self.starts, length, side="right"))]):
+                if self.fresh(start, length) >= self.most + self.SLACK:
+                    break
+                if self.holds(start, length):
+                    bands = self.bands_of(start)
+                    size = np.array([len(band) for band in bands])
+                    begin = np.cumsum(size) - size
+                    within = np.arange(int(size.sum())) - np.repeat(begin, size)
+                    salt = _scatter(np.uint64(start) * np.uint64(1 << 20) + np.arange(len(bands), dtype=np.uint64))
+                    out.append((np.searchsorted(own, np.concatenate(bands)), begin, size, _scatter(within.astype(np.uint64) + np.uint64(7)), salt))
+            self.at[length] = out
+        return self.at[length]
+
+    def keys(self, fingerprint: str) -> np.ndarray:
+        """64-bit keys of all bands of all windows that hold a fingerprint."""
         length, digits = fingerprint.split(":")
-        n = int(length, 16)
         if not digits:
-            return []
-        _SAMPLING.extend(2 * n + 1)
-        self.extend(n)
-        own, out = _SAMPLING.of(n), []
-        for start in reversed(self.starts[:int(np.searchsorted(self.starts, n, side="right"))]):
-            if self.fresh(start, n) >= self.most + self.SLACK:
-                break
-            if self.holds(start, n):
-                for k, band in enumerate(self.bands_of(start)):
-                    out.append(f"{start}:{k}:" + "".join(digits[i] for i in np.searchsorted(own, band)))
-        return out
+            return np.zeros(0, np.uint64)
+        read = np.frombuffer(digits.encode(), np.uint8).astype(np.uint64)
+        out = []
+        for at, begin, size, weight, salt in self.places(int(length, 16)):
+            if not len(at):
+                out.append(salt)  # bands without digits: every text of the window shares them
+                continue
+            sums = np.add.reduceat(_scatter(read[at] + weight), np.minimum(begin, len(at) - 1))
+            out.append(_scatter(np.where(size > 0, sums, 0).astype(np.uint64) + salt))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _scatter(h: np.ndarray) -> np.ndarray:
+    """A fixed 64-bit mix."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 _WINDOWS: dict[float, Windows] = {}
 
 
-def band_keys(fingerprint: str, threshold: float) -> list[str]:
+def band_keys(fingerprint: str, threshold: float) -> np.ndarray:
     if threshold not in _WINDOWS:
         _WINDOWS[threshold] = Windows(threshold)
     return _WINDOWS[threshold].keys(fingerprint)
 
 
+SHARED = "band long, node long, n long, first long"
+
+
+def shared_bands(reps: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(band, node, n, first): the bands that several classes share, with their number of classes and first class.
+
+    Keys travel as packed numbers, once; a band of a single class goes no further."""
+    schema = pa.schema([("part", pa.int32()), ("bands", pa.binary()), ("nodes", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            keys, nodes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            to = (keys % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[by], np.arange(parts + 1))
+            rows = [{"part": p, "bands": keys[by[cut[p]:cut[p + 1]]].tobytes(), "nodes": pack(nodes[by[cut[p]:cut[p + 1]]])}
+                    for p in np.flatnonzero(np.diff(cut)).tolist()]
+            return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        for batch in batches:
+            for node, fp in zip(batch.column("node").to_pylist(), batch.column("fp").to_pylist()):
+                keys = np.unique(band_keys(fp, threshold))
+                held.append((keys, np.full(len(keys), node, np.int64)))
+                size += len(keys)
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = [], []
+        for batch in batches:
+            keys += [np.frombuffer(b, np.uint64) for b in batch.column("bands").to_pylist()]
+            nodes += [unpack(b, np.int64) for b in batch.column("nodes").to_pylist()]
+        if not keys:
+            return
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(head, len(key)))
+        n, first = np.repeat(size, size), np.repeat(node[head], size)
+        at = np.flatnonzero(n > 1)
+        for lo in range(0, len(at), 100_000):
+            own = at[lo:lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(node[own]), pa.array(n[own]), pa.array(first[own])],
+                                             names=["band", "node", "n", "first"])
+
+    return (reps.select("node", "fp").mapInArrow(deal, "part int, bands binary, nodes binary")
+            .repartitionById(parts, F.col("part")).mapInArrow(meet, SHARED))
+
+
 def linked(a: list[str], b: list[str] | None, threshold: float) -> list[np.ndarray]:
     """Per fingerprint of ``a`` the numbers of those of ``b`` as like as the threshold
     (without ``b``: of the later ones of ``a``)."""
@@ -438,7 +522,7 @@ def fingerprint_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col:
     a band is compared in salted tiles of bounded size, so every pair of classes as like as
     the threshold is linked.  Links are closed by connected components; ``class_id`` is the
     smallest id of a component (null when none of its rows has an id)."""
-    from pyspark.sql.types import ArrayType, DoubleType, StringType
+    from pyspark.sql.types import DoubleType
 
     from concord.llm.common import connected_components
 
@@ -446,16 +530,13 @@ def fingerprint_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col:
     # the numbers are written with the table, so they stay
     reps = materialise(df.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fp"))
                        .agg(F.min(F.col(id_col).cast("long")).alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    cut = F.pandas_udf(lambda s: s.map(lambda fp: band_keys(fp, threshold)), ArrayType(StringType()))
     like = F.pandas_udf(lambda a, b: pd.Series(likenesses(a.tolist(), b.tolist())), DoubleType())
-    banded = materialise(reps.select("node", F.explode(cut("fp")).alias("band")).select("node", F.xxhash64("band").alias("band")))
-    firsts = materialise(banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    banded = materialise(shared_bands(reps, threshold, shuffle_parts(df.sparkSession)))
     fps = reps.select("node", "fp")
-    pairs = (banded.join(firsts, "band").where("node <> first").select("node", "first").distinct()
+    pairs = (banded.where("node <> first").select("node", "first").distinct()
              .join(fps, "node").join(fps.toDF("first", "fp0"), "first"))
     comp = materialise(connected_components(pairs.where(like("fp", "fp0") >= threshold).select(F.col("node").alias("a"), F.col("first").alias("b"))))
-    state = materialise(banded.join(firsts.select("band", "n"), "band").join(comp, "node", "left")
-                        .select("band", "node", "n", F.coalesce("component", "node").alias("comp")))
+    state = materialise(banded.join(comp, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("comp")))
     still = state.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     cells = (state.join(still, "band").withColumn("side", F.pmod(F.xxhash64("node", "band"), tiles).cast("int"))
@@ -464,7 +545,7 @@ def fingerprint_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col:
              .join(fps, "node"))
     more = cells.groupBy("band", "lo", "hi").applyInArrow(_tile_links(threshold), "a long, b long")
     whole = materialise(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    discard(banded, firsts, state, comp)
+    discard(banded, state, comp)
     named = materialise(reps.join(whole, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("comp")))
     # written, so that the join of a large class may be split
     least = materialise(named.groupBy("comp").agg(F.min("rep").alias("class_id")))
