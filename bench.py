@@ -52,13 +52,14 @@ def main() -> None:
     n_rows = fx.table(spark, sf_dir, "lineitem").count()
 
     def ridge():
-        m = train_regression(fx.reg_small(spark, sf_dir), 2, lam=1.0, rho=2.0, max_iter=20)
+        # stops at a certified optimum, like its twin
+        m = train_regression(fx.reg_small(spark, sf_dir), 2, lam=1.0, rho=0.5, max_iter=100, certify=1e-6)
         met = E.regression_metrics(E.predict(fx.reg_small(spark, sf_dir), m.weights, "regression")).first()
         info["ridge"] = {"passes": m.iterations, "mse": round(met["mse"], 6), "r2": round(met["r2"], 6)}
 
     def lasso():
-        m = train_regression(fx.reg_lasso(spark, sf_dir), 3, lam=0.05, rho=0.2, max_iter=100, l1=True)
-        info["lasso"] = {"passes": m.iterations, "zeros": int((m.weights == 0).sum())}
+        m = train_regression(fx.reg_lasso(spark, sf_dir), 3, lam=0.05, rho=0.1, max_iter=100, l1=True, certify=1e-6)
+        info["lasso"] = {"passes": m.iterations, "zeros": int((m.weights == 0).sum()), "gap": m.gap}
 
     def lr_lbfgs():
         df = fx.cls_small_sparse(spark, sf_dir)

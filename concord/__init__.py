@@ -7,8 +7,9 @@
 """
 
 from concord.operators.blocks import assign_blocks, block_sizes, blocks_for, split_hot_blocks
-from concord.operators.evaluate import accuracy, area_under_pr, pr_curve, predict, regression_metrics
+from concord.operators.evaluate import accuracy, area_under_pr, pr_curve, predict, predict_wide, regression_metrics
 from concord.plans.admm import ADMMConfig, ADMMResult, LocalUpdate, ZUpdate, run_admm
+from concord.plans.sgd import svm_sgd
 from concord.plans.train import (
     LinearModel,
     Placed,
@@ -40,6 +41,6 @@ __all__ = [
     "assign_blocks", "block_sizes", "blocks_for", "check_binary_labels", "fit_logistic", "fit_regression", "fit_svm",
     "hash_split", "lambda_grid", "load_data", "load_datasets", "load_dense_points", "load_libsvm",
     "load_libsvm_builtin", "load_libsvm_lines", "load_libsvm_tolerant", "place", "pr_curve", "predict",
-    "prepare_regression", "regression_metrics", "regularization_path", "run_admm", "split_hot_blocks",
-    "train_logistic", "train_regression", "train_svm",
+    "predict_wide", "prepare_regression", "regression_metrics", "regularization_path", "run_admm", "split_hot_blocks",
+    "svm_sgd", "train_logistic", "train_regression", "train_svm",
 ]
