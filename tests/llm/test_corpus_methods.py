@@ -175,3 +175,72 @@ def test_language_stage_drops_what_the_model_rejects_and_nothing_else(spark):
         assert letters or d not in kept
         if letters > 200 and letters > 0.6 * len(t):  # prose
             assert d in kept
+
+
+# --- op3: a plain interpolated Kneser-Ney model ------------------------------------------
+
+def normal(text):
+    """Lower case, one space for every run of non-letters and one before the text."""
+    out = " "
+    for c in text.lower():
+        if c.isalpha():
+            out += c
+        elif out[-1] != " ":
+            out += " "
+    return out
+
+
+class PlainKneserNey:
+    def __init__(self, texts, order=4):
+        self.order = order
+        grams = [defaultdict(int) for _ in range(order + 1)]
+        for t in map(normal, texts):
+            padded = " " * (order - 1) + t
+            for i in range(1, len(t)):  # the space before a text is context only
+                grams[order][padded[i:i + order]] += 1
+        for n in range(order, 1, -1):
+            for g in grams[n]:
+                grams[n - 1][g[1:]] += 1  # distinct symbols before it
+        self.grams = grams
+        self.total, self.kinds, self.discount = [None], [None], [None]
+        for n in range(1, order + 1):
+            total, kinds = defaultdict(int), defaultdict(int)
+            for g, c in grams[n].items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            one, two = (sum(c == k for c in grams[n].values()) for k in (1, 2))
+            self.total.append(total)
+            self.kinds.append(kinds)
+            self.discount.append(min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5)
+
+    def p(self, gram):
+        n = len(gram)
+        d, total, kinds = self.discount[n], self.total[n][gram[:-1]], self.kinds[n][gram[:-1]]
+        lower = self.p(gram[1:]) if n > 1 else 1 / (1 << 16)
+        if not total:
+            return lower
+        return max(self.grams[n].get(gram, 0) - d, 0) / total + d * kinds / total * lower
+
+    def cross_entropy(self, text):
+        t = normal(text)
+        padded = " " * (self.order - 1) + t
+        return -np.mean([np.log(self.p(padded[i:i + self.order])) for i in range(1, len(t))])
+
+
+def test_language_models_equal_a_plain_kneser_ney(spark):
+    from concord.llm.language_id import count_grams, cross_entropies, fit
+
+    rows = duckdb.sql(f"SELECT lang, text FROM '{SF}/documents.parquet' WHERE lang IS NOT NULL AND length(text) BETWEEN 30 AND 1500 ORDER BY doc_id LIMIT 40").fetchall()
+    rows += [("xx", "\U00010400\U00010401 \U00010402é 12 ß"), ("xx", "?? ab  ab!"), ("xx", None), ("yy", "...")]
+    model = fit(count_grams(spark.createDataFrame(rows, "lang string, text string")).toArrow())
+    own = defaultdict(list)
+    for lang, t in rows:
+        if t and any(c.isalpha() for c in t):
+            own[lang].append(t)
+    asked = ["plain words, unseen by all", "été à la mer", "ab ab ab", "\U00010400\U00010402", *[t for _, t in rows[:4]]]
+    got, _, size = cross_entropies(model, asked)
+    assert set(own) <= set(model.langs) and (size > 0).all()
+    for lang, texts in own.items():
+        plain = PlainKneserNey(texts)
+        want = [plain.cross_entropy(t) for t in asked]
+        np.testing.assert_allclose(got[:, model.langs.index(lang)], want, rtol=2e-5)
