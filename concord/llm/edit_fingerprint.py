@@ -471,6 +471,21 @@ def fingerprint_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
     return inner.unionByName(edges).withColumnRenamed("doc_id", id_col)
 
 
+def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint) per row, computed where the texts lie."""
+    prepare(df.sparkSession)
+    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = [code_classes(t) for t in batch.column(1).to_pylist()]
+                prints = [as_string(len(c), d) for c, d in zip(codes, fingerprints(codes))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
+
+    return src.mapInArrow(run, "doc_id long, fingerprint string").withColumnRenamed("doc_id", id_col)
+
+
 #: classes on one side of a tile
 TILE = 1000
 

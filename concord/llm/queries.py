@@ -60,11 +60,18 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of every document and of its edited text, and its class of near copies:
-    fingerprints banded by sampled steps and verified at a likeness of 0.8."""
-    from concord.llm.edit_fingerprint import fingerprint_with_edits, with_classes
+    """Fingerprint of every document and of its edited text."""
+    from concord.llm.edit_fingerprint import fingerprint_with_edits
 
-    return with_classes(materialise(fingerprint_with_edits(read_table(spark, sf_dir, "documents"))))
+    return fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+
+
+def edit_fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document: fingerprints banded by sampled steps and verified at a
+    likeness of 0.8."""
+    from concord.llm.edit_fingerprint import fingerprint_texts, with_classes
+
+    return with_classes(materialise(fingerprint_texts(read_table(spark, sf_dir, "documents"))))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +140,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_language_id, op4_url_filter, op5_edit_fingerprints, op6_embedding_dedup,
                                    op7_bpe_round_trip, op8_best_fit_packing, op9_secret_scan, op10_ngram_jaccard,
-                                   op11_hard_negatives, op12_source_mixing, op13_embedding_whitening)}
+                                   op11_hard_negatives, op12_source_mixing, op13_embedding_whitening, edit_fingerprint_classes)}
 
 ORACLE_SQL = {
     "op1_line_dedup": LINE_DEDUP_SQL,

@@ -96,8 +96,9 @@ def test_fingerprints_equal_a_plain_walk():
 def test_classes_of_the_query_are_components_of_likeness(spark):
     from concord.llm.edit_fingerprint import likenesses
 
-    got = query(spark, "op5_edit_fingerprints")
+    got = query(spark, "edit_fingerprint_classes")
     prints = {d: r["fingerprint"] for d, r in got.items()}
+    assert {d: r["fingerprint"] for d, r in query(spark, "op5_edit_fingerprints").items()} == prints
     ids = sorted(prints)
     parent = {d: d for d in ids}
 
