@@ -235,3 +235,48 @@ def test_certified_fits_satisfy_the_optimality_conditions(spark, l1):
     with pytest.raises(RuntimeError):
         fit_regression(prep, certify=1e-12, lam=0.05, rho=50.0, l1=l1, max_iter=2)
     prep.release()
+
+
+def test_split_blocks_take_about_the_passes_of_whole_ones(spark):
+    df = fx.cls_small(spark, SF_SMALL, n_blocks=2).persist()
+    opts = dict(lam=1.0, rho=2.0, max_iter=8, early_stop=False, lbfgs_max_iter=60, lbfgs_tol=1e-12)
+    whole, parts = (train_logistic(df, 3, max_block_rows=most, **opts) for most in (None, 300))
+    assert parts.n_blocks >= 20
+    np.testing.assert_allclose(parts.weights[:2], whole.weights[:2], rtol=0.05)
+
+
+def test_a_users_update_weighs_blocks_not_their_parts(spark):
+    from concord.plans.admm import ADMMConfig, run_admm
+
+    sizes = {0: 900, 1: 100}
+    rows = [(b, float(b * 3 + k % 2), [1.0]) for b, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "block_id int, label double, features array<double>")
+    placed = place(df, 1, max_block_rows=150)
+
+    def block_mean(payload, x, v, rho):
+        _, b = S.unpack_block(payload, "dense", 1)
+        return np.array([(b.mean() + rho * v[0]) / (1.0 + rho)])
+
+    res = run_admm(placed.payload, 1, block_mean, ADMMConfig(rho=1.0, max_iter=100, abs_tol=1e-9, rel_tol=1e-9, primal_only_stop=False,
+                                                            z_update=lambda u, n, lam, rho: u / n))
+    placed.release()
+    assert placed.n_blocks > 2 and res.n_blocks == 2 and abs(res.z[0] - 2.0) < 1e-7
+
+
+def test_a_run_begun_with_the_curvature_takes_few_evaluations():
+    rng = np.random.default_rng(5)
+    X = rng.uniform(-0.5, 0.5, (20_000, 3))
+    y = np.sign(X @ [3.0, -2.0, 0.0] + rng.uniform(-0.5, 0.5, len(X)))
+    for loss, curvature in ((S.logistic_sum, S.logistic_curvature), (lambda X, y: S.squared_hinge_sum(X, y, 1.0), lambda X, y, w: S.squared_hinge_curvature(X, y, 1.0, w))):
+        calls, v = [0], np.array([4.0, -3.0, 0.1])
+        fg = S.with_prox(loss(X, y), v, 7.0)
+
+        def counted(w):
+            calls[0] += 1
+            return fg(w)
+
+        start = S.lbfgs(fg, v, max_iter=200, tol=1e-14)
+        x = S.lbfgs(counted, start + 1e-3, max_iter=60, tol=1e-12, metric=S.inverse_curvature(X, curvature(X, y, start), 7.0))
+        assert calls[0] <= 8 and np.linalg.norm(fg(x)[1]) < 1e-5
+    e = rng.random(3000)
+    assert abs(S.sum_log1p(e) - np.log1p(e).sum()) < 1e-9
