@@ -5,8 +5,8 @@ labelled texts is counted over the whole corpus (``count_grams``: map-side sums,
 shuffle).  ``fit`` turns the counts into one Kneser-Ney model per language; log-probabilities
 of all orders live in arrays sorted by hash with a bucket index, which are broadcast (they
 hold every gram, and so grow with the distinct grams of the corpus).  ``predict`` takes the language of lowest
-length-normalised cross-entropy.  Rejection thresholds are calibrated on a bounded sample of
-labelled rows of every language.
+length-normalised cross-entropy.  Rejection thresholds are calibrated on all labelled rows of every
+language that are long enough.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and rejected;
 a null label never trains; ties go to the first language in sorted order; without any
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from concord.llm.common import packed_row, prepare, text_slices
+from concord.llm.common import discard, materialise, packed_row, prepare, text_slices
 
 ORDER = 4
 SLICE_BYTES = 1 << 18
@@ -257,24 +257,20 @@ def cross_entropies(model: Model, texts: list[str | None]):
     return total / div, np.maximum(square / div - (total / div) ** 2, 0), np.where(has > 0, size, 0)
 
 
-#: rows per language that thresholds are set on, and the least number of them
-CALIBRATION_ROWS, LEAST_ROWS = 400, 10
+#: least rows of a language that thresholds are set on
+LEAST_ROWS = 10
 #: symbols of a text that is long enough to set thresholds on
 CALIBRATION_SYMBOLS = 20
+#: values are compared to a 2^-20 (nats per symbol), and counted first by runs of 2^12 such steps
+STEPS, RUN = 1 << 20, 1 << 12
 
 
-def measure(df: DataFrame, model: Model, lang_col: str, text_col: str) -> list[tuple]:
-    """(language, cross-entropy under its model, its variance, symbols) of about
-    CALIBRATION_ROWS usable texts per language, or all of them where there are fewer.
-
-    Texts are scored where they are; a few numbers per text reach the driver."""
+def measure(df: DataFrame, model: Model, lang_col: str, text_col: str) -> DataFrame:
+    """(lang, h, var, size): cross-entropy under the own language's model, its variance and the symbols of every
+    usable text, scored where they are and written once (a few numbers per text)."""
     spark = df.sparkSession
     usable = (df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
               .where(F.col("lang").isNotNull() & F.col("text").rlike(r"(?s)(?:\p{L}\P{L}*+){%d}" % CALIBRATION_SYMBOLS)))
-    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not rows or not model.langs:
-        return []
-    sample = usable.sampleBy("lang", {la: min(1.0, CALIBRATION_ROWS / n) for la, n in rows.items()}, seed=17)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,34 +279,68 @@ def measure(df: DataFrame, model: Model, lang_col: str, text_col: str) -> list[t
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):
                 h, var, size = cross_entropies(m, part.column("text").to_pylist())
-                at, own = np.arange(part.num_rows), np.array([number[la] for la in part.column("lang").to_pylist()])
+                at, own = np.arange(part.num_rows), np.array([number[la] for la in part.column("lang").to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(h[at, own]), pa.array(var[at, own].astype(np.float64)),
                                                   pa.array(size.astype(np.int64))], names=["lang", "h", "var", "size"])
 
-    out = [tuple(r) for r in sample.mapInArrow(run, "lang string, h double, var double, size long").collect()]
-    shared.unpersist()
+    return materialise(usable.mapInArrow(run, "lang string, h double, var double, size long"))
+
+
+def medians(rows: DataFrame, values: dict[str, Column]) -> dict[str, dict[str, float]]:
+    """{lang: {name: median}} over all rows, to a step of 1/STEPS.
+
+    Two counts, by run of steps and then by step of the runs that hold a middle row: neither holds rows,
+    and what reaches the driver depends on the range of the values only."""
+    step = {name: F.floor(c * F.lit(STEPS)).cast("long") for name, c in values.items()}
+    long = rows.select("lang", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), q.alias("q")) for n, q in step.items()])).alias("e")).select("lang", "e.*")
+    coarse: dict[tuple, list] = {}
+    for r in long.groupBy("lang", "name", F.floor(F.col("q") / F.lit(RUN)).alias("run")).agg(F.count(F.lit(1)).alias("n")).collect():
+        coarse.setdefault((r["lang"], r["name"]), []).append((r["run"], r["n"]))
+    wanted = {}  # (lang, name) -> [(run, place within the run)] of the one or two middle rows
+    for key, runs in coarse.items():
+        runs.sort()
+        ends = np.cumsum([n for _, n in runs])
+        middle = {(int(ends[-1]) - 1) // 2, int(ends[-1]) // 2}
+        at = {k: int(np.searchsorted(ends, k, side="right")) for k in middle}
+        wanted[key] = [(runs[i][0], k - (int(ends[i]) - runs[i][1])) for k, i in sorted(at.items())]
+    if not wanted:
+        return {}
+    runs = rows.sparkSession.createDataFrame([(*key, run) for key, w in wanted.items() for run in {r for r, _ in w}], "lang string, name string, run long")
+    fine: dict[tuple, list] = {}
+    for r in (long.withColumn("run", F.floor(F.col("q") / F.lit(RUN))).join(F.broadcast(runs), ["lang", "name", "run"])
+              .groupBy("lang", "name", "run", "q").agg(F.count(F.lit(1)).alias("n")).collect()):
+        fine.setdefault((r["lang"], r["name"], r["run"]), []).append((r["q"], r["n"]))
+    out: dict[str, dict[str, float]] = {}
+    for (lang, name), w in wanted.items():
+        found = []
+        for run, place in w:
+            steps = sorted(fine[lang, name, run])
+            found.append(steps[int(np.searchsorted(np.cumsum([n for _, n in steps]), place, side="right"))][0])
+        out.setdefault(lang, {})[name] = (float(np.mean(found)) + 0.5) / STEPS
     return out
 
 
-def calibrate(model: Model, rows: list[tuple]) -> None:
+def calibrate(model: Model, rows: DataFrame) -> None:
     """Median cross-entropy per language with its spread over texts (by the median absolute
-    deviation, so foreign texts under a label move it little) and over symbols.
+    deviation, so foreign texts under a label move it little) and over symbols, over every usable text.
 
     A language with fewer than LEAST_ROWS usable texts takes the most lenient values of the
     others; if there are none, those of all texts, and without any text those of a uniform code."""
-    def values(own: np.ndarray) -> tuple[float, float, float]:
-        h, var, size = own.T
-        mid = np.median(h)
-        return mid, max(float((1.4826 * np.median(np.abs(h - mid))) ** 2 - np.median(var / size)), MIN_SPREAD), np.median(var)
-
-    by_lang: dict[str, list] = {la: [] for la in model.langs}
-    for la, *row in rows:
-        by_lang[la].append(row)
-    known = {la: values(np.array(own)) for la, own in by_lang.items() if len(own) >= LEAST_ROWS}
+    def values(of: DataFrame) -> dict[str, tuple[float, float, float]]:
+        first = medians(of, {"mid": F.col("h"), "var": F.col("var"), "noise": F.col("var") / F.greatest(F.col("size"), F.lit(1))})
+        if not first:
+            return {}
+        mids = of.sparkSession.createDataFrame([(la, v["mid"]) for la, v in first.items()], "lang string, mid double")
+        off = medians(of.join(F.broadcast(mids), "lang"), {"off": F.abs(F.col("h") - F.col("mid"))})
+        return {la: (v["mid"], max((1.4826 * off[la]["off"]) ** 2 - v["noise"], MIN_SPREAD), v["var"]) for la, v in first.items()}
+
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    enough = [la for la, n in counts.items() if n >= LEAST_ROWS]
+    known = values(rows.where(F.col("lang").isin(enough))) if enough else {}
     if known:
         pooled = tuple(max(v[k] for v in known.values()) for k in range(3))
-    elif rows:
-        pooled = values(np.array([r[1:] for r in rows], float))
+    elif counts:
+        pooled = values(rows.withColumn("lang", F.lit("")))[""]
     else:
         pooled = (float(np.log(1 << 16)), MIN_SPREAD, 0.0)
     table = np.array([known.get(la, pooled) for la in model.langs], float).reshape(-1, 3)
@@ -344,9 +374,12 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     """Model from all labelled rows of ``df``.
 
     Counts cover every row and every gram stays, so the broadcast model grows with the
-    distinct grams of the corpus.  Thresholds are set per language (``measure``)."""
+    distinct grams of the corpus.  Thresholds are set per language on every usable text (``measure``)."""
     model = fit(count_grams(df, text_col, lang_col).toArrow())
-    calibrate(model, measure(df, model, lang_col, text_col))
+    if model.langs:
+        rows = measure(df, model, lang_col, text_col)
+        calibrate(model, rows)
+        discard(rows)
     return model
 
 

@@ -245,3 +245,20 @@ def test_language_models_equal_a_plain_kneser_ney(spark):
         plain = PlainKneserNey(texts)
         want = [plain.cross_entropy(t) for t in asked]
         np.testing.assert_allclose(got[:, model.langs.index(lang)], want, rtol=2e-5)
+
+
+def test_language_thresholds_are_those_of_all_rows(spark):
+    from concord.llm import language_id as li
+
+    rng = np.random.default_rng(8)
+    words = {"en": ["the", "river", "stone", "walks", "under", "bright", "morning"], "xx": ["zog", "brakul", "minte", "ovra", "shuul", "prix"]}
+    texts = [(i, la, " ".join(rng.choice(words[la], 12 + int(i * 7919 % 40)))) for la, n in (("en", 1501), ("xx", 900)) for i in range(n)]
+    texts += [(9000, "yy", "qua wex qua wex qua wex qua wex")]  # too few rows of their own
+    df = spark.createDataFrame([(i, t, la) for i, la, t in texts], "doc_id long, text string, lang string")
+    model = li.train(df)
+    for k, la in enumerate(model.langs[:2]):
+        h, var, size = li.cross_entropies(model, [t for _, own, t in texts if own == la])
+        h, var, mid = h[:, k], var[:, k], np.median(h[:, k])
+        spread = max((1.4826 * np.median(np.abs(h - mid))) ** 2 - np.median(var / size), li.MIN_SPREAD)
+        np.testing.assert_allclose([model.mean[k], model.spread[k], model.noise[k]], [mid, spread, np.median(var)], atol=1e-5)
+    assert model.langs == ["en", "xx", "yy"] and model.mean[2] == max(model.mean[:2])
