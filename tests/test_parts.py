@@ -280,3 +280,11 @@ def test_a_run_begun_with_the_curvature_takes_few_evaluations():
         assert calls[0] <= 8 and np.linalg.norm(fg(x)[1]) < 1e-5
     e = rng.random(3000)
     assert abs(S.sum_log1p(e) - np.log1p(e).sum()) < 1e-9
+
+
+def test_a_task_holds_a_bounded_stack_of_rows():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"features": pa.array([[0.5] * 64] * 10_000)})
+    sizes = [t.nbytes for t in S.buffered(iter([batch] * 20))]
+    assert len(sizes) >= 3 and max(sizes) <= (32 << 20) + batch.nbytes
