@@ -3,7 +3,7 @@
 A LIBSVM record is ``label i:v i:v ...`` with 1-based ascending indices.  The plan:
 ``spark.read.text`` -> trim all white space -> drop blank and ``#`` lines -> split once on
 blanks -> ``i:v`` to (i-1, v) -> order and width checks -> optional relabel (-1 -> 0).  Every
-step is a built-in expression; each line is split once and each item once.
+step is a built-in expression; each line is split once and each item once, whatever is filtered on it later.
 
 A strict load carries its checks in ``label``, ``indices`` and ``values`` themselves, so
 whichever of them a query reads, the first bad row fails the job.
@@ -43,9 +43,17 @@ def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once per row, by a generator of one element.  A projection's columns are copied
+    into every filter that the optimizer moves below it, and into each place that reads them there; a generator's are not,
+    and a filter on them stays above, also above a ``repartition`` that spreads the work."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def clean_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Trim, then drop empty lines and ``#`` comment lines; adds ``line``."""
-    return (lines.withColumn("line", _trimmed(F.col(col)))
+    return (_once(lines, line=_trimmed(F.col(col)))
             .where(~((F.length("line") == 0) | F.col("line").startswith("#"))))
 
 
@@ -54,21 +62,22 @@ def parse_records(lines: DataFrame, line_col: str = "line", relabel: bool = True
     plus a ``bad`` flag: an item that is not ``i:v``, an unparsable number, or an index
     that is not above the one before it (the first must be at least 1).
 
-    One projection splits the line, one its items, so neither is repeated."""
+    The line, its items and the numbers in them are each read once (``_once``)."""
     tokens = F.filter(F.split(F.col(line_col), " "), lambda t: t != "")
-    out = lines.withColumn("__tokens__", tokens)
-    out = out.withColumn("__items__", F.transform(
+    out = _once(lines, __tokens__=tokens)
+    out = _once(out, __items__=F.transform(
         F.slice("__tokens__", 2, F.greatest(F.size("__tokens__") - 1, F.lit(0))), lambda t: F.split(t, ":")))
     raw_label = F.get("__tokens__", 0).try_cast("double")
-    out = out.select(*lines.columns, (label_01(raw_label) if relabel else raw_label).alias("label"),
-                     F.transform("__items__", lambda x: F.get(x, 0).try_cast("int") - 1).alias("indices"),
-                     F.transform("__items__", lambda x: F.get(x, 1).try_cast("double")).alias("values"),
-                     F.exists("__items__", lambda x: F.size(x) != 2).alias("__shape__"))
+    out = _once(out, label=label_01(raw_label) if relabel else raw_label,
+                indices=F.transform("__items__", lambda x: F.get(x, 0).try_cast("int") - 1),
+                values=F.transform("__items__", lambda x: F.get(x, 1).try_cast("double")),
+                __shape__=F.exists("__items__", lambda x: F.size(x) != 2))
     # one pass over the indices: the running index, or -2 once the order was broken
     order = F.aggregate("indices", F.lit(-1), lambda last, i: F.when((last >= -1) & (i > last), i).otherwise(F.lit(-2)))
     bad = (F.col("label").isNull() | F.col("__shape__") | F.exists("indices", lambda i: i.isNull())
            | F.exists("values", lambda v: v.isNull()) | (order == -2))
-    return out.withColumn("bad", bad).drop("__shape__")
+    return _once(out, bad=bad).select(*[F.col(f"`{c}`") for c in lines.columns if c not in ("label", "indices", "values", "bad")],
+                                      "label", "indices", "values", "bad")
 
 
 def bad_rows(parsed: DataFrame) -> DataFrame:

@@ -140,3 +140,11 @@ def test_load_datasets_split_and_test_file(spark, scratch):
     _, test2, _ = io.load_datasets(spark, tr, "libsvm", test_path=te)
     with pytest.raises(Exception):  # the test file is wider than the training width
         test2.collect()
+
+
+def test_filters_leave_the_parse_whole(spark):
+    """A filter on parsed columns repeats none of the parse and stays above the spread of the lines."""
+    lines = spark.range(10).selectExpr("concat('+1 1:', id) AS value").repartition(3)
+    plan = io.bad_rows(io.parse_records(io.clean_lines(lines)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+    assert "Filter" not in plan[plan.index("Repartition"):]
