@@ -145,3 +145,17 @@ def test_lambda_grid(spark):
     g = [r["lambda"] for r in lambda_grid(spark, 1000).orderBy("i").collect()]
     assert len(g) == 50 and g[0] == pytest.approx(1000.0) and g[-1] == pytest.approx(1.0)
     np.testing.assert_allclose(np.diff(np.log(g)), np.log(1e-3) / 49)
+
+
+def test_split_keeps_rows_where_they_lie(spark):
+    """The sizes of the blocks go to the rows: a block's rows never meet in one task, whatever the join threshold is."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = B.split_hot_blocks(spark.range(0, 1000, 1, 7).withColumn("block_id", (F.col("id") % 2).cast("int")), 100)
+        assert out.rdd.getNumPartitions() == 7
+        assert out.count() == 1000 and B.block_sizes(out).count() == 10
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
