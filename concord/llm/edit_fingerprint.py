@@ -23,12 +23,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.bpe import pack, unpack
 from concord.llm.common import discard, materialise, prepare, shuffle_parts
 
 DIGITS = 128
@@ -222,6 +220,8 @@ class Windows:
         self.starts: list[int] = [1]
         self.cuts: dict[int, list[np.ndarray]] = {}
         self.at: dict[int, list] = {}
+        self.ends: dict[int, int] = {}
+        self.holders: dict[int, list[int]] = {}
 
     def differ(self, length: int) -> int:
         """Steps in which a text may differ from a shorter one that is as like as the threshold."""
@@ -265,6 +265,32 @@ class Windows:
             self.cuts[start] = np.array_split(least, self.differ(end) + 1)
         return self.cuts[start]
 
+    def last(self, start: int) -> int:
+        """The greatest length a window holds (it holds all from its start on: below DIGITS / 2 characters every
+        character adds two fresh steps and less than one to ``differ``, which then stays, and fresh() never falls)."""
+        if start not in self.ends:
+            low, high = start, 2 * start
+            _SAMPLING.extend(2 * high + 1)
+            while self.holds(start, high):
+                low, high = high, 2 * high
+                _SAMPLING.extend(2 * high + 1)
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if self.holds(start, mid) else (low, mid)
+            self.ends[start] = low
+        return self.ends[start]
+
+    def held_by(self, length: int) -> list[int]:
+        """Starts of all windows that hold a length, its home first."""
+        if length not in self.holders:
+            if len(self.holders) > 100_000:
+                self.holders.clear()
+            _SAMPLING.extend(2 * length + 1)
+            self.extend(length)
+            below = self.starts[:int(np.searchsorted(self.starts, length, side="right"))]
+            self.holders[length] = [below[-1], *[g for g in reversed(below[:-1]) if self.last(g) >= length]]
+        return self.holders[length]
+
     def places(self, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For every window that holds a length: places of its bands' digits in the fingerprint, where each band
         begins among them, and a salt per digit and band."""
@@ -313,77 +339,124 @@ def _scatter(h: np.ndarray) -> np.ndarray:
 _WINDOWS: dict[float, Windows] = {}
 
 
-def band_keys(fingerprint: str, threshold: float) -> np.ndarray:
+def windows_of(threshold: float) -> Windows:
     if threshold not in _WINDOWS:
         _WINDOWS[threshold] = Windows(threshold)
-    return _WINDOWS[threshold].keys(fingerprint)
+    return _WINDOWS[threshold]
 
 
-SHARED = "band long, node long, n long, first long"
+def band_keys(fingerprint: str, threshold: float) -> np.ndarray:
+    return windows_of(threshold).keys(fingerprint)
 
 
-def shared_bands(reps: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(band, node, n, first): the bands that several classes share, with their number of classes and first class.
+def in_windows(reps: DataFrame, threshold: float) -> DataFrame:
+    """(win, home, node, fp): every class once in each window that holds its length, and whether the window is its home."""
 
-    Keys travel as packed numbers, once; a band of a single class goes no further."""
-    schema = pa.schema([("part", pa.int32()), ("bands", pa.binary()), ("nodes", pa.binary())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = windows_of(threshold)
+        for batch in batches:
+            held = [windows.held_by(n) if (n := int(fp.split(":")[0], 16)) else [] for fp in batch.column("fp").to_pylist()]
+            row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for h in held for w in h], pa.int64()), pa.array(np.diff(row, prepend=-1) != 0),
+                 batch.column("node").take(at), batch.column("fp").take(at)], names=["win", "home", "node", "fp"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    return reps.select("node", "fp").mapInArrow(run, "win long, home boolean, node long, fp string")
 
-        def flush():
-            keys, nodes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            to = (keys % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[by], np.arange(parts + 1))
-            rows = [{"part": p, "bands": keys[by[cut[p]:cut[p + 1]]].tobytes(), "nodes": pack(nodes[by[cut[p]:cut[p + 1]]])}
-                    for p in np.flatnonzero(np.diff(cut)).tolist()]
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        for batch in batches:
-            for node, fp in zip(batch.column("node").to_pylist(), batch.column("fp").to_pylist()):
-                keys = np.unique(band_keys(fp, threshold))
-                held.append((keys, np.full(len(keys), node, np.int64)))
-                size += len(keys)
-                if size > 2_000_000:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [], []
-        for batch in batches:
-            keys += [np.frombuffer(b, np.uint64) for b in batch.column("bands").to_pylist()]
-            nodes += [unpack(b, np.int64) for b in batch.column("nodes").to_pylist()]
-        if not keys:
-            return
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(head, len(key)))
-        n, first = np.repeat(size, size), np.repeat(node[head], size)
-        at = np.flatnonzero(n > 1)
-        for lo in range(0, len(at), 100_000):
-            own = at[lo:lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(node[own]), pa.array(n[own]), pa.array(first[own])],
-                                             names=["band", "node", "n", "first"])
-
-    return (reps.select("node", "fp").mapInArrow(deal, "part int, bands binary, nodes binary")
-            .repartitionById(parts, F.col("part")).mapInArrow(meet, SHARED))
-
-
-def linked(a: list[str], b: list[str] | None, threshold: float) -> list[np.ndarray]:
-    """Per fingerprint of ``a`` the numbers of those of ``b`` as like as the threshold
-    (without ``b``: of the later ones of ``a``)."""
-    table, size = _table([x.split(":") for x in [*a, *(b or [])]])
-    out = []
-    for i in range(len(a)):
-        first = i + 1 if b is None else len(a)
-        same = ((table[first:] == table[i]) & (table[i] != 0)).sum(axis=1)
-        out.append(np.flatnonzero(same / np.maximum(size[first:], size[i]) >= threshold) + first - (0 if b is None else len(a)))
-    return out
+class Cell:
+    """Classes at home in a window (one tile of them) against classes that the window holds (one tile)."""
+
+    def __init__(self, start: int, threshold: float, home: tuple[np.ndarray, list[str]], held: tuple[np.ndarray, list[str]]):
+        self.threshold = threshold
+        rows: dict[int, list[int]] = {}  # by length
+        digits = []
+        for k, x in enumerate([*home[1], *held[1]]):
+            length, own = x.split(":")
+            rows.setdefault(int(length, 16), []).append(k)
+            digits.append(own)
+        _SAMPLING.extend(2 * max(rows) + 1)
+        bands = windows_of(threshold).bands_of(start)
+        columns = np.unique(np.concatenate([_SAMPLING.of(length) for length in rows]))
+        table, size = np.zeros((len(digits), len(columns)), np.uint8), np.zeros(len(digits), np.int64)
+        for length, at in rows.items():
+            own = np.searchsorted(columns, _SAMPLING.of(length))
+            table[np.ix_(at, own)] = np.frombuffer("".join(digits[k] for k in at).encode(), np.uint8).reshape(len(at), len(own))
+            size[at] = len(own)
+        n = len(home[1])
+        self.kept = np.searchsorted(columns, np.concatenate(bands))
+        self.begins = np.cumsum([0, *(len(b) for b in bands)])[:-1]
+        self.most = len(bands) - 1  # steps of ``kept`` in which alike texts of the window can differ
+        self.empty = any(len(b) == 0 for b in bands)
+        self.table, self.size = (table[:n], table[n:]), (size[:n], size[n:])
+        self.names, at = np.unique(np.concatenate([home[0], held[0]]), return_inverse=True)
+        self.at = (at[:n], at[n:])
+        self.label = np.arange(len(self.names))
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join what is as like as the threshold among pairs of rows that are not joined yet."""
+        from concord.llm.embedding_dedup import smallest_reachable
+
+        for lo in range(0, len(i), 4 * PAIRS):
+            u, v = i[lo:lo + 4 * PAIRS], j[lo:lo + 4 * PAIRS]
+            apart = self.label[self.at[0][u]] != self.label[self.at[1][v]]
+            u, v = u[apart], v[apart]
+            if not len(u):
+                continue
+            own = self.table[0][u]
+            same = np.count_nonzero((own == self.table[1][v]) & (own != 0), axis=1)
+            hit = same / np.maximum(np.maximum(self.size[0][u], self.size[1][v]), 1) >= self.threshold
+            if hit.any():
+                root = smallest_reachable(len(self.names), self.label[self.at[0][u[hit]]], self.label[self.at[1][v[hit]]])
+                self.label = root[self.label]
+
+    def banded(self) -> bool:
+        """Compare rows that agree in a whole band; False, and nothing done, where comparing all is less work."""
+        keys = [np.zeros((len(self.begins), len(t)), np.uint64) for t in self.table]
+        for b, (lo, hi) in enumerate(zip(self.begins, [*self.begins[1:], len(self.kept)])):
+            for k, t in zip(keys, self.table):
+                for c in self.kept[lo:hi]:
+                    k[b] = _scatter(k[b] + t[:, c].astype(np.uint64))
+        found, total = [], 0
+        for mine, other in zip(*keys):
+            order = np.argsort(other, kind="stable")
+            lo = np.searchsorted(other, mine, side="left", sorter=order)
+            n = np.searchsorted(other, mine, side="right", sorter=order) - lo
+            total += int(n.sum())
+            if total * PAIR_COST > len(mine) * len(other):
+                return False
+            found.append((order, lo, n))
+        for order, lo, n in found:
+            ends = np.cumsum(n)
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + 1, 64 * PAIRS), side="right"))
+            for a, z in zip([0, *cuts], [*cuts, len(n)]):  # some rows at a time, so that few pairs are in memory
+                i = np.repeat(np.arange(a, z), n[a:z])
+                first = np.repeat(ends[a:z] - n[a:z], n[a:z])
+                self.link(i, order[np.repeat(lo[a:z], n[a:z]) + np.arange(len(i)) + (ends[a - 1] if a else 0) - first])
+        return True
+
+    def all_pairs(self) -> None:
+        """Compare every row with every other, first in some of the steps that all texts of the window are sampled at."""
+        first = self.kept[:2 * self.most + 2]
+        other = np.ascontiguousarray(self.table[1][:, first].T)
+        differ, one = np.empty(len(self.table[1]), np.uint8), np.empty(len(self.table[1]), bool)
+        for i, row in enumerate(self.table[0][:, first]):
+            differ[:] = 0
+            for mine, column in zip(row, other):
+                np.not_equal(column, mine, out=one)
+                np.add(differ, one.view(np.uint8), out=differ)
+            j = np.flatnonzero(differ <= self.most)
+            j = j[self.label[self.at[1][j]] != self.label[self.at[0][i]]]
+            if len(j):
+                self.link(np.full(len(j), i), j)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every class that is joined with another, with the first class of its component here."""
+        if self.empty or not self.banded():
+            self.all_pairs()
+        hit = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.names[hit], self.names[self.label[hit]]
 
 
 def edited(text: str, after: str) -> str:
@@ -487,34 +560,24 @@ def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: classes on one side of a tile
-TILE = 1000
+TILE = 1 << 15
+#: a pair of a band takes this many times the work of a pair compared in passing
+PAIR_COST = 25
 
 
-def _tile_links(threshold: float):
-    """Links between classes of different components in one tile, as a forest."""
+def _cell_links(threshold: float):
+    """Links of one cell, as stars."""
 
     def run(table: pa.Table) -> pa.Table:
-        lo, side = table.column("lo")[0].as_py(), table.column("side").to_pylist()
-        rows = list(zip(table.column("node").to_pylist(), table.column("comp").to_pylist(), table.column("fp").to_pylist()))
-        left = [r for r, t in zip(rows, side) if t == lo]
-        right = None if table.column("hi")[0].as_py() == lo else [r for r, t in zip(rows, side) if t != lo]
-        parent = {c: c for _, c, _ in rows}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        edges = []
-        if left and right != []:
-            for r, hits in zip(left, linked([x[2] for x in left], right and [x[2] for x in right], threshold)):
-                for k in hits.tolist():
-                    other = (right or left)[k]
-                    u, v = find(r[1]), find(other[1])
-                    if u != v:
-                        parent[max(u, v)] = min(u, v)
-                        edges.append((r[0], other[0]))
-        return pa.table({c: pa.array([e[k] for e in edges], pa.int64()) for k, c in enumerate("ab")})
+        home = table.column("home").to_numpy()
+        sides = []
+        for own in (home, ~home):
+            side = table.filter(pa.array(own))
+            sides.append((side.column("node").to_numpy(), side.column("fp").to_pylist()))
+        if not all(len(nodes) for nodes, _ in sides):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = Cell(table.column("win")[0].as_py(), threshold, *sides).links()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -532,35 +595,31 @@ def near_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str =
 def fingerprint_classes(df: DataFrame, fingerprint: str = "fingerprint", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(fp, class_id): documents linked by bit-sampled banding and verified likeness.
 
-    Equal fingerprints are one class.  Classes that share a band (``Windows``) are first
-    compared with the band's first class; what is then still of different components within
-    a band is compared in salted tiles of bounded size, so every pair of classes as like as
+    Equal fingerprints are one class.  In every window (``Windows``) the classes at home there meet all that it
+    holds, in salted tiles of bounded size; in a pair of tiles the classes that share a band are compared, or all where
+    the bands tell them apart so little that this is less work.  So every pair of classes as like as
     the threshold is linked.  Links are closed by connected components; ``class_id`` is the
     smallest id of a component (null when none of its rows has an id)."""
-    from pyspark.sql.types import DoubleType
-
     from concord.llm.common import connected_components
 
     prepare(df.sparkSession)
     # the numbers are written with the table, so they stay
     reps = materialise(df.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fp"))
                        .agg(F.min(F.col(id_col).cast("long")).alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    like = F.pandas_udf(lambda a, b: pd.Series(likenesses(a.tolist(), b.tolist())), DoubleType())
-    banded = materialise(shared_bands(reps, threshold, shuffle_parts(df.sparkSession)))
-    fps = reps.select("node", "fp")
-    pairs = (banded.where("node <> first").select("node", "first").distinct()
-             .join(fps, "node").join(fps.toDF("first", "fp0"), "first"))
-    comp = materialise(connected_components(pairs.where(like("fp", "fp0") >= threshold).select(F.col("node").alias("a"), F.col("first").alias("b"))))
-    state = materialise(banded.join(comp, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("comp")))
-    still = state.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    cells = (state.join(still, "band").withColumn("side", F.pmod(F.xxhash64("node", "band"), tiles).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-             .select("band", "node", "comp", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-             .join(fps, "node"))
-    more = cells.groupBy("band", "lo", "hi").applyInArrow(_tile_links(threshold), "a long, b long")
-    whole = materialise(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    discard(banded, state, comp)
+    placed = materialise(in_windows(reps, threshold))
+    tiles = materialise(placed.groupBy("win").agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("homes"),
+                                                  F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("helds")))
+    # a class takes part in its home on both sides: as one at home there, and as one that the window holds
+    salted = placed.join(F.broadcast(tiles.where("homes > 0")), "win").withColumn("salt", F.xxhash64("node"))
+    own = {c: F.pmod("salt", F.col(c)).cast("int") for c in ("homes", "helds")}
+    every = {c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("homes", "helds")}
+    at_home = salted.where("home").select("win", own["homes"].alias("x"), every["helds"].alias("y"), F.lit(True).alias("home"), "node", "fp")
+    held = salted.select("win", every["homes"].alias("x"), own["helds"].alias("y"), F.lit(False).alias("home"), "node", "fp")
+    # cells are much work for their bytes, so they are not put together by bytes
+    links = (at_home.unionByName(held).repartition(shuffle_parts(df.sparkSession), "win", "x", "y").groupBy("win", "x", "y")
+             .applyInArrow(_cell_links(threshold), "a long, b long"))
+    whole = materialise(connected_components(links))
+    discard(placed, tiles)
     named = materialise(reps.join(whole, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("comp")))
     # written, so that the join of a large class may be split
     least = materialise(named.groupBy("comp").agg(F.min("rep").alias("class_id")))

@@ -320,6 +320,50 @@ def test_near_classes_equal_brute_force_likeness(spark, monkeypatch):
     assert len(set(got.values())) < 60
 
 
+def test_classes_of_bands_shared_by_chance(spark):
+    from concord.llm import edit_fingerprint as E
+
+    # few different digits: a band stands in many fingerprints that are not alike
+    rng = np.random.default_rng(4)
+    digits = rng.integers(0, 5, (900, E.DIGITS))
+    digits[450:600] = digits[:150]
+    digits[450:600, 7:7 + 25] += 5  # as like as the threshold allows
+    digits[600:750] = digits[:150]
+    digits[600:750, 40:40 + 26] += 5  # one step too many
+    lengths = np.where(np.arange(900) % 3, 1000, 1004)
+    prints = [f"{n:x}:" + "".join("0123456789"[d] for d in row) for n, row in zip(lengths, digits)]
+    ids, parent = range(len(prints)), list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in ids:
+        for j in np.flatnonzero(E.likenesses([prints[i]] * (i or 1), prints[:i or 1]) >= 0.8):
+            x, y = sorted((find(i), find(int(j))))
+            parent[y] = x
+    want = [find(i) for i in ids]
+    frame = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    assert {r.doc_id: r.class_id for r in E.near_classes(frame).collect()} == dict(enumerate(want))
+    assert len(set(want)) < 800
+    # a class travels once per window that holds it, however many bands it shares
+    placed = E.in_windows(frame.select(F.col("doc_id").alias("node"), F.col("fingerprint").alias("fp")), 0.8)
+    assert placed.count() <= 6 * len(prints) and placed.where("home").count() == len(prints)
+    # by bands and all with all, the links are the same
+    for start in {E.windows_of(0.8).held_by(1000)[0], E.windows_of(0.8).held_by(1004)[0]}:
+        if all(start in E.windows_of(0.8).held_by(n) for n in (1000, 1004)):
+            side = (np.arange(len(prints)), prints)
+            cells = [E.Cell(start, 0.8, side, side) for _ in range(2)]
+            E.PAIR_COST, cost = 0, E.PAIR_COST
+            try:
+                assert cells[0].banded()
+            finally:
+                E.PAIR_COST = cost
+            cells[1].all_pairs()
+            assert cells[0].label.tolist() == cells[1].label.tolist() == want
+
+
 # --- op6 ------------------------------------------------------------------------------
 
 def test_vector_edges(spark):
