@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.bpe import pack, unpack
-from concord.llm.common import connected_components, discard, free_name, materialise, prepare, shuffle_parts, text_slices
+from concord.llm.common import connected_components, discard, free_name, give_back, materialise, prepare, shuffle_parts, text_slices
 from concord.llm.embedding_dedup import smallest_reachable
 
 SLICE_BYTES = 1 << 19
 BAND_RATIO = 1.25
 SLACK = 0.3
 KEY_BYTES = 6  # of a key are sent to its partition; equal ones by chance are found out on verification
+HELD_KEYS = 500_000  # that a task holds before it deals them, and about as many as it sorts at a time
 TILE = 256  # sets compared with each other at a time, and shingle columns per product
 TILE_COLUMNS = 1 << 14
 MAX_BAND = 150  # BAND_RATIO ** 150 shingles are beyond any text
@@ -222,11 +223,13 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
                 if len(keys):
                     held.append((keys, np.array([sids[k] for k in fresh], np.int64)[own]))
                     kept += len(keys)
-                if kept > 2_000_000:
+                if kept > HELD_KEYS:
                     yield from flush()
                     held, kept = [], 0
         if held:
             yield from flush()
+        held.clear()
+        give_back()
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
@@ -245,21 +248,26 @@ def _sketch(src: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame
                 else:
                     keys.append(_from_bytes(r["keys"], KEY_BYTES) | _U(r["part"] << 8 * KEY_BYTES))
                     sids.append(own)
-        if not keys:
-            return
-        key, sid = np.concatenate(keys), np.concatenate(sids)
-        order = np.lexsort((sid, key))
-        key, sid = key[order], sid[order]
-        first = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
-        key, sid = key[first], sid[first]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(head, len(key)))
-        size = np.repeat(size, size)
-        key, sid, size = key[size > 1], sid[size > 1], size[size > 1]
-        for lo in range(0, len(key), 100_000):
-            k = key[lo:lo + 100_000]
-            yield rows(len(k), key=k.view(np.int64), sid=sid[lo:lo + 100_000], size=size[lo:lo + 100_000],
-                       band=(k & _U(255)).astype(np.int32))
+        # some of the keys at a time: a key's rows are all in one run, and sorting takes several times its arrays
+        runs = -(-sum(len(k) for k in keys) // HELD_KEYS)
+        for run in range(runs):
+            mine = [(k >> _U(8)) % _U(runs) == _U(run) for k in keys]
+            key, sid = np.concatenate([k[m] for k, m in zip(keys, mine)]), np.concatenate([s[m] for s, m in zip(sids, mine)])
+            if not len(key):
+                continue
+            order = np.lexsort((sid, key))
+            key, sid = key[order], sid[order]
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
+            key, sid = key[first], sid[first]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(head, len(key)))
+            size = np.repeat(size, size)
+            key, sid, size = key[size > 1], sid[size > 1], size[size > 1]
+            for lo in range(0, len(key), 100_000):
+                k = key[lo:lo + 100_000]
+                yield rows(len(k), key=k.view(np.int64), sid=sid[lo:lo + 100_000], size=size[lo:lo + 100_000],
+                           band=(k & _U(255)).astype(np.int32))
+        give_back()
 
     return (src.mapInArrow(sketch, "part int, docs array<long>, hashes array<long>, sizes array<long>, sids binary, keys binary")
             .repartitionById(parts, F.col("part")).mapInArrow(share, FOUND))

@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from concord.llm import words
 from concord.llm.bpe import ragged, vocabulary_text
-from concord.llm.common import discard, materialise, prepare, text_slices
+from concord.llm.common import discard, give_back, materialise, prepare, text_slices
 
 CAPACITY = 4096
 END_ID = 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 CACHE_WORDS = 150_000
 #: pieces per group, on every level
 GROUP_PIECES = 20_000
@@ -155,6 +155,7 @@ def tokenised_pieces(df: DataFrame, vocab_path: str, id_col: str, text_col: str,
                 arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(arrays if keep_ids else arrays[:5], names=names if keep_ids else names[:5])
+        give_back()
 
     return src.mapInArrow(run, PIECE + (", ids binary" if keep_ids else ""))
 

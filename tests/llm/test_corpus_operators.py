@@ -678,6 +678,18 @@ def test_a_common_passage_joins_no_cloud(spark, monkeypatch):
     assert sum(compared) < 60
 
 
+def test_jaccard_keys_are_dealt_and_sorted_some_at_a_time(spark, docs, monkeypatch):
+    from concord.llm import ngram_join
+
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    whole = []
+    for held in (ngram_join.HELD_KEYS, 700):
+        monkeypatch.setattr(ngram_join, "HELD_KEYS", held)
+        found = ngram_join._sketch(df, 5, 80, 100, 2).where("key is not null").select("key", "sid", "size", "band")
+        whole.append(sorted(tuple(r) for r in found.collect()))
+    assert whole[0] == whole[1] and len(whole[0]) > 1400
+
+
 def test_jaccard_edges(edge, none):
     from concord.llm.ngram_join import drop_near_duplicates, jaccard_groups
 
