@@ -21,6 +21,8 @@ how rows are dealt over files and tasks, so reruns agree.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +61,18 @@ def targets(sources: DataFrame, max_epochs: int) -> DataFrame:
     ``max_epochs`` sizes, what is cut off reshared by weight until none is above.
 
     Sources are cut off in order of max_epochs * size / weight; a round is one aggregate over the sources, which returns what
-    the uncut ones share and the sum of their weights, and raises the level of the uncut ones."""
-    cap = F.col("source_size") * max_epochs
+    the uncut ones share and the sum of their weights, and raises the level of the uncut ones.  Sums and products of
+    sizes and weights are decimals of 38 digits: ints end at 2**31 and longs at 2**63."""
+    size, weight_of = F.col("source_size").cast("decimal(38,0)"), F.col("weight").cast("decimal(38,0)")
+    cap = size * F.lit(Decimal(max_epochs))
+
+    def is_cut(words: int, weight: int) -> Column:
+        return cap * F.lit(Decimal(weight)) <= F.lit(Decimal(words)) * weight_of
+
     open_words, open_weight = None, None
     while True:
-        cut = F.lit(False) if open_weight is None else cap * F.lit(open_weight) <= F.lit(open_words) * F.col("weight")
-        got = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("decimal(38,0)").alias("words"),
+        cut = F.lit(False) if open_weight is None else is_cut(open_words, open_weight)
+        got = sources.agg(F.coalesce(F.sum(size), F.lit(0)).cast("decimal(38,0)").alias("words"),
                           F.coalesce(F.sum(F.when(cut, cap)), F.lit(0)).cast("decimal(38,0)").alias("cut"),
                           F.coalesce(F.sum(F.when(~cut, F.col("weight"))), F.lit(0)).cast("long").alias("weight")).first()
         words, weight = int(got["words"] - got["cut"]), int(got["weight"])
@@ -74,7 +82,7 @@ def targets(sources: DataFrame, max_epochs: int) -> DataFrame:
     if not open_weight:
         return sources.withColumn("target", cap.cast("double"))
     level = F.lit(float(open_words)) * F.col("weight") / F.lit(float(open_weight))
-    return sources.withColumn("target", F.when(cap * F.lit(open_weight) <= F.lit(open_words) * F.col("weight"), cap.cast("double")).otherwise(level))
+    return sources.withColumn("target", F.when(is_cut(open_words, open_weight), cap.cast("double")).otherwise(level))
 
 
 def mix(df: DataFrame, weights: list[int], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -184,6 +184,19 @@ def test_mixing_agrees_over_layouts_and_levels(spark, monkeypatch):
     assert sorted(map(repr, one)) == sorted(map(repr, two))
 
 
+@pytest.mark.parametrize("unit", [1, 10 ** 6, 5 * 10 ** 7, 10 ** 9, 10 ** 15, 10 ** 17])
+def test_mixing_targets_of_any_size(spark, unit):
+    """Products of sizes and weights leave ints at a few GB of documents, and longs later."""
+    from concord.llm.mixing import targets
+
+    sizes = {"a": 9 * unit, "b": unit // 3, "c": 7 * unit, "d": unit, "e": 0}
+    weights = [1, 2, 3]
+    rows = [(s, n, weights[i % 3]) for i, (s, n) in enumerate(sizes.items())]
+    got = {r.source: r.target for r in targets(spark.createDataFrame(rows, "source string, source_size long, weight int"), 3).collect()}
+    for s, want in brute_targets(sizes, weights).items():
+        assert abs(got[s] - want) <= 1e-12 * want
+
+
 def test_better_documents_come_earlier(spark):
     from concord.llm.mixing import mix
 
