@@ -288,3 +288,85 @@ def test_a_task_holds_a_bounded_stack_of_rows():
     batch = pa.RecordBatch.from_pydict({"features": pa.array([[0.5] * 64] * 10_000)})
     sizes = [t.nbytes for t in S.buffered(iter([batch] * 20))]
     assert len(sizes) >= 3 and max(sizes) <= (32 << 20) + batch.nbytes
+
+
+def _sparse_rows(rng, n, p):
+    """Sparse rows, some without values and one with many."""
+    lens = rng.integers(0, 9, n)
+    lens[:3] = 0, 0, p
+    cols = np.concatenate([rng.choice(p, k, replace=False) for k in lens])
+    return S.CSR(n, p, np.repeat(np.arange(n), lens), cols, rng.standard_normal(len(cols)))
+
+
+def test_sparse_products_equal_dense_ones(monkeypatch):
+    rng = np.random.default_rng(11)
+    for run in (1, 1 << 16):
+        monkeypatch.setattr(S, "RUN_VALUES", run)
+        for X in (_sparse_rows(rng, 300, 40), S.CSR(4, 3, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))):
+            D = np.zeros((X.n, X.p))
+            D[X.rows, X.cols] = X.vals
+            w, r = rng.standard_normal(X.p), rng.standard_normal(X.n)
+            np.testing.assert_allclose(X.matvec(w), D @ w, atol=1e-12)
+            np.testing.assert_allclose(X.rmatvec(r), D.T @ r, atol=1e-12)
+
+
+@pytest.mark.parametrize("svm", [False, True])
+def test_a_step_on_sparse_rows_takes_one_product_each_way(svm):
+    """However many trial steps a line search makes: scores are linear along a line."""
+    rng = np.random.default_rng(12)
+    X = _sparse_rows(rng, 400, 60)
+    X.vals *= 5.0
+    y = np.where(rng.random(X.n) < 0.5, 1.0, -1.0)
+    v, calls = rng.standard_normal(X.p), [0, 0]
+
+    class Counted(S.CSR):
+        def matvec(self, w):
+            calls[0] += 1
+            return super().matvec(w)
+
+        def rmatvec(self, r):
+            calls[1] += 1
+            return super().rmatvec(r)
+
+    def loss(rows):
+        return S.squared_hinge_sum(rows, y, 1.0) if svm else S.logistic_sum(rows, y)
+
+    plain, trials = S.with_prox(loss(X), v, 0.5), [0]
+
+    def by_points(w):
+        trials[0] += 1
+        return plain(w)
+
+    metric = S.inverse_curvature(X, np.full(X.n, 0.01), 0.5)  # far from the curvature, so that first trial steps are too long
+    x = S.lbfgs(S.with_prox(loss(Counted(X.n, X.p, X.rows, X.cols, X.vals)), v, 0.5), np.zeros(X.p), max_iter=10, tol=1e-12, metric=metric)
+    assert calls == [11, 11] and trials[0] == 0
+    np.testing.assert_allclose(x, S.lbfgs(by_points, np.zeros(X.p), max_iter=10, tol=1e-12, metric=metric), atol=1e-6)
+    assert trials[0] > 15
+
+
+def test_hashed_texts_equal_a_row_per_token(spark, scratch):
+    """Documents and labels that occur more than once, also in several Arrow batches, nulls and texts without tokens."""
+    texts = ["A b  a\tc", "b B b", None, " \n ", "x", "y z", "A\x0bb", " a İ"]
+    docs = [(i % 9 if i % 11 else None, texts[i % 8]) for i in range(60)]
+    labels = [(i % 10 if i % 7 else None, [0, 1, None][i % 3], 5) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{scratch}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{scratch}/labels.parquet")
+    counts = (spark.read.parquet(f"{scratch}/documents.parquet").join(spark.read.parquet(f"{scratch}/labels.parquet"), "doc_id")
+              .select("doc_id", "quality", F.explode(F.split(F.lower("text"), r"\s+")).alias("tok")).where("tok <> ''")
+              .groupBy("doc_id", "quality", F.pmod(F.xxhash64("tok"), F.lit(64)).cast("int").alias("j")).count())
+    want = sorted((r.doc_id, str(r.quality), r.j, r["count"]) for r in counts.collect())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for size in ("2", before):
+        spark.conf.set(key, size)
+        try:
+            df = fx.cls_sparse(spark, scratch, 4, 64)
+            got = df.collect()
+        finally:
+            spark.conf.set(key, before)
+        assert sorted((r.doc_id, str(None if r.label is None else int(r.label)), j, round(np.expm1(v)))
+                      for r in got for j, v in zip(r.indices, r["values"])) == want
+        assert all(r.indices == sorted(set(r.indices)) and r.block_id == r.doc_id % 4 for r in got)
+        assert len({(r.doc_id, r.label) for r in got}) == len(got)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row per token
