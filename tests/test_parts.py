@@ -370,3 +370,14 @@ def test_hashed_texts_equal_a_row_per_token(spark, scratch):
         assert len({(r.doc_id, r.label) for r in got}) == len(got)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # no row per token
+
+
+@pytest.mark.parametrize("rows", [400, 70])
+def test_each_part_has_a_partition_of_its_own(spark, rows):
+    placed = place(fx.cls_small(spark, SF_SMALL), 3, max_block_rows=rows)
+    try:
+        got = placed.payload.groupBy(F.spark_partition_id()).agg(F.countDistinct("block_id").alias("parts")).collect()
+        assert placed.n_blocks > 15 and placed.payload.rdd.getNumPartitions() == len(got) == placed.n_blocks
+        assert {r.parts for r in got} == {1}
+    finally:
+        placed.release()
